@@ -34,16 +34,29 @@ def r_ifelse(cond, yes, no) -> Column:
     return F.when(cond.isNull(), F.lit(None)).when(cond, _c(yes)).otherwise(_c(no))
 
 
+def r_switch(col, cases: dict, default=None) -> Column:
+    """Nested ``ifelse`` on equality tests of one column: NULL input gives NULL."""
+    c = _c(col)
+    expr = F.when(c.isNull(), F.lit(None))
+    for k, v in cases.items():
+        expr = expr.when(c == F.lit(k), _c(v))
+    return expr.otherwise(_c(default) if default is not None else F.lit(None))
+
+
 def r_case(*branches, default=None) -> Column:
     """Nested ``ifelse``: ``r_case((c1, v1), (c2, v2), default=v)``.
 
     Evaluated in order; the first NULL condition yields NULL and stops,
-    a FALSE one moves to the next branch.
+    a FALSE one moves to the next branch.  Emitted as ONE flat CASE WHEN so
+    generated code stays small when the expression is inlined downstream.
     """
-    expr = _c(default) if default is not None else F.lit(None)
-    for cond, val in reversed(branches):
-        expr = r_ifelse(cond, val, expr)
-    return expr
+    expr = None
+    for cond, val in branches:
+        cond = _c(cond)
+        expr = (F.when(cond.isNull(), F.lit(None)) if expr is None
+                else expr.when(cond.isNull(), F.lit(None)))
+        expr = expr.when(cond, _c(val))
+    return expr.otherwise(_c(default) if default is not None else F.lit(None))
 
 
 def spss_to_date(col) -> Column:

@@ -13,18 +13,15 @@ def outcome_class(outcome, returned=(L.RETURNED_LABEL,),
                   not_returned=L.NOT_RETURNED_LABELS) -> Column:
     """'Returned' / 'Not returned' / NULL for every other outcome."""
     o = _c(outcome)
-    return r_case(
-        (o.isin(*returned), F.lit("Returned")),
-        (o.isin(*not_returned), F.lit("Not returned")),
-        default=F.lit(None).cast("string"),
-    )
+    return (F.when(o.isin(*returned), F.lit("Returned"))
+            .when(o.isin(*not_returned), F.lit("Not returned")))
 
 
 def event_flag(new_outcome) -> Column:
     """1 = returned (event), 0 = not returned (censored), NULL otherwise."""
     o = _c(new_outcome)
-    return r_case((o == "Returned", F.lit(1)), (o == "Not returned", F.lit(0)),
-                  default=F.lit(None).cast("int"))
+    # tests on one column: NULL fails both, so a plain CASE keeps the NULL
+    return F.when(o == "Returned", F.lit(1)).when(o == "Not returned", F.lit(0))
 
 
 def event_flag_wave(outcome) -> Column:
@@ -55,16 +52,14 @@ def reply_strata(date_rec, mail2, mail3, outcome=None) -> Column:
 def repeat_mail_flag(strata) -> Column:
     """'First' for Mail1, 'Repeated' for Mail2 / Mail3."""
     s = _c(strata)
-    return r_ifelse((s == "Mail2") | (s == "Mail3"), F.lit("Repeated"),
-                    r_ifelse(s == "Mail1", F.lit("First"), F.lit(None).cast("string")))
+    # a NULL stratum fails both tests, so a plain CASE already yields NULL
+    return F.when(s.isin("Mail2", "Mail3"), F.lit("Repeated")).when(s == "Mail1", F.lit("First"))
 
 
 def strata_first_later(strata) -> Column:
     """'First' for Mail1, 'Later' for Mail2 / Mail3."""
     s = _c(strata)
-    return r_case((s == "Mail1", F.lit("First")),
-                  ((s == "Mail2") | (s == "Mail3"), F.lit("Later")),
-                  default=F.lit(None).cast("string"))
+    return F.when(s == "Mail1", F.lit("First")).when(s.isin("Mail2", "Mail3"), F.lit("Later"))
 
 
 def early_flag(time, days: int = 14) -> Column:

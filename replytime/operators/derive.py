@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import levels as L
 from ..functions import recode as R
-from ..functions.core import (los_transform, r_ifelse, reply_days, spss_to_date)
+from ..functions.core import los_transform, r_switch, reply_days, spss_to_date
 
 
 def used_levels_expr(col: str, levels) -> Column:
@@ -94,11 +94,15 @@ def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by_trust: bool =
     code = F.array_position(F.col("rating_levels"), F.col(rating_col)).cast("int")
     d = d.withColumn("overall_sat", F.when(code > 0, code)).drop("rating_levels")
 
-    new_outcome = R.outcome_class("outcome")
-    d = d.withColumn("new_outcome", new_outcome)
-    d = d.withColumn("new_date_rec",
-                     r_ifelse(F.col("new_outcome") == "Not returned", F.col("max_date"), F.col("date_rec")))
-    d = d.withColumn("reply_strata", R.reply_strata("date_rec", "mail2", "mail3", "outcome"))
+    o = F.col("outcome")
+    d = d.withColumns({
+        "new_outcome": R.outcome_class("outcome"),
+        # ifelse(new_outcome == "Not returned", max_date, date_rec), stated on the
+        # outcome label directly (NULL class -> NULL) to keep the expression flat
+        "new_date_rec": F.when(o.isin(*L.NOT_RETURNED_LABELS), F.col("max_date"))
+                         .when(o.isin(L.RETURNED_LABEL), F.col("date_rec")),
+        "reply_strata": R.reply_strata("date_rec", "mail2", "mail3", "outcome"),
+    })
 
     ndr = F.col("new_date_rec")
 
@@ -131,10 +135,8 @@ def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by_trust: bool =
 
 def reply_time_coalesced(strata="reply_strata") -> Column:
     """Days since the mailing that triggered the reply (NULL without a stratum)."""
-    s = F.col(strata)
-    return r_ifelse(s == "Mail1", F.col("reply_time1"),
-                    r_ifelse(s == "Mail2", F.col("reply_time2"),
-                             r_ifelse(s == "Mail3", F.col("reply_time3"), F.lit(None).cast("int"))))
+    return r_switch(strata, {"Mail1": F.col("reply_time1"), "Mail2": F.col("reply_time2"),
+                             "Mail3": F.col("reply_time3")}, F.lit(None).cast("int"))
 
 
 def with_ordered_outcomes(d: DataFrame) -> DataFrame:

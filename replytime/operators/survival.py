@@ -141,8 +141,14 @@ def hazard_kernel(pairs: DataFrame, bandwidth: float, min_time: float = 0.0, max
         kern = F.when(inside & (F.abs(x) <= 1), kern).otherwise(F.lit(0.0))
     else:
         kern = F.when(F.abs(x) <= 1, epan).otherwise(F.lit(0.0))
-    out = band.groupBy(*by, "j", "grid_time").agg(F.sum(kern * F.col("dH")).alias("_s"))
-    return out.select(*by, F.col("grid_time").alias("time"), (F.col("_s") / b).alias("hazard"))
+    out = band.groupBy(*by, "j").agg(F.sum(kern * F.col("dH")).alias("_s"))
+    if by:
+        grid = inc.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("j"))
+    else:
+        grid = pairs.sparkSession.range(n_grid).select(F.col("id").cast("int").alias("j"))
+    out = grid.join(out, [*by, "j"], "left")
+    return out.select(*by, (F.lit(min_time) + F.col("j").cast("double") * F.lit(step)).alias("time"),
+                      (F.coalesce(F.col("_s"), F.lit(0.0)) / b).alias("hazard"))
 
 
 def _boundary_epanechnikov(x: Column, q: Column) -> Column:
@@ -155,21 +161,20 @@ def _boundary_epanechnikov(x: Column, q: Column) -> Column:
 def hazard_piecewise(pairs: DataFrame, width: float = 1.0, max_time: float = 70.0, by=()) -> DataFrame:
     """Piecewise-constant hazard: events / person-time per bin, with 95% limits.
 
-    Person-time of a bin [a, a + w) is sum_i max(0, min(t_i, a + w) - a).
+    Bins are (a, a + w]: a reply on day t falls in the bin that ends at t, and
+    a subject contributes min(t, a + w) - a time units to every bin it enters.
     Rows are first reduced to distinct times; each distinct time then emits
     one row per bin it covers (``explode(sequence)``), never per row.
     """
     ev = event_table(pairs, by)
     nb = int(round(max_time / width))
     t = F.col("time")
-    last_bin = F.least(F.lit(nb - 1), F.floor(t / F.lit(width)).cast("int"))
+    last_bin = F.least(F.lit(nb - 1), (F.ceil(t / F.lit(width)) - 1).cast("int"))
     x = ev.where(t > 0).select(*by, "time", "n_at", "n_event",
                                F.explode(F.sequence(F.lit(0), last_bin)).alias("bin"))
     a = F.col("bin").cast("double") * F.lit(width)
     expo = F.least(t, a + F.lit(width)) - a
-    in_bin = (t >= a) & (t < a + F.lit(width))
-    # an event at exactly the right edge of the last bin belongs to it
-    in_bin = in_bin | ((F.col("bin") == nb - 1) & (t == a + F.lit(width)))
+    in_bin = (t > a) & (t <= a + F.lit(width))
     agg = x.groupBy(*by, "bin").agg(
         F.sum(F.col("n_at").cast("double") * expo).alias("person_time"),
         F.sum(F.when(in_bin, F.col("n_event")).otherwise(F.lit(0))).cast("long").alias("events"))

@@ -101,10 +101,30 @@ def inpatient_from_tables(orders: DataFrame, customer: DataFrame) -> DataFrame:
     )
 
 
-def inpatient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stand-in 2009 wave for a test-data folder."""
-    return inpatient_from_tables(read_table(spark, sf_dir, "orders"),
-                                 read_table(spark, sf_dir, "customer"))
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def inpatient(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The stand-in 2009 wave for a test-data folder.
+
+    A survey wave is a stored table; so the stand-in is written once per
+    session as Parquet under the shared checkpoint folder and every query
+    scans that file, as it would scan the real wave.  (Left as a lazy join,
+    filters on derived columns would be pushed into the join condition and
+    drag the whole generator along.)
+    """
+    built = inpatient_from_tables(read_table(spark, sf_dir, "orders"),
+                                  read_table(spark, sf_dir, "customer"))
+    if not materialize:
+        return built
+    from .scan import SURVEY_SCHEMA, scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = scratch_path(spark, "inpatient")
+        built.write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.schema(SURVEY_SCHEMA).parquet(path)
 
 
 def _sql_pick(idx: str, labels) -> str:
