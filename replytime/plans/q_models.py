@@ -1 +1,475 @@
-"""Named queries."""
+"""Model-fitting and model-output queries (sections 2.8 and 2.9).
+
+Factor levels are alphabetical (first = reference), the order the study's
+factors had after its CSV round trip.  Every fit reads the whole wave; the
+prediction profiles are the study's own small newdata frames.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from .. import levels as L
+from ..functions import recode as R
+from ..functions.core import inv_logit
+from ..models import aft as A
+from ..models import cox as CX
+from ..models.design import Factor, Numeric, build_design, complete_rows, design_frame, profile_frame
+from ..models.glm import fit_logit
+from ..models.glmm import fit_glmm_logit
+from ..models.lm import fit_lm
+from ..models.lmm import fit_lmm
+from ..models.ordinal import fit_polr
+from ..operators.derive import with_ordered_outcomes
+from ..operators.filters import exclude_trusts
+from ..operators.joins import attach_response_rate, response_rate_by_trust
+from .common import derived
+from .oracle_base import with_derived
+from .registry import query, rounded
+
+TRI = Factor("overall_tri", ("Excellent", "Other", "Very good"))
+EMERG = Factor("emergency", ("no", "yes"))
+AGE = Factor("age_group", L.AGE_LEVELS)
+GENDER = Factor("gender", ("Female", "Male"))
+CHOICE = Factor("choice", ("No", "Yes"))
+STRATA = Factor("reply_strata", L.STRATA_LEVELS)
+LOGLOS = Numeric("log_los")
+COVARS = [EMERG, AGE, LOGLOS, GENDER]
+FULL = [TRI] + COVARS
+
+PROFILE = {"emergency": "yes", "age_group": "36-50", "log_los": 1.16, "gender": "Male"}
+
+
+def _tri_profiles(spark, extra=None):
+    rows = []
+    for lvl in L.SATISFACTION_TRI_LABELS:
+        r = {"overall_tri": lvl}
+        r.update(extra or {})
+        rows.append(r)
+    return profile_frame(spark, rows)
+
+
+def _score(df, beta, design, name="eta"):
+    eta = F.lit(0.0)
+    for b, e in zip(beta, design.exprs):
+        eta = eta + F.lit(float(b)) * e
+    return df.withColumn(name, eta)
+
+
+# ------------------------------------------------------------------- design
+
+_DM_SQL = (
+    "SELECT record, CASE WHEN overall_tri = 'Other' THEN 1.0 ELSE 0.0 END AS \"overall_triOther\", "
+    "CASE WHEN overall_tri = 'Very good' THEN 1.0 ELSE 0.0 END AS \"overall_triVery good\", "
+    "CASE WHEN emergency = 'yes' THEN 1.0 ELSE 0.0 END AS emergencyyes, "
+    "CASE WHEN age_group = '36-50' THEN 1.0 ELSE 0.0 END AS \"age_group36-50\", "
+    "CASE WHEN age_group = '51-65' THEN 1.0 ELSE 0.0 END AS \"age_group51-65\", "
+    "CASE WHEN age_group = '66+' THEN 1.0 ELSE 0.0 END AS \"age_group66+\", "
+    "round(log_los, 8) AS log_los, CASE WHEN gender = 'Male' THEN 1.0 ELSE 0.0 END AS \"genderMale\" "
+    "FROM d WHERE overall_tri IS NOT NULL AND emergency IS NOT NULL AND age_group IS NOT NULL "
+    "AND log_los IS NOT NULL AND gender IS NOT NULL")
+
+
+@query("design_matrix", sql=with_derived(_DM_SQL))
+def design_matrix(spark, sf_dir):
+    """Treatment-coded design of satisfaction + covariates for complete rows."""
+    d = derived(spark, sf_dir)
+    des = build_design(d, FULL, intercept=False)
+    out = design_frame(d, des, keep=["record"])
+    return rounded(out.select("record", *[F.col(f"x{i}").alias(n) for i, n in enumerate(des.names)]), 8)
+
+
+# ------------------------------------------------------------------ linear
+
+_LSF_SQL = """
+g AS (SELECT overall_tri, count(*) AS n, avg(CAST(reply_time AS DOUBLE)) AS mean,
+             sum((CAST(reply_time AS DOUBLE)) * (CAST(reply_time AS DOUBLE))) AS ss
+      FROM d WHERE overall_tri IS NOT NULL AND reply_time IS NOT NULL GROUP BY overall_tri),
+tot AS (SELECT sum(ss - n * mean * mean) / (sum(n) - count(*)) AS s2 FROM g),
+ref AS (SELECT n AS n0, mean AS m0 FROM g WHERE overall_tri = 'Excellent'),
+est AS (
+  SELECT '(Intercept)' AS term, m0 AS estimate, sqrt(s2 / n0) AS std_error FROM ref, tot
+  UNION ALL
+  SELECT 'overall_tri' || overall_tri, mean - m0, sqrt(s2 * (1.0 / n + 1.0 / n0)) FROM g, ref, tot
+  WHERE overall_tri <> 'Excellent'
+)"""
+
+
+@query("lm_single_factor", sql=with_derived(
+    "SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error, "
+    "round(estimate / std_error, 4) AS statistic FROM est", _LSF_SQL))
+def lm_single_factor(spark, sf_dir):
+    """OLS of reply time on satisfaction (equals the level means; SE from pooled variance)."""
+    fit = fit_lm(derived(spark, sf_dir), "reply_time", [TRI])
+    t = fit.table(spark)
+    return t.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"),
+                    F.round("statistic", 4).alias("statistic"))
+
+
+@query("lm_simple", sql=with_derived(
+    "SELECT round(regr_intercept(y, x), 6) AS intercept, round(regr_slope(y, x), 8) AS slope, "
+    "round(regr_r2(y, x), 8) AS r2, regr_count(y, x) AS n FROM "
+    "(SELECT CAST(overall_sat AS DOUBLE) AS y, CAST(reply_time AS DOUBLE) AS x FROM d WHERE reply_time > 0) s"))
+def lm_simple(spark, sf_dir):
+    """OLS of the rating code on reply time (subset reply time > 0)."""
+    d = derived(spark, sf_dir).where(F.col("reply_time") > 0)
+    fit = fit_lm(d, "overall_sat", [Numeric("reply_time")])
+    row = [(float(fit.beta[0]), float(fit.beta[1]), float(fit.r2), int(fit.n))]
+    out = spark.createDataFrame(row, "intercept double, slope double, r2 double, n long")
+    return out.select(F.round("intercept", 6).alias("intercept"), F.round("slope", 8).alias("slope"),
+                      F.round("r2", 8).alias("r2"), "n")
+
+
+@query("lm_multi")
+def lm_multi(spark, sf_dir):
+    """OLS of reply time on factor(score) + emergency + choice + age + log LOS + gender."""
+    d = derived(spark, sf_dir).withColumn("overall_score", R.satisfaction_score("overall_sat"))
+    fit = fit_lm(d, "reply_time", [Factor("overall_score", (0, 25, 50, 75, 100)), EMERG, CHOICE, AGE, LOGLOS,
+                                   GENDER])
+    return fit.table(spark)
+
+
+_LW_SQL = """
+src AS (SELECT CAST(overall_sat AS DOUBLE) AS y, CAST(reply_time AS DOUBLE) AS x, r.response_rate AS w
+        FROM d JOIN (SELECT trustcode, CAST(count(overall_sat) AS DOUBLE) / count(*) AS response_rate
+                     FROM d GROUP BY trustcode) r ON d.trustcode = r.trustcode
+        WHERE reply_time > 0 AND overall_sat IS NOT NULL),
+m AS (SELECT sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy,
+             count(*) AS n FROM src)"""
+
+
+@query("lm_weighted", sql=with_derived(
+    "SELECT round((sy - ((sw * sxy - sx * sy) / (sw * sxx - sx * sx)) * sx) / sw, 6) AS intercept, "
+    "round((sw * sxy - sx * sy) / (sw * sxx - sx * sx), 8) AS slope, n FROM m", _LW_SQL))
+def lm_weighted(spark, sf_dir):
+    """Rating code on reply time weighted by the trust response rate (joined first)."""
+    d = derived(spark, sf_dir)
+    d = attach_response_rate(d, response_rate_by_trust(d)).where(F.col("reply_time") > 0)
+    fit = fit_lm(d, "overall_sat", [Numeric("reply_time")], weights="response_rate")
+    out = spark.createDataFrame([(float(fit.beta[0]), float(fit.beta[1]), int(fit.n))],
+                                "intercept double, slope double, n long")
+    return out.select(F.round("intercept", 6).alias("intercept"), F.round("slope", 8).alias("slope"), "n")
+
+
+@query("coefficient_table")
+def coefficient_table(spark, sf_dir):
+    """Tidy table (estimate, SE, t, p) of log reply time on satisfaction."""
+    fit = fit_lm(derived(spark, sf_dir), "reply_time", [TRI], log_y=True)
+    return fit.table(spark)
+
+
+@query("factor_level_means", sql=with_derived(
+    "SELECT overall_tri, round(avg(CAST(reply_time AS DOUBLE)), 6) AS mean_time, "
+    "round(exp(avg(ln(CAST(reply_time AS DOUBLE)))), 6) AS geo_mean_time FROM d "
+    "WHERE overall_tri IS NOT NULL AND reply_time > 0 GROUP BY overall_tri"))
+def factor_level_means(spark, sf_dir):
+    """Intercept + effect per level, plain and exp of the log-time model."""
+    d = derived(spark, sf_dir).where(F.col("reply_time") > 0)
+    plain = fit_lm(d, "reply_time", [TRI])
+    logm = fit_lm(d, "reply_time", [TRI], log_y=True)
+    rows = []
+    for k, lvl in enumerate(TRI.levels):
+        b_plain = plain.beta[0] + (plain.beta[k] if k > 0 else 0.0)
+        b_log = logm.beta[0] + (logm.beta[k] if k > 0 else 0.0)
+        rows.append((lvl, round(float(b_plain), 6), round(float(np.exp(b_log)), 6)))
+    return spark.createDataFrame(rows, "overall_tri string, mean_time double, geo_mean_time double")
+
+
+@query("predict_linear")
+def predict_linear(spark, sf_dir):
+    """Predicted reply time of the full OLS at the study's profiles (scores 0..100)."""
+    d = derived(spark, sf_dir).withColumn("overall_score", R.satisfaction_score("overall_sat"))
+    fit = fit_lm(d, "reply_time", [Factor("overall_score", (0, 25, 50, 75, 100)), EMERG, CHOICE, AGE, LOGLOS,
+                                   GENDER])
+    prof = profile_frame(spark, [{"overall_score": s, "emergency": "yes", "choice": "No", "age_group": "36-50",
+                                  "log_los": 1.0, "gender": "Female"} for s in (0, 25, 50, 75, 100)])
+    return fit.predict(prof, "fit").select("overall_score", "fit")
+
+
+# ----------------------------------------------------------------- logistic
+
+@query("logit")
+def logit(spark, sf_dir):
+    """Logit of a late reply (> 14 days) on satisfaction and covariates."""
+    fit = fit_logit(derived(spark, sf_dir), "early", "Late", FULL + [CHOICE])
+    return fit.table(spark)
+
+
+_LOGIT1_SQL = """
+g AS (SELECT overall_tri, CAST(sum(CASE WHEN rep_mail = 'Repeated' THEN 1 ELSE 0 END) AS DOUBLE) AS s,
+             CAST(count(*) AS DOUBLE) AS m
+      FROM d WHERE overall_tri IS NOT NULL AND rep_mail IS NOT NULL GROUP BY overall_tri),
+ref AS (SELECT s AS s0, m AS m0 FROM g WHERE overall_tri = 'Excellent'),
+est AS (
+  SELECT '(Intercept)' AS term, ln(s0 / (m0 - s0)) AS estimate, sqrt(1.0 / s0 + 1.0 / (m0 - s0)) AS std_error FROM ref
+  UNION ALL
+  SELECT 'overall_tri' || overall_tri, ln(s / (m - s)) - ln(s0 / (m0 - s0)),
+         sqrt(1.0 / s + 1.0 / (m - s) + 1.0 / s0 + 1.0 / (m0 - s0)) FROM g, ref WHERE overall_tri <> 'Excellent'
+)"""
+
+
+@query("logit_single_factor", sql=with_derived(
+    "SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error FROM est", _LOGIT1_SQL))
+def logit_single_factor(spark, sf_dir):
+    """Logit of a repeated mailing on satisfaction (closed form: log-odds by level)."""
+    fit = fit_logit(derived(spark, sf_dir), "rep_mail", "Repeated", [TRI])
+    return fit.table(spark).select("term", F.round("estimate", 6).alias("estimate"),
+                                   F.round("std_error", 6).alias("std_error"))
+
+
+@query("odds_ratio_table")
+def odds_ratio_table(spark, sf_dir):
+    """exp(coefficients) of the late-reply logit with delta-method standard errors."""
+    fit = fit_logit(derived(spark, sf_dir), "early", "Late", FULL)
+    orr = np.exp(fit.beta)
+    rows = [(n, float(o), float(o * s)) for n, o, s in zip(fit.design.names, orr, fit.se)]
+    return spark.createDataFrame(rows, "term string, odds_ratio double, std_error double")
+
+
+@query("predict_probability", sql=with_derived(
+    "SELECT overall_tri, round(CAST(sum(CASE WHEN rep_mail = 'Repeated' THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 8) "
+    "AS probability FROM d WHERE overall_tri IS NOT NULL AND rep_mail IS NOT NULL GROUP BY overall_tri"))
+def predict_probability(spark, sf_dir):
+    """P(repeated mailing) by satisfaction from the one-factor logit (= group share)."""
+    fit = fit_logit(derived(spark, sf_dir), "rep_mail", "Repeated", [TRI])
+    prof = _tri_profiles(spark)
+    out = prof.withColumn("probability", inv_logit(fit.linear_score()))
+    return out.select("overall_tri", F.round("probability", 8).alias("probability"))
+
+
+@query("fitted_values")
+def fitted_values(spark, sf_dir):
+    """Fitted probability of a late reply for every training row."""
+    d = derived(spark, sf_dir)
+    fit = fit_logit(d, "early", "Late", FULL)
+    rows = complete_rows(d, fit.design, extra=["early"])
+    return rows.select("record", inv_logit(fit.linear_score()).alias("fitted"))
+
+
+# ------------------------------------------------------------ mixed models
+
+@query("random_intercept_lmm")
+def random_intercept_lmm(spark, sf_dir):
+    """REML fit of reply time ~ satisfaction + (1 | trust)."""
+    fit = fit_lmm(derived(spark, sf_dir), "reply_time", [TRI], "trustcode")
+    return fit.table(spark)
+
+
+@query("random_intercept_logit")
+def random_intercept_logit(spark, sf_dir):
+    """Laplace fit of later (vs first) reply ~ satisfaction + (1 | trust)."""
+    fit = fit_glmm_logit(derived(spark, sf_dir), "reply_strata2", "Later", [TRI], "trustcode")
+    return fit.table(spark)
+
+
+# ------------------------------------------------------------ survival fits
+
+def _aft(spark, sf_dir, terms, time="reply_time", data=None):
+    d = data if data is not None else derived(spark, sf_dir)
+    return A.fit_loglogistic(d, time, "event", terms, cluster="trustcode")
+
+
+@query("aft_loglogistic")
+def aft_loglogistic(spark, sf_dir):
+    """Log-logistic AFT of reply time on satisfaction, robust SE clustered by trust."""
+    return _aft(spark, sf_dir, [TRI]).table(spark)
+
+
+@query("aft_loglogistic_full")
+def aft_loglogistic_full(spark, sf_dir):
+    """Log-logistic AFT with satisfaction and covariates, robust SE by trust."""
+    return _aft(spark, sf_dir, FULL).table(spark)
+
+
+@query("cluster_sandwich")
+def cluster_sandwich(spark, sf_dir):
+    """Model-based vs cluster-robust standard errors of the log-logistic AFT."""
+    fit = _aft(spark, sf_dir, [TRI])
+    se_m = np.sqrt(np.diag(fit.cov))
+    se_r = np.sqrt(np.diag(fit.robust_cov))
+    rows = [(n, float(b), float(a), float(c)) for n, b, a, c in zip(fit.names, fit.theta, se_m, se_r)]
+    return spark.createDataFrame(rows, "term string, estimate double, se_model double, se_robust double")
+
+
+@query("aft_weibull")
+def aft_weibull(spark, sf_dir):
+    """Weibull AFT (MLlib) of reply time on satisfaction."""
+    des, model = A.fit_weibull(derived(spark, sf_dir), "reply_time", "event", [TRI])
+    rows = [("(Intercept)", float(model.intercept))]
+    rows += [(n, float(c)) for n, c in zip(des.names, model.coefficients.toArray())]
+    rows += [("Log(scale)", float(np.log(model.scale)))]
+    return spark.createDataFrame(rows, "term string, estimate double")
+
+
+@query("refit_without_trusts")
+def refit_without_trusts(spark, sf_dir):
+    """Full AFT with all trusts vs without two trusts: estimates side by side."""
+    d = derived(spark, sf_dir)
+    full = _aft(spark, sf_dir, FULL, data=d)
+    sub = _aft(spark, sf_dir, FULL, data=exclude_trusts(d, spark, ["T3", "T17"]))
+    rows = [(n, float(a), float(b), float(b - a)) for n, a, b in zip(full.names, full.theta, sub.theta)]
+    return spark.createDataFrame(rows, "term string, estimate_all double, estimate_subset double, difference double")
+
+
+@query("predict_aft")
+def predict_aft(spark, sf_dir):
+    """Predicted reply time exp(x'b) of the full AFT at the study's profiles."""
+    fit = _aft(spark, sf_dir, FULL)
+    prof = _tri_profiles(spark, PROFILE)
+    return prof.withColumn("predicted_time", F.exp(fit.linear_score())).select("overall_tri", "predicted_time")
+
+
+@query("loglogistic_hazard")
+def loglogistic_hazard(spark, sf_dir):
+    """Baseline log-logistic hazard (intercept-only fit) at every row's reply time."""
+    d = derived(spark, sf_dir)
+    fit = A.fit_loglogistic(d, "reply_time", "event", [])
+    lam = float(np.exp(-fit.beta[0]))
+    rows = d.where(F.col("reply_time").isNotNull())
+    return rows.select("record", "reply_time",
+                       A.loglogistic_hazard(F.col("reply_time"), lam, 1.0 / fit.scale).alias("hazard"),
+                       A.loglogistic_hazard(F.col("reply_time"), lam, fit.scale, form="source").alias("hazard_source"))
+
+
+@query("cox_ph")
+def cox_ph(spark, sf_dir):
+    """Cox model (Efron ties) of reply on satisfaction."""
+    fit = CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", [TRI])
+    return fit.table(spark)
+
+
+@query("cox_zph")
+def cox_zph(spark, sf_dir):
+    """Proportional-hazards check (scaled Schoenfeld residuals against time)."""
+    d = derived(spark, sf_dir)
+    fit = CX.fit_cox(d, "reply_time", "event", [TRI])
+    return CX.schoenfeld_test(d, fit, "reply_time", "event", spark)
+
+
+@query("predict_cox_risk")
+def predict_cox_risk(spark, sf_dir):
+    """Relative risk exp((x - mean)'b) per satisfaction level."""
+    fit = CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", [TRI])
+    return _tri_profiles(spark).withColumn("risk", CX.risk_score(fit)).select("overall_tri", "risk")
+
+
+@query("cox_survival_curve")
+def cox_survival_curve(spark, sf_dir):
+    """S(t | satisfaction) = exp(-H0(t) * risk) per level, H0 the Efron baseline."""
+    d = derived(spark, sf_dir)
+    fit = CX.fit_cox(d, "reply_time", "event", [TRI])
+    h0 = CX.baseline_hazard(d, fit, "reply_time", "event")
+    risks = _tri_profiles(spark).withColumn("risk", CX.risk_score(fit)).select("overall_tri", "risk")
+    # three profile rows: attached to each time as a literal array, no join
+    rr = {r["overall_tri"]: float(r["risk"]) for r in risks.collect()}
+    arr = F.array(*[F.struct(F.lit(k).alias("overall_tri"), F.lit(v).alias("risk")) for k, v in rr.items()])
+    out = h0.select("time", "cumhaz", F.explode(arr).alias("p"))
+    return out.select("p.overall_tri", "time", F.exp(-F.col("cumhaz") * F.col("p.risk")).alias("surv"))
+
+
+# ------------------------------------------------------------------ ordinal
+
+TRI_ORD = L.SATISFACTION_TRI_ORDERED
+
+
+@query("ordinal_logit")
+def ordinal_logit(spark, sf_dir):
+    """Proportional odds of satisfaction (Other < Very good < Excellent) on reply time + covariates."""
+    fit = fit_polr(derived(spark, sf_dir), "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
+    return fit.table(spark)
+
+
+@query("ordinal_logit_intercepts", sql=with_derived(
+    "SELECT term, round(ln(c / (1.0 - c)), 6) AS estimate FROM ("
+    "SELECT 'Other|Very good' AS term, CAST(sum(CASE WHEN overall_tri = 'Other' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS c "
+    "FROM d WHERE overall_tri IS NOT NULL UNION ALL "
+    "SELECT 'Very good|Excellent', CAST(sum(CASE WHEN overall_tri IN ('Other', 'Very good') THEN 1 ELSE 0 END) AS DOUBLE) / count(*) "
+    "FROM d WHERE overall_tri IS NOT NULL) x"))
+def ordinal_logit_intercepts(spark, sf_dir):
+    """Intercept-only proportional odds: thresholds equal the cumulative logits."""
+    fit = fit_polr(derived(spark, sf_dir), "overall_tri", TRI_ORD, [])
+    return fit.table(spark).select("term", F.round("estimate", 6).alias("estimate"))
+
+
+_SCALES = {"overall_tri": TRI_ORD, "clean_tri": L.CLEAN_TRI_ORDERED, "doc_conf": L.CONFIDENCE_ORDERED,
+           "nurse_conf": L.CONFIDENCE_ORDERED, "call_but": L.CALL_BUTTON_ORDERED}
+
+
+@query("ordinal_logit_scales")
+def ordinal_logit_scales(spark, sf_dir):
+    """Proportional odds of five ordered answers on the mailing stratum + covariates."""
+    d = with_ordered_outcomes(derived(spark, sf_dir))
+    out = None
+    for resp, lv in _SCALES.items():
+        t = fit_polr(d, resp, lv, [STRATA] + COVARS).table(spark).withColumn("response", F.lit(resp))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("predict_ordinal")
+def predict_ordinal(spark, sf_dir):
+    """Class probabilities and most likely level by mailing stratum at the study's profile."""
+    fit = fit_polr(derived(spark, sf_dir), "overall_tri", TRI_ORD, [STRATA] + COVARS)
+    prof = profile_frame(spark, [dict(reply_strata=s, **PROFILE) for s in L.STRATA_LEVELS])
+    return fit.class_probabilities(prof).select("reply_strata", "p_1", "p_2", "p_3", "predicted")
+
+
+@query("effect_profile")
+def effect_profile(spark, sf_dir):
+    """Class probabilities over a grid of reply times, other design columns at their means."""
+    d = derived(spark, sf_dir)
+    fit = fit_polr(d, "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
+    rows = complete_rows(d, fit.design, extra=["overall_tri"])
+    stats = rows.agg(F.min("reply_time").alias("lo"), F.max("reply_time").alias("hi"),
+                     *[F.avg(e).alias(f"m{i}") for i, e in enumerate(fit.design.exprs)]).first()
+    means = np.array([stats[f"m{i}"] for i in range(fit.design.p)])
+    other = float(fit.beta[1:] @ means[1:])
+    grid = spark.range(20).select(
+        (F.lit(float(stats["lo"])) + F.col("id").cast("double") * F.lit((stats["hi"] - stats["lo"]) / 19.0))
+        .alias("reply_time"))
+    eta = F.lit(float(fit.beta[0])) * F.col("reply_time") + F.lit(other)
+    cdf = [F.lit(0.0)] + [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(z)) - eta))) for z in fit.zeta] \
+        + [F.lit(1.0)]
+    return grid.select("reply_time", *[(cdf[k + 1] - cdf[k]).alias(f"p_{lv.replace(' ', '_')}")
+                                       for k, lv in enumerate(TRI_ORD)])
+
+
+# --------------------------------------------------------------------- trees
+
+def _tree_frame(spark, sf_dir):
+    d = derived(spark, sf_dir)
+    des = build_design(d, [AGE, GENDER, Numeric("los"), Numeric("overall_sat")], intercept=False)
+    rows = complete_rows(d, des, extra=["reply_time"])
+    return des, rows.select("record", "reply_time", "q74",
+                            *[e.alias(f"x{i}") for i, e in enumerate(des.exprs)])
+
+
+@query("regression_tree")
+def regression_tree(spark, sf_dir):
+    """Regression tree (variance reduction) of reply time; fitted value per row."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import DecisionTreeRegressor
+    des, mf = _tree_frame(spark, sf_dir)
+    vec = VectorAssembler(inputCols=[f"x{i}" for i in range(des.p)], outputCol="features").transform(
+        mf.withColumn("label", F.col("reply_time").cast("double")))
+    model = DecisionTreeRegressor(maxDepth=5, minInstancesPerNode=20, seed=7).fit(vec)
+    return model.transform(vec).select("record", F.col("prediction").alias("fitted"))
+
+
+@query("classification_tree")
+def classification_tree(spark, sf_dir):
+    """Classification tree of the rating label on reply time, age, LOS and gender."""
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.classification import DecisionTreeClassifier
+    d = derived(spark, sf_dir)
+    des = build_design(d, [Numeric("reply_time"), AGE, Numeric("los"), GENDER], intercept=False)
+    rows = complete_rows(d, des, extra=["q74"]).select(
+        "record", "q74", *[e.alias(f"x{i}") for i, e in enumerate(des.exprs)])
+    indexer = StringIndexer(inputCol="q74", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
+    vec = VectorAssembler(inputCols=[f"x{i}" for i in range(des.p)], outputCol="features").transform(
+        indexer.transform(rows))
+    model = DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=20, seed=7).fit(vec)
+    lv = F.array(*[F.lit(x) for x in indexer.labels])
+    return model.transform(vec).select("record", "q74",
+                                       F.element_at(lv, F.col("prediction").cast("int") + 1).alias("predicted"))
