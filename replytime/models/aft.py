@@ -97,6 +97,10 @@ def _score_columns(beta, tau: float, p: int):
 
 def _newton_pieces(coll: DataFrame, beta, tau: float, p: int, w: Column):
     z, dl, d2l, ll, sigma = _row_terms(beta, tau, p)
+    # per-row pieces once, in a projection below the aggregate
+    coll = coll.select(w.alias("w"), "event", *[F.col(f"x{j}") for j in range(p)], z.alias("z"),
+                       dl.alias("dl"), d2l.alias("d2l"), ll.alias("ll"))
+    z, dl, d2l, ll, w = (F.col(c) for c in ("z", "dl", "d2l", "ll", "w"))
     ev = F.col("event") == 1
     x = [F.col(f"x{j}") for j in range(p)]
     exprs = [F.sum(w * (-dl) * x[j]) / F.lit(sigma) for j in range(p)]
@@ -151,16 +155,17 @@ def fit_loglogistic(df: DataFrame, time: str, event: str, terms, cluster: str |
         step = -solve_sym(h, g)
         theta = np.append(beta, tau)
         lam = 1.0
+        # full Newton step first (the same job returns the next gradient and
+        # Hessian); halve only when the likelihood drops
         for _ in range(30):
             cand = theta + lam * step
-            ll_new = _loglik_only(coll, cand[:p], float(cand[p]), p, w)
+            g_new, h_new, ll_new = _newton_pieces(coll, cand[:p], float(cand[p]), p, w)
             if np.isfinite(ll_new) and ll_new >= ll - 1e-12:
                 break
             lam /= 2.0
         beta, tau = cand[:p], float(cand[p])
-        g, h, ll_next = _newton_pieces(coll, beta, tau, p, w)
-        done = abs(ll_next - ll) < tol * (abs(ll) + 1.0) and np.max(np.abs(lam * step)) < 1e-7
-        ll = ll_next
+        done = abs(ll_new - ll) < tol * (abs(ll) + 1.0) and np.max(np.abs(lam * step)) < 1e-7
+        g, h, ll = g_new, h_new, ll_new
         if done:
             break
     cov = inv_sym(-h)

@@ -62,13 +62,15 @@ def binomial_newton(coll: DataFrame, p: int, s: Column, m: Column, offset: Colum
     for it in range(1, max_iter + 1):
         eta = linear_predictor(beta, p, offset)
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-        wv = m * mu * (F.lit(1.0) - mu)
-        r = s - m * mu
         x = [F.col(f"x{i}") for i in range(p)]
+        # per-row weight, residual and log-likelihood once, below the aggregate
+        base = coll.select(*x, (m * mu * (F.lit(1.0) - mu)).alias("_w"), (s - m * mu).alias("_r"),
+                           (s * eta - m * _softplus(eta)).alias("_ll"))
+        wv, r = F.col("_w"), F.col("_r")
         exprs = [F.sum(r * x[i]) for i in range(p)]
         exprs += [F.sum(wv * x[i] * x[j]) for i, j in pairs]
-        exprs += [F.sum(s * eta - m * _softplus(eta))]
-        v = agg_vector(coll, exprs)
+        exprs += [F.sum("_ll")]
+        v = agg_vector(base, exprs)
         g = v[:p]
         h = sym_from_upper(v[p:p + len(pairs)], p)
         loglik = v[-1]

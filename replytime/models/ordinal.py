@@ -83,6 +83,11 @@ def _pieces(coll: DataFrame, beta, zeta, p: int, k_levels: int, want_hess: bool
     fpa = fa * (F.lit(1.0) - F.lit(2.0) * fa_cdf)
     fpb = fb * (F.lit(1.0) - F.lit(2.0) * fb_cdf)
     pr = fa_cdf - fb_cdf
+    # per-row pieces computed once in a projection; the aggregate then only
+    # combines columns (small generated code, no re-evaluation per entry)
+    coll = coll.select("w", "k", *[F.col(f"x{j}") for j in range(p)], fa.alias("fa"), fb.alias("fb"),
+                       fpa.alias("fpa"), fpb.alias("fpb"), pr.alias("pr"))
+    fa, fb, fpa, fpb, pr = (F.col(c) for c in ("fa", "fb", "fpa", "fpb", "pr"))
     w = F.col("w")
     x = [F.col(f"x{j}") for j in range(p)]
     g_ = fa - fb
@@ -140,18 +145,19 @@ def fit_polr(df: DataFrame, y: str, levels, terms, design: Design | None = None,
         step = -solve_sym(h, g)
         theta = np.append(beta, zeta)
         lam = 1.0
+        # full Newton step first (one job gives the next gradient and Hessian too);
+        # halve only when the likelihood drops or the thresholds cross
         for _ in range(30):
             cand = theta + lam * step
             zc = cand[p:]
             if np.all(np.diff(zc) > 0):
-                _, _, ll_new = _pieces(coll, cand[:p], zc, p, kk, want_hess=False)
+                g_new, h_new, ll_new = _pieces(coll, cand[:p], zc, p, kk)
                 if np.isfinite(ll_new) and ll_new >= ll - 1e-12:
                     break
             lam /= 2.0
         beta, zeta = cand[:p], cand[p:]
-        g, h, ll_next = _pieces(coll, beta, zeta, p, kk)
-        done = abs(ll_next - ll) < tol * (abs(ll) + 1.0) and np.max(np.abs(lam * step)) < 1e-7
-        ll = ll_next
+        done = abs(ll_new - ll) < tol * (abs(ll) + 1.0) and np.max(np.abs(lam * step)) < 1e-7
+        g, h, ll = g_new, h_new, ll_new
         if done:
             break
     n = int(cnt.sum())
