@@ -60,13 +60,19 @@ def censor_scalars(df: DataFrame, rating_col: str = "q74", rating_levels=L.RATIN
     return stats.scalar()
 
 
-def per_trust_max_date(df: DataFrame, key: str = "trustcode") -> DataFrame:
-    """Last received date per trust (one row per trust)."""
-    return df.groupBy(key).agg(F.max("date_rec").alias("max_date"))
+def group_scalars(df: DataFrame, keys, rating_col: str = "q74", rating_levels=L.RATING_LEVELS) -> DataFrame:
+    """Per group (e.g. per wave or per trust): last received date and used rating levels.
+
+    One row per group; joined back by key (the table is as small as the number
+    of groups, so the planner broadcasts it; a hot group is no problem because
+    the aggregate is combined map-side before the shuffle).
+    """
+    return df.groupBy(*keys).agg(F.max("date_rec").alias("max_date"),
+                                 used_levels_expr(rating_col, rating_levels).alias("rating_levels"))
 
 
-def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by_trust: bool = False,
-                floor_los: bool = True) -> DataFrame:
+def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by=None, floor_los: bool = True,
+                censor_by_trust: bool = False) -> DataFrame:
     """Analysis table of one wave (2009 rules).
 
     Columns added: ``date_rec, mail1..3, overall_sat, max_date, new_outcome,
@@ -79,14 +85,16 @@ def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by_trust: bool =
       received date for non-returns; NULL unless strictly positive.
     * ``reply_time1..3``: days since the mailing that produced the reply;
       only returned rows have one, so they carry no censored rows.
-    * ``censor_by_trust``: censor non-returns at their trust's last date
-      instead of the overall last date (a grouped aggregate joined back).
+    * ``censor_by``: group keys whose own last received date censors their
+      non-returns (``("wave",)`` for several waves in one table,
+      ``("trustcode",)`` for the per-trust variant); the rating levels are
+      then also taken per group.  Default: the whole table (scalar subquery).
     """
     d = with_dates(raw)
-    if censor_by_trust:
-        s = censor_scalars(d, rating_col)
-        mt = per_trust_max_date(d)
-        d = d.join(mt, "trustcode", "left").withColumn("rating_levels", s.getField("rating_levels"))
+    if censor_by_trust and not censor_by:
+        censor_by = ("trustcode",)
+    if censor_by:
+        d = d.join(group_scalars(d, list(censor_by), rating_col), list(censor_by), "left")
     else:
         s = censor_scalars(d, rating_col)
         d = d.withColumns({"max_date": s.getField("max_date"),

@@ -473,3 +473,63 @@ def classification_tree(spark, sf_dir):
     lv = F.array(*[F.lit(x) for x in indexer.labels])
     return model.transform(vec).select("record", "q74",
                                        F.element_at(lv, F.col("prediction").cast("int") + 1).alias("predicted"))
+
+
+# --------------------------------------------------------- variants by group
+
+@query("lm_by_wave", sql=with_derived(
+    "SELECT w.wave, round(regr_intercept(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)), 6) AS intercept, "
+    "round(regr_slope(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)), 8) AS slope, "
+    "regr_count(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)) AS n "
+    "FROM d, (VALUES (2006), (2007), (2008), (2009)) w(wave) WHERE reply_time > 0 GROUP BY w.wave"))
+def lm_by_wave(spark, sf_dir):
+    """Rating on reply time in each of four waves: one grouped pass (regr_* aggregates).
+
+    Waves are unioned by name, derived with per-wave censoring, and the
+    per-wave least-squares line comes from ``groupBy(wave)``.
+    """
+    from ..operators.derive import derive_wave
+    from ..sources import scan
+    from .common import raw
+    base = raw(spark, sf_dir)
+    u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
+    d = derive_wave(u, censor_by=("wave",)).where(F.col("reply_time") > 0)
+    y, x = F.col("overall_sat").cast("double"), F.col("reply_time").cast("double")
+    return d.groupBy("wave").agg(F.round(F.regr_intercept(y, x), 6).alias("intercept"),
+                                 F.round(F.regr_slope(y, x), 8).alias("slope"),
+                                 F.regr_count(y, x).alias("n"))
+
+
+@query("aft_loglogistic_by_mailing")
+def aft_loglogistic_by_mailing(spark, sf_dir):
+    """Log-logistic AFT of the time since each mailing (replies to that mailing only)."""
+    d = derived(spark, sf_dir)
+    out = None
+    for k in (1, 2, 3):
+        t = _aft(spark, sf_dir, [TRI], time=f"reply_time{k}", data=d).table(spark).withColumn(
+            "mailing", F.lit(k))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@query("random_intercept_lmm_full")
+def random_intercept_lmm_full(spark, sf_dir):
+    """REML: reply time ~ satisfaction + covariates + choice + (1 | trust)."""
+    return fit_lmm(derived(spark, sf_dir), "reply_time", FULL + [CHOICE], "trustcode").table(spark)
+
+
+@query("random_intercept_lmm_log")
+def random_intercept_lmm_log(spark, sf_dir):
+    """REML: log reply time ~ satisfaction + (1 | trust)."""
+    return fit_lmm(derived(spark, sf_dir), "reply_time", [TRI], "trustcode", log_y=True).table(spark)
+
+
+@query("lm_log_by_mailing")
+def lm_log_by_mailing(spark, sf_dir):
+    """OLS of log time since each mailing on satisfaction and covariates."""
+    d = derived(spark, sf_dir)
+    out = None
+    for k in (1, 2, 3):
+        t = fit_lm(d, f"reply_time{k}", FULL + [CHOICE], log_y=True).table(spark).withColumn("mailing", F.lit(k))
+        out = t if out is None else out.unionByName(t)
+    return out

@@ -238,3 +238,15 @@ def time_range(spark, sf_dir):
     d = derived(spark, sf_dir).select(
         "record", R.relabel("reply_strata", _MAIL_MAP).alias("mailing"), reply_time_coalesced().alias("rep_time"))
     return FL.time_range(d, "rep_time", 0, 40)
+
+
+@query("censor_date_by_trust", sql=with_derived(
+    "SELECT d.record, d.trustcode, d.new_outcome, t.max_date, "
+    "CASE WHEN d.new_outcome IS NULL THEN NULL WHEN d.new_outcome = 'Not returned' THEN t.max_date "
+    "ELSE d.date_rec END AS new_date_rec FROM d JOIN "
+    "(SELECT trustcode, max(date_rec) AS max_date FROM d GROUP BY trustcode) t ON d.trustcode = t.trustcode"))
+def censor_date_by_trust(spark, sf_dir):
+    """Non-returns censored at their own trust's last received date."""
+    from ..operators.derive import derive_wave
+    d = derive_wave(raw(spark, sf_dir), censor_by=("trustcode",))
+    return d.select("record", "trustcode", "new_outcome", "max_date", "new_date_rec")
