@@ -40,4 +40,4 @@ def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
 
 
 def load_all() -> None:
-    from . import q_sources, q_projections, q_aggregates, q_survival, q_models  # noqa: F401
+    from . import q_sources, q_projections, q_aggregates, q_survival, q_models, q_streaming  # noqa: F401

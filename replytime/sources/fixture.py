@@ -117,14 +117,21 @@ def inpatient(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Dat
                                   read_table(spark, sf_dir, "customer"))
     if not materialize:
         return built
-    from .scan import SURVEY_SCHEMA, scratch_path
+    from .scan import SURVEY_SCHEMA
+    return spark.read.schema(SURVEY_SCHEMA).parquet(inpatient_path(spark, sf_dir))
+
+
+def inpatient_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the written stand-in wave (written on first use in this session)."""
+    from .scan import scratch_path
     key = (spark.sparkContext.applicationId, sf_dir)
     path = _WRITTEN.get(key)
     if path is None:
+        built = inpatient_from_tables(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
         path = scratch_path(spark, "inpatient")
         built.write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
-    return spark.read.schema(SURVEY_SCHEMA).parquet(path)
+    return path
 
 
 def _sql_pick(idx: str, labels) -> str:
