@@ -124,7 +124,7 @@ def _pieces(coll: DataFrame, beta, zeta, p: int, k_levels: int, want_hess: bool
     return g, h, float(v[-1])
 
 
-def fit_polr(df: DataFrame, y: str, levels, terms, design: Design | None = None, tol: float = 1e-9,
+def fit_ordinal(df: DataFrame, y: str, levels, terms, design: Design | None = None, tol: float = 1e-9,
              max_iter: int = 60) -> OrdinalFit:
     """Proportional-odds logistic regression of the ordered response ``y``."""
     design = design or build_design(df, terms, intercept=False)

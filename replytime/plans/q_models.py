@@ -20,7 +20,7 @@ from ..models.glm import fit_logit
 from ..models.glmm import fit_glmm_logit
 from ..models.lm import fit_lm
 from ..models.lmm import fit_lmm
-from ..models.ordinal import fit_polr
+from ..models.ordinal import fit_ordinal
 from ..operators.derive import with_ordered_outcomes
 from ..operators.filters import exclude_trusts
 from ..operators.joins import attach_response_rate, response_rate_by_trust
@@ -376,7 +376,7 @@ TRI_ORD = L.SATISFACTION_TRI_ORDERED
 @query("ordinal_logit")
 def ordinal_logit(spark, sf_dir):
     """Proportional odds of satisfaction (Other < Very good < Excellent) on reply time + covariates."""
-    fit = fit_polr(derived(spark, sf_dir), "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
+    fit = fit_ordinal(derived(spark, sf_dir), "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
     return fit.table(spark)
 
 
@@ -388,7 +388,7 @@ def ordinal_logit(spark, sf_dir):
     "FROM d WHERE overall_tri IS NOT NULL) x"))
 def ordinal_logit_intercepts(spark, sf_dir):
     """Intercept-only proportional odds: thresholds equal the cumulative logits."""
-    fit = fit_polr(derived(spark, sf_dir), "overall_tri", TRI_ORD, [])
+    fit = fit_ordinal(derived(spark, sf_dir), "overall_tri", TRI_ORD, [])
     return fit.table(spark).select("term", F.round("estimate", 6).alias("estimate"))
 
 
@@ -402,7 +402,7 @@ def ordinal_logit_scales(spark, sf_dir):
     d = with_ordered_outcomes(derived(spark, sf_dir))
     out = None
     for resp, lv in _SCALES.items():
-        t = fit_polr(d, resp, lv, [STRATA] + COVARS).table(spark).withColumn("response", F.lit(resp))
+        t = fit_ordinal(d, resp, lv, [STRATA] + COVARS).table(spark).withColumn("response", F.lit(resp))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -410,7 +410,7 @@ def ordinal_logit_scales(spark, sf_dir):
 @query("predict_ordinal")
 def predict_ordinal(spark, sf_dir):
     """Class probabilities and most likely level by mailing stratum at the study's profile."""
-    fit = fit_polr(derived(spark, sf_dir), "overall_tri", TRI_ORD, [STRATA] + COVARS)
+    fit = fit_ordinal(derived(spark, sf_dir), "overall_tri", TRI_ORD, [STRATA] + COVARS)
     prof = profile_frame(spark, [dict(reply_strata=s, **PROFILE) for s in L.STRATA_LEVELS])
     return fit.class_probabilities(prof).select("reply_strata", "p_1", "p_2", "p_3", "predicted")
 
@@ -419,7 +419,7 @@ def predict_ordinal(spark, sf_dir):
 def effect_profile(spark, sf_dir):
     """Class probabilities over a grid of reply times, other design columns at their means."""
     d = derived(spark, sf_dir)
-    fit = fit_polr(d, "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
+    fit = fit_ordinal(d, "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
     rows = complete_rows(d, fit.design, extra=["overall_tri"])
     stats = rows.agg(F.min("reply_time").alias("lo"), F.max("reply_time").alias("hi"),
                      *[F.avg(e).alias(f"m{i}") for i, e in enumerate(fit.design.exprs)]).first()

@@ -13,7 +13,7 @@ from replytime.models.glm import fit_logit
 from replytime.models.glmm import fit_glmm_logit
 from replytime.models.lm import fit_lm, model_frame
 from replytime.models.lmm import fit_lmm
-from replytime.models.ordinal import fit_polr
+from replytime.models.ordinal import fit_ordinal
 from replytime.models.suffstats import agg_vector, collapse
 from replytime.plans.q_models import COVARS, FULL, TRI, TRI_ORD
 
@@ -91,10 +91,10 @@ def test_efron_closed_form_matches_direct():
         assert abs(a - b) <= 1e-8 * max(1.0, abs(a))
 
 
-def test_polr_score_zero_and_intercepts(spark, derived001):
-    fit = fit_polr(derived001, "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
+def test_ordinal_score_zero_and_intercepts(spark, derived001):
+    fit = fit_ordinal(derived001, "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
     assert np.all(np.diff(fit.zeta) > 0)
-    null = fit_polr(derived001, "overall_tri", TRI_ORD, [])
+    null = fit_ordinal(derived001, "overall_tri", TRI_ORD, [])
     cnt = {r.overall_tri: r["count"] for r in derived001.where(F.col("overall_tri").isNotNull())
            .groupBy("overall_tri").count().collect()}
     n = sum(cnt.values())
