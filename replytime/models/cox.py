@@ -189,7 +189,10 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
         ll, u, info = ll_new, u_new, info_new
         if done:
             break
-    return CoxFit(design, beta, inv_sym(info), ll, ll0, n, n_ev, it, means)
+    fit = CoxFit(design, beta, inv_sym(info), ll, ll0, n, n_ev, it, means)
+    if cluster:
+        fit.robust_cov = robust_cov(df, fit, time, event, cluster)
+    return fit
 
 
 def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark) -> DataFrame:
@@ -249,3 +252,53 @@ def risk_score(fit: CoxFit) -> Column:
     for b, e, m in zip(fit.beta, fit.design.exprs, fit.means):
         eta = eta + F.lit(float(b)) * (e - F.lit(float(m)))
     return F.exp(eta)
+
+
+def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str) -> np.ndarray:
+    """Cluster-robust covariance I^-1 (sum_c U_c U_c') I^-1 from Efron score residuals.
+
+    Score residual of subject i (x centred, r = exp(x'b)):
+        U_i = delta_i [x_i - (S1 A0 - e1 A1)/d](T_i) - r_i [x_i H(T_i-) - G(T_i-)] - r_i c_i(T_i)
+    with H(t-) = sum_{s < t} A0(s), G(t-) = sum_{s < t} (S1 B0 - e1 B1)(s), and at T_i
+    c_i = x_i (A0 - A1) - (S1 (B0 - B1) - e1 (B1 - B2)) for a death (Efron weights 1 - l/d),
+    c_i = x_i A0 - (S1 B0 - e1 B1) for a censoring.  The per-time quantities and their
+    running sums live in the small per-time table, joined to rows collapsed by
+    (cluster, pattern, time); ``groupBy(cluster)`` sums the residuals (partial
+    aggregation first) and one more aggregate forms the outer products.
+    """
+    p = fit.design.p
+    frame = cox_frame(df, fit.design, time, event, keep=[cluster])
+    coll = collapse(frame, [cluster] + [f"x{i}" for i in range(p)] + ["time"],
+                    {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")})
+    cc = coll.select(cluster, *[(F.col(f"x{j}") - F.lit(float(fit.means[j]))).alias(f"x{j}") for j in range(p)],
+                     "time", "n_at", "n_ev")
+    pt = per_time_table(cc.drop(cluster), fit.beta, p)
+    A0, A1 = F.col("ef.A0"), F.col("ef.A1")
+    B0, B1, B2 = F.col("ef.B0"), F.col("ef.B1"), F.col("ef.B2")
+    d = F.col("d")
+    cols = {"A0": A0, "A1": A1, "dA": A0 - A1}
+    for j in range(p):
+        s1, e1 = F.col(f"S1_{j}"), F.col(f"e1_{j}")
+        cols[f"xbar_{j}"] = F.when(d > 0, (s1 * A0 - e1 * A1) / d).otherwise(F.lit(0.0))
+        cols[f"g_{j}"] = s1 * B0 - e1 * B1
+        cols[f"gd_{j}"] = s1 * (B0 - B1) - e1 * (B1 - B2)
+    pt = pt.select("time", *[v.alias(k) for k, v in cols.items()])
+    w = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    cum = {"H": F.coalesce(F.sum("A0").over(w), F.lit(0.0))}
+    cum.update({f"G_{j}": F.coalesce(F.sum(f"g_{j}").over(w), F.lit(0.0)) for j in range(p)})
+    pt = pt.withColumns(cum)
+    rows = cc.join(pt, "time")
+    eta = linear_predictor(fit.beta, p)
+    r = F.exp(eta)
+    ne, nc = F.col("n_ev"), F.col("n_at") - F.col("n_ev")
+    u = []
+    for j in range(p):
+        x = F.col(f"x{j}")
+        prior = x * F.col("H") - F.col(f"G_{j}")
+        death = (x - F.col(f"xbar_{j}")) - r * (prior + x * F.col("dA") - F.col(f"gd_{j}"))
+        cens = -r * (prior + x * F.col("A0") - F.col(f"g_{j}"))
+        u.append(ne * death + nc * cens)
+    per = rows.groupBy(cluster).agg(*[F.sum(e).alias(f"u{k}") for k, e in enumerate(u)])
+    uu = [F.col(f"u{k}") for k in range(p)]
+    meat = sym_from_upper(agg_vector(per, [F.sum(uu[a] * uu[b]) for a, b in upper_pairs(p)]), p)
+    return fit.cov @ meat @ fit.cov

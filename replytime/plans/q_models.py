@@ -334,9 +334,9 @@ def loglogistic_hazard(spark, sf_dir):
 
 @query("cox_ph")
 def cox_ph(spark, sf_dir):
-    """Cox model (Efron ties) of reply on satisfaction."""
-    fit = CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", [TRI])
-    return fit.table(spark)
+    """Cox model (Efron ties) of reply on satisfaction, robust SE clustered by trust."""
+    fit = CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", [TRI], cluster="trustcode")
+    return fit.table(spark, robust=True)
 
 
 @query("cox_zph")

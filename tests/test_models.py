@@ -133,3 +133,17 @@ def test_design_treatment_coding(spark, derived001):
     assert des.names == ["age_group36-50", "age_group51-65", "age_group66+"]
     row = design_frame(derived001.where(F.col("age_group") == "16-35"), des).first()
     assert tuple(row) == (0.0, 0.0, 0.0)
+
+
+def test_score_residuals_sum_to_zero(spark, derived001):
+    """With one cluster the sandwich meat is U U' with U the total score: ~0 at the fit."""
+    one = derived001.withColumn("all", F.lit("x"))
+    cox = CX.fit_cox(one, "reply_time", "event", [TRI], cluster="all")
+    assert np.max(np.abs(cox.robust_cov)) < 1e-12
+    aft = fit_loglogistic(one, "reply_time", "event", [TRI], cluster="all")
+    assert np.max(np.abs(aft.robust_cov)) < 1e-10
+    # one row per cluster: close to the model-based variance
+    per_row = derived001.withColumn("rid", F.col("record").cast("string"))
+    cox2 = CX.fit_cox(per_row, "reply_time", "event", [TRI], cluster="rid")
+    ratio = np.sqrt(np.diag(cox2.robust_cov)) / cox2.se
+    assert np.all((ratio > 0.7) & (ratio < 1.4))
