@@ -24,7 +24,7 @@ from ..levels import RETURNED_LABEL
 from ..sources.scan import SURVEY_SCHEMA
 
 
-def returns_stream(spark: SparkSession, source: str, max_files_per_trigger: int = 2) -> DataFrame:
+def returns_stream(spark: SparkSession, source: str, max_files_per_trigger: int = 4) -> DataFrame:
     """Streaming DataFrame of questionnaire rows arriving as Parquet files in ``source``."""
     return (spark.readStream.schema(SURVEY_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
             .parquet(source))
@@ -33,15 +33,18 @@ def returns_stream(spark: SparkSession, source: str, max_files_per_trigger: int
 def daily_returns(rows: DataFrame, watermark: str = "365 days") -> DataFrame:
     """Running count of usable returns per trust and received day (event-time windows)."""
     ret = rows.where((F.col("outcome") == RETURNED_LABEL) & F.col("daterec").isNotNull())
-    ret = ret.select("trustcode", spss_to_date("daterec").cast("timestamp").alias("received_ts"))
+    # event time = midnight (UTC) of the received day; independent of the session time zone
+    day_ts = F.timestamp_seconds(F.unix_date(spss_to_date("daterec")).cast("long") * F.lit(86400))
+    ret = ret.select("trustcode", day_ts.alias("received_ts"))
     return (ret.withWatermark("received_ts", watermark)
-            .groupBy("trustcode", F.window("received_ts", "1 day").alias("w"))
+            .groupBy("trustcode", "received_ts")
             .agg(F.count(F.lit(1)).alias("returns"))
-            .select("trustcode", F.col("w.start").cast("date").alias("day"), "returns"))
+            .select("trustcode", F.date_from_unix_date(
+                F.floor(F.unix_seconds("received_ts") / F.lit(86400)).cast("int")).alias("day"), "returns"))
 
 
 def run_daily_returns(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                      watermark: str = "365 days", max_files_per_trigger: int = 2) -> None:
+                      watermark: str = "365 days", max_files_per_trigger: int = 4) -> None:
     """Process every file now in ``source`` (availableNow trigger) and stop."""
     agg = daily_returns(returns_stream(spark, source, max_files_per_trigger), watermark)
 
