@@ -147,3 +147,74 @@ def test_score_residuals_sum_to_zero(spark, derived001):
     cox2 = CX.fit_cox(per_row, "reply_time", "event", [TRI], cluster="rid")
     ratio = np.sqrt(np.diag(cox2.robust_cov)) / cox2.se
     assert np.all((ratio > 0.7) & (ratio < 1.4))
+
+
+def _fd_check(fn, theta, h=1e-5):
+    """Central differences of a (g, H, ll) function: dll ~ g and dg ~ H."""
+    g0, h0, _ = fn(theta)
+    q = len(theta)
+    num_g = np.zeros(q)
+    num_h = np.zeros((q, q))
+    for k in range(q):
+        e = np.zeros(q)
+        e[k] = h
+        gp, _, lp = fn(theta + e)
+        gm, _, lm = fn(theta - e)
+        num_g[k] = (lp - lm) / (2 * h)
+        num_h[:, k] = (gp - gm) / (2 * h)
+    return g0, h0, num_g, num_h
+
+
+def test_ordinal_derivatives_by_finite_differences(spark, derived001):
+    from replytime.models.ordinal import _pieces
+    des = build_design(derived001, [TRI, Numeric("log_los")], intercept=False)
+    from replytime.models.design import complete_rows
+    levels = ("No", "Yes, sometimes", "Yes, always")
+    rows = complete_rows(derived001, des, extra=["q32"]).where(F.col("q32").isin(*levels))
+    k = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col("q32")).cast("int")
+    xf = rows.select(*[e.alias(f"x{i}") for i, e in enumerate(des.exprs)], k.alias("k"))
+    coll = collapse(xf, [f"x{i}" for i in range(des.p)] + ["k"], {"w": F.count(F.lit(1)).cast("double")},
+                    checkpoint=False).cache()
+    p = des.p
+    theta = np.array([0.1, -0.2, 0.05, -0.4, 0.7])
+
+    def fn(t):
+        return _pieces(coll, t[:p], t[p:], p, 3)
+    g0, h0, num_g, num_h = _fd_check(fn, theta)
+    assert np.max(np.abs(g0 - num_g)) < 1e-4 * max(1.0, np.max(np.abs(g0)))
+    assert np.max(np.abs(h0 - num_h)) < 1e-3 * max(1.0, np.max(np.abs(h0)))
+    coll.unpersist()
+
+
+def test_aft_derivatives_by_finite_differences(spark, derived001):
+    des = build_design(derived001, [TRI], intercept=True)
+    frame = aft_frame(derived001, des, "reply_time", "event")
+    coll = collapse(frame, [f"x{i}" for i in range(des.p)] + ["logt", "event"],
+                    {"w": F.count(F.lit(1)).cast("double")}, checkpoint=False).cache()
+    p = des.p
+    theta = np.array([3.0, 0.1, -0.05, -0.5])
+
+    def fn(t):
+        return _newton_pieces(coll, t[:p], float(t[p]), p, F.col("w"))
+    g0, h0, num_g, num_h = _fd_check(fn, theta)
+    assert np.max(np.abs(g0 - num_g)) < 1e-4 * max(1.0, np.max(np.abs(g0)))
+    assert np.max(np.abs(h0 - num_h)) < 1e-3 * max(1.0, np.max(np.abs(h0)))
+    coll.unpersist()
+
+
+def test_cox_efron_derivatives_by_finite_differences(spark, derived001):
+    des = build_design(derived001, [TRI, Numeric("log_los")], intercept=False)
+    p = des.p
+    frame = CX.cox_frame(derived001, des, "reply_time", "event")
+    coll = collapse(frame, [f"x{i}" for i in range(p)] + ["time"],
+                    {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")},
+                    checkpoint=False).cache()
+    beta = np.array([-0.1, 0.05, 0.02])
+
+    def fn(b):
+        ll, u, info = CX._step_pieces(coll, b, p)
+        return u, -info, ll
+    g0, h0, num_g, num_h = _fd_check(fn, beta)
+    assert np.max(np.abs(g0 - num_g)) < 1e-4 * max(1.0, np.max(np.abs(g0)))
+    assert np.max(np.abs(h0 - num_h)) < 1e-3 * max(1.0, np.max(np.abs(h0)))
+    coll.unpersist()
