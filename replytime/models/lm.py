@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_sf2
@@ -57,19 +57,24 @@ def fit_lm(df: DataFrame, y: str, terms, weights: str | None = None, log_y: bool
            intercept: bool = True, design: Design | None = None) -> LinearFit:
     """Least squares of ``y`` (or ``log y``) on the design.
 
-    Pass 1: X'WX and X'Wy in one aggregate.  Pass 2: residual and total sums
-    of squares around the fitted coefficients (exact, no cancellation).
+    One aggregate gives X'WX, X'Wy and y'Wy; the residual sum of squares is
+    y'Wy - b'X'Wy.  Only when that difference is tiny next to y'Wy (where
+    cancellation could cost digits) does a second pass compute the residual
+    and total sums of squares around the fit exactly.
     """
     design = design or build_design(df, terms, intercept)
     p = design.p
     mf = model_frame(df, design, y, log_y, weights)
-    xtx, xty, _, sw, n = gram(mf, p, F.col("y"), F.col("w"))
+    xtx, xty, yty, sw, n = gram(mf, p, F.col("y"), F.col("w"))
     beta = solve_sym(xtx, xty)
-    eta = linear_predictor(beta, p)
     ybar = (xty[0] / sw) if intercept else 0.0
-    res = F.col("y") - eta
-    rss, tss = agg_vector(mf, [F.sum(F.col("w") * res * res),
-                               F.sum(F.col("w") * (F.col("y") - F.lit(ybar)) * (F.col("y") - F.lit(ybar)))])
+    rss = yty - float(beta @ xty)
+    tss = yty - sw * ybar * ybar if intercept else yty
+    if not (rss > 1e-8 * yty and tss > 1e-8 * yty):
+        eta = linear_predictor(beta, p)
+        res = F.col("y") - eta
+        rss, tss = agg_vector(mf, [F.sum(F.col("w") * res * res),
+                                   F.sum(F.col("w") * (F.col("y") - F.lit(ybar)) * (F.col("y") - F.lit(ybar)))])
     df_resid = n - p
     sigma2 = rss / df_resid if df_resid > 0 else float("nan")
     cov = sigma2 * inv_sym(xtx)
@@ -85,7 +90,3 @@ def group_means(df: DataFrame, y: str, group: str, log_y: bool = False) -> DataF
         src = src.where(yv > 0)
         yv = F.ln(yv)
     return src.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(yv).alias("mean"))
-
-
-def col_or_lit(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(v)

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import _c
 
 Z975 = 1.959963984540054  # standard normal 97.5% quantile
 
@@ -184,7 +183,3 @@ def hazard_piecewise(pairs: DataFrame, width: float = 1.0, max_time: float = 70.
                       "events", "person_time", rate.alias("hazard"),
                       F.greatest(F.lit(0.0), rate - F.lit(Z975) * se).alias("lower"),
                       (rate + F.lit(Z975) * se).alias("upper"))
-
-
-def col_or(x) -> Column:
-    return _c(x)

@@ -50,13 +50,6 @@ def _tri_profiles(spark, extra=None):
     return profile_frame(spark, rows)
 
 
-def _score(df, beta, design, name="eta"):
-    eta = F.lit(0.0)
-    for b, e in zip(beta, design.exprs):
-        eta = eta + F.lit(float(b)) * e
-    return df.withColumn(name, eta)
-
-
 # ------------------------------------------------------------------- design
 
 _DM_SQL = (
