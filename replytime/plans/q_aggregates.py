@@ -286,3 +286,40 @@ bx_q AS (SELECT overall_tri, count(*) AS n, quantile_cont(y, 0.25) AS lower, qua
 def boxplot_stats(spark, sf_dir):
     """Box-plot statistics of reply time by satisfaction."""
     return rounded(P.boxplot_stats(derived(spark, sf_dir), "reply_time", "overall_tri"), 8)
+
+
+_DICT_VARS = ("q74", "q22", "q32", "q49", "age_group", "all_gender")
+
+
+def _dict_values_sql():
+    rows = []
+    for var in _DICT_VARS:
+        for i, lvl in enumerate(L.DICTIONARY[var]):
+            rows.append(f"('{var}', '{lvl}', {i + 1})")
+    return ", ".join(rows)
+
+
+@query("factor_level_codes", sql=with_derived(
+    "SELECT v.variable, v.level, v.ord, coalesce(c.n, 0) AS n, "
+    "CASE WHEN coalesce(c.n, 0) > 0 THEN CAST(dense_rank() OVER (PARTITION BY v.variable ORDER BY "
+    "CASE WHEN coalesce(c.n, 0) > 0 THEN v.ord END ASC NULLS LAST) AS INTEGER) END AS code "
+    "FROM (SELECT * FROM (VALUES " + _dict_values_sql() + ") t(variable, level, ord)) v LEFT JOIN ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS variable, {c} AS level, count(*) AS n FROM inpatient "
+                         f"WHERE {c} IS NOT NULL GROUP BY {c}" for c in _DICT_VARS)
+    + ") c ON v.variable = c.variable AND v.level = c.level"))
+def factor_level_codes(spark, sf_dir):
+    """Level dictionary joined to level counts; codes number only the levels in use."""
+    d = L.factor_levels(spark, waves=(2009,))
+    return D.level_codes(raw(spark, sf_dir), d, _DICT_VARS)
+
+
+@query("welch_t_test_pvalue")
+def welch_t_test_pvalue(spark, sf_dir):
+    """Welch t test of length of stay (first vs later repliers) with its two-sided p-value."""
+    return ST.welch_t_test(derived(spark, sf_dir), "los", "reply_strata2", ("First", "Later"))
+
+
+@query("one_way_anova_pvalue")
+def one_way_anova_pvalue(spark, sf_dir):
+    """ANOVA of reply time across rating levels with the F-test p-value."""
+    return ST.one_way_anova(derived(spark, sf_dir), "reply_time", "overall_sat")
