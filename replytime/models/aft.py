@@ -100,21 +100,19 @@ def _newton_pieces(coll: DataFrame, beta, tau: float, p: int, w: Column):
     # per-row pieces once, in a projection below the aggregate
     coll = coll.select(w.alias("w"), "event", *[F.col(f"x{j}") for j in range(p)], z.alias("z"),
                        dl.alias("dl"), d2l.alias("d2l"), ll.alias("ll"))
-    z, dl, d2l, ll, w = (F.col(c) for c in ("z", "dl", "d2l", "ll", "w"))
-    ev = F.col("event") == 1
-    x = [F.col(f"x{j}") for j in range(p)]
-    exprs = [F.sum(w * (-dl) * x[j]) / F.lit(sigma) for j in range(p)]
-    exprs.append(F.sum(w * (F.when(ev, F.lit(-1.0)).otherwise(F.lit(0.0)) - dl * z)))
+    s, s2 = repr(float(sigma)), repr(float(sigma * sigma))
+    exprs = [f"sum(w * (-dl) * x{j}) / {s}D" for j in range(p)]
+    exprs.append("sum(w * (CASE WHEN event = 1 THEN -1.0D ELSE 0.0D END - dl * z))")
     q = p + 1
     for a, b in upper_pairs(q):
         if a < p and b < p:
-            e = F.sum(w * d2l * x[a] * x[b]) / F.lit(sigma * sigma)
+            e = f"sum(w * d2l * x{a} * x{b}) / {s2}D"
         elif a < p and b == p:
-            e = F.sum(w * x[a] * (z * d2l + dl)) / F.lit(sigma)
+            e = f"sum(w * x{a} * (z * d2l + dl)) / {s}D"
         else:
-            e = F.sum(w * (z * z * d2l + z * dl))
+            e = "sum(w * (z * z * d2l + z * dl))"
         exprs.append(e)
-    exprs.append(F.sum(w * ll))
+    exprs.append("sum(w * ll)")
     v = agg_vector(coll, exprs)
     g = v[:q]
     h = sym_from_upper(v[q:q + q * (q + 1) // 2], q)

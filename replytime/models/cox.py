@@ -121,37 +121,33 @@ def cox_frame(df: DataFrame, design: Design, time: str, event: str, keep=()) ->
 def per_time_table(coll: DataFrame, beta, p: int) -> DataFrame:
     """Per distinct time: event count, event/at-risk sums of r, r x, r x x' and risk-set sums."""
     eta = linear_predictor(beta, p)
-    r = F.exp(eta)
-    x = [F.col(f"x{j}") for j in range(p)]
-    na, ne = F.col("n_at"), F.col("n_ev")
     pairs = upper_pairs(p)
-    aggs = [F.sum(ne).alias("d"), F.sum(ne * eta).alias("seta"), F.sum(na * r).alias("a0"),
-            F.sum(ne * r).alias("e0")]
-    aggs += [F.sum(na * r * x[j]).alias(f"a1_{j}") for j in range(p)]
-    aggs += [F.sum(ne * r * x[j]).alias(f"e1_{j}") for j in range(p)]
-    aggs += [F.sum(ne * x[j]).alias(f"sx_{j}") for j in range(p)]
-    aggs += [F.sum(na * r * x[a] * x[b]).alias(f"a2_{a}_{b}") for a, b in pairs]
-    aggs += [F.sum(ne * r * x[a] * x[b]).alias(f"e2_{a}_{b}") for a, b in pairs]
-    t = coll.groupBy("time").agg(*aggs)
-    w = Window.partitionBy(F.lit(0)).orderBy(F.col("time").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    risk = {"S0": F.sum("a0").over(w)}
-    risk.update({f"S1_{j}": F.sum(f"a1_{j}").over(w) for j in range(p)})
-    risk.update({f"S2_{a}_{b}": F.sum(f"a2_{a}_{b}").over(w) for a, b in pairs})
-    t = t.withColumns(risk)
+    base = coll.select("time", *[f"x{j}" for j in range(p)], "n_at", "n_ev", eta.alias("eta"),
+                       F.exp(eta).alias("r"))
+    # SQL text: one JVM call per aggregate
+    aggs = ["sum(n_ev) AS d", "sum(n_ev * eta) AS seta", "sum(n_at * r) AS a0", "sum(n_ev * r) AS e0"]
+    aggs += [f"sum(n_at * r * x{j}) AS a1_{j}" for j in range(p)]
+    aggs += [f"sum(n_ev * r * x{j}) AS e1_{j}" for j in range(p)]
+    aggs += [f"sum(n_ev * x{j}) AS sx_{j}" for j in range(p)]
+    aggs += [f"sum(n_at * r * x{a} * x{b}) AS a2_{a}_{b}" for a, b in pairs]
+    aggs += [f"sum(n_ev * r * x{a} * x{b}) AS e2_{a}_{b}" for a, b in pairs]
+    t = base.groupBy("time").agg(*[F.expr(e) for e in aggs])
+    win = "OVER (ORDER BY time DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    risk = [f"sum(a0) {win} AS S0"]
+    risk += [f"sum(a1_{j}) {win} AS S1_{j}" for j in range(p)]
+    risk += [f"sum(a2_{a}_{b}) {win} AS S2_{a}_{b}" for a, b in pairs]
+    t = t.selectExpr("*", *risk)
     return t.withColumn("ef", _efron_udf(F.col("S0"), F.col("e0"), F.col("d")))
 
 
 def _step_pieces(coll: DataFrame, beta, p: int):
     t = per_time_table(coll, beta, p).where(F.col("d") > 0)
     pairs = upper_pairs(p)
-    a0, a1 = F.col("ef.A0"), F.col("ef.A1")
-    b0, b1, b2 = F.col("ef.B0"), F.col("ef.B1"), F.col("ef.B2")
-    exprs = [F.sum(F.col("seta") - F.col("ef.L"))]
-    exprs += [F.sum(F.col(f"sx_{j}") - (F.col(f"S1_{j}") * a0 - F.col(f"e1_{j}") * a1)) for j in range(p)]
+    exprs = ["sum(seta - ef.L)"]
+    exprs += [f"sum(sx_{j} - (S1_{j} * ef.A0 - e1_{j} * ef.A1))" for j in range(p)]
     for a, b in pairs:
-        s1a, s1b, e1a, e1b = F.col(f"S1_{a}"), F.col(f"S1_{b}"), F.col(f"e1_{a}"), F.col(f"e1_{b}")
-        exprs.append(F.sum(F.col(f"S2_{a}_{b}") * a0 - F.col(f"e2_{a}_{b}") * a1
-                           - (s1a * s1b * b0 - (s1a * e1b + e1a * s1b) * b1 + e1a * e1b * b2)))
+        exprs.append(f"sum(S2_{a}_{b} * ef.A0 - e2_{a}_{b} * ef.A1 - (S1_{a} * S1_{b} * ef.B0 "
+                     f"- (S1_{a} * e1_{b} + e1_{a} * S1_{b}) * ef.B1 + e1_{a} * e1_{b} * ef.B2))")
     v = agg_vector(t, exprs)
     return float(v[0]), v[1:p + 1], sym_from_upper(v[p + 1:], p)
 

@@ -66,10 +66,9 @@ def binomial_newton(coll: DataFrame, p: int, s: Column, m: Column, offset: Colum
         # per-row weight, residual and log-likelihood once, below the aggregate
         base = coll.select(*x, (m * mu * (F.lit(1.0) - mu)).alias("_w"), (s - m * mu).alias("_r"),
                            (s * eta - m * _softplus(eta)).alias("_ll"))
-        wv, r = F.col("_w"), F.col("_r")
-        exprs = [F.sum(r * x[i]) for i in range(p)]
-        exprs += [F.sum(wv * x[i] * x[j]) for i, j in pairs]
-        exprs += [F.sum("_ll")]
+        exprs = [f"sum(_r * x{i})" for i in range(p)]
+        exprs += [f"sum(_w * x{i} * x{j})" for i, j in pairs]
+        exprs += ["sum(_ll)"]
         v = agg_vector(base, exprs)
         g = v[:p]
         h = sym_from_upper(v[p:p + len(pairs)], p)
@@ -81,10 +80,10 @@ def binomial_newton(coll: DataFrame, p: int, s: Column, m: Column, offset: Colum
     # final information at the converged coefficients
     eta = linear_predictor(beta, p, offset)
     mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-    wv = m * mu * (F.lit(1.0) - mu)
     x = [F.col(f"x{i}") for i in range(p)]
-    v = agg_vector(coll, [F.sum(wv * x[i] * x[j]) for i, j in pairs] + [F.sum(s * eta - m * _softplus(eta)),
-                                                                       F.sum(m)])
+    base = coll.select(*x, (m * mu * (F.lit(1.0) - mu)).alias("_w"), (s * eta - m * _softplus(eta)).alias("_ll"),
+                       m.alias("_m"))
+    v = agg_vector(base, [f"sum(_w * x{i} * x{j})" for i, j in pairs] + ["sum(_ll)", "sum(_m)"])
     h = sym_from_upper(v[:len(pairs)], p)
     return beta, inv_sym(h), float(v[-2]), int(v[-1]), it
 

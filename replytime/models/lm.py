@@ -65,7 +65,7 @@ def fit_lm(df: DataFrame, y: str, terms, weights: str | None = None, log_y: bool
     design = design or build_design(df, terms, intercept)
     p = design.p
     mf = model_frame(df, design, y, log_y, weights)
-    xtx, xty, yty, sw, n = gram(mf, p, F.col("y"), F.col("w"))
+    xtx, xty, yty, sw, n = gram(mf, p, "y", "w")
     beta = solve_sym(xtx, xty)
     ybar = (xty[0] / sw) if intercept else 0.0
     rss = yty - float(beta @ xty)

@@ -87,37 +87,30 @@ def _pieces(coll: DataFrame, beta, zeta, p: int, k_levels: int, want_hess: bool
     # combines columns (small generated code, no re-evaluation per entry)
     coll = coll.select("w", "k", *[F.col(f"x{j}") for j in range(p)], fa.alias("fa"), fb.alias("fb"),
                        fpa.alias("fpa"), fpb.alias("fpb"), pr.alias("pr"))
-    fa, fb, fpa, fpb, pr = (F.col(c) for c in ("fa", "fb", "fpa", "fpb", "pr"))
-    w = F.col("w")
-    x = [F.col(f"x{j}") for j in range(p)]
-    g_ = fa - fb
-    gp = fpa - fpb
     q = p + k_levels - 1
-    exprs = [F.sum(w * (-g_) * x[j] / pr) for j in range(p)]
+    # SQL text: one JVM call per sum (g = fa - fb, gp = fpa - fpb)
+    exprs = [f"sum(w * (fb - fa) * x{j} / pr)" for j in range(p)]
     for m in range(1, k_levels):  # threshold zeta_m: upper for k == m, lower for k == m + 1
-        exprs.append(F.sum(w * (F.when(k == m, fa / pr).otherwise(F.lit(0.0))
-                                - F.when(k == m + 1, fb / pr).otherwise(F.lit(0.0)))))
+        exprs.append(f"sum(w * (CASE WHEN k = {m} THEN fa / pr ELSE 0D END - CASE WHEN k = {m + 1} THEN fb / pr ELSE 0D END))")
     if want_hess:
         for i, j in upper_pairs(q):
             if i < p and j < p:
-                e = w * (gp / pr - g_ * g_ / (pr * pr)) * x[i] * x[j]
+                e = f"sum(w * ((fpa - fpb) / pr - (fa - fb) * (fa - fb) / (pr * pr)) * x{i} * x{j})"
             elif i < p:
                 m = j - p + 1
-                up = F.when(k == m, -fpa / pr + g_ * fa / (pr * pr)).otherwise(F.lit(0.0))
-                lo = F.when(k == m + 1, fpb / pr - g_ * fb / (pr * pr)).otherwise(F.lit(0.0))
-                e = w * x[i] * (up + lo)
+                e = (f"sum(w * x{i} * (CASE WHEN k = {m} THEN -fpa / pr + (fa - fb) * fa / (pr * pr) ELSE 0D END"
+                     f" + CASE WHEN k = {m + 1} THEN fpb / pr - (fa - fb) * fb / (pr * pr) ELSE 0D END))")
             else:
                 m1, m2 = i - p + 1, j - p + 1
                 if m1 == m2:
-                    up = F.when(k == m1, fpa / pr - fa * fa / (pr * pr)).otherwise(F.lit(0.0))
-                    lo = F.when(k == m1 + 1, -fpb / pr - fb * fb / (pr * pr)).otherwise(F.lit(0.0))
-                    e = w * (up + lo)
+                    e = (f"sum(w * (CASE WHEN k = {m1} THEN fpa / pr - fa * fa / (pr * pr) ELSE 0D END"
+                         f" + CASE WHEN k = {m1 + 1} THEN -fpb / pr - fb * fb / (pr * pr) ELSE 0D END))")
                 elif m2 == m1 + 1:
-                    e = w * F.when(k == m2, fa * fb / (pr * pr)).otherwise(F.lit(0.0))
+                    e = f"sum(w * CASE WHEN k = {m2} THEN fa * fb / (pr * pr) ELSE 0D END)"
                 else:
-                    e = F.lit(0.0)
-            exprs.append(F.sum(e))
-    exprs.append(F.sum(w * F.ln(pr)))
+                    e = "sum(0D)"
+            exprs.append(e)
+    exprs.append("sum(w * ln(pr))")
     v = agg_vector(coll, exprs)
     g = v[:q]
     h = sym_from_upper(v[q:q + q * (q + 1) // 2], q) if want_hess else None

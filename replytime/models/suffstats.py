@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 from .design import sym_from_upper, upper_pairs
 
 
-def agg_vector(df: DataFrame, exprs: list[Column]) -> np.ndarray:
-    """Evaluate many aggregate expressions in ONE Spark job; one row comes back."""
-    row = df.agg(*[e.alias(f"a{i}") for i, e in enumerate(exprs)]).first()
+def agg_vector(df: DataFrame, exprs: list) -> np.ndarray:
+    """Evaluate many aggregate expressions in ONE Spark job; one row comes back.
+
+    Expressions may be Columns or SQL text; text costs one JVM call per
+    expression instead of one per operator, which matters for the hundreds of
+    sums of a Hessian.
+    """
+    cols = [(F.expr(e) if isinstance(e, str) else e).alias(f"a{i}") for i, e in enumerate(exprs)]
+    row = df.agg(*cols).first()
     return np.array([np.nan if v is None else float(v) for v in row], dtype=float)
 
 
-def gram(df: DataFrame, p: int, y: Column | None = None, w: Column | None = None):
-    """X'WX, X'Wy, y'Wy, sum W and n over columns x0..x{p-1} in one pass."""
-    w = w if w is not None else F.lit(1.0)
-    x = [F.col(f"x{i}") for i in range(p)]
-    exprs = [F.sum(w * x[i] * x[j]) for i, j in upper_pairs(p)]
-    exprs += [F.sum(w * x[i] * y) for i in range(p)] if y is not None else []
-    exprs += [F.sum(w * y * y)] if y is not None else []
-    exprs += [F.sum(w), F.count(F.lit(1))]
+def gram(df: DataFrame, p: int, y: str | None = None, w: str | None = None):
+    """X'WX, X'Wy, y'Wy, sum W and n over columns x0..x{p-1} in one pass.
+
+    ``y`` and ``w`` are column names (w defaults to 1).
+    """
+    w = w or "1.0D"
+    exprs = [f"sum({w} * x{i} * x{j})" for i, j in upper_pairs(p)]
+    exprs += [f"sum({w} * x{i} * {y})" for i in range(p)] if y is not None else []
+    exprs += [f"sum({w} * {y} * {y})"] if y is not None else []
+    exprs += [f"sum({w})", "count(1)"]
     v = agg_vector(df, exprs)
     k = p * (p + 1) // 2
     xtx = sym_from_upper(v[:k], p)

@@ -28,6 +28,9 @@ def get_spark(master: str | None = None, app: str = "replytime",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no per-call Python call-site capture: building a Hessian's hundreds of
+        # Column expressions would otherwise cost several JVM round trips each
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -102,6 +102,7 @@ def inpatient_from_tables(orders: DataFrame, customer: DataFrame) -> DataFrame:
 
 
 _WRITTEN: dict[tuple[str, str], str] = {}
+_FRAMES: dict[tuple[str, str], DataFrame] = {}
 
 
 def inpatient(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
@@ -113,12 +114,16 @@ def inpatient(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Dat
     filters on derived columns would be pushed into the join condition and
     drag the whole generator along.)
     """
-    built = inpatient_from_tables(read_table(spark, sf_dir, "orders"),
-                                  read_table(spark, sf_dir, "customer"))
     if not materialize:
-        return built
+        return inpatient_from_tables(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "customer"))
     from .scan import SURVEY_SCHEMA
-    return spark.read.schema(SURVEY_SCHEMA).parquet(inpatient_path(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    df = _FRAMES.get(key)
+    if df is None:
+        # one DataFrame per session and folder: the file listing is done once
+        df = spark.read.schema(SURVEY_SCHEMA).parquet(inpatient_path(spark, sf_dir))
+        _FRAMES[key] = df
+    return df
 
 
 def inpatient_path(spark: SparkSession, sf_dir: str) -> str:
