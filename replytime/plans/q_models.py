@@ -526,3 +526,47 @@ def lm_log_by_mailing(spark, sf_dir):
         t = fit_lm(d, f"reply_time{k}", FULL + [CHOICE], log_y=True).table(spark).withColumn("mailing", F.lit(k))
         out = t if out is None else out.unionByName(t)
     return out
+
+
+RATING_ALPHA = tuple(sorted(L.RATING_LEVELS))  # factor levels after a CSV round trip: Excellent first
+
+
+_LRF_SQL = """
+g AS (SELECT q74, count(*) AS n, avg(CAST(reply_time AS DOUBLE)) AS mean,
+             sum(CAST(reply_time AS DOUBLE) * CAST(reply_time AS DOUBLE)) AS ss
+      FROM d WHERE q74 IS NOT NULL AND reply_time IS NOT NULL GROUP BY q74),
+tot AS (SELECT sum(ss - n * mean * mean) / (sum(n) - count(*)) AS s2 FROM g),
+ref AS (SELECT n AS n0, mean AS m0 FROM g WHERE q74 = 'Excellent'),
+est AS (
+  SELECT '(Intercept)' AS term, m0 AS estimate, sqrt(s2 / n0) AS std_error FROM ref, tot
+  UNION ALL
+  SELECT 'q74' || q74, mean - m0, sqrt(s2 * (1.0 / n + 1.0 / n0)) FROM g, ref, tot WHERE q74 <> 'Excellent'
+)"""
+
+
+@query("lm_rating_factor", sql=with_derived(
+    "SELECT term, round(estimate, 6) AS estimate, round(std_error, 6) AS std_error FROM est", _LRF_SQL))
+def lm_rating_factor(spark, sf_dir):
+    """OLS of reply time on the five-level rating as a factor (level means vs Excellent)."""
+    fit = fit_lm(derived(spark, sf_dir), "reply_time", [Factor("q74", RATING_ALPHA)])
+    return fit.table(spark).select("term", F.round("estimate", 6).alias("estimate"),
+                                   F.round("std_error", 6).alias("std_error"))
+
+
+@query("logit_dignity")
+def logit_dignity(spark, sf_dir):
+    """Logit of 'Sometimes or no' dignity on reply time + covariates (reply time > 0)."""
+    d = derived(spark, sf_dir).withColumn("dignity", R.dignity("q72")).where(F.col("reply_time") > 0)
+    fit = fit_logit(d, "dignity", "Sometimes or no", [Numeric("reply_time"), EMERG, CHOICE, AGE,
+                                                      Numeric("los", log=True), GENDER])
+    return fit.table(spark)
+
+
+@query("ordinal_logit_rating")
+def ordinal_logit_rating(spark, sf_dir):
+    """Proportional odds of the five-point rating code on reply time, age, LOS, gender."""
+    d = derived(spark, sf_dir).where(F.col("reply_time") > 0).withColumn(
+        "rating_code", F.col("overall_sat").cast("string"))
+    fit = fit_ordinal(d, "rating_code", ("1", "2", "3", "4", "5"),
+                      [Numeric("reply_time"), AGE, Numeric("los"), GENDER])
+    return fit.table(spark)
