@@ -178,7 +178,7 @@ _CLEAN_TRI_SQL = ("CASE WHEN q22 = 'Very clean' THEN 'Very clean' WHEN q22 = 'Fa
 @query("chi_square_independence", sql=with_derived(
     "SELECT round(statistic, 6) AS statistic, df, n, round(exp(-statistic / 2.0), 8) AS p_value FROM ("
     "SELECT sum((n - e) * (n - e) / e) AS statistic, "
-    "CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS df, sum(n) AS n FROM ("
+    "CAST((count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) AS BIGINT) AS df, CAST(sum(n) AS BIGINT) AS n FROM ("
     "SELECT a, b, n, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) * sum(n) OVER (PARTITION BY b) / sum(n) OVER () AS e "
     "FROM (SELECT a, b, count(*) AS n FROM (SELECT " + _CLEAN_TRI_SQL + " AS a, early AS b FROM d) s "
     "WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY a, b) c) x) y"))
@@ -215,7 +215,7 @@ def welch_t_test(spark, sf_dir):
     "SELECT round(ss_between, 4) AS ss_between, round(ss_within, 4) AS ss_within, df1, df2, "
     "round((ss_between / df1) / (ss_within / df2), 6) AS f FROM ("
     "SELECT sum(n * (mean - grand) * (mean - grand)) AS ss_between, sum((n - 1) * coalesce(var, 0.0)) AS ss_within, "
-    "count(*) - 1 AS df1, sum(n) - count(*) AS df2 FROM ("
+    "count(*) - 1 AS df1, CAST(sum(n) - count(*) AS BIGINT) AS df2 FROM ("
     "SELECT n, mean, var, sum(n * mean) OVER () / sum(n) OVER () AS grand FROM ("
     "SELECT overall_sat, count(*) AS n, avg(CAST(reply_time AS DOUBLE)) AS mean, var_samp(CAST(reply_time AS DOUBLE)) AS var "
     "FROM d WHERE reply_time IS NOT NULL AND overall_sat IS NOT NULL GROUP BY overall_sat) g) h) x"))

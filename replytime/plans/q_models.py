@@ -53,13 +53,13 @@ def _tri_profiles(spark, extra=None):
 # ------------------------------------------------------------------- design
 
 _DM_SQL = (
-    "SELECT record, CASE WHEN overall_tri = 'Other' THEN 1.0 ELSE 0.0 END AS \"overall_triOther\", "
-    "CASE WHEN overall_tri = 'Very good' THEN 1.0 ELSE 0.0 END AS \"overall_triVery good\", "
-    "CASE WHEN emergency = 'yes' THEN 1.0 ELSE 0.0 END AS emergencyyes, "
-    "CASE WHEN age_group = '36-50' THEN 1.0 ELSE 0.0 END AS \"age_group36-50\", "
-    "CASE WHEN age_group = '51-65' THEN 1.0 ELSE 0.0 END AS \"age_group51-65\", "
-    "CASE WHEN age_group = '66+' THEN 1.0 ELSE 0.0 END AS \"age_group66+\", "
-    "round(log_los, 8) AS log_los, CASE WHEN gender = 'Male' THEN 1.0 ELSE 0.0 END AS \"genderMale\" "
+    "SELECT record, CASE WHEN overall_tri = 'Other' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS \"overall_triOther\", "
+    "CASE WHEN overall_tri = 'Very good' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS \"overall_triVery good\", "
+    "CASE WHEN emergency = 'yes' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS emergencyyes, "
+    "CASE WHEN age_group = '36-50' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS \"age_group36-50\", "
+    "CASE WHEN age_group = '51-65' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS \"age_group51-65\", "
+    "CASE WHEN age_group = '66+' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS \"age_group66+\", "
+    "round(log_los, 8) AS log_los, CASE WHEN gender = 'Male' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS \"genderMale\" "
     "FROM d WHERE overall_tri IS NOT NULL AND emergency IS NOT NULL AND age_group IS NOT NULL "
     "AND log_los IS NOT NULL AND gender IS NOT NULL")
 
@@ -102,7 +102,7 @@ def lm_single_factor(spark, sf_dir):
 
 @query("lm_simple", sql=with_derived(
     "SELECT round(regr_intercept(y, x), 6) AS intercept, round(regr_slope(y, x), 8) AS slope, "
-    "round(regr_r2(y, x), 8) AS r2, regr_count(y, x) AS n FROM "
+    "round(regr_r2(y, x), 8) AS r2, CAST(regr_count(y, x) AS BIGINT) AS n FROM "
     "(SELECT CAST(overall_sat AS DOUBLE) AS y, CAST(reply_time AS DOUBLE) AS x FROM d WHERE reply_time > 0) s"))
 def lm_simple(spark, sf_dir):
     """OLS of the rating code on reply time (subset reply time > 0)."""
@@ -473,7 +473,7 @@ def classification_tree(spark, sf_dir):
 @query("lm_by_wave", sql=with_derived(
     "SELECT w.wave, round(regr_intercept(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)), 6) AS intercept, "
     "round(regr_slope(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)), 8) AS slope, "
-    "regr_count(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)) AS n "
+    "CAST(regr_count(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)) AS BIGINT) AS n "
     "FROM d, (VALUES (2006), (2007), (2008), (2009)) w(wave) WHERE reply_time > 0 GROUP BY w.wave"))
 def lm_by_wave(spark, sf_dir):
     """Rating on reply time in each of four waves: one grouped pass (regr_* aggregates).
