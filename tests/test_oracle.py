@@ -20,6 +20,8 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF0001)
     srows = [tuple(r) for r in sdf.collect()]
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     res = con.execute(SQL[name])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
