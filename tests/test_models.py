@@ -218,3 +218,21 @@ def test_cox_efron_derivatives_by_finite_differences(spark, derived001):
     assert np.max(np.abs(g0 - num_g)) < 1e-4 * max(1.0, np.max(np.abs(g0)))
     assert np.max(np.abs(h0 - num_h)) < 1e-3 * max(1.0, np.max(np.abs(h0)))
     coll.unpersist()
+
+
+def test_glmm_recovers_cluster_effects(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for j in range(30):
+        b = rng.normal(0.0, 1.0)
+        for i in range(150):
+            x = float(i % 2)
+            p = 1.0 / (1.0 + math.exp(-(-0.5 + 0.8 * x + b)))
+            rows.append((f"C{j}", x, "yes" if rng.random() < p else "no"))
+    df = spark.createDataFrame(rows, "cl string, x double, y string")
+    fit = fit_glmm_logit(df, "y", "yes", [Numeric("x")], "cl")
+    assert 0.6 < fit.sigma_a < 1.5
+    assert abs(fit.beta[1] - 0.8) < 0.25
+    plain = fit_logit(df, "y", "yes", [Numeric("x")])
+    # ignoring the clusters attenuates the slope toward zero
+    assert abs(plain.beta[1]) < abs(fit.beta[1]) + 1e-9
