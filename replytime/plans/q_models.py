@@ -25,6 +25,7 @@ from ..operators.derive import with_ordered_outcomes
 from ..operators.filters import exclude_trusts
 from ..operators.joins import attach_response_rate, response_rate_by_trust
 from .common import derived
+from .concurrent import run_all
 from .oracle_base import with_derived
 from .registry import query, rounded
 
@@ -299,8 +300,8 @@ def aft_weibull(spark, sf_dir):
 def refit_without_trusts(spark, sf_dir):
     """Full AFT with all trusts vs without two trusts: estimates side by side."""
     d = derived(spark, sf_dir)
-    full = _aft(spark, sf_dir, FULL, data=d)
-    sub = _aft(spark, sf_dir, FULL, data=exclude_trusts(d, spark, ["T3", "T17"]))
+    full, sub = run_all([lambda: _aft(spark, sf_dir, FULL, data=d),
+                         lambda: _aft(spark, sf_dir, FULL, data=exclude_trusts(d, spark, ["T3", "T17"]))])
     rows = [(n, float(a), float(b), float(b - a)) for n, a, b in zip(full.names, full.theta, sub.theta)]
     return spark.createDataFrame(rows, "term string, estimate_all double, estimate_subset double, difference double")
 
@@ -393,9 +394,10 @@ _SCALES = {"overall_tri": TRI_ORD, "clean_tri": L.CLEAN_TRI_ORDERED, "doc_conf":
 def ordinal_logit_scales(spark, sf_dir):
     """Proportional odds of five ordered answers on the mailing stratum + covariates."""
     d = with_ordered_outcomes(derived(spark, sf_dir))
+    fits = run_all([lambda r=r, lv=lv: fit_ordinal(d, r, lv, [STRATA] + COVARS) for r, lv in _SCALES.items()])
     out = None
-    for resp, lv in _SCALES.items():
-        t = fit_ordinal(d, resp, lv, [STRATA] + COVARS).table(spark).withColumn("response", F.lit(resp))
+    for resp, fit in zip(_SCALES, fits):
+        t = fit.table(spark).withColumn("response", F.lit(resp))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -497,10 +499,10 @@ def lm_by_wave(spark, sf_dir):
 def aft_loglogistic_by_mailing(spark, sf_dir):
     """Log-logistic AFT of the time since each mailing (replies to that mailing only)."""
     d = derived(spark, sf_dir)
+    fits = run_all([lambda k=k: _aft(spark, sf_dir, [TRI], time=f"reply_time{k}", data=d) for k in (1, 2, 3)])
     out = None
-    for k in (1, 2, 3):
-        t = _aft(spark, sf_dir, [TRI], time=f"reply_time{k}", data=d).table(spark).withColumn(
-            "mailing", F.lit(k))
+    for k, fit in zip((1, 2, 3), fits):
+        t = fit.table(spark).withColumn("mailing", F.lit(k))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -521,9 +523,10 @@ def random_intercept_lmm_log(spark, sf_dir):
 def lm_log_by_mailing(spark, sf_dir):
     """OLS of log time since each mailing on satisfaction and covariates."""
     d = derived(spark, sf_dir)
+    fits = run_all([lambda k=k: fit_lm(d, f"reply_time{k}", FULL + [CHOICE], log_y=True) for k in (1, 2, 3)])
     out = None
-    for k in (1, 2, 3):
-        t = fit_lm(d, f"reply_time{k}", FULL + [CHOICE], log_y=True).table(spark).withColumn("mailing", F.lit(k))
+    for k, fit in zip((1, 2, 3), fits):
+        t = fit.table(spark).withColumn("mailing", F.lit(k))
         out = t if out is None else out.unionByName(t)
     return out
 
