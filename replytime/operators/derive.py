@@ -5,7 +5,8 @@ rules need: the last received date (censoring time for non-returns) and
 which rating levels occur (the rating code counts only used levels).  Both
 come from ONE partial aggregate over the rows, used as a scalar subquery, so
 the plan is scan -> partial agg -> one-row result inlined into a single
-fused projection.  There is no join and no shuffle of row data.
+fused projection: no join and no shuffle of row data.  Censoring per group
+(``censor_by``) instead joins a one-row-per-group aggregate back by key.
 """
 
 from __future__ import annotations
@@ -155,9 +156,3 @@ def with_ordered_outcomes(d: DataFrame) -> DataFrame:
         "nurse_conf": F.when(F.col("q36").isin(*L.CONFIDENCE_LEVELS), F.col("q36")),
         "call_but": F.when(F.col("q49").isin(*L.CALL_BUTTON_LEVELS), F.col("q49")),
     })
-
-
-def derived(spark, sf_dir: str, **kw) -> DataFrame:
-    """Analysis table of the stand-in wave for a test-data folder."""
-    from ..sources.fixture import inpatient
-    return derive_wave(inpatient(spark, sf_dir), **kw)
