@@ -323,3 +323,13 @@ def welch_t_test_pvalue(spark, sf_dir):
 def one_way_anova_pvalue(spark, sf_dir):
     """ANOVA of reply time across rating levels with the F-test p-value."""
     return ST.one_way_anova(derived(spark, sf_dir), "reply_time", "overall_sat")
+
+
+@query("cross_table_with_na", sql=with_derived(
+    "SELECT reply_strata, outcome, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY reply_strata), 8) AS prop_row, "
+    "round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY outcome), 8) AS prop_col, "
+    "round(CAST(n AS DOUBLE) / sum(n) OVER (), 8) AS prop_total FROM "
+    "(SELECT reply_strata, outcome, count(*) AS n FROM d GROUP BY reply_strata, outcome) x"))
+def cross_table_with_na(spark, sf_dir):
+    """Mailing stratum by outcome label with the missing stratum kept as its own level."""
+    return rounded(D.cross_table(derived(spark, sf_dir), "reply_strata", "outcome", include_na=True), 8)
