@@ -12,7 +12,7 @@ Sub-packages:
 The most used entry points are re-exported here, e.g.::
 
     import replytime as rt
-    wave = rt.survey_scan(spark, "s3://.../inpatient2009/")
+    wave = rt.survey_scan(spark, "/data/waves/2009")
     d = rt.derive_wave(wave)
     km = rt.kaplan_meier(rt.survival_pair(d, "reply_time", "event", by=("overall_tri",)), by=("overall_tri",))
     fit = rt.fit_loglogistic(d, "reply_time", "event", [rt.Factor("overall_tri")], cluster="trustcode")
