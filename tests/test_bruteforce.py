@@ -81,3 +81,31 @@ def test_loglogistic_loglik_brute_force(spark):
                     checkpoint=False)
     _, _, ll_spark = _newton_pieces(coll, beta, tau, p, F.col("w"))
     assert abs(ll_spark - ll) < 1e-9 * abs(ll)
+
+
+def test_reml_criterion_brute_force(spark):
+    from replytime.models.lm import model_frame
+    from replytime.models.lmm import _grid_sums, _reml, cluster_stats
+    d = derived(spark, SF0001)
+    des = build_design(d, [TRI], intercept=True)
+    mf = model_frame(d.where(F.col("trustcode").isNotNull()), des, "reply_time", keep=["trustcode"])
+    p = des.p
+    cs = cluster_stats(mf, "trustcode", p)
+    gamma = 0.37
+    a, b, c, logdet, n, k = _grid_sums(cs, [gamma], p)[gamma]
+    crit, beta, s2 = _reml(a, b, c, logdet, n, p)
+    rows = mf.collect()
+    X = np.array([[r[f"x{i}"] for i in range(p)] for r in rows])
+    y = np.array([r["y"] for r in rows])
+    g = np.array([r["trustcode"] for r in rows])
+    H = np.eye(len(y)) + gamma * (g[:, None] == g[None, :])
+    Hi = np.linalg.inv(H)
+    XtHX = X.T @ Hi @ X
+    bhat = np.linalg.solve(XtHX, X.T @ Hi @ y)
+    res = y - X @ bhat
+    s2_bf = float(res @ Hi @ res) / (len(y) - p)
+    crit_bf = -0.5 * ((len(y) - p) * (1 + math.log(2 * math.pi * s2_bf)) + np.linalg.slogdet(H)[1]
+                      + np.linalg.slogdet(XtHX)[1])
+    assert np.allclose(beta, bhat, rtol=1e-9, atol=1e-9)
+    assert abs(s2 - s2_bf) < 1e-9 * s2_bf
+    assert abs(crit - crit_bf) < 1e-8 * abs(crit_bf)
