@@ -158,3 +158,41 @@ def test_glmm_laplace_brute_force(spark):
             bb = beta.copy()
             bb[k] += step
             assert _laplace_np(bb, sigma, X, y, g) <= lap + 1e-9
+
+
+def test_aft_sandwich_brute_force(spark):
+    from replytime.models.aft import fit_loglogistic
+    d = derived(spark, SF0001)
+    fit = fit_loglogistic(d, "reply_time", "event", [TRI], cluster="trustcode")
+    frame = aft_frame(d, fit.design, "reply_time", "event", keep=["trustcode"])
+    rows = frame.collect()
+    p = fit.design.p
+    X = np.array([[r[f"x{i}"] for i in range(p)] for r in rows])
+    logt = np.array([r["logt"] for r in rows])
+    ev = np.array([r["event"] for r in rows]) == 1
+    g = np.array([r["trustcode"] for r in rows])
+    sigma = fit.scale
+    z = (logt - X @ fit.beta) / sigma
+    pz = 1 / (1 + np.exp(-z))
+    dl = np.where(ev, 1 - 2 * pz, -pz)
+    U = np.column_stack([-(dl[:, None] * X) / sigma, np.where(ev, -1.0, 0.0) - dl * z])
+    meat = np.zeros((p + 1, p + 1))
+    for c in np.unique(g):
+        u = U[g == c].sum(axis=0)
+        meat += np.outer(u, u)
+    v = fit.cov @ meat @ fit.cov
+    assert np.allclose(v, fit.robust_cov, rtol=1e-8, atol=1e-14)
+
+
+def test_boundary_kernel_moments(spark):
+    from replytime.operators.survival import _boundary_epanechnikov
+    for q in (0.0, 0.3, 0.7):
+        n = 20001
+        xs = [-1.0 + (1.0 + q) * i / (n - 1) for i in range(n)]
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        k = np.array([r[0] for r in df.select(_boundary_epanechnikov(F.col("x"), F.lit(q))).collect()])
+        x = np.array(xs)
+        h = (1.0 + q) / (n - 1)
+        m0 = h * (k.sum() - 0.5 * (k[0] + k[-1]))
+        m1 = h * ((k * x).sum() - 0.5 * (k[0] * x[0] + k[-1] * x[-1]))
+        assert abs(m0 - 1.0) < 1e-6 and abs(m1) < 1e-6
