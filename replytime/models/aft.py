@@ -138,7 +138,13 @@ def fit_loglogistic(df: DataFrame, time: str, event: str, terms, cluster: str |
     p = design.p
     frame = aft_frame(df, design, time, event, keep=[cluster] if cluster else [])
     keys = [f"x{i}" for i in range(p)] + ["logt", "event"]
-    coll = collapse(frame, keys, {"w": F.count(F.lit(1)).cast("double")})
+    if cluster:
+        # one pass over the rows: collapse with the cluster key; the Newton
+        # table is that (small, checkpointed) table regrouped without it
+        coll_c = collapse(frame, [cluster] + keys, {"w": F.count(F.lit(1)).cast("double")})
+        coll = coll_c.groupBy(*keys).agg(F.sum("w").alias("w")).checkpoint(eager=True)
+    else:
+        coll = collapse(frame, keys, {"w": F.count(F.lit(1)).cast("double")})
     w = F.col("w")
     # start: intercept at the mean log time of events, log scale 0
     m = agg_vector(coll, [F.sum(F.when(F.col("event") == 1, w * F.col("logt"))),
@@ -171,7 +177,9 @@ def fit_loglogistic(df: DataFrame, time: str, event: str, terms, cluster: str |
                              F.sum(F.when(F.col("event") == 1, w * F.col("logt")))])
     robust = None
     if cluster:
-        robust = sandwich(frame, cluster, _score_columns(beta, tau, p), cov)
+        # scores of the collapsed rows times their counts = sums of row scores
+        scores = [F.col("w") * u for u in _score_columns(beta, tau, p)]
+        robust = sandwich(coll_c, cluster, scores, cov)
     return AFTFit(design, beta, tau, cov, robust, ll - float(n_ev[2]), int(n_ev[1]), int(n_ev[0]), it)
 
 

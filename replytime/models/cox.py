@@ -158,8 +158,16 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
     design = design or build_design(df, terms, intercept=False)
     p = design.p
     frame = cox_frame(df, design, time, event, keep=[cluster] if cluster else [])
-    coll = collapse(frame, [f"x{i}" for i in range(p)] + ["time"],
-                    {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")})
+    keys = [f"x{i}" for i in range(p)] + ["time"]
+    counts = {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")}
+    coll_c = None
+    if cluster:
+        # one pass over the rows: collapse with the cluster key, regroup without it
+        coll_c = collapse(frame, [cluster] + keys, counts)
+        coll = coll_c.groupBy(*keys).agg(F.sum("n_at").alias("n_at"), F.sum("n_ev").alias("n_ev")).checkpoint(
+            eager=True)
+    else:
+        coll = collapse(frame, keys, counts)
     # centre the design at its means (as is customary; keeps exp(x'b) moderate)
     mv = agg_vector(coll, [F.sum(F.col("n_at") * F.col(f"x{j}")) for j in range(p)]
                     + [F.sum("n_at"), F.sum("n_ev")])
@@ -187,7 +195,7 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
             break
     fit = CoxFit(design, beta, inv_sym(info), ll, ll0, n, n_ev, it, means)
     if cluster:
-        fit.robust_cov = robust_cov(df, fit, time, event, cluster)
+        fit.robust_cov = robust_cov(df, fit, time, event, cluster, collapsed=coll_c)
     return fit
 
 
@@ -250,7 +258,8 @@ def risk_score(fit: CoxFit) -> Column:
     return F.exp(eta)
 
 
-def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str) -> np.ndarray:
+def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str,
+               collapsed: DataFrame | None = None) -> np.ndarray:
     """Cluster-robust covariance I^-1 (sum_c U_c U_c') I^-1 from Efron score residuals.
 
     Score residual of subject i (x centred, r = exp(x'b)):
@@ -263,9 +272,11 @@ def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str)
     aggregation first) and one more aggregate forms the outer products.
     """
     p = fit.design.p
-    frame = cox_frame(df, fit.design, time, event, keep=[cluster])
-    coll = collapse(frame, [cluster] + [f"x{i}" for i in range(p)] + ["time"],
-                    {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")})
+    coll = collapsed
+    if coll is None:
+        frame = cox_frame(df, fit.design, time, event, keep=[cluster])
+        coll = collapse(frame, [cluster] + [f"x{i}" for i in range(p)] + ["time"],
+                        {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")})
     cc = coll.select(cluster, *[(F.col(f"x{j}") - F.lit(float(fit.means[j]))).alias(f"x{j}") for j in range(p)],
                      "time", "n_at", "n_ev")
     pt = per_time_table(cc.drop(cluster), fit.beta, p)
