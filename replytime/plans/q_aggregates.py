@@ -333,3 +333,18 @@ def one_way_anova_pvalue(spark, sf_dir):
 def cross_table_with_na(spark, sf_dir):
     """Mailing stratum by outcome label with the missing stratum kept as its own level."""
     return rounded(D.cross_table(derived(spark, sf_dir), "reply_strata", "outcome", include_na=True), 8)
+
+
+@query("histogram_by_wave", sql=with_derived(
+    "SELECT w.wave, CAST(h.bin AS DOUBLE) AS bin_start, h.n, round(CAST(h.n AS DOUBLE) / sum(h.n) OVER (PARTITION BY w.wave), 8) "
+    "AS density FROM (SELECT CAST(date_rec - mail1 AS BIGINT) AS bin, count(*) AS n FROM d WHERE date_rec IS NOT NULL "
+    "GROUP BY CAST(date_rec - mail1 AS BIGINT)) h, (VALUES (2006), (2007), (2008), (2009)) w(wave)"))
+def histogram_by_wave(spark, sf_dir):
+    """Histogram of raw days from first mailing to receipt, per wave (1-day bins)."""
+    from ..functions.core import reply_days
+    from ..operators.derive import with_dates
+    from ..sources import scan
+    base = raw(spark, sf_dir)
+    u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
+    d = with_dates(u).select("wave", reply_days("date_rec", "mail1").alias("days"))
+    return rounded(P.histogram_density(d, "days", 1.0, by=("wave",)), 8)
