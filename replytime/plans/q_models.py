@@ -573,3 +573,17 @@ def ordinal_logit_rating(spark, sf_dir):
     fit = fit_ordinal(d, "rating_code", ("1", "2", "3", "4", "5"),
                       [Numeric("reply_time"), AGE, Numeric("los"), GENDER])
     return fit.table(spark)
+
+
+@query("predict_aft_by_mailing")
+def predict_aft_by_mailing(spark, sf_dir):
+    """Predicted reply time by satisfaction from the one-factor AFT: all replies and each mailing."""
+    d = derived(spark, sf_dir)
+    times = {"all": "reply_time", "mail1": "reply_time1", "mail2": "reply_time2", "mail3": "reply_time3"}
+    fits = run_all([lambda t=t: _aft(spark, sf_dir, [TRI], time=t, data=d) for t in times.values()])
+    prof = _tri_profiles(spark)
+    out = None
+    for name, fit in zip(times, fits):
+        t = prof.select("overall_tri", F.lit(name).alias("model"), F.exp(fit.linear_score()).alias("predicted_time"))
+        out = t if out is None else out.unionByName(t)
+    return out
