@@ -47,16 +47,26 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
     x = F.col(value).cast("double")
     src = df.where(x.isNotNull()).select(*by, x.alias("x"))
     vals = src.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
-    params = src.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"),
-        (F.percentile("x", 0.75) - F.percentile("x", 0.25)).alias("iqr"),
+    # bandwidth inputs from the (value, count) table - no second pass over rows:
+    # weighted exact quartiles, then a two-pass variance on the small table
+    p1 = vals.groupBy(*by).agg(
+        F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
+        F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("c")).alias("q"),
         F.min("x").alias("xmin"), F.max("x").alias("xmax"))
+    keys = list(by)
+    vm = vals.join(p1.select(*keys, "mean"), keys) if keys else vals.select(
+        "*", p1.select(F.col("mean")).scalar().alias("mean"))
+    ss = vm.groupBy(*by).agg(F.sum(F.col("c") * (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean")))
+                             .alias("ss"))
+    params = (p1.join(ss, keys) if keys else p1.select("*", ss.select("ss").scalar().alias("ss")))
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - F.lit(1))))
+    params = params.select(*by, "n", "xmin", "xmax", sd.alias("sd"),
+                           (F.col("q")[1] - F.col("q")[0]).alias("iqr"))
     params = params.withColumn("bw", bw_nrd0(F.col("n"), F.coalesce(F.col("sd"), F.lit(0.0)), F.col("iqr")))
     params = params.withColumns({
         "g0": F.col("xmin") - F.lit(cut) * F.col("bw"),
         "step": (F.col("xmax") - F.col("xmin") + F.lit(2.0 * cut) * F.col("bw")) / F.lit(float(n_grid - 1)),
     })
-    keys = list(by)
     if keys:
         j = vals.join(params.select(*keys, "n", "bw", "g0", "step"), keys)
     else:

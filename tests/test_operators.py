@@ -107,3 +107,20 @@ def test_parquet_roundtrip_partition_pruning(spark):
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(wave" in plan and "= 2009" in plan
     assert one.count() == base.count()
+
+
+def test_kde_without_groups_matches_numpy(spark):
+    import numpy as np
+    from replytime.operators.plotdata import kde_density
+    xs = [1.0, 2.0, 2.0, 3.0, 7.0, 8.0, 8.0, 8.0, 13.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    out = sorted(kde_density(df, "x", n_grid=64).collect(), key=lambda r: r.j)
+    a = np.array(xs)
+    q75, q25 = np.percentile(a, [75, 25])
+    bw = 0.9 * min(a.std(ddof=1), (q75 - q25) / 1.34) * len(a) ** -0.2
+    grid = np.linspace(a.min() - 3 * bw, a.max() + 3 * bw, 64)
+    dens = np.exp(-0.5 * ((grid[:, None] - a[None, :]) / bw) ** 2).sum(axis=1) / (len(a) * bw * np.sqrt(2 * np.pi))
+    assert len(out) == 64
+    assert abs(out[0].bw - bw) < 1e-12
+    assert np.allclose([r.x for r in out], grid, atol=1e-9)
+    assert np.allclose([r.density for r in out], dens, atol=1e-12)
