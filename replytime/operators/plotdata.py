@@ -94,22 +94,23 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
 def boxplot_stats(df: DataFrame, value: str, group: str, coef: float = 1.5) -> DataFrame:
     """Median, hinges (type-7 quartiles), whiskers at 1.5 IQR and outlier count per group.
 
-    Quartiles come from one aggregate per group; the whisker ends and the
-    outlier count from the (group, distinct value, count) table joined to the
-    fences (one row per group), so the second pass never touches raw rows.
+    Rows are reduced once to (group, distinct value, count); the quartiles
+    (exact, weighted by the counts), whisker ends and outlier count all come
+    from that table and the fences joined to it (one row per group).
     """
     x = F.col(value).cast("double")
     src = df.where(x.isNotNull() & F.col(group).isNotNull()).select(group, x.alias("y"))
-    q = src.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    # one pass over rows: everything below works on (group, value, count)
+    vals = src.groupBy(group, "y").agg(F.count(F.lit(1)).alias("c"))
+    q = vals.groupBy(group).agg(
+        F.sum("c").alias("n"),
+        F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c")).alias("_q"))
     q = q.select(group, "n", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("middle"),
                  F.col("_q")[2].alias("upper"))
     iqr = F.col("upper") - F.col("lower")
     q = q.withColumns({"_lo": F.col("lower") - F.lit(coef) * iqr, "_hi": F.col("upper") + F.lit(coef) * iqr})
     y = F.col("y")
     inside = (y >= F.col("_lo")) & (y <= F.col("_hi"))
-    vals = src.groupBy(group, "y").agg(F.count(F.lit(1)).alias("c"))
     w = vals.join(q.select(group, "_lo", "_hi"), group).groupBy(group).agg(
         F.min(F.when(inside, y)).alias("ymin"), F.max(F.when(inside, y)).alias("ymax"),
         F.sum(F.when(~inside, F.col("c")).otherwise(F.lit(0))).cast("long").alias("n_out"))
