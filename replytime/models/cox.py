@@ -95,6 +95,7 @@ class CoxFit:
     iterations: int
     means: np.ndarray
     robust_cov: np.ndarray | None = None
+    collapsed: DataFrame | None = None   # checkpointed (pattern, time) counts, reused by later steps
 
     @property
     def se(self):
@@ -193,12 +194,29 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
         ll, u, info = ll_new, u_new, info_new
         if done:
             break
-    fit = CoxFit(design, beta, inv_sym(info), ll, ll0, n, n_ev, it, means)
+    fit = CoxFit(design, beta, inv_sym(info), ll, ll0, n, n_ev, it, means, collapsed=coll)
     if cluster:
         fit.robust_cov = robust_cov(df, fit, time, event, cluster, collapsed=coll_c)
     return fit
 
 
+def _centred(df: DataFrame, fit: CoxFit, time: str, event: str) -> DataFrame:
+    """The fit's collapsed (pattern, time) counts with the design centred at its means.
+
+    Reuses the checkpoint made during the fit; only a fit without one
+    collapses the rows again.
+    """
+    p = fit.design.p
+    coll = fit.collapsed
+    if coll is None:
+        frame = cox_frame(df, fit.design, time, event)
+        coll = collapse(frame, [f"x{i}" for i in range(p)] + ["time"],
+                        {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")},
+                        checkpoint=False)
+    return coll.select(*[(F.col(f"x{j}") - F.lit(float(fit.means[j]))).alias(f"x{j}") for j in range(p)],
+                       "time", "n_at", "n_ev")
+
+
 def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark) -> DataFrame:
     """Proportional-hazards check: correlation of scaled Schoenfeld residuals with time.
 
@@ -209,12 +227,7 @@ def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark) ->
     aggregates over the collapsed rows joined to the per-time table.
     """
     p = fit.design.p
-    frame = cox_frame(df, fit.design, time, event)
-    coll = collapse(frame, [f"x{i}" for i in range(p)] + ["time"],
-                    {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")},
-                    checkpoint=False)
-    cc = coll.select(*[(F.col(f"x{j}") - F.lit(float(fit.means[j]))).alias(f"x{j}") for j in range(p)],
-                     "time", "n_at", "n_ev")
+    cc = _centred(df, fit, time, event)
     pt = per_time_table(cc, fit.beta, p).where(F.col("d") > 0)
     xbar = pt.select("time", *[((F.col(f"S1_{j}") * F.col("ef.A0") - F.col(f"e1_{j}") * F.col("ef.A1"))
                                 / F.col("d")).alias(f"xb_{j}") for j in range(p)])
@@ -239,12 +252,7 @@ def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark) ->
 def baseline_hazard(df: DataFrame, fit: CoxFit, time: str, event: str) -> DataFrame:
     """Efron baseline cumulative hazard H0(t) at the covariate means (per distinct time)."""
     p = fit.design.p
-    frame = cox_frame(df, fit.design, time, event)
-    coll = collapse(frame, [f"x{i}" for i in range(p)] + ["time"],
-                    {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")},
-                    checkpoint=False)
-    cc = coll.select(*[(F.col(f"x{j}") - F.lit(float(fit.means[j]))).alias(f"x{j}") for j in range(p)],
-                     "time", "n_at", "n_ev")
+    cc = _centred(df, fit, time, event)
     pt = per_time_table(cc, fit.beta, p).select("time", "d", F.coalesce(F.col("ef.A0"), F.lit(0.0)).alias("dH"))
     w = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     return pt.select("time", "d", F.sum("dH").over(w).alias("cumhaz"))

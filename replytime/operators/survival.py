@@ -92,8 +92,19 @@ def loglogistic_check(km: DataFrame, by=()) -> DataFrame:
                      F.when(ok, F.log((F.lit(1.0) - s) / s)).alias("log_odds_response"))
 
 
+def align_curves_long(km: DataFrame, names: dict, key: str = "curve", value: str = "response_rate") -> DataFrame:
+    """Curves of one long table side by side on one time axis.
+
+    Equivalent to full outer joins on time of the separate curves, but as a
+    pivot of the (small) long table: the rows are scanned once, not once per
+    curve.  ``names`` maps each curve key to its output column.
+    """
+    wide = km.groupBy("time").pivot(key, list(names)).agg(F.first(value))
+    return wide.select("time", *[F.col(k).alias(v) for k, v in names.items()])
+
+
 def align_curves(curves: dict[str, DataFrame], value: str = "response_rate") -> DataFrame:
-    """Several one-row-per-time curves side by side on one time axis (full outer joins)."""
+    """Separate one-row-per-time curves side by side on one time axis (full outer joins)."""
     out = None
     for name, c in curves.items():
         c = c.select(F.col("time"), F.col(value).alias(name))

@@ -99,15 +99,14 @@ curves_in AS (
     "FULL JOIN (SELECT time, surv FROM km WHERE curve = 'mail3') e ON coalesce(a.time, b.time, c.time) = e.time",
     _ALIGN_EXTRA))
 def km_curves_aligned(spark, sf_dir):
-    """Overall and per-mailing response curves on one time axis (full outer joins)."""
+    """Overall and per-mailing response curves on one time axis (one scan, pivot on time)."""
     d = derived(spark, sf_dir)
     pairs = S.stack_curves(d, {"all": "reply_time", "mail1": "reply_time1", "mail2": "reply_time2",
                                "mail3": "reply_time3"})
     km = S.response_curve(S.kaplan_meier(pairs, by=("curve",), conf=False))
     names = {"all": "response_rate", "mail1": "response_rate1", "mail2": "response_rate2",
              "mail3": "response_rate3"}
-    curves = {v: km.where(F.col("curve") == k) for k, v in names.items()}
-    return rounded(S.align_curves(curves), 8)
+    return rounded(S.align_curves_long(km, names), 8)
 
 
 @query("wave_subset_join", sql=with_derived(

@@ -83,3 +83,15 @@ def test_sf_fixture_km_rows(spark):
     d = derived(spark, SF001)
     pairs = S.survival_pair(d.withColumn("g", F.coalesce("q74", F.lit("NA"))), "reply_time", "event", by=("g",))
     assert S.kaplan_meier(pairs, by=("g",)).count() == 446
+
+
+def test_curve_alignment_pivot_equals_full_joins(spark, derived001):
+    pairs = S.stack_curves(derived001, {"all": "reply_time", "mail1": "reply_time1", "mail2": "reply_time2"})
+    km = S.response_curve(S.kaplan_meier(pairs, by=("curve",), conf=False))
+    names = {"all": "r0", "mail1": "r1", "mail2": "r2"}
+    a = S.align_curves_long(km, names)
+    b = S.align_curves({v: km.where(F.col("curve") == k) for k, v in names.items()})
+    key = lambda r: r.time
+    ra = sorted(a.collect(), key=key)
+    rb = sorted(b.select("time", "r0", "r1", "r2").collect(), key=key)
+    assert ra == rb
