@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..models.suffstats import collapse
+
 _SQRT_2PI = math.sqrt(2.0 * math.pi)
 
 
@@ -46,7 +48,9 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
     """
     x = F.col(value).cast("double")
     src = df.where(x.isNotNull()).select(*by, x.alias("x"))
-    vals = src.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
+    # the (value, count) table feeds four branches below: checkpointed once so the
+    # rows are read once (branches are pruned differently, so no exchange reuse)
+    vals = collapse(src, [*by, "x"], {"c": F.count(F.lit(1))})
     # bandwidth inputs from the (value, count) table - no second pass over rows:
     # weighted exact quartiles, then a two-pass variance on the small table
     p1 = vals.groupBy(*by).agg(
@@ -100,8 +104,9 @@ def boxplot_stats(df: DataFrame, value: str, group: str, coef: float = 1.5) -> D
     """
     x = F.col(value).cast("double")
     src = df.where(x.isNotNull() & F.col(group).isNotNull()).select(group, x.alias("y"))
-    # one pass over rows: everything below works on (group, value, count)
-    vals = src.groupBy(group, "y").agg(F.count(F.lit(1)).alias("c"))
+    # one pass over rows: everything below works on (group, value, count),
+    # checkpointed because three branches read it
+    vals = collapse(src, [group, "y"], {"c": F.count(F.lit(1))})
     q = vals.groupBy(group).agg(
         F.sum("c").alias("n"),
         F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c")).alias("_q"))
