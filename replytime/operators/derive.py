@@ -142,8 +142,16 @@ def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by=None, floor_l
     })
 
 
-def reply_time_coalesced(strata="reply_strata") -> Column:
-    """Days since the mailing that triggered the reply (NULL without a stratum)."""
+def reply_time_coalesced(strata: str | None = None) -> Column:
+    """Days since the mailing that triggered the reply (NULL without a stratum).
+
+    In the derived table ``reply_timeK`` is non-NULL only when the stratum is
+    MailK, so the switch on the stratum equals a coalesce of the three - the
+    short form keeps downstream generated code small.  Pass ``strata`` to
+    switch explicitly on a stratum column instead.
+    """
+    if strata is None:
+        return F.coalesce(F.col("reply_time1"), F.col("reply_time2"), F.col("reply_time3"))
     return r_switch(strata, {"Mail1": F.col("reply_time1"), "Mail2": F.col("reply_time2"),
                              "Mail3": F.col("reply_time3")}, F.lit(None).cast("int"))
 
