@@ -12,8 +12,11 @@ QUERIES = E.queries()
 
 
 @pytest.fixture(scope="module")
-def con():
-    return duck(SF0001)
+def con(spark):
+    # a query whose generated code overflows must fail here, not fall back silently
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    yield duck(SF0001)
+    spark.conf.set("spark.sql.codegen.fallback", "true")
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
