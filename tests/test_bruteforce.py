@@ -196,3 +196,38 @@ def test_boundary_kernel_moments(spark):
         m0 = h * (k.sum() - 0.5 * (k[0] + k[-1]))
         m1 = h * ((k * x).sum() - 0.5 * (k[0] * x[0] + k[-1] * x[-1]))
         assert abs(m0 - 1.0) < 1e-6 and abs(m1) < 1e-6
+
+
+def test_cox_robust_variance_brute_force(spark):
+    d = derived(spark, SF0001)
+    fit = CX.fit_cox(d, "reply_time", "event", [TRI], cluster="trustcode")
+    p = fit.design.p
+    frame = CX.cox_frame(d, fit.design, "reply_time", "event", keep=["trustcode"])
+    rows = frame.collect()
+    X = np.array([[r[f"x{i}"] for i in range(p)] for r in rows]) - fit.means
+    t = np.array([r["time"] for r in rows])
+    e = np.array([r["event"] for r in rows])
+    g = np.array([r["trustcode"] for r in rows])
+    r = np.exp(X @ fit.beta)
+    U = np.zeros_like(X)
+    for tt in np.unique(t[e == 1]):
+        risk = t >= tt
+        dead = risk & (t == tt) & (e == 1)
+        dd = int(dead.sum())
+        s0, s1 = r[risk].sum(), (r[risk, None] * X[risk]).sum(axis=0)
+        e0, e1 = r[dead].sum(), (r[dead, None] * X[dead]).sum(axis=0)
+        abar = np.zeros(p)
+        for l in range(dd):
+            f = l / dd
+            den = s0 - f * e0
+            a = (s1 - f * e1) / den
+            abar += a / dd
+            w = np.where(dead, 1.0 - f, 1.0)[risk]
+            U[risk] -= (r[risk] * w / den)[:, None] * (X[risk] - a)
+        U[dead] += X[dead] - abar
+    meat = np.zeros((p, p))
+    for c in np.unique(g):
+        u = U[g == c].sum(axis=0)
+        meat += np.outer(u, u)
+    v = fit.cov @ meat @ fit.cov
+    assert np.allclose(v, fit.robust_cov, rtol=1e-7, atol=1e-14)
