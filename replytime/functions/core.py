@@ -105,6 +105,7 @@ def los_transform(col, floor_at_one: bool = True) -> Column:
 
 
 def floor_los(col) -> Column:
+    """LOS floored at one day (NULL stays NULL)."""
     c = _c(col)
     return r_ifelse(c < 1, F.lit(1), c)
 
@@ -123,15 +124,3 @@ def inv_logit(x, lo: float = 0.0, hi: float = 1.0) -> Column:
 def composite_key(*cols, sep: str = ".") -> Column:
     """``paste(a, b, sep='.')``."""
     return F.concat_ws(sep, *[_c(c).cast("string") for c in cols])
-
-
-def any_null(*cols) -> Column:
-    return reduce(lambda a, b: a | b, [_c(c).isNull() for c in cols])
-
-
-def all_not_null(*cols) -> Column:
-    return reduce(lambda a, b: a & b, [_c(c).isNotNull() for c in cols])
-
-
-def round_half_even(col, digits: int) -> Column:
-    return F.bround(_c(col), digits)

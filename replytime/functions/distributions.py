@@ -103,10 +103,12 @@ def beta_i(a: float, b: float, x: float) -> float:
 
 
 def norm_sf(z: float) -> float:
+    """Upper tail of the standard normal."""
     return 0.5 * math.erfc(z / math.sqrt(2.0))
 
 
 def chi2_sf(x: float, df: float) -> float:
+    """Upper tail of chi-square with ``df`` degrees of freedom."""
     return gamma_q(df / 2.0, x / 2.0)
 
 
@@ -116,6 +118,7 @@ def t_sf2(t: float, df: float) -> float:
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:
+    """Upper tail of F(d1, d2)."""
     if f <= 0:
         return 1.0
     return beta_i(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
@@ -147,14 +150,17 @@ def _f_sf_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
 
 
 def chi2_pvalue(stat: Column, df: Column) -> Column:
+    """Column: chi-square upper-tail probability (one-row use)."""
     return _chi2_sf_udf(stat.cast("double"), df.cast("double"))
 
 
 def t_pvalue(t: Column, df: Column) -> Column:
+    """Column: two-sided t p-value (one-row use)."""
     return _t_sf2_udf(t.cast("double"), df.cast("double"))
 
 
 def f_pvalue(f: Column, d1: Column, d2: Column) -> Column:
+    """Column: F-test p-value (one-row use)."""
     return _f_sf_udf(f.cast("double"), d1.cast("double"), d2.cast("double"))
 
 

@@ -97,18 +97,22 @@ def satisfaction_score(code) -> Column:
 
 
 def emergency(q1) -> Column:
+    """'yes' for an emergency admission, else 'no' (NULL stays NULL)."""
     return r_ifelse(_c(q1) == L.EMERGENCY_LABEL, F.lit("yes"), F.lit("no"))
 
 
 def choice_q10(q10) -> Column:
+    """Choice of admission date: 'Yes' / 'No'."""
     return r_ifelse(_c(q10) == L.CHOICE_Q10_YES, F.lit("Yes"), F.lit("No"))
 
 
 def choice_q6(q6) -> Column:
+    """Choice of hospital: 'No' if a choice was wanted but not given, else 'Other'."""
     return r_ifelse(_c(q6) == L.CHOICE_Q6_NO, F.lit("No"), F.lit("Other"))
 
 
 def dignity(q) -> Column:
+    """'Always' treated with dignity, else 'Sometimes or no'."""
     return r_ifelse(_c(q) == L.DIGNITY_ALWAYS, F.lit("Always"), F.lit("Sometimes or no"))
 
 

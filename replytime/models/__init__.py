@@ -1,0 +1 @@
+"""Regression fits on Spark aggregates."""

@@ -27,6 +27,7 @@ from .suffstats import agg_vector, collapse, inv_sym, solve_sym
 
 @dataclass
 class AFTFit:
+    """Fitted AFT model: coefficients, log scale, model-based and robust covariance."""
     design: Design
     beta: np.ndarray
     log_scale: float
@@ -125,6 +126,7 @@ def _loglik_only(coll: DataFrame, beta, tau: float, p: int, w: Column) -> float:
 
 
 def aft_frame(df: DataFrame, design: Design, time: str, event: str, keep=()) -> DataFrame:
+    """Complete rows with design columns, log time and event (positive times only)."""
     rows = complete_rows(df, design, extra=[time, event]).where(F.col(time) > 0)
     return rows.select(*keep, *[e.alias(f"x{i}") for i, e in enumerate(design.exprs)],
                        F.ln(F.col(time).cast("double")).alias("logt"), F.col(event).cast("int").alias("event"))

@@ -85,6 +85,7 @@ def _efron_udf(s0: pd.Series, e0: pd.Series, d: pd.Series) -> pd.DataFrame:
 
 @dataclass
 class CoxFit:
+    """Fitted Cox model (Efron ties); the design is centred at ``means``."""
     design: Design
     beta: np.ndarray
     cov: np.ndarray
@@ -114,6 +115,7 @@ class CoxFit:
 
 
 def cox_frame(df: DataFrame, design: Design, time: str, event: str, keep=()) -> DataFrame:
+    """Complete rows with design columns, time and event."""
     rows = complete_rows(df, design, extra=[time, event])
     return rows.select(*keep, *[e.alias(f"x{i}") for i, e in enumerate(design.exprs)],
                        F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"))

@@ -21,18 +21,21 @@ MAX_FACTOR_LEVELS = 1000
 
 @dataclass(frozen=True)
 class Factor:
+    """Categorical term; ``levels[0]`` is the reference level."""
     col: str
     levels: tuple | None = None  # first level is the reference
 
 
 @dataclass(frozen=True)
 class Numeric:
+    """Numeric term, optionally logged (positive values only)."""
     col: str
     log: bool = False
 
 
 @dataclass
 class Design:
+    """Coefficient names and their Column expressions."""
     names: list[str]            # coefficient names, intercept first when present
     exprs: list[Column]         # one double Column per coefficient
     used: list[str]             # source columns (complete cases are taken on these)
@@ -55,6 +58,7 @@ def discover_levels(df: DataFrame, col: str) -> tuple:
 
 
 def build_design(df: DataFrame, terms, intercept: bool = True) -> Design:
+    """Design of ``terms`` (treatment contrasts), with an intercept column when asked."""
     names, exprs, used, factors = [], [], [], {}
     if intercept:
         names.append("(Intercept)")
@@ -102,9 +106,6 @@ def design_frame(df: DataFrame, design: Design, keep=()) -> DataFrame:
     return complete_rows(df, design).select(*keep, *[e.alias(f"x{i}") for i, e in enumerate(design.exprs)])
 
 
-def xcols(p: int) -> list[Column]:
-    return [F.col(f"x{i}") for i in range(p)]
-
 
 def linear_predictor(beta, p: int, offset: Column | None = None) -> Column:
     """sum_j beta_j * x_j as one Column (coefficients are literals)."""
@@ -115,6 +116,7 @@ def linear_predictor(beta, p: int, offset: Column | None = None) -> Column:
 
 
 def sym_from_upper(vals, p: int) -> np.ndarray:
+    """Symmetric matrix from its upper triangle listed row by row."""
     m = np.zeros((p, p))
     k = 0
     for i in range(p):
@@ -125,6 +127,7 @@ def sym_from_upper(vals, p: int) -> np.ndarray:
 
 
 def upper_pairs(p: int):
+    """Index pairs (i <= j) of a p x p upper triangle."""
     return [(i, j) for i in range(p) for j in range(i, p)]
 
 
@@ -138,6 +141,7 @@ COEF_SCHEMA = T.StructType([
 
 
 def coef_frame(spark: SparkSession, names, est, se, stat, pval) -> DataFrame:
+    """Tidy coefficient table (term, estimate, std_error, statistic, p_value)."""
     rows = [(n, _f(b), _f(s), _f(z), _f(q)) for n, b, s, z, q in zip(names, est, se, stat, pval)]
     return spark.createDataFrame(rows, COEF_SCHEMA)
 

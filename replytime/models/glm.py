@@ -22,6 +22,7 @@ from .suffstats import agg_vector, collapse, inv_sym, solve_sym
 
 @dataclass
 class LogitFit:
+    """Fitted logistic regression."""
     design: Design
     beta: np.ndarray
     cov: np.ndarray

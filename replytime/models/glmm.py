@@ -38,6 +38,7 @@ from .suffstats import collapse, inv_sym, solve_sym
 
 @dataclass
 class MixedLogitFit:
+    """Fitted random-intercept logistic regression."""
     design: Design
     beta: np.ndarray
     cov: np.ndarray

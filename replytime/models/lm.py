@@ -15,6 +15,7 @@ from .suffstats import agg_vector, gram, inv_sym, solve_sym
 
 @dataclass
 class LinearFit:
+    """Fitted (weighted) least squares."""
     design: Design
     beta: np.ndarray
     cov: np.ndarray
@@ -44,6 +45,7 @@ class LinearFit:
 
 def model_frame(df: DataFrame, design: Design, y: str, log_y: bool = False, weights: str | None = None,
                 keep=()) -> DataFrame:
+    """Complete rows with design columns ``x0..``, response ``y`` and weight ``w``."""
     rows = complete_rows(df, design, extra=[y] + ([weights] if weights else []))
     yv = F.col(y).cast("double")
     if log_y:

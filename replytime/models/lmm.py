@@ -32,6 +32,7 @@ from .suffstats import inv_sym, solve_sym
 
 @dataclass
 class MixedFit:
+    """Fitted random-intercept linear model (REML)."""
     design: Design
     beta: np.ndarray
     cov: np.ndarray

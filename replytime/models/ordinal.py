@@ -23,6 +23,7 @@ BIG = 1e6  # stands in for +-infinity at the outer thresholds (logistic saturate
 
 @dataclass
 class OrdinalFit:
+    """Fitted proportional-odds model: slopes and thresholds."""
     design: Design           # no intercept
     levels: tuple            # ordered response levels, lowest first
     beta: np.ndarray

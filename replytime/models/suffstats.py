@@ -57,6 +57,7 @@ def collapse(df: DataFrame, keys: list[str], counts: dict[str, Column], checkpoi
 
 
 def solve_sym(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solve a small symmetric system (least squares if singular)."""
     try:
         return np.linalg.solve(a, b)
     except np.linalg.LinAlgError:
@@ -64,6 +65,7 @@ def solve_sym(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def inv_sym(a: np.ndarray) -> np.ndarray:
+    """Inverse of a small symmetric matrix (pseudo-inverse if singular)."""
     try:
         return np.linalg.inv(a)
     except np.linalg.LinAlgError:

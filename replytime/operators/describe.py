@@ -80,6 +80,7 @@ def overall_response_rate(df: DataFrame) -> DataFrame:
 
 
 def max_received_by_trust(df: DataFrame, key: str = "trustcode", col: str = "date_rec") -> DataFrame:
+    """Last received date per trust."""
     return df.groupBy(key).agg(F.max(col).alias("max_date_rec"))
 
 
@@ -135,6 +136,7 @@ def medians(df: DataFrame, cols) -> DataFrame:
 
 
 def mean_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Mean (and count) of ``value`` per non-null group."""
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(
         F.avg(F.col(value).cast("double")).alias(f"mean_{value}"),
         F.count(F.col(value)).alias("n"))
@@ -152,6 +154,7 @@ def returned_without_date(df: DataFrame) -> DataFrame:
 
 
 def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Count, mean and sample variance of ``value`` per group."""
     x = F.col(value).cast("double")
     return df.where(x.isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))

@@ -39,6 +39,7 @@ def list_sample(df: DataFrame, cols, n: int = 50, order=("trustcode", "record"))
 
 
 def non_null_group(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose group column is present."""
     return df.where(F.col(col).isNotNull())
 
 

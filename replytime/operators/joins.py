@@ -27,6 +27,7 @@ def attach_response_rate(df: DataFrame, rates: DataFrame, key: str = "trustcode"
 
 
 def with_pid(df: DataFrame, trust: str = "trustcode", record: str = "record") -> DataFrame:
+    """Add the composite id ``trust.record``."""
     return df.withColumn("pid", composite_key(trust, record))
 
 

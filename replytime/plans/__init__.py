@@ -1,0 +1 @@
+"""Named queries and oracle SQL."""

@@ -18,6 +18,7 @@ ORACLE: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
+    """Decorator registering a query (and its oracle SQL, if any)."""
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
@@ -40,4 +41,5 @@ def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
 
 
 def load_all() -> None:
+    """Import every query module so all queries are registered."""
     from . import q_sources, q_projections, q_aggregates, q_survival, q_models, q_streaming  # noqa: F401

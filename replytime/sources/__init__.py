@@ -1,0 +1 @@
+"""Survey sources and the stand-in wave."""

@@ -34,6 +34,7 @@ def _pick(idx: Column, labels) -> Column:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One test-data table as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

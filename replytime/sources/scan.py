@@ -84,6 +84,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def csv_write(df: DataFrame, path: str, null_value: str = "NA") -> str:
+    """Write CSV with a header and ``NA`` for missing values (labels kept verbatim)."""
     (df.write.mode("overwrite").option("header", True).option("nullValue", null_value)
        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
