@@ -9,9 +9,10 @@ the latest count per key, so a restarted query (same checkpoint) resumes
 without double counting.
 
 The study itself read whole files once; this is the same tally computed as
-data arrives.  Rows later than the watermark are not counted, which is the
-intended streaming semantics - choose the delay accordingly (the default of
-a year keeps every row of a survey wave).
+data arrives.  Rows older than the watermark are not counted, which is the
+intended streaming semantics.  Spark judges a row's lateness against the
+watermark of the previous micro-batch.  Choose the delay accordingly: the
+default of a year keeps every row of a survey wave.
 """
 
 from __future__ import annotations

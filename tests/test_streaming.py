@@ -24,3 +24,43 @@ def test_stream_equals_batch_and_restart_is_idempotent(spark):
     expected = {(r.trustcode, r.day): r["count"] for r in batch}
     assert first == expected
     assert again == expected
+
+
+def test_watermark_drops_late_rows(spark):
+    """Rows older than the watermark that arrive in a later micro-batch are not counted."""
+    from replytime.sources.scan import SURVEY_SCHEMA
+    day = 86400.0
+    base = 12219379200.0 + 14600 * day  # an SPSS time stamp in 2009
+    ret = "Returned useable questionnaire"
+
+    def rows(days):
+        out = []
+        for i, dd in enumerate(days):
+            r = {f.name: None for f in SURVEY_SCHEMA.fields}
+            r.update(wave=2009, trustcode="T1", record=i, outcome=ret, daterec=base + dd * day)
+            out.append(tuple(r[f.name] for f in SURVEY_SCHEMA.fields))
+        return out
+
+    src = scratch_path(spark, "t-late-src")
+    spark.createDataFrame(rows([30, 31, 40]), SURVEY_SCHEMA).coalesce(1).write.parquet(src + "/a")
+    spark.createDataFrame(rows([41]), SURVEY_SCHEMA).coalesce(1).write.parquet(src + "/b")
+    spark.createDataFrame(rows([1, 2]), SURVEY_SCHEMA).coalesce(1).write.parquet(src + "/c")
+    import glob
+    import os
+    import shutil
+    flat = scratch_path(spark, "t-late-flat")
+    os.makedirs(flat.replace("file:", ""), exist_ok=True)
+    # one file per micro-batch, in this order; Spark judges late rows against the
+    # watermark of the previous batch, so the late file comes two batches after
+    # the rows that moved the watermark to day 39
+    for k, part in enumerate(("a", "b", "c")):
+        f = glob.glob(src.replace("file:", "") + f"/{part}/*.parquet")[0]
+        shutil.copy(f, flat.replace("file:", "") + f"/{k}.parquet")
+        os.utime(flat.replace("file:", "") + f"/{k}.parquet", (1_000_000 + k, 1_000_000 + k))
+    strict, loose = scratch_path(spark, "t-strict"), scratch_path(spark, "t-loose")
+    run_daily_returns(spark, flat, strict, scratch_path(spark, "t-ck1"), watermark="1 day", max_files_per_trigger=1)
+    run_daily_returns(spark, flat, loose, scratch_path(spark, "t-ck2"), watermark="365 days", max_files_per_trigger=1)
+    n_strict = sum(r.returns for r in read_daily_returns(spark, strict).collect())
+    n_loose = sum(r.returns for r in read_daily_returns(spark, loose).collect())
+    assert n_loose == 6
+    assert n_strict == 4
