@@ -587,3 +587,10 @@ def predict_aft_by_mailing(spark, sf_dir):
         t = prof.select("overall_tri", F.lit(name).alias("model"), F.exp(fit.linear_score()).alias("predicted_time"))
         out = t if out is None else out.unionByName(t)
     return out
+
+
+@query("cox_ph_full")
+def cox_ph_full(spark, sf_dir):
+    """Cox model (Efron ties) with satisfaction, emergency, choice, age, log LOS and gender; robust SE by trust."""
+    fit = CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", FULL + [CHOICE], cluster="trustcode")
+    return fit.table(spark, robust=True)
