@@ -166,8 +166,10 @@ def factor_level_means(spark, sf_dir):
     for k, lvl in enumerate(TRI.levels):
         b_plain = plain.beta[0] + (plain.beta[k] if k > 0 else 0.0)
         b_log = logm.beta[0] + (logm.beta[k] if k > 0 else 0.0)
-        rows.append((lvl, round(float(b_plain), 6), round(float(np.exp(b_log)), 6)))
-    return spark.createDataFrame(rows, "overall_tri string, mean_time double, geo_mean_time double")
+        rows.append((lvl, float(b_plain), float(np.exp(b_log))))
+    out = spark.createDataFrame(rows, "overall_tri string, mean_time double, geo_mean_time double")
+    return out.select("overall_tri", F.round("mean_time", 6).alias("mean_time"),
+                      F.round("geo_mean_time", 6).alias("geo_mean_time"))
 
 
 @query("predict_linear")
@@ -594,3 +596,28 @@ def cox_ph_full(spark, sf_dir):
     """Cox model (Efron ties) with satisfaction, emergency, choice, age, log LOS and gender; robust SE by trust."""
     fit = CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", FULL + [CHOICE], cluster="trustcode")
     return fit.table(spark, robust=True)
+
+
+@query("fitted_values_single_factor", sql=with_derived(
+    "SELECT d.record, round(g.p, 8) AS fitted FROM d JOIN (SELECT overall_tri, "
+    "CAST(sum(CASE WHEN rep_mail = 'Repeated' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS p FROM d "
+    "WHERE overall_tri IS NOT NULL AND rep_mail IS NOT NULL GROUP BY overall_tri) g ON d.overall_tri = g.overall_tri "
+    "WHERE d.rep_mail IS NOT NULL"))
+def fitted_values_single_factor(spark, sf_dir):
+    """Fitted P(repeated mailing) per training row of the one-factor logit (= the group share)."""
+    d = derived(spark, sf_dir)
+    fit = fit_logit(d, "rep_mail", "Repeated", [TRI])
+    rows = complete_rows(d, fit.design, extra=["rep_mail"])
+    return rows.select("record", F.round(inv_logit(fit.linear_score()), 8).alias("fitted"))
+
+
+@query("odds_ratio_single_factor", sql=with_derived(
+    "SELECT term, round(exp(estimate), 6) AS odds_ratio, round(exp(estimate) * std_error, 6) AS std_error FROM est",
+    _LOGIT1_SQL))
+def odds_ratio_single_factor(spark, sf_dir):
+    """exp(coefficients) of the one-factor logit of a repeated mailing, delta-method SE."""
+    fit = fit_logit(derived(spark, sf_dir), "rep_mail", "Repeated", [TRI])
+    orr = np.exp(fit.beta)
+    rows = [(n, float(o), float(o * s)) for n, o, s in zip(fit.design.names, orr, fit.se)]
+    out = spark.createDataFrame(rows, "term string, odds_ratio double, std_error double")
+    return out.select("term", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("std_error", 6).alias("std_error"))
