@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,30 +107,38 @@ def norm_sf(z: float) -> float:
 
 
 def chi2_sf(x: float, df: float) -> float:
-    """Upper tail of chi-square with ``df`` degrees of freedom."""
+    """Upper tail of chi-square with ``df`` degrees of freedom (NaN when df <= 0)."""
+    if not df > 0 or math.isnan(x):
+        return float("nan")
     return gamma_q(df / 2.0, x / 2.0)
 
 
 def t_sf2(t: float, df: float) -> float:
-    """Two-sided p-value of a t statistic."""
+    """Two-sided p-value of a t statistic (NaN when df <= 0)."""
+    if not df > 0 or math.isnan(t):
+        return float("nan")
     return beta_i(df / 2.0, 0.5, df / (df + t * t))
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:
-    """Upper tail of F(d1, d2)."""
+    """Upper tail of F(d1, d2) (NaN when a degree of freedom is <= 0)."""
+    if not (d1 > 0 and d2 > 0) or math.isnan(f):
+        return float("nan")
     if f <= 0:
         return 1.0
     return beta_i(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
 
 
 def _vec(fn, *series):
+    """Apply ``fn`` row by row; missing input or an undefined result gives NULL."""
     out = []
     for vals in zip(*series):
         if any(v is None or (isinstance(v, float) and math.isnan(v)) for v in vals):
-            out.append(np.nan)
+            out.append(None)
         else:
-            out.append(fn(*[float(v) for v in vals]))
-    return pd.Series(out, dtype="float64")
+            r = fn(*[float(v) for v in vals])
+            out.append(None if math.isnan(r) else r)
+    return pd.Series(pd.array(out, dtype="Float64"))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -123,8 +123,14 @@ def fit_ordinal(df: DataFrame, y: str, levels, terms, design: Design | None = No
     """Proportional-odds logistic regression of the ordered response ``y``."""
     design = design or build_design(df, terms, intercept=False)
     p = design.p
-    kk = len(levels)
     rows = complete_rows(df, design, extra=[y]).where(F.col(y).isin(*levels))
+    # levels with no observation are dropped before numbering (as an unused
+    # factor level is); thresholds exist only between observed levels
+    present = {r[0] for r in rows.select(y).distinct().collect()}  # at most len(levels) rows
+    levels = tuple(lv for lv in levels if lv in present)
+    if len(levels) < 3:
+        raise ValueError(f"{y}: an ordinal model needs at least 3 observed levels, got {levels}")
+    kk = len(levels)
     k = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(y)).cast("int")
     xf = rows.select(*[e.alias(f"x{i}") for i, e in enumerate(design.exprs)], k.alias("k"))
     coll = collapse(xf, [f"x{i}" for i in range(p)] + ["k"], {"w": F.count(F.lit(1)).cast("double")})

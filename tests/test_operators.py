@@ -124,3 +124,9 @@ def test_kde_without_groups_matches_numpy(spark):
     assert abs(out[0].bw - bw) < 1e-12
     assert np.allclose([r.x for r in out], grid, atol=1e-9)
     assert np.allclose([r.density for r in out], dens, atol=1e-12)
+
+
+def test_chi_square_single_level_has_null_p_value(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y")], "a string, b string")
+    out = ST.chi_square_independence(df, "a", "b").first()
+    assert out.df == 0 and out.p_value is None
