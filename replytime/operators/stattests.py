@@ -54,13 +54,15 @@ def welch_t_test(df: DataFrame, value: str, group: str, levels, p_value: bool =
         F.var_samp(F.when(g == l1, x)).alias("var1"),
         F.count(F.when(g == l2, x)).alias("n2"), F.avg(F.when(g == l2, x)).alias("mean2"),
         F.var_samp(F.when(g == l2, x)).alias("var2"))
-    v1 = F.col("var1") / F.col("n1")
-    v2 = F.col("var2") / F.col("n2")
+    # try_divide: an empty or one-row group gives NULL instead of an ANSI error
+    v1 = F.try_divide(F.col("var1"), F.col("n1"))
+    v2 = F.try_divide(F.col("var2"), F.col("n2"))
     se = F.sqrt(v1 + v2)
+    df_welch = F.try_divide((v1 + v2) * (v1 + v2),
+                            F.try_divide(v1 * v1, F.col("n1") - 1) + F.try_divide(v2 * v2, F.col("n2") - 1))
     out = one.select(
         "n1", "mean1", "var1", "n2", "mean2", "var2",
-        ((F.col("mean1") - F.col("mean2")) / se).alias("t"),
-        ((v1 + v2) * (v1 + v2) / (v1 * v1 / (F.col("n1") - 1) + v2 * v2 / (F.col("n2") - 1))).alias("df"))
+        F.try_divide(F.col("mean1") - F.col("mean2"), se).alias("t"), df_welch.alias("df"))
     if p_value:
         out = out.withColumn("p_value", t_pvalue(F.col("t"), F.col("df")))
     return out
@@ -77,7 +79,8 @@ def one_way_anova(df: DataFrame, value: str, group: str, p_value: bool = True) -
         F.sum((F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))).alias("ss_within"),
         (F.count(F.lit(1)) - 1).alias("df1"),
         (F.sum("n") - F.count(F.lit(1))).alias("df2"))
-    out = one.withColumn("f", (F.col("ss_between") / F.col("df1")) / (F.col("ss_within") / F.col("df2")))
+    out = one.withColumn("f", F.try_divide(F.try_divide(F.col("ss_between"), F.col("df1")),
+                                           F.try_divide(F.col("ss_within"), F.col("df2"))))
     if p_value:
         out = out.withColumn("p_value", f_pvalue(F.col("f"), F.col("df1"), F.col("df2")))
     return out

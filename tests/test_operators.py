@@ -130,3 +130,12 @@ def test_chi_square_single_level_has_null_p_value(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y")], "a string, b string")
     out = ST.chi_square_independence(df, "a", "b").first()
     assert out.df == 0 and out.p_value is None
+
+
+def test_degenerate_groups_give_null_not_errors(spark):
+    one = spark.createDataFrame([("g1", 1.0), ("g1", 2.0), ("g2", 5.0)], "g string, y double")
+    t = ST.welch_t_test(one, "y", "g", ("g1", "g2")).first()
+    assert t.t is None and t.p_value is None
+    single = spark.createDataFrame([("g1", 1.0), ("g1", 2.0)], "g string, y double")
+    f = ST.one_way_anova(single, "y", "g").first()
+    assert f.df1 == 0 and f.f is None and f.p_value is None
