@@ -49,7 +49,7 @@ def missing_by_column(df: DataFrame, cols=None, digits: int = 2) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(c).alias("variable"), (F.col("_n") - F.col(f"_c{i}")).alias("nas"))
                     for i, c in enumerate(cols)])
     out = one.select(F.col("_n").alias("n"), F.explode(arr).alias("s")).select("s.variable", "s.nas", "n")
-    return out.withColumn("prop_na", F.round(F.col("nas") / F.col("n"), digits))
+    return out.withColumn("prop_na", F.round(F.try_divide(F.col("nas"), F.col("n")), digits))
 
 
 def missing_by_trust(df: DataFrame, cols, key: str = "trustcode", digits: int = 2) -> DataFrame:
@@ -59,7 +59,7 @@ def missing_by_trust(df: DataFrame, cols, key: str = "trustcode", digits: int =
     arr = F.array(*[F.struct(F.lit(c).alias("variable"), (F.col("_n") - F.col(f"_c{i}")).alias("nas"))
                     for i, c in enumerate(cols)])
     out = g.select(key, F.col("_n").alias("n"), F.explode(arr).alias("s")).select(key, "s.variable", "s.nas", "n")
-    return out.withColumn("prop_na", F.round(F.col("nas") / F.col("n"), digits))
+    return out.withColumn("prop_na", F.round(F.try_divide(F.col("nas"), F.col("n")), digits))
 
 
 def overall_response_rate(df: DataFrame) -> DataFrame:

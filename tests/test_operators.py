@@ -139,3 +139,9 @@ def test_degenerate_groups_give_null_not_errors(spark):
     single = spark.createDataFrame([("g1", 1.0), ("g1", 2.0)], "g string, y double")
     f = ST.one_way_anova(single, "y", "g").first()
     assert f.df1 == 0 and f.f is None and f.p_value is None
+
+
+def test_missing_by_column_on_empty_input(spark):
+    empty = spark.createDataFrame([], "a string, b double")
+    rows = {r.variable: (r.nas, r.n, r.prop_na) for r in D.missing_by_column(empty, ["a", "b"]).collect()}
+    assert rows == {"a": (0, 0, None), "b": (0, 0, None)}
