@@ -9,6 +9,7 @@ from ..operators import joins as J
 from ..operators import survival as S
 from ..operators.derive import derive_wave
 from ..sources import scan
+from ..sources.fixture import inpatient_path
 from .common import derived, raw
 from .oracle_base import DERIVED_SQL, km_sql, with_derived
 from .registry import query, rounded
@@ -18,17 +19,22 @@ _RAW_COLS = [f.name for f in scan.SURVEY_SCHEMA.fields]
 
 @query("survey_scan", sql=f"WITH {DERIVED_SQL} SELECT {', '.join(_RAW_COLS)} FROM inpatient")
 def survey_scan(spark, sf_dir):
-    """A wave persisted as Parquet and loaded back with the fixed survey schema."""
-    path = scan.scratch_path(spark, "wave2009")
-    raw(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return scan.survey_scan(spark, path)
+    """The stored Parquet wave loaded with the fixed survey schema (no inference)."""
+    return scan.survey_scan(spark, inpatient_path(spark, sf_dir))
+
+
+_CSV_COPIES: dict = {}
 
 
 @query("csv_scan", sql=f"WITH {DERIVED_SQL} SELECT {', '.join(_RAW_COLS)} FROM inpatient")
 def csv_scan(spark, sf_dir):
-    """A wave written as CSV (NA for missing) read with an explicit schema."""
-    path = scan.scratch_path(spark, "wave2009-csv")
-    scan.csv_write(raw(spark, sf_dir), path)
+    """The wave as CSV (NA for missing; written once per session) read with an explicit schema."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    path = _CSV_COPIES.get(key)
+    if path is None:
+        path = scan.scratch_path(spark, "wave2009-csv")
+        scan.csv_write(raw(spark, sf_dir), path)
+        _CSV_COPIES[key] = path
     return scan.csv_scan(spark, path, scan.SURVEY_SCHEMA)
 
 
