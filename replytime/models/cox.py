@@ -97,6 +97,7 @@ class CoxFit:
     means: np.ndarray
     robust_cov: np.ndarray | None = None
     collapsed: DataFrame | None = None   # checkpointed (pattern, time) counts, reused by later steps
+    ties: str = "efron"
 
     @property
     def se(self):
@@ -121,8 +122,13 @@ def cox_frame(df: DataFrame, design: Design, time: str, event: str, keep=()) ->
                        F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"))
 
 
-def per_time_table(coll: DataFrame, beta, p: int) -> DataFrame:
-    """Per distinct time: event count, event/at-risk sums of r, r x, r x x' and risk-set sums."""
+def per_time_table(coll: DataFrame, beta, p: int, ties: str = "efron") -> DataFrame:
+    """Per distinct time: event count, event/at-risk sums of r, r x, r x x' and risk-set sums.
+
+    Column ``ef`` holds the tie sums (L, A0, A1, B0, B1, B2): Efron's through
+    the pandas UDF, Breslow's in closed form (L = d log S0, A0 = d/S0,
+    B0 = d/S0^2, the rest 0) as plain Column expressions.
+    """
     eta = linear_predictor(beta, p)
     pairs = upper_pairs(p)
     base = coll.select("time", *[f"x{j}" for j in range(p)], "n_at", "n_ev", eta.alias("eta"),
@@ -140,11 +146,17 @@ def per_time_table(coll: DataFrame, beta, p: int) -> DataFrame:
     risk += [f"sum(a1_{j}) {win} AS S1_{j}" for j in range(p)]
     risk += [f"sum(a2_{a}_{b}) {win} AS S2_{a}_{b}" for a, b in pairs]
     t = t.selectExpr("*", *risk)
+    if ties == "breslow":
+        d, s0 = F.col("d"), F.col("S0")
+        zero = F.lit(0.0)
+        ef = F.struct(F.when(d > 0, d * F.ln(s0)).otherwise(zero).alias("L"), (d / s0).alias("A0"),
+                      zero.alias("A1"), (d / (s0 * s0)).alias("B0"), zero.alias("B1"), zero.alias("B2"))
+        return t.withColumn("ef", ef)
     return t.withColumn("ef", _efron_udf(F.col("S0"), F.col("e0"), F.col("d")))
 
 
-def _step_pieces(coll: DataFrame, beta, p: int):
-    t = per_time_table(coll, beta, p).where(F.col("d") > 0)
+def _step_pieces(coll: DataFrame, beta, p: int, ties: str = "efron"):
+    t = per_time_table(coll, beta, p, ties).where(F.col("d") > 0)
     pairs = upper_pairs(p)
     exprs = ["sum(seta - ef.L)"]
     exprs += [f"sum(sx_{j} - (S1_{j} * ef.A0 - e1_{j} * ef.A1))" for j in range(p)]
@@ -156,8 +168,10 @@ def _step_pieces(coll: DataFrame, beta, p: int):
 
 
 def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None = None,
-            cluster: str | None = None, tol: float = 1e-9, max_iter: int = 30) -> CoxFit:
-    """Cox model (Efron ties) by Newton-Raphson with step halving."""
+            cluster: str | None = None, tol: float = 1e-9, max_iter: int = 30, ties: str = "efron") -> CoxFit:
+    """Cox model by Newton-Raphson with step halving; ``ties`` is "efron" (default) or "breslow"."""
+    if ties not in ("efron", "breslow"):
+        raise ValueError("ties must be 'efron' or 'breslow'")
     design = design or build_design(df, terms, intercept=False)
     p = design.p
     frame = cox_frame(df, design, time, event, keep=[cluster] if cluster else [])
@@ -179,7 +193,7 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
     cc = coll.select(*[(F.col(f"x{j}") - F.lit(float(means[j]))).alias(f"x{j}") for j in range(p)],
                      "time", "n_at", "n_ev")
     beta = np.zeros(p)
-    ll, u, info = _step_pieces(cc, beta, p)
+    ll, u, info = _step_pieces(cc, beta, p, ties)
     ll0 = ll
     it = 0
     for it in range(1, max_iter + 1):
@@ -187,7 +201,7 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
         lam = 1.0
         for _ in range(20):
             cand = beta + lam * step
-            ll_new, u_new, info_new = _step_pieces(cc, cand, p)
+            ll_new, u_new, info_new = _step_pieces(cc, cand, p, ties)
             if np.isfinite(ll_new) and ll_new >= ll - 1e-12:
                 break
             lam /= 2.0
@@ -196,7 +210,7 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
         ll, u, info = ll_new, u_new, info_new
         if done:
             break
-    fit = CoxFit(design, beta, inv_sym(info), ll, ll0, n, n_ev, it, means, collapsed=coll)
+    fit = CoxFit(design, beta, inv_sym(info), ll, ll0, n, n_ev, it, means, collapsed=coll, ties=ties)
     if cluster:
         fit.robust_cov = robust_cov(df, fit, time, event, cluster, collapsed=coll_c)
     return fit
@@ -230,7 +244,7 @@ def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark) ->
     """
     p = fit.design.p
     cc = _centred(df, fit, time, event)
-    pt = per_time_table(cc, fit.beta, p).where(F.col("d") > 0)
+    pt = per_time_table(cc, fit.beta, p, fit.ties).where(F.col("d") > 0)
     xbar = pt.select("time", *[((F.col(f"S1_{j}") * F.col("ef.A0") - F.col(f"e1_{j}") * F.col("ef.A1"))
                                 / F.col("d")).alias(f"xb_{j}") for j in range(p)])
     ev = cc.where(F.col("n_ev") > 0).join(xbar, "time")
@@ -255,7 +269,7 @@ def baseline_hazard(df: DataFrame, fit: CoxFit, time: str, event: str) -> DataFr
     """Efron baseline cumulative hazard H0(t) at the covariate means (per distinct time)."""
     p = fit.design.p
     cc = _centred(df, fit, time, event)
-    pt = per_time_table(cc, fit.beta, p).select("time", "d", F.coalesce(F.col("ef.A0"), F.lit(0.0)).alias("dH"))
+    pt = per_time_table(cc, fit.beta, p, fit.ties).select("time", "d", F.coalesce(F.col("ef.A0"), F.lit(0.0)).alias("dH"))
     w = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     return pt.select("time", "d", F.sum("dH").over(w).alias("cumhaz"))
 
@@ -289,7 +303,7 @@ def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str,
                         {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")})
     cc = coll.select(cluster, *[(F.col(f"x{j}") - F.lit(float(fit.means[j]))).alias(f"x{j}") for j in range(p)],
                      "time", "n_at", "n_ev")
-    pt = per_time_table(cc.drop(cluster), fit.beta, p)
+    pt = per_time_table(cc.drop(cluster), fit.beta, p, fit.ties)
     A0, A1 = F.col("ef.A0"), F.col("ef.A1")
     B0, B1, B2 = F.col("ef.B0"), F.col("ef.B1"), F.col("ef.B2")
     d = F.col("d")

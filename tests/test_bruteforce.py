@@ -231,3 +231,35 @@ def test_cox_robust_variance_brute_force(spark):
         meat += np.outer(u, u)
     v = fit.cov @ meat @ fit.cov
     assert np.allclose(v, fit.robust_cov, rtol=1e-7, atol=1e-14)
+
+
+def test_cox_breslow_brute_force(spark):
+    d = derived(spark, SF0001)
+    fit = CX.fit_cox(d, "reply_time", "event", [TRI], cluster="trustcode", ties="breslow")
+    p = fit.design.p
+    frame = CX.cox_frame(d, fit.design, "reply_time", "event", keep=["trustcode"])
+    rows = frame.collect()
+    X = np.array([[r[f"x{i}"] for i in range(p)] for r in rows]) - fit.means
+    t = np.array([r["time"] for r in rows])
+    e = np.array([r["event"] for r in rows])
+    g = np.array([r["trustcode"] for r in rows])
+    r = np.exp(X @ fit.beta)
+    ll, score = 0.0, np.zeros(p)
+    U = np.zeros_like(X)
+    for tt in np.unique(t[e == 1]):
+        risk = t >= tt
+        dead = risk & (t == tt) & (e == 1)
+        dd = dead.sum()
+        s0, s1 = r[risk].sum(), (r[risk, None] * X[risk]).sum(axis=0)
+        xbar = s1 / s0
+        ll += (X[dead] @ fit.beta).sum() - dd * math.log(s0)
+        score += X[dead].sum(axis=0) - dd * xbar
+        U[dead] += X[dead] - xbar
+        U[risk] -= (r[risk] * dd / s0)[:, None] * (X[risk] - xbar)
+    assert np.max(np.abs(score)) < 1e-6
+    assert abs(ll - fit.loglik) < 1e-8 * abs(ll)
+    meat = np.zeros((p, p))
+    for c in np.unique(g):
+        u = U[g == c].sum(axis=0)
+        meat += np.outer(u, u)
+    assert np.allclose(fit.cov @ meat @ fit.cov, fit.robust_cov, rtol=1e-7, atol=1e-14)
