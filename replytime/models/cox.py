@@ -233,27 +233,48 @@ def _centred(df: DataFrame, fit: CoxFit, time: str, event: str) -> DataFrame:
                        "time", "n_at", "n_ev")
 
 
-def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark) -> DataFrame:
-    """Proportional-hazards check: correlation of scaled Schoenfeld residuals with time.
+def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark,
+                    transform: str = "km") -> DataFrame:
+    """Proportional-hazards check: scaled Schoenfeld residuals against a function g of time.
 
-    Residual of an event at t: x - xbar(t), with the Efron-weighted mean
+    Residual of an event at t: x - xbar(t), with the tie-weighted mean
     xbar(t) = (S1 A0 - e1 A1) / d.  Per covariate j the statistic
-    T_j = (sum_k (t_k - tbar) s*_kj)^2 / (D V_jj sum_k (t_k - tbar)^2), s* the
-    scaled residual, is referred to chi-square(1).  Sums run as Spark
-    aggregates over the collapsed rows joined to the per-time table.
+    T_j = (sum_k (g_k - gbar) s*_kj)^2 / (D V_jj sum_k (g_k - gbar)^2), s* the
+    scaled residual, is referred to chi-square(1).  ``transform``: "km"
+    (g = 1 - the pooled left-continuous Kaplan-Meier estimate at t), "rank"
+    (rank of the distinct event time) or "identity" (g = t).  Sums run as
+    Spark aggregates over the collapsed rows joined to the per-time table.
     """
     p = fit.design.p
     cc = _centred(df, fit, time, event)
-    pt = per_time_table(cc, fit.beta, p, fit.ties).where(F.col("d") > 0)
-    xbar = pt.select("time", *[((F.col(f"S1_{j}") * F.col("ef.A0") - F.col(f"e1_{j}") * F.col("ef.A1"))
-                                / F.col("d")).alias(f"xb_{j}") for j in range(p)])
+    pt = per_time_table(cc, fit.beta, p, fit.ties)
+    w_prev = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    if transform == "km":
+        # counts per distinct time -> KM just before t (all rows at risk at t)
+        cnt = cc.groupBy("time").agg(F.sum("n_at").alias("n_at_t"), F.sum("n_ev").alias("n_ev_t"))
+        w_all = Window.partitionBy(F.lit(0))
+        n_risk = F.sum("n_at_t").over(w_all) - F.coalesce(F.sum("n_at_t").over(w_prev), F.lit(0.0))
+        cnt = cnt.withColumn("n_risk", n_risk).withColumn(
+            "_step", F.when(F.col("n_ev_t") < F.col("n_risk"), F.ln(F.lit(1.0) - F.col("n_ev_t") / F.col("n_risk"))))
+        gcol = F.lit(1.0) - F.exp(F.coalesce(F.sum("_step").over(w_prev), F.lit(0.0)))
+        gt = cnt.select("time", gcol.alias("g"))
+    elif transform == "rank":
+        gt = pt.where(F.col("d") > 0).select("time", F.dense_rank().over(
+            Window.partitionBy(F.lit(0)).orderBy("time")).cast("double").alias("g"))
+    elif transform == "identity":
+        gt = pt.select("time", F.col("time").alias("g"))
+    else:
+        raise ValueError("transform must be 'km', 'rank' or 'identity'")
+    xbar = pt.where(F.col("d") > 0).select(
+        "time", *[((F.col(f"S1_{j}") * F.col("ef.A0") - F.col(f"e1_{j}") * F.col("ef.A1"))
+                   / F.col("d")).alias(f"xb_{j}") for j in range(p)]).join(gt, "time")
     ev = cc.where(F.col("n_ev") > 0).join(xbar, "time")
-    m = agg_vector(ev, [F.sum(F.col("n_ev") * F.col("time")), F.sum("n_ev")])
-    tbar, dtot = m[0] / m[1], m[1]
-    g = F.col("time") - F.lit(tbar)
+    m = agg_vector(ev, [F.sum(F.col("n_ev") * F.col("g")), F.sum("n_ev")])
+    gbar, dtot = m[0] / m[1], m[1]
+    gc = F.col("g") - F.lit(gbar)
     res = [F.col(f"x{j}") - F.col(f"xb_{j}") for j in range(p)]
-    v = agg_vector(ev, [F.sum(F.col("n_ev") * g * res[j]) for j in range(p)]
-                   + [F.sum(F.col("n_ev") * g * g)])
+    v = agg_vector(ev, [F.sum(F.col("n_ev") * gc * res[j]) for j in range(p)]
+                   + [F.sum(F.col("n_ev") * gc * gc)])
     sgr, sgg = v[:p], v[p]
     # scaled residuals s*_k = beta + D V r_k  =>  sum g s* = D V (sum g r)
     sg_scaled = dtot * (fit.cov @ sgr)

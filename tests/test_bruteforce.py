@@ -263,3 +263,38 @@ def test_cox_breslow_brute_force(spark):
         u = U[g == c].sum(axis=0)
         meat += np.outer(u, u)
     assert np.allclose(fit.cov @ meat @ fit.cov, fit.robust_cov, rtol=1e-7, atol=1e-14)
+
+
+def test_schoenfeld_km_transform_brute_force(spark):
+    d = derived(spark, SF0001)
+    fit = CX.fit_cox(d, "reply_time", "event", [TRI])
+    out = {r.term: r for r in CX.schoenfeld_test(d, fit, "reply_time", "event", spark).collect()}
+    p = fit.design.p
+    frame = CX.cox_frame(d, fit.design, "reply_time", "event")
+    rows = frame.collect()
+    X = np.array([[r[f"x{i}"] for i in range(p)] for r in rows]) - fit.means
+    t = np.array([r["time"] for r in rows])
+    e = np.array([r["event"] for r in rows])
+    r = np.exp(X @ fit.beta)
+    # left-continuous pooled KM
+    s_before, s = {}, 1.0
+    for tt in np.unique(t):
+        s_before[tt] = s
+        n, dd = (t >= tt).sum(), ((t == tt) & (e == 1)).sum()
+        s *= 1 - dd / n
+    gs, res = [], []
+    for tt in np.unique(t[e == 1]):
+        risk, dead = t >= tt, (t == tt) & (e == 1)
+        dd = int(dead.sum())
+        s0, s1 = r[risk].sum(), (r[risk, None] * X[risk]).sum(axis=0)
+        e0, e1 = r[dead].sum(), (r[dead, None] * X[dead]).sum(axis=0)
+        xbar = sum((s1 - l / dd * e1) / (s0 - l / dd * e0) for l in range(dd)) / dd
+        for i in np.where(dead)[0]:
+            gs.append(1 - s_before[tt])
+            res.append(X[i] - xbar)
+    gs, res = np.array(gs), np.array(res)
+    gc = gs - gs.mean()
+    sg = len(gs) * (fit.cov @ (gc[:, None] * res).sum(axis=0))
+    for j, name in enumerate(fit.design.names):
+        stat = sg[j] ** 2 / (len(gs) * fit.cov[j, j] * (gc * gc).sum())
+        assert abs(out[name].chisq - stat) < 1e-6 * max(1.0, stat)
