@@ -450,7 +450,9 @@ def regression_tree(spark, sf_dir):
     des, mf = _tree_frame(spark, sf_dir)
     vec = VectorAssembler(inputCols=[f"x{i}" for i in range(des.p)], outputCol="features").transform(
         mf.withColumn("label", F.col("reply_time").cast("double")))
-    model = DecisionTreeRegressor(maxDepth=5, minInstancesPerNode=20, seed=7).fit(vec)
+    # minimum leaf size 7 = the usual recursive-partitioning default (minsplit 20, minbucket 7);
+    # no cost-complexity pruning in MLlib, so depth is capped instead
+    model = DecisionTreeRegressor(maxDepth=5, minInstancesPerNode=7, seed=7).fit(vec)
     return model.transform(vec).select("record", F.col("prediction").alias("fitted"))
 
 
@@ -466,7 +468,7 @@ def classification_tree(spark, sf_dir):
     indexer = StringIndexer(inputCol="q74", outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     vec = VectorAssembler(inputCols=[f"x{i}" for i in range(des.p)], outputCol="features").transform(
         indexer.transform(rows))
-    model = DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=20, seed=7).fit(vec)
+    model = DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=7, seed=7).fit(vec)
     lv = F.array(*[F.lit(x) for x in indexer.labels])
     return model.transform(vec).select("record", "q74",
                                        F.element_at(lv, F.col("prediction").cast("int") + 1).alias("predicted"))
