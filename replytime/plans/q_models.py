@@ -434,22 +434,30 @@ def effect_profile(spark, sf_dir):
 
 # --------------------------------------------------------------------- trees
 
-def _tree_frame(spark, sf_dir):
-    d = derived(spark, sf_dir)
-    des = build_design(d, [AGE, GENDER, Numeric("los"), Numeric("overall_sat")], intercept=False)
-    rows = complete_rows(d, des, extra=["reply_time"])
-    return des, rows.select("record", "reply_time", "q74",
-                            *[e.alias(f"x{i}") for i, e in enumerate(des.exprs)])
+def _item_features(d):
+    """Questionnaire items as tree features: ordered scales by rank, yes/no as 0/1."""
+    return [
+        R.ordered_rank("q22", tuple(reversed(L.CLEAN_LEVELS))).cast("double").alias("clean"),
+        R.ordered_rank("q32", L.CONFIDENCE_ORDERED).cast("double").alias("doctors"),
+        R.ordered_rank("q36", L.CONFIDENCE_ORDERED).cast("double").alias("nurses"),
+        R.ordered_rank("q49", L.CALL_BUTTON_ORDERED).cast("double").alias("call_button"),
+        R.ordered_rank("q72", L.CONFIDENCE_ORDERED).cast("double").alias("dignity"),
+        (F.col("emergency") == "yes").cast("double").alias("emergency"),
+        (F.col("choice") == "Yes").cast("double").alias("choice"),
+    ]
 
 
 @query("regression_tree")
 def regression_tree(spark, sf_dir):
-    """Regression tree (variance reduction) of reply time; fitted value per row."""
+    """Regression tree (variance reduction) of the rating code on the questionnaire items; fitted value per row."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
-    des, mf = _tree_frame(spark, sf_dir)
-    vec = VectorAssembler(inputCols=[f"x{i}" for i in range(des.p)], outputCol="features").transform(
-        mf.withColumn("label", F.col("reply_time").cast("double")))
+    d = derived(spark, sf_dir)
+    feats = _item_features(d)
+    names = [f"f{i}" for i in range(len(feats))]
+    mf = d.select("record", F.col("overall_sat").cast("double").alias("label"),
+                  *[c.alias(n) for c, n in zip(feats, names)]).dropna()
+    vec = VectorAssembler(inputCols=names, outputCol="features").transform(mf)
     # minimum leaf size 7 = the usual recursive-partitioning default (minsplit 20, minbucket 7);
     # no cost-complexity pruning in MLlib, so depth is capped instead
     model = DecisionTreeRegressor(maxDepth=5, minInstancesPerNode=7, seed=7).fit(vec)
