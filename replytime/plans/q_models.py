@@ -631,3 +631,15 @@ def odds_ratio_single_factor(spark, sf_dir):
     rows = [(n, float(o), float(o * s)) for n, o, s in zip(fit.design.names, orr, fit.se)]
     out = spark.createDataFrame(rows, "term string, odds_ratio double, std_error double")
     return out.select("term", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("std_error", 6).alias("std_error"))
+
+
+@query("random_intercept_lmm_by_mailing")
+def random_intercept_lmm_by_mailing(spark, sf_dir):
+    """REML: time since each mailing ~ satisfaction + (1 | trust), replies to that mailing."""
+    d = derived(spark, sf_dir)
+    fits = run_all([lambda k=k: fit_lmm(d, f"reply_time{k}", [TRI], "trustcode") for k in (1, 2, 3)])
+    out = None
+    for k, fit in zip((1, 2, 3), fits):
+        t = fit.table(spark).withColumn("mailing", F.lit(k))
+        out = t if out is None else out.unionByName(t)
+    return out
