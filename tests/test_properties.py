@@ -50,3 +50,32 @@ def test_r_case_equals_nested_ifelse(spark, rows):
     expr = r_case((F.col("c1"), F.lit("a")), (F.col("c2"), F.lit("b")), default=F.lit("z"))
     got = [r.v for r in df.select(expr.alias("v")).collect()]
     assert got == [r_nested_ifelse([a, b], ["a", "b"], "z") for a, b in rows]
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 1)), min_size=1, max_size=30))
+def test_piecewise_hazard_equals_python(spark, rows):
+    pairs = spark.createDataFrame([(float(t), e) for t, e in rows], "time double, event int")
+    got = {r.bin_start: (r.events, r.person_time) for r in S.hazard_piecewise(pairs, 1.0, 10.0).collect()}
+    ref = {}
+    for b in range(10):
+        pt = sum(min(t, b + 1) - b for t, _ in rows if t > b)
+        ev = sum(1 for t, e in rows if e == 1 and b < t <= b + 1)
+        if pt > 0:
+            ref[float(b)] = (ev, float(pt))
+    assert got == ref
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from("xy")), min_size=1, max_size=40))
+def test_cross_table_margins_sum_to_one(spark, rows):
+    from replytime.operators.describe import cross_table
+    df = spark.createDataFrame(rows, "a string, b string")
+    out = cross_table(df, "a", "b").collect()
+    for key, col in (("a", "prop_row"), ("b", "prop_col")):
+        sums = {}
+        for r in out:
+            sums[r[key]] = sums.get(r[key], 0.0) + r[col]
+        assert all(abs(v - 1.0) < 1e-12 for v in sums.values())
+    assert abs(sum(r.prop_total for r in out) - 1.0) < 1e-12
+    assert sum(r.n for r in out) == len(rows)
