@@ -64,9 +64,9 @@ def censor_scalars(df: DataFrame, rating_col: str = "q74", rating_levels=L.RATIN
 def group_scalars(df: DataFrame, keys, rating_col: str = "q74", rating_levels=L.RATING_LEVELS) -> DataFrame:
     """Per group (e.g. per wave or per trust): last received date and used rating levels.
 
-    One row per group; joined back by key (the table is as small as the number
-    of groups, so the planner broadcasts it; a hot group is no problem because
-    the aggregate is combined map-side before the shuffle).
+    One row per group; joined back by key, broadcast after a size check
+    (a hot group is no problem: the aggregate is combined map-side before the
+    shuffle, and the broadcast join never shuffles the rows).
     """
     return df.groupBy(*keys).agg(F.max("date_rec").alias("max_date"),
                                  used_levels_expr(rating_col, rating_levels).alias("rating_levels"))
@@ -95,7 +95,8 @@ def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by=None, floor_l
     if censor_by_trust and not censor_by:
         censor_by = ("trustcode",)
     if censor_by:
-        d = d.join(group_scalars(d, list(censor_by), rating_col), list(censor_by), "left")
+        from .joins import sized_broadcast
+        d = d.join(sized_broadcast(group_scalars(d, list(censor_by), rating_col)), list(censor_by), "left")
     else:
         s = censor_scalars(d, rating_col)
         d = d.withColumns({"max_date": s.getField("max_date"),

@@ -1,6 +1,6 @@
 """Keyed joins of the study.  Only sides with a proven size bound get a
-broadcast hint; everything else is left to the planner and AQE, which turn
-a join into a broadcast at run time when the measured side is small."""
+broadcast hint: fixed tables directly, per-group tables after an explicit
+row count (``sized_broadcast``); beyond the bound the join shuffles."""
 
 from __future__ import annotations
 
@@ -10,6 +10,24 @@ from pyspark.sql import functions as F
 from ..functions.core import composite_key
 
 
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """A per-group table prepared for joining to row data, broadcast only if its size allows.
+
+    The table is checkpointed (so counting it does not recompute it and the
+    join reads the same rows) and counted.  With at most ``max_rows`` rows it
+    is hinted for broadcast: the big side is then never shuffled, whatever
+    its key skew.  Beyond that it is returned unhinted and the join shuffles
+    both sides on the key (AQE splits skewed partitions).
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(small.sparkSession)
+    s = small.checkpoint(eager=True)
+    return F.broadcast(s) if s.count() <= max_rows else s
+
+
 def response_rate_by_trust(df: DataFrame, rating: str = "overall_sat", key: str = "trustcode") -> DataFrame:
     """Share of rows with a rating, per trust."""
     return df.groupBy(key).agg(
@@ -19,11 +37,10 @@ def response_rate_by_trust(df: DataFrame, rating: str = "overall_sat", key: str
 def attach_response_rate(df: DataFrame, rates: DataFrame, key: str = "trustcode") -> DataFrame:
     """Left outer join of the per-trust rate to every row.
 
-    ``rates`` has one row per trust (a grouped aggregate); its size is the
-    trust count, so the planner/AQE broadcasts it when small and shuffles
-    otherwise.  Both sides are hash partitioned on ``key`` by the aggregate.
+    ``rates`` has one row per trust (a grouped aggregate); it is broadcast
+    after a size check (``sized_broadcast``), else joined by a shuffle.
     """
-    return df.join(rates, key, "left")
+    return df.join(sized_broadcast(rates), key, "left")
 
 
 def with_pid(df: DataFrame, trust: str = "trustcode", record: str = "record") -> DataFrame:

@@ -145,3 +145,20 @@ def test_missing_by_column_on_empty_input(spark):
     empty = spark.createDataFrame([], "a string, b double")
     rows = {r.variable: (r.nas, r.n, r.prop_na) for r in D.missing_by_column(empty, ["a", "b"]).collect()}
     assert rows == {"a": (0, 0, None), "b": (0, 0, None)}
+
+
+def test_sized_broadcast_both_branches(spark):
+    big = spark.createDataFrame([(f"T{i % 5}", i) for i in range(200)], "trustcode string, record int")
+    small = big.groupBy("trustcode").agg(F.count(F.lit(1)).alias("n"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hinted = big.join(J.sized_broadcast(small), "trustcode")
+        plain = big.join(J.sized_broadcast(small, max_rows=2), "trustcode")
+        p1 = hinted._jdf.queryExecution().executedPlan().toString()
+        p2 = plain._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in p1
+        assert "BroadcastHashJoin" not in p2
+        assert sorted(hinted.collect()) == sorted(plain.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
