@@ -95,3 +95,20 @@ def test_curve_alignment_pivot_equals_full_joins(spark, derived001):
     ra = sorted(a.collect(), key=key)
     rb = sorted(b.select("time", "r0", "r1", "r2").collect(), key=key)
     assert ra == rb
+
+
+def test_derived_table_shuffles_no_rows(spark):
+    """The derived wave is one projection over the scan: exchanges appear only in
+    the censoring subquery (a one-row aggregate), never in the main plan."""
+    import contextlib
+    import io
+    from replytime.plans.common import derived
+    from .conftest import SF0001
+    df = derived(spark, SF0001)
+    df.write.format("noop").mode("overwrite").save()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    main, _, subqueries = buf.getvalue().partition("===== Subqueries =====")
+    assert "Exchange" not in main
+    assert "Exchange" in subqueries
