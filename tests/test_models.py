@@ -236,3 +236,14 @@ def test_glmm_recovers_cluster_effects(spark):
     plain = fit_logit(df, "y", "yes", [Numeric("x")])
     # ignoring the clusters attenuates the slope toward zero
     assert abs(plain.beta[1]) < abs(fit.beta[1]) + 1e-9
+
+
+def test_newton_steps_read_the_checkpoint_not_the_scan(spark, derived001):
+    """After the collapse, every Newton step plans over the checkpoint (no Parquet scan)."""
+    des = build_design(derived001, [TRI], intercept=True)
+    frame = aft_frame(derived001, des, "reply_time", "event")
+    coll = collapse(frame, [f"x{i}" for i in range(des.p)] + ["logt", "event"],
+                    {"w": F.count(F.lit(1)).cast("double")})
+    step = coll.agg(F.sum("w"))
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" not in plan and "FileScan" not in plan
