@@ -8,7 +8,6 @@ inside whole-stage code generation.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
