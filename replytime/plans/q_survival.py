@@ -139,3 +139,19 @@ def hazard_piecewise(spark, sf_dir):
     return out.select("bin_start", "events", F.round("person_time", 6).alias("person_time"),
                       F.round("hazard", 8).alias("hazard"), F.round("lower", 8).alias("lower"),
                       F.round("upper", 8).alias("upper"))
+
+
+@query("km_by_wave", sql=with_derived(
+    f"SELECT w.wave, {_KM_COLS} FROM km, (VALUES (2006), (2007), (2008), (2009)) w(wave)",
+    """km_in AS (SELECT CAST(reply_time AS DOUBLE) AS time, event FROM d
+               WHERE reply_time IS NOT NULL AND event IS NOT NULL),""" + km_sql("km_in")))
+def km_by_wave(spark, sf_dir):
+    """Kaplan-Meier of reply time in each of four waves (per-wave censoring, window partitioned by wave)."""
+    from ..operators.derive import derive_wave
+    from ..sources import scan
+    from .common import raw
+    base = raw(spark, sf_dir)
+    u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
+    d = derive_wave(u, censor_by=("wave",))
+    pairs = S.survival_pair(d, "reply_time", "event", by=("wave",))
+    return rounded(S.kaplan_meier(pairs, by=("wave",), conf=False), 8)
