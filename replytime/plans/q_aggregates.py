@@ -348,3 +348,24 @@ def histogram_by_wave(spark, sf_dir):
     u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
     d = with_dates(u).select("wave", reply_days("date_rec", "mail1").alias("days"))
     return rounded(P.histogram_density(d, "days", 1.0, by=("wave",)), 8)
+
+
+@query("response_rate_by_wave", sql=with_derived(
+    "SELECT w.wave, n_rows, n_returned, n_not_returned, "
+    "round(CAST(n_returned AS DOUBLE) / (n_returned + n_not_returned), 8) AS response_rate FROM ("
+    "SELECT count(*) AS n_rows, count(CASE WHEN new_outcome = 'Returned' THEN 1 END) AS n_returned, "
+    "count(CASE WHEN new_outcome = 'Not returned' THEN 1 END) AS n_not_returned FROM d) x, "
+    "(VALUES (2006), (2007), (2008), (2009)) w(wave)"))
+def response_rate_by_wave(spark, sf_dir):
+    """Returned / (returned + not returned) in each of four waves (one grouped pass)."""
+    from ..functions import recode as RC
+    from ..sources import scan
+    base = raw(spark, sf_dir)
+    u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
+    no = RC.outcome_class("outcome")
+    g = u.groupBy("wave").agg(F.count(F.lit(1)).alias("n_rows"),
+                              F.count(F.when(no == "Returned", 1)).alias("n_returned"),
+                              F.count(F.when(no == "Not returned", 1)).alias("n_not_returned"))
+    ret, nr = F.col("n_returned").cast("double"), F.col("n_not_returned").cast("double")
+    return g.select("wave", "n_rows", "n_returned", "n_not_returned",
+                    F.round(F.try_divide(ret, ret + nr), 8).alias("response_rate"))
