@@ -124,18 +124,23 @@ def fit_ordinal(df: DataFrame, y: str, levels, terms, design: Design | None = No
     design = design or build_design(df, terms, intercept=False)
     p = design.p
     rows = complete_rows(df, design, extra=[y]).where(F.col(y).isin(*levels))
-    # levels with no observation are dropped before numbering (as an unused
-    # factor level is); thresholds exist only between observed levels
-    present = {r[0] for r in rows.select(y).distinct().collect()}  # at most len(levels) rows
-    levels = tuple(lv for lv in levels if lv in present)
-    if len(levels) < 3:
-        raise ValueError(f"{y}: an ordinal model needs at least 3 observed levels, got {levels}")
     kk = len(levels)
     k = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(y)).cast("int")
     xf = rows.select(*[e.alias(f"x{i}") for i, e in enumerate(design.exprs)], k.alias("k"))
     coll = collapse(xf, [f"x{i}" for i in range(p)] + ["k"], {"w": F.count(F.lit(1)).cast("double")})
-    # start: marginal cumulative logits, beta = 0
     cnt = agg_vector(coll, [F.sum(F.when(F.col("k") == m, F.col("w")).otherwise(0.0)) for m in range(1, kk + 1)])
+    if np.any(cnt == 0):
+        # levels with no observation are dropped before numbering (as an unused
+        # factor level is): renumber the categories on the small collapsed table
+        keep = [m + 1 for m in range(kk) if cnt[m] > 0]
+        levels = tuple(levels[m - 1] for m in keep)
+        new_k = F.array_position(F.array(*[F.lit(m) for m in keep]), F.col("k")).cast("int")
+        coll = coll.withColumn("k", new_k)
+        cnt = cnt[cnt > 0]
+        kk = len(levels)
+    if kk < 3:
+        raise ValueError(f"{y}: an ordinal model needs at least 3 observed levels, got {levels}")
+    # start: marginal cumulative logits, beta = 0
     cum = np.cumsum(cnt)[:-1] / cnt.sum()
     zeta = np.log(cum / (1.0 - cum))
     beta = np.zeros(p)

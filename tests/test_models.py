@@ -247,3 +247,12 @@ def test_newton_steps_read_the_checkpoint_not_the_scan(spark, derived001):
     step = coll.agg(F.sum("w"))
     plan = step._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" not in plan and "FileScan" not in plan
+
+
+def test_ordinal_drops_unobserved_level(spark, derived001):
+    """A level with no observation is dropped; the fit equals the fit on the observed levels."""
+    four = ("Other", "Nobody answers this", "Very good", "Excellent")
+    a = fit_ordinal(derived001, "overall_tri", four, [Numeric("reply_time")])
+    b = fit_ordinal(derived001, "overall_tri", TRI_ORD, [Numeric("reply_time")])
+    assert a.levels == TRI_ORD
+    assert np.allclose(a.beta, b.beta, atol=1e-9) and np.allclose(a.zeta, b.zeta, atol=1e-9)
