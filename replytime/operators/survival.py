@@ -41,12 +41,17 @@ def event_table(pairs: DataFrame, by=(), time="time", event="event") -> DataFram
                                         F.sum(F.col(event)).cast("long").alias("n_event"))
 
 
-def kaplan_meier(pairs: DataFrame, by=(), time="time", event="event", conf: bool = True) -> DataFrame:
-    """Kaplan-Meier estimate with Greenwood error and log-scale 95% limits.
+def kaplan_meier(pairs: DataFrame, by=(), time="time", event="event", conf: bool = True,
+                 conf_type: str = "log", events_only: bool = False) -> DataFrame:
+    """Kaplan-Meier estimate with Greenwood error and 95% limits.
 
     Output: ``*by, time, n_risk, n_event, n_censor, surv[, std_err, lower, upper]``;
-    one row per distinct time (event or censoring) per group.
+    one row per distinct time (event or censoring) per group, or only the
+    event times with ``events_only`` (the printed summary's rows).
+    ``conf_type``: "log" (default), "log-log" or "plain" limits.
     """
+    if conf_type not in ("log", "log-log", "plain"):
+        raise ValueError("conf_type must be 'log', 'log-log' or 'plain'")
     ev = event_table(pairs, by, time, event)
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     w_all = part
@@ -67,16 +72,28 @@ def kaplan_meier(pairs: DataFrame, by=(), time="time", event="event", conf: bool
     out = t.select(*by, F.col(time).alias("time"), "n_risk", "n_event",
                    (F.col("n_at") - F.col("n_event")).alias("n_censor"), surv.alias("surv"),
                    "_gw", "_zero", "_lnS")
+    if events_only:
+        out = out.where(F.col("n_event") > 0)
     if not conf:
         return out.drop("_gw", "_zero", "_lnS")
     se_log = F.sqrt(F.col("_gw"))
     live = F.col("_zero") == 0
-    return out.select(
-        *by, "time", "n_risk", "n_event", "n_censor", "surv",
-        (F.col("surv") * se_log).alias("std_err"),
-        F.when(live, F.exp(F.col("_lnS") - F.lit(Z975) * se_log)).alias("lower"),
-        F.when(live, F.least(F.lit(1.0), F.exp(F.col("_lnS") + F.lit(Z975) * se_log))).alias("upper"),
-    )
+    z = F.lit(Z975)
+    if conf_type == "log":
+        lower = F.when(live, F.exp(F.col("_lnS") - z * se_log))
+        upper = F.when(live, F.least(F.lit(1.0), F.exp(F.col("_lnS") + z * se_log)))
+    elif conf_type == "plain":
+        se_s = F.col("surv") * se_log
+        lower = F.greatest(F.lit(0.0), F.col("surv") - z * se_s)
+        upper = F.least(F.lit(1.0), F.col("surv") + z * se_s)
+    else:  # log-log: exp(-exp(log(-log S) +- z se / |log S|)); undefined at S = 1 and S = 0
+        ok = live & (F.col("_lnS") < 0)
+        ll = F.ln(-F.col("_lnS"))
+        w = z * se_log / F.abs(F.col("_lnS"))
+        lower = F.when(ok, F.exp(-F.exp(ll + w)))
+        upper = F.when(ok, F.exp(-F.exp(ll - w)))
+    return out.select(*by, "time", "n_risk", "n_event", "n_censor", "surv",
+                      (F.col("surv") * se_log).alias("std_err"), lower.alias("lower"), upper.alias("upper"))
 
 
 def response_curve(km: DataFrame) -> DataFrame:

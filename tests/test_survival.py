@@ -112,3 +112,19 @@ def test_derived_table_shuffles_no_rows(spark):
     main, _, subqueries = buf.getvalue().partition("===== Subqueries =====")
     assert "Exchange" not in main
     assert "Exchange" in subqueries
+
+
+def test_km_conf_types_and_events_only(spark):
+    rows = [(1.0, 1), (2.0, 1), (2.0, 1), (2.0, 0), (3.0, 0), (4.0, 1)]
+    pairs = spark.createDataFrame(rows, "time double, event int")
+    s2 = (1 - 1 / 6) * (1 - 2 / 5)
+    gw = 1 / (6 * 5) + 2 / (5 * 3)
+    z = S.Z975
+    plain = {r.time: r for r in S.kaplan_meier(pairs, conf_type="plain").collect()}
+    assert abs(plain[2.0].lower - (s2 - z * s2 * math.sqrt(gw))) < 1e-12
+    loglog = {r.time: r for r in S.kaplan_meier(pairs, conf_type="log-log").collect()}
+    w = z * math.sqrt(gw) / abs(math.log(s2))
+    assert abs(loglog[2.0].lower - math.exp(-math.exp(math.log(-math.log(s2)) + w))) < 1e-12
+    assert abs(loglog[2.0].upper - math.exp(-math.exp(math.log(-math.log(s2)) - w))) < 1e-12
+    ev = sorted(r.time for r in S.kaplan_meier(pairs, events_only=True).collect())
+    assert ev == [1.0, 2.0, 4.0]
