@@ -17,11 +17,19 @@ def outcome_class(outcome, returned=(L.RETURNED_LABEL,),
             .when(o.isin(*not_returned), F.lit("Not returned")))
 
 
+def _lookup(mapping: dict, col) -> Column:
+    """Map lookup referencing ``col`` once (NULL or unmapped value -> NULL).
+
+    Derived columns are inlined into downstream filters and aggregates, so
+    a recode that names its input once keeps the generated code small.
+    """
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.try_element_at(m, _c(col))
+
+
 def event_flag(new_outcome) -> Column:
     """1 = returned (event), 0 = not returned (censored), NULL otherwise."""
-    o = _c(new_outcome)
-    # tests on one column: NULL fails both, so a plain CASE keeps the NULL
-    return F.when(o == "Returned", F.lit(1)).when(o == "Not returned", F.lit(0))
+    return _lookup({"Returned": 1, "Not returned": 0}, new_outcome)
 
 
 def event_flag_wave(outcome) -> Column:
@@ -51,36 +59,32 @@ def reply_strata(date_rec, mail2, mail3, outcome=None) -> Column:
 
 def repeat_mail_flag(strata) -> Column:
     """'First' for Mail1, 'Repeated' for Mail2 / Mail3."""
-    s = _c(strata)
-    # a NULL stratum fails both tests, so a plain CASE already yields NULL
-    return F.when(s.isin("Mail2", "Mail3"), F.lit("Repeated")).when(s == "Mail1", F.lit("First"))
+    return _lookup({"Mail1": "First", "Mail2": "Repeated", "Mail3": "Repeated"}, strata)
 
 
 def strata_first_later(strata) -> Column:
     """'First' for Mail1, 'Later' for Mail2 / Mail3."""
-    s = _c(strata)
-    return F.when(s == "Mail1", F.lit("First")).when(s.isin("Mail2", "Mail3"), F.lit("Later"))
+    return _lookup({"Mail1": "First", "Mail2": "Later", "Mail3": "Later"}, strata)
 
 
 def early_flag(time, days: int = 14) -> Column:
     """'Early' when time <= days, 'Late' when above, NULL when time is NULL."""
     t = _c(time)
-    return r_case((t <= days, F.lit("Early")), (t > days, F.lit("Late")),
-                  default=F.lit(None).cast("string"))
+    # NULL time -> NULL; otherwise one comparison decides (same as the nested ifelse)
+    return F.when(t.isNotNull(), F.when(t <= days, F.lit("Early")).otherwise(F.lit("Late")))
 
 
 def late_flag(time, days: int = 21) -> Column:
     """'Late' when time > days else 'Early'; NULL time gives NULL."""
     t = _c(time)
-    return r_ifelse(t > days, F.lit("Late"), F.lit("Early"))
+    return F.when(t > days, F.lit("Late")).when(t.isNotNull(), F.lit("Early"))
 
 
 def satisfaction_tri(code) -> Column:
     """Rating code 1 -> Excellent, 2 -> Very good, other non-null -> Other."""
     c = _c(code)
     exc, vg, oth = L.SATISFACTION_TRI_LABELS
-    return r_case((c == 1, F.lit(exc)), (c == 2, F.lit(vg)),
-                  (c.isNull(), F.lit(None).cast("string")), default=F.lit(oth))
+    return F.when(c.isNotNull(), F.coalesce(_lookup({1: exc, 2: vg}, c), F.lit(oth)))
 
 
 def satisfaction_binary(code) -> Column:

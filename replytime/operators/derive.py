@@ -101,8 +101,9 @@ def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by=None, floor_l
         s = censor_scalars(d, rating_col)
         d = d.withColumns({"max_date": s.getField("max_date"),
                            "rating_levels": s.getField("rating_levels")})
-    code = F.array_position(F.col("rating_levels"), F.col(rating_col)).cast("int")
-    d = d.withColumn("overall_sat", F.when(code > 0, code)).drop("rating_levels")
+    # position among the used levels; 0 (not a level) -> NULL, one reference to the input
+    code = F.nullif(F.array_position(F.col("rating_levels"), F.col(rating_col)).cast("int"), F.lit(0))
+    d = d.withColumn("overall_sat", code).drop("rating_levels")
 
     o = F.col("outcome")
     d = d.withColumns({
