@@ -31,6 +31,10 @@ def get_spark(master: str | None = None, app: str = "replytime",
         # no per-call Python call-site capture: building a Hessian's hundreds of
         # Column expressions would otherwise cost several JVM round trips each
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # HotSpot does not JIT-compile methods over 8000 bytecodes: a fused stage
+        # whose generated method is larger would run interpreted, so such stages
+        # leave whole-stage codegen instead (the value Spark's docs suggest)
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
