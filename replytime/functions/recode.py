@@ -96,8 +96,7 @@ def satisfaction_score(code) -> Column:
     """Rating code 1..5 -> 100, 75, 50, 25, 0 (any other non-null code -> 0)."""
     c = _c(code)
     s = L.SATISFACTION_SCORES
-    return r_case((c == 1, F.lit(s[0])), (c == 2, F.lit(s[1])), (c == 3, F.lit(s[2])),
-                  (c == 4, F.lit(s[3])), default=F.lit(s[4]))
+    return F.when(c.isNotNull(), F.coalesce(_lookup({1: s[0], 2: s[1], 3: s[2], 4: s[3]}, c), F.lit(s[4])))
 
 
 def emergency(q1) -> Column:
