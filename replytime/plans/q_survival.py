@@ -155,3 +155,30 @@ def km_by_wave(spark, sf_dir):
     d = derive_wave(u, censor_by=("wave",))
     pairs = S.survival_pair(d, "reply_time", "event", by=("wave",))
     return rounded(S.kaplan_meier(pairs, by=("wave",), conf=False), 8)
+
+
+_HKG_BODY = f"""
+SELECT gr.overall_tri, gr.t AS time, round(coalesce(sum(CASE
+    WHEN abs((gr.t - i.time) / {_BW}) > 1 THEN 0.0
+    WHEN gr.t / {_BW} < 1 THEN CASE WHEN (gr.t - i.time) / {_BW} <= gr.t / {_BW}
+         THEN {_bk(f'((gr.t - i.time) / {_BW})', f'(gr.t / {_BW})')} ELSE 0.0 END
+    WHEN ({_TMAX} - gr.t) / {_BW} < 1 THEN CASE WHEN (i.time - gr.t) / {_BW} <= ({_TMAX} - gr.t) / {_BW}
+         THEN {_bk(f'((i.time - gr.t) / {_BW})', f'(({_TMAX} - gr.t) / {_BW})')} ELSE 0.0 END
+    ELSE 0.75 * (1.0 - ((gr.t - i.time) / {_BW}) * ((gr.t - i.time) / {_BW})) END * i.dh), 0.0) / {_BW}, 8) AS hazard
+FROM (SELECT g.overall_tri, 0.0 + CAST(j AS DOUBLE) * {_STEP!r} AS t
+      FROM (SELECT DISTINCT overall_tri FROM inc) g, range(0, {_GRID_N}) r(j)) gr
+LEFT JOIN inc i ON i.overall_tri = gr.overall_tri AND abs((gr.t - i.time) / {_BW}) <= 1
+GROUP BY gr.overall_tri, gr.t"""
+
+
+@query("hazard_kernel_by_group", sql=with_derived(
+    _HKG_BODY,
+    """km_in AS (SELECT overall_tri, CAST(reply_time AS DOUBLE) AS time, event FROM d
+               WHERE reply_time IS NOT NULL AND event IS NOT NULL AND overall_tri IS NOT NULL),"""
+    + km_sql("km_in", "overall_tri") + """,
+inc AS (SELECT overall_tri, time, CAST(n_event AS DOUBLE) / CAST(n_risk AS DOUBLE) AS dh FROM km WHERE n_event > 0)"""))
+def hazard_kernel_by_group(spark, sf_dir):
+    """Kernel-smoothed hazard of reply per satisfaction group (bandwidth 5 days, 0-70 days)."""
+    d = derived(spark, sf_dir).where(F.col("overall_tri").isNotNull())
+    pairs = S.survival_pair(d, "reply_time", "event", by=("overall_tri",))
+    return rounded(S.hazard_kernel(pairs, _BW, 0.0, _TMAX, _GRID_N, by=("overall_tri",)), 8)
