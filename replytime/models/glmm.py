@@ -166,5 +166,22 @@ def fit_glmm_logit(df: DataFrame, y: str, success: str, terms, cluster: str,
         step = (hi - lo) / (grid - 1)
         lo, hi = math.log10(best) - step, math.log10(best) + step
     best = max(evals, key=lambda s: evals[s][0])
+    # refine: vertex of the parabola through the best grid point and its two
+    # neighbours in log(sigma); one more fit there, kept if its likelihood is higher
+    xs = sorted(evals)
+    i = xs.index(best)
+    if 0 < i < len(xs) - 1:
+        (x0, x1, x2) = (math.log(xs[i - 1]), math.log(xs[i]), math.log(xs[i + 1]))
+        (y0, y1, y2) = (evals[xs[i - 1]][0], evals[xs[i]][0], evals[xs[i + 1]][0])
+        den = (x0 - x1) * (x0 - x2) * (x1 - x2)
+        a = (x2 * (y1 - y0) + x1 * (y0 - y2) + x0 * (y2 - y1)) / den
+        b = (x2 * x2 * (y0 - y1) + x1 * x1 * (y2 - y0) + x0 * x0 * (y1 - y2)) / den
+        if a < 0:
+            xv = -b / (2 * a)
+            if x0 < xv < x2:
+                sv = math.exp(xv)
+                res = _fit_grid(coll, cluster, p, [sv], evals[best][1])
+                evals[sv] = res[0]
+                best = max(evals, key=lambda s: evals[s][0])
     lap, beta, cov, k = evals[best]
     return MixedLogitFit(design, beta, cov, best, lap, n, k)
