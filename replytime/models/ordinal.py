@@ -50,14 +50,19 @@ class OrdinalFit:
             eta = eta + F.lit(float(b)) * e
         return eta
 
+    def prob_columns(self, prefix: str = "p_") -> list[str]:
+        """Output names of the class probabilities: ``p_<level>`` (spaces as ``_``)."""
+        return [prefix + "".join(ch if ch.isalnum() else "_" for ch in str(lv)).strip("_") for lv in self.levels]
+
     def class_probabilities(self, df: DataFrame, prefix: str = "p_") -> DataFrame:
-        """P(Y = level) for every level and the most likely level, as Columns."""
+        """P(Y = level) for every level (``p_<level>``) and the most likely level, as Columns."""
         eta = self.linear_score()
         cdf = [F.lit(0.0)] + [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(z)) - eta))) for z in self.zeta] \
             + [F.lit(1.0)]
         probs = [cdf[k + 1] - cdf[k] for k in range(len(self.levels))]
-        out = df.withColumns({f"{prefix}{k + 1}": pr for k, pr in enumerate(probs)})
-        arr = F.array(*[F.col(f"{prefix}{k + 1}") for k in range(len(self.levels))])
+        names = self.prob_columns(prefix)
+        out = df.withColumns(dict(zip(names, probs)))
+        arr = F.array(*[F.col(n) for n in names])
         lv = F.array(*[F.lit(x) for x in self.levels])
         best = F.array_position(arr, F.array_max(arr))
         return out.withColumn("predicted", F.element_at(lv, best.cast("int")))

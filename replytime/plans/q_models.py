@@ -409,7 +409,7 @@ def predict_ordinal(spark, sf_dir):
     """Class probabilities and most likely level by mailing stratum at the study's profile."""
     fit = fit_ordinal(derived(spark, sf_dir), "overall_tri", TRI_ORD, [STRATA] + COVARS)
     prof = profile_frame(spark, [dict(reply_strata=s, **PROFILE) for s in L.STRATA_LEVELS])
-    return fit.class_probabilities(prof).select("reply_strata", "p_1", "p_2", "p_3", "predicted")
+    return fit.class_probabilities(prof).select("reply_strata", *fit.prob_columns(), "predicted")
 
 
 @query("effect_profile")
