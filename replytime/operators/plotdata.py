@@ -35,7 +35,7 @@ def bw_nrd0(n, sd, iqr):
 
 
 def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float = 3.0,
-                support_sd: float = 40.0) -> DataFrame:
+                support_sd: float = 40.0, exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """Gaussian kernel density per group on ``n_grid`` points from min - cut*bw to max + cut*bw.
 
     Rows are reduced to (group, distinct value, count).  Each distinct value
@@ -55,8 +55,12 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
     # weighted exact quartiles, then a two-pass variance on the small table
     p1 = vals.groupBy(*by).agg(
         F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("c")).alias("q"),
         F.min("x").alias("xmin"), F.max("x").alias("xmax"))
+    if exact:
+        qs = vals.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("c")).alias("q"))
+    else:
+        qs = src.groupBy(*by).agg(F.percentile_approx("x", [0.25, 0.75], accuracy).alias("q"))
+    p1 = p1.join(qs, list(by)) if by else p1.select("*", qs.select("q").scalar().alias("q"))
     keys = list(by)
     vm = vals.join(p1.select(*keys, "mean"), keys) if keys else vals.select(
         "*", p1.select(F.col("mean")).scalar().alias("mean"))
@@ -95,21 +99,30 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
                       dens.alias("density"), "bw")
 
 
-def boxplot_stats(df: DataFrame, value: str, group: str, coef: float = 1.5) -> DataFrame:
+def boxplot_stats(df: DataFrame, value: str, group: str, coef: float = 1.5, exact: bool = True,
+                  accuracy: int = 10000) -> DataFrame:
     """Median, hinges (type-7 quartiles), whiskers at 1.5 IQR and outlier count per group.
 
     Rows are reduced once to (group, distinct value, count); the quartiles
     (exact, weighted by the counts), whisker ends and outlier count all come
-    from that table and the fences joined to it (one row per group).
+    from that table and the fences joined to it (one row per group).  With
+    ``exact=False`` the quartiles come from ``percentile_approx`` over the
+    rows instead (for continuous values, whose value table is as large as
+    the data).
     """
     x = F.col(value).cast("double")
     src = df.where(x.isNotNull() & F.col(group).isNotNull()).select(group, x.alias("y"))
     # one pass over rows: everything below works on (group, value, count),
     # checkpointed because three branches read it
     vals = collapse(src, [group, "y"], {"c": F.count(F.lit(1))})
-    q = vals.groupBy(group).agg(
-        F.sum("c").alias("n"),
-        F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c")).alias("_q"))
+    if exact:
+        q = vals.groupBy(group).agg(
+            F.sum("c").alias("n"),
+            F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c")).alias("_q"))
+    else:
+        # continuous values: bounded-memory quantile sketch over the rows
+        q = src.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
+                                   F.percentile_approx("y", [0.25, 0.5, 0.75], accuracy).alias("_q"))
     q = q.select(group, "n", F.col("_q")[0].alias("lower"), F.col("_q")[1].alias("middle"),
                  F.col("_q")[2].alias("upper"))
     iqr = F.col("upper") - F.col("lower")

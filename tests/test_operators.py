@@ -162,3 +162,20 @@ def test_sized_broadcast_both_branches(spark):
         assert sorted(hinted.collect()) == sorted(plain.collect())
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_approximate_quartiles_close_to_exact(spark):
+    import numpy as np
+    from replytime.operators.plotdata import boxplot_stats, kde_density
+    rng = np.random.default_rng(2)
+    rows = [("a" if i % 3 else "b", float(v)) for i, v in enumerate(rng.normal(10, 3, 3000))]
+    df = spark.createDataFrame(rows, "g string, y double")
+    ex = {r.g: r for r in boxplot_stats(df, "y", "g").collect()}
+    ap = {r.g: r for r in boxplot_stats(df, "y", "g", exact=False).collect()}
+    for g in ex:
+        assert abs(ex[g].middle - ap[g].middle) < 0.05 and ex[g].n == ap[g].n
+    k_ex = kde_density(df, "y", by=("g",)).where("j = 256").collect()
+    k_ap = kde_density(df, "y", by=("g",), exact=False).where("j = 256").collect()
+    assert len(k_ex) == len(k_ap) == 2
+    for a, b in zip(sorted(k_ex), sorted(k_ap)):
+        assert abs(a.bw - b.bw) / a.bw < 0.01
