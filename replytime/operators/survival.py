@@ -188,26 +188,34 @@ def _boundary_epanechnikov(x: Column, q: Column) -> Column:
 def hazard_piecewise(pairs: DataFrame, width: float = 1.0, max_time: float = 70.0, by=()) -> DataFrame:
     """Piecewise-constant hazard: events / person-time per bin, with 95% limits.
 
-    Bins are (a, a + w]: a reply on day t falls in the bin that ends at t, and
-    a subject contributes min(t, a + w) - a time units to every bin it enters.
-    Rows are first reduced to distinct times; each distinct time then emits
-    one row per bin it covers (``explode(sequence)``), never per row.
+    Bins are (a, a + w]: a reply on day t falls in the bin that ends at t.
+    Person-time of bin b = w * (rows whose time lies in a later bin) + the
+    part of bin b lived by the rows ending in it.  So one aggregate reduces
+    the rows to one row per (group, bin) - at most ``max_time / width`` + 1,
+    whatever the data or the time resolution - and a reverse running sum over
+    the bins gives the person-time.  Bins with no one at risk are omitted.
     """
-    ev = event_table(pairs, by)
     nb = int(round(max_time / width))
     t = F.col("time")
-    last_bin = F.least(F.lit(nb - 1), (F.ceil(t / F.lit(width)) - 1).cast("int"))
-    x = ev.where(t > 0).select(*by, "time", "n_at", "n_event",
-                               F.explode(F.sequence(F.lit(0), last_bin)).alias("bin"))
-    a = F.col("bin").cast("double") * F.lit(width)
-    expo = F.least(t, a + F.lit(width)) - a
-    in_bin = (t > a) & (t <= a + F.lit(width))
-    agg = x.groupBy(*by, "bin").agg(
-        F.sum(F.col("n_at").cast("double") * expo).alias("person_time"),
-        F.sum(F.when(in_bin, F.col("n_event")).otherwise(F.lit(0))).cast("long").alias("events"))
-    rate = F.col("events").cast("double") / F.col("person_time")
-    se = F.sqrt(F.col("events").cast("double")) / F.col("person_time")
-    return agg.select(*by, (F.col("bin").cast("double") * F.lit(width)).alias("bin_start"),
-                      "events", "person_time", rate.alias("hazard"),
+    w = F.lit(float(width))
+    k = (F.ceil(t / w) - 1).cast("int")
+    kk = F.least(k, F.lit(nb))  # nb collects every time beyond the last bin
+    per = pairs.where(t > 0).groupBy(*by, kk.alias("bin")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.sum(F.when(k < nb, t - k.cast("double") * w).otherwise(F.lit(0.0))).alias("part"),
+        F.sum(F.when(k < nb, F.col("event")).otherwise(F.lit(0))).cast("long").alias("ev"))
+    keys = list(by)
+    bins = F.explode(F.sequence(F.lit(0), F.lit(nb))).alias("bin")
+    grid = per.select(*keys).distinct().select(*keys, bins) if keys else \
+        pairs.sparkSession.range(1).select(bins)
+    full = grid.join(per, [*keys, "bin"], "left").fillna(0.0, subset=["n", "part"]).fillna(0, subset=["ev"])
+    later = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    later = later.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    full = full.withColumn("person_time", w * F.coalesce(F.sum("n").over(later), F.lit(0.0)) + F.col("part"))
+    agg = full.where((F.col("bin") < nb) & (F.col("person_time") > 0))
+    rate = F.col("ev").cast("double") / F.col("person_time")
+    se = F.sqrt(F.col("ev").cast("double")) / F.col("person_time")
+    return agg.select(*by, (F.col("bin").cast("double") * w).alias("bin_start"),
+                      F.col("ev").alias("events"), "person_time", rate.alias("hazard"),
                       F.greatest(F.lit(0.0), rate - F.lit(Z975) * se).alias("lower"),
                       (rate + F.lit(Z975) * se).alias("upper"))

@@ -79,3 +79,20 @@ def test_cross_table_margins_sum_to_one(spark, rows):
         assert all(abs(v - 1.0) < 1e-12 for v in sums.values())
     assert abs(sum(r.prop_total for r in out) - 1.0) < 1e-12
     assert sum(r.n for r in out) == len(rows)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(1, 1200), st.integers(0, 1)), min_size=1, max_size=30))
+def test_piecewise_hazard_fractional_times(spark, rows):
+    rows = [(t / 100.0, e) for t, e in rows]  # times in (0, 12], off the bin edges too
+    pairs = spark.createDataFrame(rows, "time double, event int")
+    got = {r.bin_start: (r.events, r.person_time) for r in S.hazard_piecewise(pairs, 1.0, 10.0).collect()}
+    ref = {}
+    for b in range(10):
+        pt = sum(min(t, b + 1) - b for t, _ in rows if t > b)
+        ev = sum(1 for t, e in rows if e == 1 and b < t <= b + 1)
+        if pt > 0:
+            ref[float(b)] = (ev, pt)
+    assert set(got) == set(ref)
+    for k in ref:
+        assert got[k][0] == ref[k][0] and abs(got[k][1] - ref[k][1]) < 1e-9
