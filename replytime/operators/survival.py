@@ -129,10 +129,19 @@ def align_curves(curves: dict[str, DataFrame], value: str = "response_rate") ->
     return out
 
 
+def risk_table(pairs: DataFrame, by=(), time="time", event="event") -> DataFrame:
+    """Per (group, distinct time): ``n_risk`` and ``n_event`` (one window over the aggregated table)."""
+    ev = event_table(pairs, by, time, event)
+    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    at_or_after = part.orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ev.select(*by, F.col(time).alias("time"), F.sum("n_at").over(at_or_after).cast("long").alias("n_risk"),
+                     "n_event")
+
+
 def nelson_aalen_increments(pairs: DataFrame, by=(), time="time", event="event") -> DataFrame:
     """Per distinct time: ``n_risk``, ``n_event`` and hazard increment d/n."""
-    km = kaplan_meier(pairs, by, time, event, conf=False)
-    return km.withColumn("dH", F.col("n_event").cast("double") / F.col("n_risk").cast("double"))
+    rt = risk_table(pairs, by, time, event)
+    return rt.withColumn("dH", F.col("n_event").cast("double") / F.col("n_risk").cast("double"))
 
 
 def hazard_kernel(pairs: DataFrame, bandwidth: float, min_time: float = 0.0, max_time: float = 70.0,
