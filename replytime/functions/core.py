@@ -65,12 +65,6 @@ def spss_to_date(col) -> Column:
     return F.date_from_unix_date(days.cast("int"))
 
 
-def date_to_spss(col) -> Column:
-    """Calendar date back to SPSS seconds at midnight."""
-    return (F.unix_date(_c(col)).cast("double") + F.lit(float(SPSS_EPOCH_OFFSET_DAYS))) * F.lit(
-        float(SECONDS_PER_DAY))
-
-
 def reply_days(end, start) -> Column:
     """Whole days from ``start`` to ``end`` (NULL if either is NULL)."""
     return F.datediff(_c(end), _c(start))
@@ -83,12 +77,6 @@ def nonpositive_to_null(col, bound: int = 0, inclusive: bool = True) -> Column:
     return r_ifelse(bad, F.lit(None), c)
 
 
-def positive_part(col) -> Column:
-    """``ifelse(x > 0, x, NA)``."""
-    c = _c(col)
-    return r_ifelse(c > 0, c, F.lit(None))
-
-
 def safe_ln(col) -> Column:
     """Natural log defined only for positive input (NULL otherwise)."""
     c = _c(col)

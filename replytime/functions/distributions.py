@@ -169,13 +169,3 @@ def t_pvalue(t: Column, df: Column) -> Column:
 def f_pvalue(f: Column, d1: Column, d2: Column) -> Column:
     """Column: F-test p-value (one-row use)."""
     return _f_sf_udf(f.cast("double"), d1.cast("double"), d2.cast("double"))
-
-
-@F.pandas_udf(T.DoubleType())
-def _norm_sf2_udf(z: pd.Series) -> pd.Series:
-    return _vec(lambda v: 2.0 * norm_sf(abs(v)), z)
-
-
-def normal_pvalue(z: Column) -> Column:
-    """Two-sided normal p-value."""
-    return _norm_sf2_udf(z.cast("double"))

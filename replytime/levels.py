@@ -7,7 +7,6 @@ dictionary's order (never alphabetical unless the dictionary says so).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -86,10 +85,3 @@ def factor_levels(spark: SparkSession, waves=(2006, 2007, 2008, 2009)) -> DataFr
         for i, lvl in enumerate(lvls)
     ]
     return spark.createDataFrame(rows, LEVELS_SCHEMA)
-
-
-def level_rank_expr(col: str | F.Column, levels: tuple[str, ...]) -> F.Column:
-    """Position (1-based) of the value in ``levels``; NULL when absent or NULL."""
-    c = F.col(col) if isinstance(col, str) else col
-    pos = F.array_position(F.array(*[F.lit(x) for x in levels]), c)
-    return F.when(pos > 0, pos.cast("int"))

@@ -120,11 +120,6 @@ def _newton_pieces(coll: DataFrame, beta, tau: float, p: int, w: Column):
     return g, h, float(v[-1])
 
 
-def _loglik_only(coll: DataFrame, beta, tau: float, p: int, w: Column) -> float:
-    _, _, _, ll, _ = _row_terms(beta, tau, p)
-    return float(agg_vector(coll, [F.sum(w * ll)])[0])
-
-
 def aft_frame(df: DataFrame, design: Design, time: str, event: str, keep=()) -> DataFrame:
     """Complete rows with design columns, log time and event (positive times only)."""
     rows = complete_rows(df, design, extra=[time, event]).where(F.col(time) > 0)

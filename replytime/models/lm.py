@@ -82,13 +82,3 @@ def fit_lm(df: DataFrame, y: str, terms, weights: str | None = None, log_y: bool
     cov = sigma2 * inv_sym(xtx)
     r2 = 1.0 - rss / tss if tss > 0 else float("nan")
     return LinearFit(design, beta, cov, float(np.sqrt(sigma2)), df_resid, n, r2, rss, log_y)
-
-
-def group_means(df: DataFrame, y: str, group: str, log_y: bool = False) -> DataFrame:
-    """Closed form of a one-factor OLS: the level means (with counts)."""
-    yv = F.col(y).cast("double")
-    src = df.where(F.col(group).isNotNull() & yv.isNotNull())
-    if log_y:
-        src = src.where(yv > 0)
-        yv = F.ln(yv)
-    return src.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(yv).alias("mean"))

@@ -16,7 +16,7 @@ from ..functions.core import inv_logit
 from ..models import aft as A
 from ..models import cox as CX
 from ..models.design import Factor, Numeric, build_design, complete_rows, design_frame, profile_frame
-from ..models.glm import fit_logit
+from ..models.glm import fit_logit, odds_ratio_rows
 from ..models.glmm import fit_glmm_logit
 from ..models.lm import fit_lm
 from ..models.lmm import fit_lmm
@@ -218,8 +218,8 @@ def logit_single_factor(spark, sf_dir):
 def odds_ratio_table(spark, sf_dir):
     """exp(coefficients) of the late-reply logit with delta-method standard errors."""
     fit = fit_logit(derived(spark, sf_dir), "early", "Late", FULL)
-    orr = np.exp(fit.beta)
-    rows = [(n, float(o), float(o * s)) for n, o, s in zip(fit.design.names, orr, fit.se)]
+    orr, se = odds_ratio_rows(fit)
+    rows = [(n, float(o), float(s)) for n, o, s in zip(fit.design.names, orr, se)]
     return spark.createDataFrame(rows, "term string, odds_ratio double, std_error double")
 
 
@@ -627,8 +627,8 @@ def fitted_values_single_factor(spark, sf_dir):
 def odds_ratio_single_factor(spark, sf_dir):
     """exp(coefficients) of the one-factor logit of a repeated mailing, delta-method SE."""
     fit = fit_logit(derived(spark, sf_dir), "rep_mail", "Repeated", [TRI])
-    orr = np.exp(fit.beta)
-    rows = [(n, float(o), float(o * s)) for n, o, s in zip(fit.design.names, orr, fit.se)]
+    orr, se = odds_ratio_rows(fit)
+    rows = [(n, float(o), float(s)) for n, o, s in zip(fit.design.names, orr, se)]
     out = spark.createDataFrame(rows, "term string, odds_ratio double, std_error double")
     return out.select("term", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("std_error", 6).alias("std_error"))
 
