@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 #: Entries of the piece memo and of the pair memo at most; a full memo is emptied (results do not change).
-MEMO_PIECES = 200_000
+MEMO_PIECES = 500_000
 MEMO_PAIRS = 1_000_000
 #: Longer pieces are not memoised.
 MEMO_BYTES = 64
@@ -46,13 +46,21 @@ class ByteBpe:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.bytes_of = {r: b for b, r in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._size = [0] * (max(ranks.values(), default=-1) + 1)
+        self._shorter = [-1] * len(self._size)
+        self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._automaton = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            # a token that merging does not build is only ever a whole piece
-            if self._merge(token) == [rank]:
-                self._automaton.add_word(token.decode("latin-1"), rank)
+        # a token that merging does not build is only ever a whole piece
+        built = {t for t, r in ranks.items() if self._merge(t) == [r]}
+        for token in built:
+            rank = ranks[token]
+            self._size[rank] = len(token)
+            for k in range(len(token) - 1, 0, -1):  # the longest token that begins this one
+                if token[:k] in built:
+                    self._shorter[rank] = ranks[token[:k]]
+                    break
+            self._automaton.add_word(token.decode("latin-1"), (len(token) - 1, rank))
         self._automaton.make_automaton()
 
     def _merge(self, piece: bytes) -> list[int]:
@@ -71,7 +79,7 @@ class ByteBpe:
         return [ranks[p] for p in parts]
 
     def _compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * len(self._size) + right
         known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= MEMO_PAIRS:
@@ -86,31 +94,27 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         n = len(piece)
-        fits: list[list[int]] = [[] for _ in range(n)]  # tokens by start, shortest first
-        length = {}
-        for end, rank in self._automaton.iter(piece.decode("latin-1")):
-            size = length.setdefault(rank, len(self.bytes_of[rank]))
-            fits[end - size + 1].append(rank)
+        longest = [-1] * (n + 1)
+        for end, (reach, rank) in self._automaton.iter(piece.decode("latin-1")):
+            longest[end - reach] = rank  # ends ascend: the last one reported for a start is the longest
+        size, shorter, compatible = self._size, self._shorter, self._compatible
         alive = bytearray(b"\x01" * (n + 1))
         ids: list[int] = []
-        tried: list[int] = []
-        pos, k = 0, len(fits[0]) - 1
+        pos, token = 0, longest[0]
         while pos < n:
-            choice = fits[pos]
-            while k >= 0:
-                token = choice[k]
-                if alive[pos + length[token]] and (not ids or self._compatible(ids[-1], token)):
+            while token >= 0:
+                if alive[pos + size[token]] and (not ids or compatible(ids[-1], token)):
                     break
-                k -= 1
-            if k >= 0:
+                token = shorter[token]
+            if token >= 0:
                 ids.append(token)
-                tried.append(k)
-                pos += length[token]
-                k = len(fits[pos]) - 1 if pos < n else -1
+                pos += size[token]
+                token = longest[pos]
             elif ids:
                 alive[pos] = 0
-                pos -= length[ids.pop()]
-                k = tried.pop() - 1
+                last = ids.pop()
+                pos -= size[last]
+                token = shorter[last]
             else:
                 raise ValueError("the vocabulary lacks single bytes")
         return ids
