@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import uuid
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replytime.session import ensure_checkpoint_dir
@@ -48,19 +49,28 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def sample_by_hash(rows: DataFrame, by: Column, group: Column, most: int) -> DataFrame:
-    """About `most` rows of each group: those with the smallest values of the hash `by`.
+def sample_by_hash(rows: DataFrame, by: Column, most: int, group: Column | None = None) -> DataFrame:
+    """About `most` rows (of each group), chosen by the hash `by` alone; all rows where there are fewer.
 
-    The first pass ranks hashes only; the rank limit is applied in every task
-    before the shuffle, so a task sends at most `most` small rows a group.  The
-    second pass filters the rows themselves by each group's largest hash taken.
-    Rows that repeat a hash are all taken.  The groups must be few (languages).
+    The rows are counted, and those whose hash lies in the lowest share
+    most / count of its range are taken: nothing is ranked or moved.  The
+    groups must be few (languages).  The number taken varies by its root.
     """
-    keyed = rows.select(group.cast("string").alias("g"), by.alias("h"))
-    w = Window.partitionBy("g").orderBy("h")
-    ends = keyed.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).groupBy("g").agg(F.max("h"))
-    limit = F.lit(None).cast("long")
-    for g, h in ends.collect():
-        same = group.cast("string").eqNullSafe(F.lit(g))
-        limit = F.when(same, F.lit(h)).otherwise(limit)
-    return rows.where(by <= limit)
+    keyed = (F.lit("") if group is None else group).cast("string")
+    limit = F.lit(None).cast("double")
+    for g, n in rows.groupBy(keyed.alias("g")).agg(F.count("*").alias("n")).collect():
+        share = min(1.0, most / max(1, n))
+        limit = F.when(keyed.eqNullSafe(F.lit(g)), F.lit(share)).otherwise(limit)
+    return rows.where((by.cast("double") + F.lit(2.0 ** 63)) / F.lit(2.0 ** 64) <= limit)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table written as Parquet to the shared checkpoint folder and read again.
+
+    Unlike a checkpoint, the read table has a size that Spark knows, so a small
+    one is broadcast by Spark's own size check and a large one is not.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

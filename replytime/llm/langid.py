@@ -228,8 +228,8 @@ def training_sample(labelled: DataFrame, docs_per_lang: int = 100, max_chars: in
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     h = F.xxhash64(F.col("doc_id"), F.lit(17))
     out: dict[str, list[str]] = {}
-    picked = sample_by_hash(rows, h, F.col("lang"), docs_per_lang).select("lang", "text", h.alias("h"))
-    # rows that repeat an id may exceed the number: the surplus is dropped here, before it is collected
+    picked = sample_by_hash(rows, h, docs_per_lang, F.col("lang")).select("lang", "text", h.alias("h"))
+    # the number taken varies a little: what exceeds it is left before anything is collected
     w = Window.partitionBy("lang").orderBy("h", "text")
     picked = picked.withColumn("k", F.row_number().over(w)).where(F.col("k") <= docs_per_lang)
     for r in picked.select("lang", "text").orderBy("lang", "h", "text").collect():

@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
         return pd.Series([features(t) for t in texts], dtype=object)
 
     def sample(rows: DataFrame, most: int) -> list[np.ndarray]:
-        few = sample_by_hash(rows, h, F.lit("all"), most).select(h.alias("h"), hashed("text").alias("f"))
+        few = sample_by_hash(rows, h, most).select(h.alias("h"), hashed("text").alias("f"))
         return [np.asarray(r["f"], np.int32) for r in few.orderBy("h", "f").limit(most).collect()]
 
     return fit(sample(short.join(toxic, "doc_id", "left_semi"), max_positive), sample(short, max_unlabelled), prior)
