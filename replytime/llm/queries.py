@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, quality, toxicity
+from . import bpe, chat, html_text, langid, mixing, quality, shingle_join, toxicity, urlgraph, vector_join
 from .common import fold, small_batches, table
 from .registry import query
 
@@ -37,6 +37,33 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests(F.col("token_ids"), F.col("decoded")))
 
 
+@query("op3_html_text")
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    small_batches(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = pages.select("page_id", "url", html_text.extract(F.col("html")).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
+#: Rules of the url query.
+RULES = [urlgraph.Rule("net", "/", "block"), urlgraph.Rule("example.net", "/en/", "allow"),
+         urlgraph.Rule("example.com", "/de/", "block"), urlgraph.Rule("org", "/fr/", "allow")]
+
+
+@query("op4_url_filter")
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url: its rule's, else by trust over the host graph."""
+    return urlgraph.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
+
+
+@query("op5_shingle_join")
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle set size and link component of every document, by the exact metric join."""
+    small_batches(spark)
+    return shingle_join.shingle_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, learned from the folds that are not held out."""
@@ -64,9 +91,23 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(made, vocabulary_path(), public_tokenizers.PATTERN)
 
 
+@query("op8_source_mix")
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and the shards of its copies."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the compression verdict of every whole text."""
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", quality.quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+
+
+@query("op10_vector_join")
+def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and keeper of every embedding, by the exact metric range join within labels."""
+    small_batches(spark)
+    return vector_join.vector_join(table(spark, sf_dir, "embeddings"))
