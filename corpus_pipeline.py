@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from replytime.llm import bpe, langid, quality
+from replytime.llm import bpe, langid, mixing, quality, shingle_join
 from replytime.llm.common import fold, free_name, small_batches, table
 from replytime.llm.queries import vocabulary_path
 from replytime.session import ensure_checkpoint_dir
@@ -40,14 +40,28 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where(F.col(f"{name}.kept")).select(*docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of five-word shingle links (similarity 0.75 or more)."""
+    small_batches(spark)
+    return shingle_join.one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as their source's target asks, shuffled inside 16 shards."""
+    row = free_name(docs, "row")
+    packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias(row))
+    return mixing.draw(mixing.mix(packed, keep=("doc_id", row))).select(f"{row}.*")
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document as digests, with the decoded bytes' hash."""
+    """Token ids of every document, with their number and the hashes of ids and decoded bytes."""
     small_batches(spark)
     coded = bpe.encode_documents(docs.select("doc_id", "text"), vocabulary_path(), public_tokenizers.PATTERN)
-    return coded.select("doc_id", *bpe.digests(F.col("token_ids"), F.col("decoded")))
+    return coded.select("doc_id", "token_ids", *bpe.digests(F.col("token_ids"), F.col("decoded")))
 
 
-STAGES = [("language_id", language), ("quality_rules", quality_rules), ("byte_bpe", tokens)]
+STAGES = [("language_id", language), ("quality_rules", quality_rules), ("shingle_join", near_copies),
+          ("source_mix", source_mix), ("byte_bpe", tokens)]
 
 #: SQL can't state a trained classifier or zstandard ratios; tests compare with plain versions.
 ORACLE_SQL = None

@@ -45,7 +45,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import sample_by_hash, stored
@@ -321,10 +321,9 @@ def ring_links(near: DataFrame, dist: DataFrame) -> DataFrame:
     return cells.groupBy("pivot", "ring", "part", "slice").applyInPandas(join, "a long, b long")
 
 
-def shingle_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (doc_id, text)."""
-    spark: SparkSession = docs.sparkSession
-    hot = spark.sparkContext.broadcast(hot_shingles(docs))
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, n, key) and classes (key, rep, g): g names the class's component."""
+    hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
     bins = _bins(docs)
     made = stored(points(docs, hot, bins))
     few = stored(crowded(made))
@@ -335,9 +334,35 @@ def shingle_join(docs: DataFrame) -> DataFrame:
     group = components(inside.unionByName(ring_links(near, dist)))
     own = made.where(F.col("n").isNotNull()).select("doc_id", "n", "key")
     reps = own.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(group.withColumnRenamed("node", "key"), "key", "left").select(
+    return own, reps.join(group.withColumnRenamed("node", "key"), "key", "left").select(
         "key", "rep", F.coalesce("component", "key").alias("g"))
-    ids = named.groupBy("g").agg(F.min("rep").alias("component_id"))
-    names = named.join(ids, "g").select("key", "component_id")
+
+
+def shingle_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document (doc_id, text)."""
+    own, classes = _groups(docs)
+    ids = classes.groupBy("g").agg(F.min("rep").alias("component_id"))
+    names = classes.join(ids, "g").select("key", "component_id")
     return own.join(names, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without near copies: of each component, the document with the smallest id stays.
+
+    All columns are kept.  Documents without shingles all stay.  Of rows that
+    repeat an id and a text, one stays.
+    """
+    _, classes = _groups(docs.select("doc_id", "text"))
+    best = classes.groupBy("g").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("b"))
+    kept = best.select(F.col("b.rep").alias("rep__"), F.col("b.key").alias("key__"), F.lit(True).alias("kept__"))
+
+    @F.pandas_udf("long")
+    def key_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(s) if len(s) else None for s in shingle_sets(texts.tolist())], dtype="Int64")
+
+    keyed = docs.withColumn("set__", key_of(F.col("text")))
+    same = keyed["doc_id"].cast("long").eqNullSafe(kept["rep__"]) & (keyed["set__"] == kept["key__"])
+    alike = Window.partitionBy("rep__", "set__").orderBy(F.xxhash64(*docs.columns))
+    return keyed.join(kept, same, "left").where(F.col("set__").isNull() | F.col("kept__")).withColumn(
+        "turn__", F.row_number().over(alike)).where(F.col("set__").isNull() | (F.col("turn__") == 1)).select(*docs.columns)

@@ -107,8 +107,8 @@ def shingles_of(words: np.ndarray) -> np.ndarray:
     if n == 0:
         return words
     if n < WORDS:
-        short = (words * _PLACE[:n]).sum(dtype=np.uint64) + _U(n) * _U(_SHORT)
-        return mixed(np.array([short], np.uint64))
+        short = (words * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True)
+        return mixed(short + np.full(1, n * _SHORT % (1 << 64), np.uint64))
     total = np.zeros(n - WORDS + 1, np.uint64)
     for k in range(WORDS):
         total += words[k:n - WORDS + 1 + k] * _PLACE[k]
@@ -122,6 +122,6 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 
 def set_key(shingles: np.ndarray) -> int:
     """A signed 64-bit hash of a set of shingles."""
-    total = mixed(shingles * _U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-    key = int(mixed(np.array([total + _U(len(shingles))], np.uint64))[0])
+    total = mixed(shingles * _U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64, keepdims=True)
+    key = int(mixed(total + np.full(1, len(shingles), np.uint64))[0])
     return key - (1 << 64) if key >= 1 << 63 else key
