@@ -231,8 +231,14 @@ EXAMPLES = [
     (40, 0.2, 30, 0.0, 35, 0.1, 1, 1, 0, 1), (12, 0.6, 40, 0.0, 60, 0.0, 1, 1, 0, 1), (5, 1.0, 50, 0.0, 60, 0.0, 1, 1, 0, 1),
     (7, 0.0, 90, 0.0, 9, 0.0, 1, 1, 0, 1), (3, 0.0, 60, 0.0, 4, 1.0, 1, 1, 1, 1), (6, 1.0, 3, 0.0, 30, 0.0, 1, 1, 1, 1),
     (4, 0.0, 3, 1.0, 2, 0.0, 1, 1, 0, 1), (30, 0.0, 2, 1.0, 3, 1.0, 1, 1, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 1),
+    (2, 0.0, 17, 0.0, 1, 1.0, 1, 1, 0, 1), (1, 0.0, 40, 0.0, 2, 1.0, 1, 1, 0, 1), (6, 0.0, 1, 1.0, 3, 1.0, 1, 1, 0, 1),
+    (3, 0.0, 4, 1.0, 5, 1.0, 1, 1, 1, 1), (25, 0.0, 4, 1.0, 5, 1.0, 1, 1, 0, 1), (2, 0.0, 5, 1.0, 0, 0.0, 1, 1, 0, 1),
     # lists of links inside the article's container
     (4, 1.0, 5, 1.0, 6, 1.0, 1, 1, 0, 0), (3, 1.0, 4, 1.0, 3, 1.0, 1, 1, 0, 0), (7, 1.0, 6, 1.0, 5, 1.0, 1, 1, 0, 0),
+    (4, 1.0, 30, 0.0, 5, 1.0, 1, 1, 0, 0), (3, 1.0, 60, 0.0, 2, 1.0, 1, 1, 0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 1, 1, 0, 0),
+    # a link between paragraphs
+    (2, 1.0, 20, 0.1, 17, 0.0, 1, 1, 0, 1), (3, 1.0, 15, 0.0, 12, 0.0, 1, 1, 0, 1), (2, 1.0, 90, 0.0, 1, 0.0, 1, 1, 0, 1),
+    (1, 1.0, 2, 0.0, 30, 0.0, 1, 1, 0, 1),
     # unmarked blocks of a page that marks its article
     (6, 0.0, 3, 1.0, 9, 0.0, 0, 1, 0, 0), (30, 0.0, 5, 0.0, 60, 0.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0),
     (15, 0.1, 80, 0.0, 10, 0.0, 0, 1, 0, 0), (5, 0.0, 1, 0.0, 7, 0.0, 0, 1, 1, 0),

@@ -154,7 +154,7 @@ def fit(texts_by_lang: dict[str, list[str]], order: int = ORDER) -> PpmModel:
     bits = np.zeros((total, columns, len(langs)), np.float32)
     follow[:, reset] = 0
     bits[:, :width] = -np.log2(prob).transpose(1, 2, 0)
-    return PpmModel(langs, classes, follow.reshape(-1), bits.reshape(-1, len(langs)))
+    return PpmModel(langs, classes, follow.reshape(-1), bits.reshape(total * columns, len(langs)))
 
 
 def code_lengths(model: PpmModel, texts: list[bytes], order: int = ORDER) -> np.ndarray:

@@ -124,9 +124,11 @@ def host_scores(pages: DataFrame, rules: list[Rule], rounds: int = 10) -> DataFr
         counted.select(F.lit("distrust").alias("kind"), F.col("host").alias("node"),
                        (F.col("block") / F.lit(float(block or 1))).alias("mass"))).where(F.col("mass") > 0)
     rank = propagate(seeds, host_edges(pages, counted), rounds)
+    # what leaves at hosts without edges would start again at the seeds: the same as one common factor
+    mass = {r["kind"]: r["m"] for r in rank.groupBy("kind").agg(F.sum("mass").alias("m")).collect()}
     wide = rank.groupBy(F.col("node").alias("host")).agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("mass"))).alias("t"),
-        F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))).alias("d"))
+        F.sum(F.when(F.col("kind") == "trust", F.col("mass") / (mass.get("trust") or 1.0))).alias("t"),
+        F.sum(F.when(F.col("kind") == "distrust", F.col("mass") / (mass.get("distrust") or 1.0))).alias("d"))
     share = F.col("n") / F.lit(float(n or 1))
     return counted.join(wide, "host", "left").select(
         "host", *[F.round(F.coalesce(F.col(c), F.lit(0.0)) / share, 9).alias(name)
