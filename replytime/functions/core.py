@@ -109,5 +109,7 @@ def inv_logit(x, lo: float = 0.0, hi: float = 1.0) -> Column:
 
 
 def composite_key(*cols, sep: str = ".") -> Column:
-    """``paste(a, b, sep='.')``."""
-    return F.concat_ws(sep, *[_c(c).cast("string") for c in cols])
+    """The parts joined by ``sep``; NULL if any part is NULL."""
+    parts = [_c(c).cast("string") for c in cols]
+    joined = [x for p in parts for x in (F.lit(sep), p)][1:]
+    return F.concat(*joined)

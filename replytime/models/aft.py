@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import norm_sf
 from .design import (Design, build_design, coef_frame, complete_rows, linear_predictor, sym_from_upper,
                      upper_pairs)
-from .suffstats import agg_vector, collapse, inv_sym, solve_sym
+from .suffstats import agg_vector, collapse, inv_sym, newton
 
 
 @dataclass
@@ -129,7 +129,7 @@ def aft_frame(df: DataFrame, design: Design, time: str, event: str, keep=()) ->
 
 def fit_loglogistic(df: DataFrame, time: str, event: str, terms, cluster: str | None = None,
                     intercept: bool = True, design: Design | None = None, tol: float = 1e-9,
-                    max_iter: int = 60) -> AFTFit:
+                    max_iter: int = 100) -> AFTFit:
     """Log-logistic AFT by maximum likelihood; robust covariance when ``cluster`` is given."""
     design = design or build_design(df, terms, intercept)
     p = design.p
@@ -149,29 +149,11 @@ def fit_loglogistic(df: DataFrame, time: str, event: str, terms, cluster: str |
     beta = np.zeros(p)
     if intercept and m[1] > 0:
         beta[0] = m[0] / m[1]
-    tau = 0.0
-    g, h, ll = _newton_pieces(coll, beta, tau, p, w)
-    it = 0
-    for it in range(1, max_iter + 1):
-        step = -solve_sym(h, g)
-        theta = np.append(beta, tau)
-        lam = 1.0
-        # full Newton step first (the same job returns the next gradient and
-        # Hessian); halve only when the likelihood drops
-        for _ in range(30):
-            cand = theta + lam * step
-            g_new, h_new, ll_new = _newton_pieces(coll, cand[:p], float(cand[p]), p, w)
-            if np.isfinite(ll_new) and ll_new >= ll - 1e-12:
-                break
-            lam /= 2.0
-        beta, tau = cand[:p], float(cand[p])
-        done = abs(ll_new - ll) < tol * (abs(ll) + 1.0) and np.max(np.abs(lam * step)) < 1e-7
-        g, h, ll = g_new, h_new, ll_new
-        if done:
-            break
+    theta, _, h, ll, it = newton(lambda t: _newton_pieces(coll, t[:p], float(t[p]), p, w), np.append(beta, 0.0),
+                                 "log-logistic model", tol, max_iter)
+    beta, tau = theta[:p], float(theta[p])
     cov = inv_sym(-h)
-    n_ev = agg_vector(coll, [F.sum(F.when(F.col("event") == 1, w)), F.sum(w),
-                             F.sum(F.when(F.col("event") == 1, w * F.col("logt")))])
+    n_ev = [m[1], m[2], m[0]]
     robust = None
     if cluster:
         # scores of the collapsed rows times their counts = sums of row scores

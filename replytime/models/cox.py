@@ -10,9 +10,8 @@ Each Newton step:
    over ~one row per day, bounded by the time domain);
 4. the Efron tie correction needs, per time with d tied events, six scalar
    sums over l = 0..d-1 of functions of (S0 - l/d e0).  A pandas UDF on the
-   per-time table evaluates them directly for small d and through
-   digamma / trigamma closed forms for large d, so no task ever loops over
-   a huge tie group;
+   per-time table evaluates them for all times at once by one formula whose
+   cost does not depend on d;
 5. one global aggregate returns log-likelihood, score and information.
 """
 
@@ -29,49 +28,76 @@ from pyspark.sql import types as T
 
 from ..functions.distributions import chi2_sf, norm_sf
 from .design import Design, build_design, coef_frame, complete_rows, linear_predictor, sym_from_upper, upper_pairs
-from .suffstats import agg_vector, collapse, inv_sym, solve_sym
+from .suffstats import agg_vector, collapse, inv_sym, newton
 
-DIRECT_TIES_MAX = 20000
+#: Terms nearest to the end of a tie sum that are added one by one.
+TAIL = 64
+#: B_2k / (2k)! for k = 1..4
+_BERNOULLI = (1 / 12, -1 / 720, 1 / 30240, -1 / 1209600)
 
 
-def _digamma(x: float) -> float:
-    r = 0.0
-    while x < 6.0:
-        r -= 1.0 / x
-        x += 1.0
-    f = 1.0 / (x * x)
-    return r + math.log(x) - 0.5 / x - f * (1.0 / 12 - f * (1.0 / 120 - f * (1.0 / 252 - f * (1.0 / 240 - f / 132))))
+def _log_rests(w: np.ndarray):
+    """r1 = -log(1-w) - w and r2 = r1 - w^2/2 without cancellation, for 0 <= w < 1."""
+    k = np.arange(3, 60)
+    small = np.minimum(w, 0.5)
+    series = (small[:, None] ** k / k).sum(axis=1)
+    log1 = -np.log1p(-w)
+    r2 = np.where(w <= 0.5, series, log1 - w - w * w / 2)
+    return r2 + w * w / 2, r2
 
 
-def _trigamma(x: float) -> float:
-    r = 0.0
-    while x < 6.0:
-        r += 1.0 / (x * x)
-        x += 1.0
-    f = 1.0 / (x * x)
-    return r + 1.0 / x + f / 2.0 + (f / x) * (1.0 / 6 - f * (1.0 / 30 - f * (1.0 / 42 - f / 30)))
-
-
-def efron_sums(s0: float, e0: float, d: int):
+def efron_sums(s0, e0, d):
     """(L, A0, A1, B0, B1, B2) = sums over l < d of
-    log D, 1/D, (l/d)/D, 1/D^2, (l/d)/D^2, (l/d)^2/D^2 with D = s0 - (l/d) e0."""
-    if d <= DIRECT_TIES_MAX:
-        f = np.arange(d, dtype=float) / d
-        den = s0 - f * e0
-        inv = 1.0 / den
-        inv2 = inv * inv
-        return (float(np.log(den).sum()), float(inv.sum()), float((f * inv).sum()), float(inv2.sum()),
-                float((f * inv2).sum()), float((f * f * inv2).sum()))
-    c = d * s0 / e0
-    dpsi = _digamma(c + 1.0) - _digamma(c - d + 1.0)
-    dtri = _trigamma(c - d + 1.0) - _trigamma(c + 1.0)
-    big_l = d * math.log(e0 / d) + math.lgamma(c + 1.0) - math.lgamma(c - d + 1.0)
-    a0 = (d / e0) * dpsi
-    a1 = (c * dpsi - d) / e0
-    b0 = (d / e0) ** 2 * dtri
-    b1 = (d / (e0 * e0)) * (c * dtri - dpsi)
-    b2 = (c * c * dtri - 2.0 * c * dpsi + d) / (e0 * e0)
-    return big_l, a0, a1, b0, b1, b2
+    log D, 1/D, (l/d)/D, 1/D^2, (l/d)/D^2, (l/d)^2/D^2 with D = s0 - (l/d) e0.
+
+    One formula for every d: with u = l/d, q = e0/s0 and D = s0 (1 - q u), the
+    last TAIL terms (where D may come near zero) are added one by one; the
+    terms before them are the Euler-Maclaurin formula, the integral of the
+    smooth function plus corrections at both ends.  The integrals are written
+    with the remainders of the logarithm's series, so small q cancels nothing.
+    Arguments are numbers or arrays; the cost does not depend on d.
+    """
+    s0, e0, d = (np.atleast_1d(np.asarray(v, dtype=float)) for v in (s0, e0, d))
+    q = e0 / s0
+    n = np.maximum(d - TAIL, 0.0)          # terms of the smooth part
+    a = n / d
+    w = q * a
+    t = 1.0 - w
+    r1, r2 = _log_rests(w)
+    safe = np.where(w > 0, q, 1.0)         # without a smooth part all integrals are 0
+    integral = [
+        -(w * w - t * r1) / safe,                      # log(1 - q u)
+        -np.log1p(-w) / safe,                          # 1 / (1 - q u)
+        r1 / safe ** 2,                                # u / (1 - q u)
+        a / t,                                         # 1 / (1 - q u)^2
+        (w * w / t - r1) / safe ** 2,                  # u / (1 - q u)^2
+        (w ** 3 / t - 2.0 * r2) / safe ** 3,           # u^2 / (1 - q u)^2
+    ]
+
+    def at(u, m):
+        """The six functions' m-th derivatives at u (m = 0 or odd)."""
+        x = 1.0 - q * u
+        if m == 0:
+            return [np.log1p(-q * u), 1 / x, u / x, 1 / x ** 2, u / x ** 2, (u / x) ** 2]
+        f, f1 = float(math.factorial(m)), float(math.factorial(m + 1))
+        inv, inv2 = f * x ** -(m + 1), f1 * x ** -(m + 2)
+        bend = q ** (m - 2) * (inv2 - 2.0 * inv) if m > 1 else 2.0 * u * x ** -3
+        return [-math.factorial(m - 1) * q ** m * x ** -m, q ** m * inv, q ** (m - 1) * inv, q ** m * inv2,
+                q ** (m - 1) * (inv2 - inv), bend]
+
+    zero = np.zeros_like(a)
+    out = [d * i + np.where(n > 0, (lo - hi) / 2, 0.0) for i, lo, hi in zip(integral, at(zero, 0), at(a, 0))]
+    for k, c in enumerate(_BERNOULLI, 1):
+        m = 2 * k - 1
+        out = [o + np.where(n > 0, c * (hi - lo) / d ** m, 0.0) for o, lo, hi in zip(out, at(zero, m), at(a, m))]
+    steps = np.arange(TAIL, dtype=float)[None, :]
+    use = steps < (d - n)[:, None]
+    u = np.where(use, (n[:, None] + steps) / d[:, None], 0.0)
+    x = 1.0 - q[:, None] * u
+    tail = [np.log1p(-q[:, None] * u), 1 / x, u / x, 1 / x ** 2, u / x ** 2, (u / x) ** 2]
+    out = [o + np.where(use, v, 0.0).sum(axis=1) for o, v in zip(out, tail)]
+    out[0] = out[0] + d * np.log(s0)
+    return out[0], out[1] / s0, out[2] / s0, out[3] / s0 ** 2, out[4] / s0 ** 2, out[5] / s0 ** 2
 
 
 _EFRON_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("L", "A0", "A1", "B0", "B1", "B2")])
@@ -79,8 +105,11 @@ _EFRON_TYPE = T.StructType([T.StructField(n, T.DoubleType()) for n in ("L", "A0"
 
 @F.pandas_udf(_EFRON_TYPE)
 def _efron_udf(s0: pd.Series, e0: pd.Series, d: pd.Series) -> pd.DataFrame:
-    rows = [efron_sums(float(a), float(b), int(c)) if c > 0 else (0.0,) * 6 for a, b, c in zip(s0, e0, d)]
-    return pd.DataFrame(rows, columns=["L", "A0", "A1", "B0", "B1", "B2"])
+    some = (d > 0).to_numpy()
+    out = np.zeros((len(d), 6))
+    if some.any():
+        out[some] = np.column_stack(efron_sums(s0.to_numpy()[some], e0.to_numpy()[some], d.to_numpy()[some]))
+    return pd.DataFrame(out, columns=["L", "A0", "A1", "B0", "B1", "B2"])
 
 
 @dataclass
@@ -168,7 +197,7 @@ def _step_pieces(coll: DataFrame, beta, p: int, ties: str = "efron"):
 
 
 def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None = None,
-            cluster: str | None = None, tol: float = 1e-9, max_iter: int = 30, ties: str = "efron") -> CoxFit:
+            cluster: str | None = None, tol: float = 1e-9, max_iter: int = 100, ties: str = "efron") -> CoxFit:
     """Cox model by Newton-Raphson with step halving; ``ties`` is "efron" (default) or "breslow"."""
     if ties not in ("efron", "breslow"):
         raise ValueError("ties must be 'efron' or 'breslow'")
@@ -192,24 +221,14 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
     means = mv[:p] / mv[p]
     cc = coll.select(*[(F.col(f"x{j}") - F.lit(float(means[j]))).alias(f"x{j}") for j in range(p)],
                      "time", "n_at", "n_ev")
-    beta = np.zeros(p)
-    ll, u, info = _step_pieces(cc, beta, p, ties)
-    ll0 = ll
-    it = 0
-    for it in range(1, max_iter + 1):
-        step = solve_sym(info, u)
-        lam = 1.0
-        for _ in range(20):
-            cand = beta + lam * step
-            ll_new, u_new, info_new = _step_pieces(cc, cand, p, ties)
-            if np.isfinite(ll_new) and ll_new >= ll - 1e-12:
-                break
-            lam /= 2.0
-        beta = cand
-        done = abs(ll_new - ll) < tol * (abs(ll) + 1.0)
-        ll, u, info = ll_new, u_new, info_new
-        if done:
-            break
+
+    def evaluate(beta):
+        ll, u, info = _step_pieces(cc, beta, p, ties)
+        return u, -info, ll
+
+    _, _, ll0 = evaluate(np.zeros(p))
+    beta, _, h, ll, it = newton(evaluate, np.zeros(p), "Cox model", tol, max_iter)
+    info = -h
     fit = CoxFit(design, beta, inv_sym(info), ll, ll0, n, n_ev, it, means, collapsed=coll, ties=ties)
     if cluster:
         fit.robust_cov = robust_cov(df, fit, time, event, cluster, collapsed=coll_c)

@@ -16,9 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_FACTOR_LEVELS = 1000
-
-
 @dataclass(frozen=True)
 class Factor:
     """Categorical term; ``levels[0]`` is the reference level."""
@@ -49,12 +46,8 @@ class Design:
 
 
 def discover_levels(df: DataFrame, col: str) -> tuple:
-    """Distinct non-null values, sorted; a categorical dictionary, checked for size."""
-    vals = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct()
-            .limit(MAX_FACTOR_LEVELS + 1).collect()]
-    if len(vals) > MAX_FACTOR_LEVELS:
-        raise ValueError(f"{col}: more than {MAX_FACTOR_LEVELS} levels; not a factor")
-    return tuple(sorted(vals))
+    """Distinct non-null values, sorted: one coefficient each, so as many as the model can hold."""
+    return tuple(sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect()))
 
 
 def build_design(df: DataFrame, terms, intercept: bool = True) -> Design:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import norm_sf
 from .design import (Design, build_design, coef_frame, complete_rows, linear_predictor, sym_from_upper,
                      upper_pairs)
-from .suffstats import agg_vector, collapse, inv_sym, solve_sym
+from .suffstats import agg_vector, collapse, inv_sym, newton
 
 
 @dataclass
@@ -54,39 +54,28 @@ def _softplus(x: Column) -> Column:
 
 
 def binomial_newton(coll: DataFrame, p: int, s: Column, m: Column, offset: Column | None = None,
-                    beta0=None, tol: float = 1e-10, max_iter: int = 50):
+                    beta0=None, tol: float = 1e-10, max_iter: int = 100):
     """Newton-Raphson for the logit model on collapsed rows (x0.., s successes, m trials)."""
-    beta = np.zeros(p) if beta0 is None else np.array(beta0, dtype=float)
     pairs = upper_pairs(p)
-    loglik = float("nan")
-    it = 0
-    for it in range(1, max_iter + 1):
+    x = [F.col(f"x{i}") for i in range(p)]
+    trials = 0
+
+    def evaluate(beta):
+        nonlocal trials
         eta = linear_predictor(beta, p, offset)
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-        x = [F.col(f"x{i}") for i in range(p)]
         # per-row weight, residual and log-likelihood once, below the aggregate
         base = coll.select(*x, (m * mu * (F.lit(1.0) - mu)).alias("_w"), (s - m * mu).alias("_r"),
-                           (s * eta - m * _softplus(eta)).alias("_ll"))
+                           (s * eta - m * _softplus(eta)).alias("_ll"), m.alias("_m"))
         exprs = [f"sum(_r * x{i})" for i in range(p)]
         exprs += [f"sum(_w * x{i} * x{j})" for i, j in pairs]
-        exprs += ["sum(_ll)"]
-        v = agg_vector(base, exprs)
-        g = v[:p]
-        h = sym_from_upper(v[p:p + len(pairs)], p)
-        loglik = v[-1]
-        step = solve_sym(h, g)
-        beta = beta + step
-        if np.max(np.abs(step)) < tol:
-            break
-    # final information at the converged coefficients
-    eta = linear_predictor(beta, p, offset)
-    mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-    x = [F.col(f"x{i}") for i in range(p)]
-    base = coll.select(*x, (m * mu * (F.lit(1.0) - mu)).alias("_w"), (s * eta - m * _softplus(eta)).alias("_ll"),
-                       m.alias("_m"))
-    v = agg_vector(base, [f"sum(_w * x{i} * x{j})" for i, j in pairs] + ["sum(_ll)", "sum(_m)"])
-    h = sym_from_upper(v[:len(pairs)], p)
-    return beta, inv_sym(h), float(v[-2]), int(v[-1]), it
+        v = agg_vector(base, [*exprs, "sum(_m)", "sum(_ll)"])
+        trials = int(v[-2])
+        return v[:p], -sym_from_upper(v[p:p + len(pairs)], p), float(v[-1])
+
+    start = np.zeros(p) if beta0 is None else np.array(beta0, dtype=float)
+    beta, _, h, loglik, it = newton(evaluate, start, "logit model", tol, max_iter)
+    return beta, inv_sym(-h), loglik, trials, it
 
 
 def fit_logit(df: DataFrame, y: str, success: str, terms, intercept: bool = True,

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.distributions import norm_sf
 from ..session import ensure_checkpoint_dir
 from .design import Design, build_design, coef_frame, complete_rows, sym_from_upper, upper_pairs
-from .suffstats import collapse, inv_sym, solve_sym
+from .suffstats import NotConverged, collapse, inv_sym, solve_sym
 
 
 @dataclass
@@ -74,7 +74,7 @@ def _softplus(x: Column) -> Column:
     return F.when(x > 0, x + F.log1p(F.exp(-x))).otherwise(F.log1p(F.exp(x)))
 
 
-def _fit_grid(coll: DataFrame, cluster: str, p: int, sigmas, beta0, iters: int = 25, tol: float = 1e-8):
+def _fit_grid(coll: DataFrame, cluster: str, p: int, sigmas, beta0, iters: int = 100, tol: float = 1e-8):
     spark = coll.sparkSession
     ensure_checkpoint_dir(spark)
     G = len(sigmas)
@@ -129,6 +129,8 @@ def _fit_grid(coll: DataFrame, cluster: str, p: int, sigmas, beta0, iters: int =
         betas = [b + st for b, st in zip(betas, steps)]
         if max(float(np.max(np.abs(st))) for st in steps) < tol:
             break
+    else:
+        raise NotConverged(f"mixed logit model: no maximum after {iters} steps")
     # Laplace log-likelihood and Schur information at the final state
     lap = per.groupBy("g").agg(
         F.sum(F.col("llj") + F.lit(0.5) * F.ln(F.col("inv_s2")) - F.lit(0.5) * F.ln(F.col("hbb"))).alias("lap"),
@@ -154,17 +156,25 @@ def fit_glmm_logit(df: DataFrame, y: str, success: str, terms, cluster: str,
                      (F.col(y) == F.lit(success)).cast("double").alias("yy"))
     coll = collapse(xf, [cluster] + [f"x{i}" for i in range(p)],
                     {"s": F.sum("yy"), "m": F.count(F.lit(1)).cast("double")})
-    beta0, _, _, n, _ = binomial_newton(coll, p, F.col("s"), F.col("m"))
+    beta0, cov0, ll0, n, _ = binomial_newton(coll, p, F.col("s"), F.col("m"))
     lo, hi = -3.0, 1.0
     evals = {}
-    for _ in range(rounds):
+    left = rounds
+    while left:
         sig = [10.0 ** v for v in np.linspace(lo, hi, grid)]
         res = _fit_grid(coll, cluster, p, sig, beta0)
         for gi, v in res.items():
             evals[sig[gi]] = v
         best = max(evals, key=lambda s: evals[s][0])
         step = (hi - lo) / (grid - 1)
+        if best == max(evals):  # the maximum lies beyond the largest sigma tried: look further up
+            lo, hi = hi, hi + 2.0
+            continue
         lo, hi = math.log10(best) - step, math.log10(best) + step
+        left -= 1
+        if best == min(evals) and evals[best][0] <= ll0 + 1e-6 * (abs(ll0) + 1.0):
+            # no variance between clusters: the plain model is the fit
+            return MixedLogitFit(design, beta0, cov0, 0.0, ll0, n, evals[best][3])
     best = max(evals, key=lambda s: evals[s][0])
     # refine: vertex of the parabola through the best grid point and its two
     # neighbours in log(sigma); one more fit there, kept if its likelihood is higher

@@ -59,10 +59,8 @@ def fit_lm(df: DataFrame, y: str, terms, weights: str | None = None, log_y: bool
            intercept: bool = True, design: Design | None = None) -> LinearFit:
     """Least squares of ``y`` (or ``log y``) on the design.
 
-    One aggregate gives X'WX, X'Wy and y'Wy; the residual sum of squares is
-    y'Wy - b'X'Wy.  Only when that difference is tiny next to y'Wy (where
-    cancellation could cost digits) does a second pass compute the residual
-    and total sums of squares around the fit exactly.
+    One aggregate gives X'WX and X'Wy, a second the residual and total sums of
+    squares around the fit.
     """
     design = design or build_design(df, terms, intercept)
     p = design.p
@@ -70,13 +68,10 @@ def fit_lm(df: DataFrame, y: str, terms, weights: str | None = None, log_y: bool
     xtx, xty, yty, sw, n = gram(mf, p, "y", "w")
     beta = solve_sym(xtx, xty)
     ybar = (xty[0] / sw) if intercept else 0.0
-    rss = yty - float(beta @ xty)
-    tss = yty - sw * ybar * ybar if intercept else yty
-    if not (rss > 1e-8 * yty and tss > 1e-8 * yty):
-        eta = linear_predictor(beta, p)
-        res = F.col("y") - eta
-        rss, tss = agg_vector(mf, [F.sum(F.col("w") * res * res),
-                                   F.sum(F.col("w") * (F.col("y") - F.lit(ybar)) * (F.col("y") - F.lit(ybar)))])
+    # a second pass sums the residuals themselves: y'Wy - b'X'Wy would lose the digits that cancel
+    res = F.col("y") - linear_predictor(beta, p)
+    dev = F.col("y") - F.lit(float(ybar))
+    rss, tss = agg_vector(mf, [F.sum(F.col("w") * res * res), F.sum(F.col("w") * dev * dev)])
     df_resid = n - p
     sigma2 = rss / df_resid if df_resid > 0 else float("nan")
     cov = sigma2 * inv_sym(xtx)

@@ -99,7 +99,7 @@ def _reml(a, b, c, logdet, n, p):
 
 
 def fit_lmm(df: DataFrame, y: str, terms, cluster: str, log_y: bool = False,
-            design: Design | None = None, rounds: int = 5) -> MixedFit:
+            design: Design | None = None, rounds: int = 4) -> MixedFit:
     """REML fit of y ~ terms + (1 | cluster)."""
     design = design or build_design(df, terms, True)
     p = design.p
@@ -119,8 +119,23 @@ def fit_lmm(df: DataFrame, y: str, terms, cluster: str, log_y: bool = False,
         step = (hi - lo) / (npts - 1)
         centre = math.log10(best)
         lo, hi = centre - 2 * step, centre + 2 * step
+    # last: vertex of the parabola through the best point and its neighbours in log gamma
+    xs = sorted(evals)
+    at = xs.index(best)
+    if 0 < at < len(xs) - 1:
+        x = [math.log10(v) for v in xs[at - 1:at + 2]]
+        f = [evals[v][0] for v in xs[at - 1:at + 2]]
+        c2, c1, _ = np.polyfit(np.array(x) - x[1], f, 2)
+        shift = -c1 / (2 * c2) if c2 < 0 else 0.0
+        if x[0] - x[1] < shift < x[2] - x[1]:
+            vertex = 10.0 ** (x[1] + shift)
+            a, b, c, logdet, n, k = next(iter(_grid_sums(cs, [vertex], p).values()))
+            crit, beta, s2 = _reml(a, b, c, logdet, n, p)
+            if crit >= evals[best][0]:
+                best = vertex
+                evals[best] = (crit, beta, s2, a, n, k)
     crit, beta, s2, a, n, k = evals[best]
-    # gamma at the lower edge of the search means sigma_a -> 0 (boundary fit)
-    sigma_a2 = best * s2
+    # the best point at the lower edge of the search: no variance between clusters
+    sigma_a2 = 0.0 if at == 0 else best * s2
     cov = s2 * inv_sym(a)
     return MixedFit(design, beta, cov, math.sqrt(s2), math.sqrt(sigma_a2), crit, n, k)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import norm_sf
 from .design import Design, build_design, coef_frame, complete_rows, linear_predictor, sym_from_upper, upper_pairs
-from .suffstats import agg_vector, collapse, inv_sym, solve_sym
+from .suffstats import agg_vector, collapse, inv_sym, newton
 
 BIG = 1e6  # stands in for +-infinity at the outer thresholds (logistic saturates far earlier)
 
@@ -72,6 +72,11 @@ def _logistic(u: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-u))
 
 
+def _softplus(u: Column) -> Column:
+    """log(1 + e^u) without overflow."""
+    return F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u)))
+
+
 def _pieces(coll: DataFrame, beta, zeta, p: int, k_levels: int, want_hess: bool = True):
     eta = linear_predictor(beta, p)
     zext = [-BIG] + [float(z) for z in zeta] + [BIG]
@@ -79,44 +84,47 @@ def _pieces(coll: DataFrame, beta, zeta, p: int, k_levels: int, want_hess: bool
     k = F.col("k")  # 1..K
     a = F.element_at(zarr, k + 1) - eta     # upper threshold of the category
     b = F.element_at(zarr, k) - eta         # lower threshold
-    fa_cdf, fb_cdf = _logistic(a), _logistic(b)
     top = k == k_levels
     bottom = k == 1
-    fa_cdf = F.when(top, F.lit(1.0)).otherwise(fa_cdf)
-    fb_cdf = F.when(bottom, F.lit(0.0)).otherwise(fb_cdf)
-    fa = F.when(top, F.lit(0.0)).otherwise(fa_cdf * (F.lit(1.0) - fa_cdf))
-    fb = F.when(bottom, F.lit(0.0)).otherwise(fb_cdf * (F.lit(1.0) - fb_cdf))
-    fpa = fa * (F.lit(1.0) - F.lit(2.0) * fa_cdf)
-    fpb = fb * (F.lit(1.0) - F.lit(2.0) * fb_cdf)
-    pr = fa_cdf - fb_cdf
+    one, zero = F.lit(1.0), F.lit(0.0)
+    # P = F(a) (1 - F(b)) (1 - e^(b-a)): every factor and every ratio below stays finite far in the tails
+    gap = F.when(top | bottom, one).otherwise(-F.expm1(b - a))
+    fa_cdf, fb_cdf = _logistic(a), _logistic(b)
+    # ua = f(a) / P and ub = f(b) / P; at the outer thresholds the densities are 0
+    ua = F.when(top, zero).when(bottom, one - fa_cdf).otherwise(F.exp(_softplus(b) - _softplus(a)) / gap)
+    ub = F.when(bottom, zero).when(top, fb_cdf).otherwise(F.exp(_softplus(-a) - _softplus(-b)) / gap)
+    va = ua * (one - F.lit(2.0) * fa_cdf)
+    vb = ub * (one - F.lit(2.0) * fb_cdf)
+    lnp = F.when(top, zero).otherwise(-_softplus(-a)) + F.when(bottom, zero).otherwise(-_softplus(b)) + F.ln(gap)
     # per-row pieces computed once in a projection; the aggregate then only
     # combines columns (small generated code, no re-evaluation per entry)
-    coll = coll.select("w", "k", *[F.col(f"x{j}") for j in range(p)], fa.alias("fa"), fb.alias("fb"),
-                       fpa.alias("fpa"), fpb.alias("fpb"), pr.alias("pr"))
+    coll = coll.select("w", "k", *[F.col(f"x{j}") for j in range(p)], ua.alias("ua"), ub.alias("ub"),
+                       va.alias("va"), vb.alias("vb"), lnp.alias("lnp"))
     q = p + k_levels - 1
-    # SQL text: one JVM call per sum (g = fa - fb, gp = fpa - fpb)
-    exprs = [f"sum(w * (fb - fa) * x{j} / pr)" for j in range(p)]
+    # SQL text: one JVM call per sum
+    exprs = [f"sum(w * (ub - ua) * x{j})" for j in range(p)]
     for m in range(1, k_levels):  # threshold zeta_m: upper for k == m, lower for k == m + 1
-        exprs.append(f"sum(w * (CASE WHEN k = {m} THEN fa / pr ELSE 0D END - CASE WHEN k = {m + 1} THEN fb / pr ELSE 0D END))")
+        exprs.append(f"sum(w * (CASE WHEN k = {m} THEN ua ELSE 0D END - CASE WHEN k = {m + 1} THEN ub ELSE 0D END))")
     if want_hess:
         for i, j in upper_pairs(q):
             if i < p and j < p:
-                e = f"sum(w * ((fpa - fpb) / pr - (fa - fb) * (fa - fb) / (pr * pr)) * x{i} * x{j})"
+                e = f"sum(w * (va - vb - (ua - ub) * (ua - ub)) * x{i} * x{j})"
             elif i < p:
                 m = j - p + 1
-                e = (f"sum(w * x{i} * (CASE WHEN k = {m} THEN -fpa / pr + (fa - fb) * fa / (pr * pr) ELSE 0D END"
-                     f" + CASE WHEN k = {m + 1} THEN fpb / pr - (fa - fb) * fb / (pr * pr) ELSE 0D END))")
+                e = (f"sum(w * x{i} * (CASE WHEN k = {m} THEN (ua - ub) * ua - va ELSE 0D END"
+                     f" + CASE WHEN k = {m + 1} THEN vb - (ua - ub) * ub ELSE 0D END))")
             else:
                 m1, m2 = i - p + 1, j - p + 1
                 if m1 == m2:
-                    e = (f"sum(w * (CASE WHEN k = {m1} THEN fpa / pr - fa * fa / (pr * pr) ELSE 0D END"
-                         f" + CASE WHEN k = {m1 + 1} THEN -fpb / pr - fb * fb / (pr * pr) ELSE 0D END))")
+                    e = (f"sum(w * (CASE WHEN k = {m1} THEN va - ua * ua ELSE 0D END"
+                         f" + CASE WHEN k = {m1 + 1} THEN -vb - ub * ub ELSE 0D END))")
                 elif m2 == m1 + 1:
-                    e = f"sum(w * CASE WHEN k = {m2} THEN fa * fb / (pr * pr) ELSE 0D END)"
+                    e = f"sum(w * CASE WHEN k = {m2} THEN ua * ub ELSE 0D END)"
                 else:
                     e = "sum(0D)"
             exprs.append(e)
-    exprs.append("sum(w * ln(pr))")
+    # a row whose term is not a number must not leave the sum unseen
+    exprs.append("CASE WHEN count_if(lnp IS NULL) = 0 THEN sum(w * lnp) END")
     v = agg_vector(coll, exprs)
     g = v[:q]
     h = sym_from_upper(v[q:q + q * (q + 1) // 2], q) if want_hess else None
@@ -124,7 +132,7 @@ def _pieces(coll: DataFrame, beta, zeta, p: int, k_levels: int, want_hess: bool
 
 
 def fit_ordinal(df: DataFrame, y: str, levels, terms, design: Design | None = None, tol: float = 1e-9,
-             max_iter: int = 60) -> OrdinalFit:
+             max_iter: int = 100) -> OrdinalFit:
     """Proportional-odds logistic regression of the ordered response ``y``."""
     design = design or build_design(df, terms, intercept=False)
     p = design.p
@@ -149,26 +157,8 @@ def fit_ordinal(df: DataFrame, y: str, levels, terms, design: Design | None = No
     cum = np.cumsum(cnt)[:-1] / cnt.sum()
     zeta = np.log(cum / (1.0 - cum))
     beta = np.zeros(p)
-    g, h, ll = _pieces(coll, beta, zeta, p, kk)
-    it = 0
-    for it in range(1, max_iter + 1):
-        step = -solve_sym(h, g)
-        theta = np.append(beta, zeta)
-        lam = 1.0
-        # full Newton step first (one job gives the next gradient and Hessian too);
-        # halve only when the likelihood drops or the thresholds cross
-        for _ in range(30):
-            cand = theta + lam * step
-            zc = cand[p:]
-            if np.all(np.diff(zc) > 0):
-                g_new, h_new, ll_new = _pieces(coll, cand[:p], zc, p, kk)
-                if np.isfinite(ll_new) and ll_new >= ll - 1e-12:
-                    break
-            lam /= 2.0
-        beta, zeta = cand[:p], cand[p:]
-        done = abs(ll_new - ll) < tol * (abs(ll) + 1.0) and np.max(np.abs(lam * step)) < 1e-7
-        g, h, ll = g_new, h_new, ll_new
-        if done:
-            break
+    theta, _, h, ll, it = newton(lambda t: _pieces(coll, t[:p], t[p:], p, kk), np.append(beta, zeta),
+                                 f"ordinal model of {y}", tol, max_iter, valid=lambda t: np.all(np.diff(t[p:]) > 0))
+    beta, zeta = theta[:p], theta[p:]
     n = int(cnt.sum())
     return OrdinalFit(design, tuple(levels), beta, zeta, inv_sym(-h), ll, n, it)

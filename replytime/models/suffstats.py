@@ -56,6 +56,42 @@ def collapse(df: DataFrame, keys: list[str], counts: dict[str, Column], checkpoi
     return out
 
 
+class NotConverged(RuntimeError):
+    """An iterative fit found no maximum (separated data, a singular design, too few steps)."""
+
+
+def newton(evaluate, theta, what: str, tol: float = 1e-9, max_iter: int = 100, valid=lambda t: True):
+    """Maximise a log-likelihood: ``evaluate(theta) -> (gradient, Hessian, value)``, one Spark job a call.
+
+    A full Newton step is tried first and halved while the value drops, is not
+    a number, or ``valid`` refuses the point.  Returns theta, gradient, Hessian,
+    value and the number of steps; raises NotConverged instead of returning a
+    point that is not a maximum.
+    """
+    theta = np.asarray(theta, dtype=float)
+    g, h, value = evaluate(theta)
+    if not np.isfinite(value):
+        raise NotConverged(f"{what}: the likelihood at the start is not a number")
+    for it in range(1, max_iter + 1):
+        step = -solve_sym(h, g)
+        lam, slack = 1.0, 1e-12 * (abs(value) + 1.0)
+        while True:
+            cand = theta + lam * step
+            if valid(cand):
+                g_new, h_new, new = evaluate(cand)
+                if np.isfinite(new) and new >= value - slack:
+                    break
+            lam /= 2.0
+            if lam < 1e-12:
+                raise NotConverged(f"{what}: no step raises the likelihood")
+        small = np.max(np.abs(lam * step), initial=0.0) < 1e-7 * (1.0 + np.max(np.abs(cand), initial=0.0))
+        done = abs(new - value) < tol * (abs(value) + 1.0) and small
+        theta, g, h, value = cand, g_new, h_new, new
+        if done:
+            return theta, g, h, value, it
+    raise NotConverged(f"{what}: no maximum after {max_iter} steps")
+
+
 def solve_sym(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Solve a small symmetric system (least squares if singular)."""
     try:

@@ -1,6 +1,5 @@
-"""Keyed joins of the study.  Only sides with a proven size bound get a
-broadcast hint: fixed tables directly, per-group tables after an explicit
-row count (``sized_broadcast``); beyond the bound the join shuffles."""
+"""Keyed joins of the study.  No side is hinted: Spark broadcasts by its own
+measure of bytes (adaptively for grouped tables) and shuffles otherwise."""
 
 from __future__ import annotations
 
@@ -10,24 +9,6 @@ from pyspark.sql import functions as F
 from ..functions.core import composite_key
 
 
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def sized_broadcast(small: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """A per-group table prepared for joining to row data, broadcast only if its size allows.
-
-    The table is checkpointed (so counting it does not recompute it and the
-    join reads the same rows) and counted.  With at most ``max_rows`` rows it
-    is hinted for broadcast: the big side is then never shuffled, whatever
-    its key skew.  Beyond that it is returned unhinted and the join shuffles
-    both sides on the key (AQE splits skewed partitions).
-    """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(small.sparkSession)
-    s = small.checkpoint(eager=True)
-    return F.broadcast(s) if s.count() <= max_rows else s
-
-
 def response_rate_by_trust(df: DataFrame, rating: str = "overall_sat", key: str = "trustcode") -> DataFrame:
     """Share of rows with a rating, per trust."""
     return df.groupBy(key).agg(
@@ -35,12 +16,8 @@ def response_rate_by_trust(df: DataFrame, rating: str = "overall_sat", key: str
 
 
 def attach_response_rate(df: DataFrame, rates: DataFrame, key: str = "trustcode") -> DataFrame:
-    """Left outer join of the per-trust rate to every row.
-
-    ``rates`` has one row per trust (a grouped aggregate); it is broadcast
-    after a size check (``sized_broadcast``), else joined by a shuffle.
-    """
-    return df.join(sized_broadcast(rates), key, "left")
+    """Left outer join of the per-trust rate (one row per trust) to every row."""
+    return df.join(rates, key, "left")
 
 
 def with_pid(df: DataFrame, trust: str = "trustcode", record: str = "record") -> DataFrame:
@@ -48,21 +25,20 @@ def with_pid(df: DataFrame, trust: str = "trustcode", record: str = "record") ->
     return df.withColumn("pid", composite_key(trust, record))
 
 
-def wave_subset_join(df: DataFrame, subset: DataFrame) -> DataFrame:
-    """Inner join to a scored subset on the composite id ``trust.record``."""
-    return with_pid(df).join(subset, "pid", "inner")
+def wave_subset_join(df: DataFrame, subset: DataFrame, keys=("trustcode", "record")) -> DataFrame:
+    """Inner join to a scored subset on trust and record; adds the composite id ``trust.record``."""
+    return with_pid(df.join(subset, list(keys), "inner"))
 
 
-def bind_imputed(left: DataFrame, right: DataFrame, keys=("trustcode", "record"),
-                 check: bool = False) -> DataFrame:
+def bind_imputed(left: DataFrame, right: DataFrame, keys=("trustcode", "record")) -> DataFrame:
     """Columns of two files side by side, matched by key instead of position.
 
-    With ``check`` the two inputs and the result are counted and must agree
-    (three count jobs; off by default).
+    The files must hold the same rows: a row of either without its partner
+    fails the job (found in the same pass, by a full outer join).
     """
-    out = left.join(right, list(keys), "inner")
-    if check:
-        nl, nr, no = left.count(), right.count(), out.count()
-        if not (nl == nr == no):
-            raise ValueError(f"bind_imputed: row counts differ ({nl}, {nr}, {no})")
-    return out
+    a = left.withColumn("in_left__", F.lit(True))
+    b = right.withColumn("in_right__", F.lit(True))
+    both = F.col("in_left__").isNotNull() & F.col("in_right__").isNotNull()
+    said = F.concat_ws(" ", F.lit("bind_imputed: no partner for"), *[F.col(k).cast("string") for k in keys])
+    out = a.join(b, list(keys), "full").where(F.when(both, F.lit(True)).otherwise(F.raise_error(said).cast("boolean")))
+    return out.drop("in_left__", "in_right__")

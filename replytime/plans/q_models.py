@@ -449,14 +449,15 @@ def _item_features(d):
 
 @query("regression_tree")
 def regression_tree(spark, sf_dir):
-    """Regression tree (variance reduction) of the rating code on the questionnaire items; fitted value per row."""
+    """Regression tree (variance reduction) of the rating code on the questionnaire items; fitted value of every rated row."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
     d = derived(spark, sf_dir)
-    feats = _item_features(d)
+    # an unanswered item is a value of its own below all answers, so the tree can send it either way
+    feats = [F.coalesce(c, F.lit(-1.0)) for c in _item_features(d)]
     names = [f"f{i}" for i in range(len(feats))]
-    mf = d.select("record", F.col("overall_sat").cast("double").alias("label"),
-                  *[c.alias(n) for c, n in zip(feats, names)]).dropna()
+    mf = d.where(F.col("overall_sat").isNotNull()).select(
+        "record", F.col("overall_sat").cast("double").alias("label"), *[c.alias(n) for c, n in zip(feats, names)])
     vec = VectorAssembler(inputCols=names, outputCol="features").transform(mf)
     # minimum leaf size 7 = the usual recursive-partitioning default (minsplit 20, minbucket 7);
     # no cost-complexity pruning in MLlib, so depth is capped instead

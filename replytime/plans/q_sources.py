@@ -123,8 +123,8 @@ def km_curves_aligned(spark, sf_dir):
 def wave_subset_join(spark, sf_dir):
     """Inner join of the wave to a scored subset on the composite id trust.record."""
     r = raw(spark, sf_dir)
-    subset = J.with_pid(r.where((F.col("outcome") == "Returned useable questionnaire")
-                                & F.col("q74").isNotNull())).select("pid", "q22", "q49")
+    subset = r.where((F.col("outcome") == "Returned useable questionnaire")
+                     & F.col("q74").isNotNull()).select("trustcode", "record", "q22", "q49")
     d = derive_wave(r).select("trustcode", "record", "reply_time", "overall_sat")
     return J.wave_subset_join(d, subset).select("pid", "reply_time", "overall_sat", "q22", "q49")
 

@@ -27,6 +27,7 @@ def get_spark(master: str | None = None, app: str = "replytime",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # no per-call Python call-site capture: building a Hessian's hundreds of
         # Column expressions would otherwise cost several JVM round trips each
@@ -43,23 +44,21 @@ def get_spark(master: str | None = None, app: str = "replytime",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; it is used as is.  Only when the
-    setting is absent (local tests) is a fresh folder made under the system
-    temporary directory.
+    The setting is read from the session and used as is; on a cluster it must
+    name a folder that the driver and all executors share.  Only a session
+    on one machine (a ``local`` master, as in tests) may leave it unset: it
+    then gets a folder of its own.  Any other session without it is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        try:
-            conf_dir = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset key
-            conf_dir = None
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="replytime-ckpt-")
-    sc.setCheckpointDir(conf_dir)
-    return sc.getCheckpointDir() or conf_dir
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="replytime-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir() or named

@@ -1,18 +1,16 @@
 """Incremental tally of returned questionnaires with Structured Streaming.
 
 Waves arrive as files; each micro-batch adds its usable returns to a
-per-(trust, day) count kept in the streaming state.  The event time is the
-received date; a watermark bounds the state (days older than the watermark
-are final and evicted).  Output runs in update mode through ``foreachBatch``
+per-(trust, day) count kept in the streaming state, which is bounded by the
+trusts and the days of the survey.  By default no watermark is set, so files
+may arrive in any order and every row counts.  Output runs in update mode through ``foreachBatch``
 into a Parquet table (append of (key, running count, batch id)); readers take
 the latest count per key, so a restarted query (same checkpoint) resumes
 without double counting.
 
 The study itself read whole files once; this is the same tally computed as
-data arrives.  Rows older than the watermark are not counted, which is the
-intended streaming semantics.  Spark judges a row's lateness against the
-watermark of the previous micro-batch.  Choose the delay accordingly: the
-default of a year keeps every row of a survey wave.
+data arrives.  For an endless stream a caller may name a watermark: days
+older than it are then final, and rows that arrive later do not count.
 """
 
 from __future__ import annotations
@@ -31,21 +29,22 @@ def returns_stream(spark: SparkSession, source: str, max_files_per_trigger: int
             .parquet(source))
 
 
-def daily_returns(rows: DataFrame, watermark: str = "365 days") -> DataFrame:
+def daily_returns(rows: DataFrame, watermark: str | None = None) -> DataFrame:
     """Running count of usable returns per trust and received day (event-time windows)."""
     ret = rows.where((F.col("outcome") == RETURNED_LABEL) & F.col("daterec").isNotNull())
     # event time = midnight (UTC) of the received day; independent of the session time zone
     day_ts = F.timestamp_seconds(F.unix_date(spss_to_date("daterec")).cast("long") * F.lit(86400))
     ret = ret.select("trustcode", day_ts.alias("received_ts"))
-    return (ret.withWatermark("received_ts", watermark)
-            .groupBy("trustcode", "received_ts")
+    if watermark:
+        ret = ret.withWatermark("received_ts", watermark)
+    return (ret.groupBy("trustcode", "received_ts")
             .agg(F.count(F.lit(1)).alias("returns"))
             .select("trustcode", F.date_from_unix_date(
                 F.floor(F.unix_seconds("received_ts") / F.lit(86400)).cast("int")).alias("day"), "returns"))
 
 
 def run_daily_returns(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                      watermark: str = "365 days", max_files_per_trigger: int = 4) -> None:
+                      watermark: str | None = None, max_files_per_trigger: int = 4) -> None:
     """Process every file now in ``source`` (availableNow trigger) and stop."""
     agg = daily_returns(returns_stream(spark, source, max_files_per_trigger), watermark)
 

@@ -98,14 +98,20 @@ def test_reml_criterion_brute_force(spark):
     X = np.array([[r[f"x{i}"] for i in range(p)] for r in rows])
     y = np.array([r["y"] for r in rows])
     g = np.array([r["trustcode"] for r in rows])
-    H = np.eye(len(y)) + gamma * (g[:, None] == g[None, :])
-    Hi = np.linalg.inv(H)
-    XtHX = X.T @ Hi @ X
-    bhat = np.linalg.solve(XtHX, X.T @ Hi @ y)
-    res = y - X @ bhat
-    s2_bf = float(res @ Hi @ res) / (len(y) - p)
-    crit_bf = -0.5 * ((len(y) - p) * (1 + math.log(2 * math.pi * s2_bf)) + np.linalg.slogdet(H)[1]
-                      + np.linalg.slogdet(XtHX)[1])
+    # H = I + gamma 11' within each cluster: the dense algebra is done block by block
+    XtHX, XtHy, logdet_bf, blocks = np.zeros((p, p)), np.zeros(p), 0.0, []
+    for c in np.unique(g):
+        Xc, yc = X[g == c], y[g == c]
+        Hc = np.eye(len(yc)) + gamma
+        Hi = np.linalg.inv(Hc)
+        XtHX += Xc.T @ Hi @ Xc
+        XtHy += Xc.T @ Hi @ yc
+        logdet_bf += np.linalg.slogdet(Hc)[1]
+        blocks.append((Xc, yc, Hi))
+    bhat = np.linalg.solve(XtHX, XtHy)
+    rss = sum(float((yc - Xc @ bhat) @ Hi @ (yc - Xc @ bhat)) for Xc, yc, Hi in blocks)
+    s2_bf = rss / (len(y) - p)
+    crit_bf = -0.5 * ((len(y) - p) * (1 + math.log(2 * math.pi * s2_bf)) + logdet_bf + np.linalg.slogdet(XtHX)[1])
     assert np.allclose(beta, bhat, rtol=1e-9, atol=1e-9)
     assert abs(s2 - s2_bf) < 1e-9 * s2_bf
     assert abs(crit - crit_bf) < 1e-8 * abs(crit_bf)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from replytime.functions.distributions import chi2_sf, f_sf, t_sf2
@@ -77,18 +78,42 @@ def test_cox_score_zero(spark, derived001):
     assert ll >= fit.loglik0
 
 
-def test_efron_closed_form_matches_direct():
-    s0, e0, d = 91234.5, 40321.25, 30000
-    old = CX.DIRECT_TIES_MAX
-    try:
-        CX.DIRECT_TIES_MAX = 10 ** 9
-        direct = CX.efron_sums(s0, e0, d)
-        CX.DIRECT_TIES_MAX = 0
-        closed = CX.efron_sums(s0, e0, d)
-    finally:
-        CX.DIRECT_TIES_MAX = old
-    for a, b in zip(direct, closed):
-        assert abs(a - b) <= 1e-8 * max(1.0, abs(a))
+def test_efron_sums_equal_direct_sums():
+    """One formula for every number of ties and every share of the risk set."""
+    for d in (1, 2, 63, 64, 65, 200, 5000, 10 ** 6):
+        for ratio in (1.0, 1.0 + 1e-9, 1.5, 2.3, 10.0, 1e3, 1e6, 1e9):
+            e0 = 0.7 * d
+            s0 = ratio * e0
+            f = np.arange(d, dtype=np.longdouble) / d
+            den = s0 - f * e0
+            want = [np.log(den).sum(), (1 / den).sum(), (f / den).sum(), (1 / den ** 2).sum(), (f / den ** 2).sum(),
+                    (f * f / den ** 2).sum()]
+            got = CX.efron_sums(s0, e0, d)
+            for a, b in zip(want, got):
+                assert abs(float(a) - float(b[0])) <= 1e-10 * max(abs(float(a)), 1e-12), (d, ratio)
+
+
+def test_ordinal_terms_stay_finite_in_the_tails(spark):
+    """Rows of every category far from the thresholds: no division by zero, no row left out of the sum."""
+    from replytime.models import ordinal as O
+    for eta in (-1e3, -50.0, 0.3, 50.0, 1e3):
+        rows = spark.createDataFrame([(eta, k, 1.0) for k in (1, 2, 3)], "x0 double, k int, w double")
+        g, h, ll = O._pieces(rows, np.array([1.0]), np.array([-1.0, 1.0]), 1, 3)
+        assert np.all(np.isfinite(g)) and np.all(np.isfinite(h)) and np.isfinite(ll)
+        if abs(eta) <= 50:
+            sp = lambda u: np.logaddexp(0, u)
+            a, b = -1 - eta, 1 - eta
+            want = -sp(-a) + (-sp(-b) - sp(a) + np.log(-np.expm1(a - b))) - sp(b)
+            assert abs(ll - want) < 1e-9 * (1 + abs(want))
+    broken = spark.createDataFrame([(float("nan"), 1, 1.0), (0.0, 2, 1.0)], "x0 double, k int, w double")
+    assert not np.isfinite(O._pieces(broken, np.array([1.0]), np.array([-1.0, 1.0]), 1, 3)[2])
+
+
+def test_separated_data_is_refused(spark):
+    from replytime.models.suffstats import NotConverged
+    rows = spark.createDataFrame([(float(k), "yes" if k > 5 else "no") for k in range(12)], "x double, y string")
+    with pytest.raises(NotConverged):
+        fit_logit(rows, "y", "yes", [Numeric("x")])
 
 
 def test_ordinal_score_zero_and_intercepts(spark, derived001):

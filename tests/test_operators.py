@@ -45,9 +45,10 @@ def test_exclude_trusts_by_code(spark):
 def test_bind_imputed_checks_counts(spark):
     a = spark.createDataFrame([("T1", 1, "x"), ("T1", 2, "y")], "trustcode string, record int, q1 string")
     b = spark.createDataFrame([("T1", 1, 5.0)], "trustcode string, record int, mailing1 double")
-    with pytest.raises(ValueError):
-        J.bind_imputed(a, b, check=True)
-    assert J.bind_imputed(a, a.withColumnRenamed("q1", "q2"), check=True).count() == 2
+    for left, right in ((a, b), (b, a)):
+        with pytest.raises(Exception, match="no partner for T1 2"):
+            J.bind_imputed(left, right).collect()
+    assert J.bind_imputed(a, a.withColumnRenamed("q1", "q2")).count() == 2
 
 
 def test_level_codes_skip_unused(spark):
@@ -147,23 +148,6 @@ def test_missing_by_column_on_empty_input(spark):
     assert rows == {"a": (0, 0, None), "b": (0, 0, None)}
 
 
-def test_sized_broadcast_both_branches(spark):
-    big = spark.createDataFrame([(f"T{i % 5}", i) for i in range(200)], "trustcode string, record int")
-    small = big.groupBy("trustcode").agg(F.count(F.lit(1)).alias("n"))
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        hinted = big.join(J.sized_broadcast(small), "trustcode")
-        plain = big.join(J.sized_broadcast(small, max_rows=2), "trustcode")
-        p1 = hinted._jdf.queryExecution().executedPlan().toString()
-        p2 = plain._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in p1
-        assert "BroadcastHashJoin" not in p2
-        assert sorted(hinted.collect()) == sorted(plain.collect())
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-
-
 def test_approximate_quartiles_close_to_exact(spark):
     import numpy as np
     from replytime.operators.plotdata import boxplot_stats, kde_density
