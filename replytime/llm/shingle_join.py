@@ -109,7 +109,7 @@ def _dealt(keys: list[int], held: list[np.ndarray], bins: int) -> list[tuple[int
 POINTS = "doc_id long, n long, key long, hot long, bin long, hashes binary, keys binary"
 
 
-def points(docs: DataFrame, hot: Broadcast, bins: int, row_docs: bool = True) -> DataFrame:
+def points(docs: DataFrame, hot: Broadcast, bins: int) -> DataFrame:
     """A row for each document (doc_id, n, key) and, beside them, rows of dealt shingles (bin, hashes, keys).
 
     Dealt are the smallest by hash that step 2 asks for, without hot ones,
@@ -172,7 +172,13 @@ def crowded(made: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, few: DataFrame) -> DataFrame:
     """key, shingles (binary) of the documents that represent the classes in few."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(few.select("rep", "key"), "rep")
+    spark = docs.sparkSession
+    # few is far smaller than the texts: Spark's own runtime filter (a Bloom filter of the ids, put on the scan) keeps
+    # the other texts out of the shuffle; it asks for a filter on the small side and skips sides that are too large
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
+    none = F.lit(-(1 << 63) + 1)  # joins rows without an id; whose text it is, the key decides below
+    ids = few.where(F.col("n") >= 1).select(F.coalesce("rep", none).alias("rep"), "key")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("rep"), "text").join(ids, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,26 +231,51 @@ def profiles(docs: DataFrame, few: DataFrame, hot: Broadcast, bins: int) -> Data
         found, "key long, hashes binary, df binary").withColumn("n", F.lit(None).cast("long"))
     bases = dealt.where(F.col("key").isNotNull()).select("key", "hashes", F.lit(None).cast("binary").alias("df"), "n")
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf[pdf["n"].notna()]
-        n = int(base["n"].iloc[0])
-        common = np.frombuffer(base["hashes"].iloc[0], np.uint64)  # a repeated id gives equal bases
-        rest = pdf[pdf["n"].isna()]
-        h = np.frombuffer(b"".join(rest["hashes"]), np.uint64)
-        df = np.frombuffer(b"".join(rest["df"]), np.int32).astype(np.int64)
-        h = np.r_[h, common]
-        df = np.r_[df, np.full(len(common), 1 << 30)]
-        own = n - len(h)
+    out_schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("score", pa.float64()),
+                            ("first", pa.list_(pa.int64())), ("shared", pa.list_(pa.int64()))])
+
+    def one(key: int, n: int, common: bytes, hashes: list[bytes], dfs: list[bytes]) -> tuple | None:
+        known = np.frombuffer(common, np.uint64)
+        h = np.r_[np.frombuffer(b"".join(hashes), np.uint64), known]
+        df = np.r_[np.frombuffer(b"".join(dfs), np.int32).astype(np.int64), np.full(len(known), 1 << 30)]
         if len(h) < least_common(n):
-            h, df = h[:0], df[:0]  # no partner: left out below
+            return None  # no partner
+        own = n - len(h)
         order = np.lexsort((h, df))[:max(0, n - least_common(n) + 1 - own)]
         score = float(np.sqrt(np.minimum(df, 1 << 20)).sum() / n)
-        return pd.DataFrame({"key": [int(pdf["key"].iloc[0])], "n": [n], "own": [own], "score": [score],
-                             "first": [h[order].view(np.int64)], "shared": [np.sort(h).view(np.int64)]})
-
-    return bins_found.unionByName(bases).groupBy("key").applyInPandas(
-        gather, "key long, n long, own long, score double, first array<long>, shared array<long>").where(
-        F.size("shared") > 0)
+        return key, n, own, score, h[order].view(np.int64), np.sort(h).view(np.int64)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a key follow one another."""
+        now, n, common, hashes, dfs = None, 0, b"", [], []
+
+        def full(rows: list[tuple]) -> None:
+            made = one(now, n, common, hashes, dfs) if now is not None else None
+            if made:
+                rows.append(made)
+
+        for last in (False, True):
+            for batch in batches if not last else [None]:
+                rows: list[tuple] = []
+                if last:
+                    full(rows)
+                else:
+                    for key, h, df, size in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                        if key != now:
+                            full(rows)
+                            now, n, common, hashes, dfs = key, 0, b"", [], []
+                        if size is not None:  # a repeated id gives equal bases
+                            n, common = size, h
+                        else:
+                            hashes.append(h)
+                            dfs.append(df)
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, f.type) for c, f in zip(zip(*rows), out_schema)], schema=out_schema)
+
+    rows = bins_found.select("key", "hashes", "df", "n").unionByName(bases)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(
+        gather, "key long, n long, own long, score double, first array<long>, shared array<long>")
 
 
 def _linked(common, n_a, n_b):
@@ -325,7 +356,7 @@ def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, key) and classes (key, rep, g): g names the class's component."""
     hot = docs.sparkSession.sparkContext.broadcast(hot_shingles(docs))
     bins = _bins(docs)
-    made = stored(points(docs, hot, bins))
+    made = stored(points(docs, hot, 2 * bins))
     few = stored(crowded(made))
     near = stored(profiles(docs, few, hot, bins))
     dist = stored(pivot_distances(near))

@@ -116,6 +116,16 @@ def test_edge_rows_and_one_of_each(spark):
     assert shingle_join.shingle_join(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_still_link_others(spark):
+    base = ["b%d" % k for k in range(100)]
+    rows = [(7, " ".join(["x%d" % k if k < 9 else w for k, w in enumerate(base)])), (None, " ".join(base)),
+            (9, " ".join(["y%d" % k if k > 90 else w for k, w in enumerate(base)])), (None, "a text of no one else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["n_shingles"]: r["component_id"] for r in shingle_join.shingle_join(docs).collect() if r["doc_id"] is None}
+    ids = {r["doc_id"]: r["component_id"] for r in shingle_join.shingle_join(docs).collect() if r["doc_id"]}
+    assert ids == {7: 7, 9: 7} and got == {96: 7, 2: None}
+
+
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op5_shingle_join(spark, SF0001).collect()}
