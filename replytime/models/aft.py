@@ -1,12 +1,11 @@
 """Accelerated failure time models.
 
-* Log-logistic (not in MLlib): Newton-Raphson on (beta, log sigma) where the
+* Log-logistic and Weibull: Newton-Raphson on (beta, log sigma) where the
   gradient, Hessian and log-likelihood of each step are ONE Spark aggregate
   over rows collapsed to distinct (pattern, time, event) with counts.
 * Cluster-robust (sandwich) covariance: per-row scores summed within each
   cluster by ``groupBy(cluster)``, then the outer products summed by a
   second aggregate - only a p x p matrix reaches the driver.
-* Weibull: MLlib ``AFTSurvivalRegression`` on the same design.
 
 Model (log-logistic): log T = x'beta + sigma * W, W standard logistic.
 """
@@ -73,13 +72,17 @@ def _softplus(x: Column) -> Column:
     return F.when(x > 0, x + F.log1p(F.exp(-x))).otherwise(F.log1p(F.exp(x)))
 
 
-def _row_terms(beta, tau: float, p: int):
+def _row_terms(beta, tau: float, p: int, dist: str = "loglogistic"):
     """Per-row pieces as Columns: z, dl/dz, d2l/dz2, log-likelihood (log-time scale)."""
     sigma = float(np.exp(tau))
     eta = linear_predictor(beta, p)
     z = (F.col("logt") - eta) / F.lit(sigma)
-    pz = _logistic(z)
     ev = F.col("event") == 1
+    if dist == "weibull":
+        # event: -tau + z - e^z;  censored: -e^z
+        ez = F.exp(z)
+        return z, F.when(ev, F.lit(1.0) - ez).otherwise(-ez), -ez, F.when(ev, F.lit(-tau) + z - ez).otherwise(-ez), sigma
+    pz = _logistic(z)
     dl = F.when(ev, F.lit(1.0) - F.lit(2.0) * pz).otherwise(-pz)
     d2l = F.when(ev, F.lit(-2.0) * pz * (F.lit(1.0) - pz)).otherwise(-pz * (F.lit(1.0) - pz))
     # event: -tau + z - 2 log(1 + e^z);  censored: -log(1 + e^z)
@@ -87,17 +90,17 @@ def _row_terms(beta, tau: float, p: int):
     return z, dl, d2l, ll, sigma
 
 
-def _score_columns(beta, tau: float, p: int):
+def _score_columns(beta, tau: float, p: int, dist: str = "loglogistic"):
     """Per-row score vector (beta..., log sigma) as Columns."""
-    z, dl, _, _, sigma = _row_terms(beta, tau, p)
+    z, dl, _, _, sigma = _row_terms(beta, tau, p, dist)
     ev = F.col("event") == 1
     u = [-dl * F.col(f"x{j}") / F.lit(sigma) for j in range(p)]
     u.append(F.when(ev, F.lit(-1.0)).otherwise(F.lit(0.0)) - dl * z)
     return u
 
 
-def _newton_pieces(coll: DataFrame, beta, tau: float, p: int, w: Column):
-    z, dl, d2l, ll, sigma = _row_terms(beta, tau, p)
+def _newton_pieces(coll: DataFrame, beta, tau: float, p: int, w: Column, dist: str = "loglogistic"):
+    z, dl, d2l, ll, sigma = _row_terms(beta, tau, p, dist)
     # per-row pieces once, in a projection below the aggregate
     coll = coll.select(w.alias("w"), "event", *[F.col(f"x{j}") for j in range(p)], z.alias("z"),
                        dl.alias("dl"), d2l.alias("d2l"), ll.alias("ll"))
@@ -131,6 +134,19 @@ def fit_loglogistic(df: DataFrame, time: str, event: str, terms, cluster: str |
                     intercept: bool = True, design: Design | None = None, tol: float = 1e-9,
                     max_iter: int = 100) -> AFTFit:
     """Log-logistic AFT by maximum likelihood; robust covariance when ``cluster`` is given."""
+    return fit_aft(df, time, event, terms, cluster, intercept, design, tol, max_iter, "loglogistic")
+
+
+def fit_weibull(df: DataFrame, time: str, event: str, terms, cluster: str | None = None,
+                intercept: bool = True, design: Design | None = None, tol: float = 1e-9,
+                max_iter: int = 100) -> AFTFit:
+    """Weibull AFT (log T = x'beta + sigma * W, W extreme value) by the same Newton steps."""
+    return fit_aft(df, time, event, terms, cluster, intercept, design, tol, max_iter, "weibull")
+
+
+def fit_aft(df: DataFrame, time: str, event: str, terms, cluster: str | None, intercept: bool,
+            design: Design | None, tol: float, max_iter: int, dist: str) -> AFTFit:
+    """AFT model of the named distribution."""
     design = design or build_design(df, terms, intercept)
     p = design.p
     frame = aft_frame(df, design, time, event, keep=[cluster] if cluster else [])
@@ -149,17 +165,17 @@ def fit_loglogistic(df: DataFrame, time: str, event: str, terms, cluster: str |
     beta = np.zeros(p)
     if intercept and m[1] > 0:
         beta[0] = m[0] / m[1]
-    theta, _, h, ll, it = newton(lambda t: _newton_pieces(coll, t[:p], float(t[p]), p, w), np.append(beta, 0.0),
-                                 "log-logistic model", tol, max_iter)
+    theta, _, h, ll, it = newton(lambda t: _newton_pieces(coll, t[:p], float(t[p]), p, w, dist), np.append(beta, 0.0),
+                                 f"{dist} model", tol, max_iter)
     beta, tau = theta[:p], float(theta[p])
     cov = inv_sym(-h)
     n_ev = [m[1], m[2], m[0]]
     robust = None
     if cluster:
         # scores of the collapsed rows times their counts = sums of row scores
-        scores = [F.col("w") * u for u in _score_columns(beta, tau, p)]
+        scores = [F.col("w") * u for u in _score_columns(beta, tau, p, dist)]
         robust = sandwich(coll_c, cluster, scores, cov)
-    return AFTFit(design, beta, tau, cov, robust, ll - float(n_ev[2]), int(n_ev[1]), int(n_ev[0]), it)
+    return AFTFit(design, beta, tau, cov, robust, ll - float(n_ev[2]), int(n_ev[1]), int(n_ev[0]), it, dist)
 
 
 def sandwich(frame: DataFrame, cluster: str, scores: list[Column], bread: np.ndarray) -> np.ndarray:
@@ -190,19 +206,3 @@ def loglogistic_hazard(time: Column, lam: float, shape: float, form: str = "stan
         return F.lit(lam) * rho * F.pow(lt, rho) / (F.lit(1.0) + F.pow(lt, rho + F.lit(1.0)))
     pp = F.lit(shape)
     return F.when(t > 0, F.lit(lam) * pp * F.pow(lt, pp - F.lit(1.0)) / (F.lit(1.0) + F.pow(lt, pp)))
-
-
-def fit_weibull(df: DataFrame, time: str, event: str, terms, design: Design | None = None):
-    """Weibull AFT with MLlib (``AFTSurvivalRegression``; censor column 1 = event)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import AFTSurvivalRegression
-
-    design = design or build_design(df, terms, intercept=False)
-    rows = complete_rows(df, design, extra=[time, event]).where(F.col(time) > 0)
-    cols = [f"x{i}" for i in range(design.p)]
-    mf = rows.select(*[e.alias(c) for e, c in zip(design.exprs, cols)],
-                     F.col(time).cast("double").alias("label"), F.col(event).cast("double").alias("censor"))
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(mf)
-    model = AFTSurvivalRegression(featuresCol="features", labelCol="label", censorCol="censor",
-                                  fitIntercept=True, maxIter=200, tol=1e-9).fit(vec)
-    return design, model

@@ -25,6 +25,7 @@ from ..operators.derive import with_ordered_outcomes
 from ..operators.filters import exclude_trusts
 from ..operators.joins import attach_response_rate, response_rate_by_trust
 from .common import derived
+from . import oracle_fit as Q
 from .concurrent import run_all
 from .oracle_base import with_derived
 from .registry import query, rounded
@@ -42,6 +43,12 @@ FULL = [TRI] + COVARS
 PROFILE = {"emergency": "yes", "age_group": "36-50", "log_los": 1.16, "gender": "Male"}
 
 
+def tidy(table):
+    """Coefficient table rounded for comparison across engines."""
+    return table.select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"),
+                        F.round("statistic", 4).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+
+
 def _tri_profiles(spark, extra=None):
     rows = []
     for lvl in L.SATISFACTION_TRI_LABELS:
@@ -115,13 +122,20 @@ def lm_simple(spark, sf_dir):
                       F.round("r2", 8).alias("r2"), "n")
 
 
-@query("lm_multi")
+_SCORE = [(f"overall_score{v}", f"CASE WHEN overall_sat = {k} THEN 1.0E0 ELSE 0.0E0 END", "overall_sat")
+          for v, k in ((25, 4), (50, 3), (75, 2), (100, 1))]
+_MULTI = [Q.ONE, *_SCORE, *Q.EMERG, *Q.CHOICE, *Q.AGE, *Q.LOGLOS, *Q.GENDER]
+_MULTI_FIT = Q.ols("m", _MULTI, "CAST(reply_time AS DOUBLE)")
+
+
+@query("lm_multi", sql=Q.with_fit(Q.tidy("m"), [*_MULTI_FIT, *Q.estimates(
+    "m", Q.terms_of(_MULTI), "(SELECT s2 FROM m_q)", f"(SELECT n - {len(_MULTI)} FROM m_q)")]))
 def lm_multi(spark, sf_dir):
     """OLS of reply time on factor(score) + emergency + choice + age + log LOS + gender."""
     d = derived(spark, sf_dir).withColumn("overall_score", R.satisfaction_score("overall_sat"))
     fit = fit_lm(d, "reply_time", [Factor("overall_score", (0, 25, 50, 75, 100)), EMERG, CHOICE, AGE, LOGLOS,
                                    GENDER])
-    return fit.table(spark)
+    return tidy(fit.table(spark))
 
 
 _LW_SQL = """
@@ -146,11 +160,16 @@ def lm_weighted(spark, sf_dir):
     return out.select(F.round("intercept", 6).alias("intercept"), F.round("slope", 8).alias("slope"), "n")
 
 
-@query("coefficient_table")
+_LOGTIME = [Q.ONE, *Q.TRI]
+
+
+@query("coefficient_table", sql=Q.with_fit(Q.tidy("m"), [
+    *Q.ols("m", _LOGTIME, "CASE WHEN reply_time > 0 THEN ln(CAST(reply_time AS DOUBLE)) END"),
+    *Q.estimates("m", Q.terms_of(_LOGTIME), "(SELECT s2 FROM m_q)", "(SELECT n - 3 FROM m_q)")]))
 def coefficient_table(spark, sf_dir):
     """Tidy table (estimate, SE, t, p) of log reply time on satisfaction."""
     fit = fit_lm(derived(spark, sf_dir), "reply_time", [TRI], log_y=True)
-    return fit.table(spark)
+    return tidy(fit.table(spark))
 
 
 @query("factor_level_means", sql=with_derived(
@@ -172,7 +191,11 @@ def factor_level_means(spark, sf_dir):
                       F.round("geo_mean_time", 6).alias("geo_mean_time"))
 
 
-@query("predict_linear")
+@query("predict_linear", sql=Q.with_fit(
+    "SELECT s.overall_score, round(sum(m_b.b * CASE m_t.term WHEN '(Intercept)' THEN 1.0E0 WHEN 'emergencyyes' THEN 1.0E0 "
+    "WHEN 'age_group36-50' THEN 1.0E0 WHEN 'log_los' THEN 1.0E0 WHEN 'overall_score' || s.overall_score THEN 1.0E0 "
+    "ELSE 0.0E0 END), 6) AS fit FROM m_b JOIN m_t USING (i), (VALUES (0), (25), (50), (75), (100)) s(overall_score) "
+    "GROUP BY s.overall_score", [*_MULTI_FIT, Q.names("m", Q.terms_of(_MULTI))]))
 def predict_linear(spark, sf_dir):
     """Predicted reply time of the full OLS at the study's profiles (scores 0..100)."""
     d = derived(spark, sf_dir).withColumn("overall_score", R.satisfaction_score("overall_sat"))
@@ -180,16 +203,21 @@ def predict_linear(spark, sf_dir):
                                    GENDER])
     prof = profile_frame(spark, [{"overall_score": s, "emergency": "yes", "choice": "No", "age_group": "36-50",
                                   "log_los": 1.0, "gender": "Female"} for s in (0, 25, 50, 75, 100)])
-    return fit.predict(prof, "fit").select("overall_score", "fit")
+    return fit.predict(prof, "fit").select(F.col("overall_score").cast("int").alias("overall_score"),
+                                           F.round("fit", 6).alias("fit"))
 
 
 # ----------------------------------------------------------------- logistic
 
-@query("logit")
+_LOGIT = [Q.ONE, *Q.FULL, *Q.CHOICE]
+
+
+@query("logit", sql=Q.with_fit(Q.tidy("m"), [*Q.logit("m", _LOGIT, "early", "Late"),
+                                             *Q.estimates("m", Q.terms_of(_LOGIT))]))
 def logit(spark, sf_dir):
     """Logit of a late reply (> 14 days) on satisfaction and covariates."""
     fit = fit_logit(derived(spark, sf_dir), "early", "Late", FULL + [CHOICE])
-    return fit.table(spark)
+    return tidy(fit.table(spark))
 
 
 _LOGIT1_SQL = """
@@ -214,12 +242,18 @@ def logit_single_factor(spark, sf_dir):
                                    F.round("std_error", 6).alias("std_error"))
 
 
-@query("odds_ratio_table")
+_ODDS = [Q.ONE, *Q.FULL]
+_ODDS_FIT = Q.logit("m", _ODDS, "early", "Late")
+
+
+@query("odds_ratio_table", sql=Q.with_fit(
+    "SELECT term, round(exp(b), 6) AS odds_ratio, round(exp(b) * se, 6) AS std_error FROM m_e",
+    [*_ODDS_FIT, *Q.estimates("m", Q.terms_of(_ODDS))]))
 def odds_ratio_table(spark, sf_dir):
     """exp(coefficients) of the late-reply logit with delta-method standard errors."""
     fit = fit_logit(derived(spark, sf_dir), "early", "Late", FULL)
     orr, se = odds_ratio_rows(fit)
-    rows = [(n, float(o), float(s)) for n, o, s in zip(fit.design.names, orr, se)]
+    rows = [(n, round(float(o), 6), round(float(s), 6)) for n, o, s in zip(fit.design.names, orr, se)]
     return spark.createDataFrame(rows, "term string, odds_ratio double, std_error double")
 
 
@@ -234,13 +268,15 @@ def predict_probability(spark, sf_dir):
     return out.select("overall_tri", F.round("probability", 8).alias("probability"))
 
 
-@query("fitted_values")
+@query("fitted_values", sql=Q.with_fit(
+    f"SELECT record, round(1.0E0 / (1.0E0 + exp(-({Q.linear('m', _ODDS)}))), 6) AS fitted FROM d "
+    f"WHERE early IS NOT NULL AND {Q.present(_ODDS)}", _ODDS_FIT))
 def fitted_values(spark, sf_dir):
     """Fitted probability of a late reply for every training row."""
     d = derived(spark, sf_dir)
     fit = fit_logit(d, "early", "Late", FULL)
     rows = complete_rows(d, fit.design, extra=["early"])
-    return rows.select("record", inv_logit(fit.linear_score()).alias("fitted"))
+    return rows.select("record", F.round(inv_logit(fit.linear_score()), 6).alias("fitted"))
 
 
 # ------------------------------------------------------------ mixed models
@@ -266,57 +302,78 @@ def _aft(spark, sf_dir, terms, time="reply_time", data=None):
     return A.fit_loglogistic(d, time, "event", terms, cluster="trustcode")
 
 
-@query("aft_loglogistic")
+_AFT1, _AFTF = [Q.ONE, *Q.TRI], [Q.ONE, *Q.FULL]
+_AFT1_FIT = Q.aft("m", _AFT1, cluster="trustcode")
+
+
+@query("aft_loglogistic", sql=Q.with_fit(Q.tidy("m"), [*_AFT1_FIT, *Q.estimates(
+    "m", Q.terms_of(_AFT1, "Log(scale)"), var="w")]))
 def aft_loglogistic(spark, sf_dir):
     """Log-logistic AFT of reply time on satisfaction, robust SE clustered by trust."""
-    return _aft(spark, sf_dir, [TRI]).table(spark)
+    return tidy(_aft(spark, sf_dir, [TRI]).table(spark))
 
 
-@query("aft_loglogistic_full")
+@query("aft_loglogistic_full", sql=Q.with_fit(Q.tidy("m"), [
+    *Q.aft("m", _AFTF, cluster="trustcode"), *Q.estimates("m", Q.terms_of(_AFTF, "Log(scale)"), var="w")]))
 def aft_loglogistic_full(spark, sf_dir):
     """Log-logistic AFT with satisfaction and covariates, robust SE by trust."""
-    return _aft(spark, sf_dir, FULL).table(spark)
+    return tidy(_aft(spark, sf_dir, FULL).table(spark))
 
 
-@query("cluster_sandwich")
+@query("cluster_sandwich", sql=Q.with_fit(
+    "SELECT term, round(b, 6) AS estimate, round(sqrt(v.v), 6) AS se_model, round(sqrt(w.v), 6) AS se_robust FROM m_t t "
+    "JOIN m_b b USING (i) JOIN m_v v ON v.i = t.i AND v.j = t.i JOIN m_w w ON w.i = t.i AND w.j = t.i",
+    [*_AFT1_FIT, Q.names("m", Q.terms_of(_AFT1, "Log(scale)"))]))
 def cluster_sandwich(spark, sf_dir):
     """Model-based vs cluster-robust standard errors of the log-logistic AFT."""
     fit = _aft(spark, sf_dir, [TRI])
     se_m = np.sqrt(np.diag(fit.cov))
     se_r = np.sqrt(np.diag(fit.robust_cov))
-    rows = [(n, float(b), float(a), float(c)) for n, b, a, c in zip(fit.names, fit.theta, se_m, se_r)]
+    rows = [(n, *(round(float(v), 6) for v in r)) for n, *r in zip(fit.names, fit.theta, se_m, se_r)]
     return spark.createDataFrame(rows, "term string, estimate double, se_model double, se_robust double")
 
 
-@query("aft_weibull")
+@query("aft_weibull", sql=Q.with_fit(Q.tidy("m"), [
+    *Q.aft("m", _AFT1, dist="weibull"), *Q.estimates("m", Q.terms_of(_AFT1, "Log(scale)"))]))
 def aft_weibull(spark, sf_dir):
-    """Weibull AFT (MLlib) of reply time on satisfaction."""
-    des, model = A.fit_weibull(derived(spark, sf_dir), "reply_time", "event", [TRI])
-    rows = [("(Intercept)", float(model.intercept))]
-    rows += [(n, float(c)) for n, c in zip(des.names, model.coefficients.toArray())]
-    rows += [("Log(scale)", float(np.log(model.scale)))]
-    return spark.createDataFrame(rows, "term string, estimate double")
+    """Weibull AFT of reply time on satisfaction: estimates, model-based standard errors, z and p."""
+    return tidy(A.fit_weibull(derived(spark, sf_dir), "reply_time", "event", [TRI]).table(spark))
 
 
-@query("refit_without_trusts")
+@query("refit_without_trusts", sql=Q.with_fit(
+    "SELECT term, round(a.b, 6) AS estimate_all, round(s.b, 6) AS estimate_subset, round(s.b - a.b, 6) AS difference "
+    "FROM a_t JOIN a_b a USING (i) JOIN s_b s USING (i)",
+    [*Q.aft("a", _AFTF), *Q.aft("s", _AFTF, where="trustcode NOT IN ('T3', 'T17')"),
+     Q.names("a", Q.terms_of(_AFTF, "Log(scale)"))]))
 def refit_without_trusts(spark, sf_dir):
     """Full AFT with all trusts vs without two trusts: estimates side by side."""
     d = derived(spark, sf_dir)
     full, sub = run_all([lambda: _aft(spark, sf_dir, FULL, data=d),
                          lambda: _aft(spark, sf_dir, FULL, data=exclude_trusts(d, spark, ["T3", "T17"]))])
-    rows = [(n, float(a), float(b), float(b - a)) for n, a, b in zip(full.names, full.theta, sub.theta)]
+    rows = [(n, round(float(a), 6), round(float(b), 6), round(float(b - a), 6))
+            for n, a, b in zip(full.names, full.theta, sub.theta)]
     return spark.createDataFrame(rows, "term string, estimate_all double, estimate_subset double, difference double")
 
 
-@query("predict_aft")
+#: The study's profile as a table of one row a satisfaction level.
+_PROFILES = ("(SELECT overall_tri, 'yes' AS emergency, '36-50' AS age_group, 1.16E0 AS log_los, 'Male' AS gender FROM "
+             "(VALUES ('Excellent'), ('Very good'), ('Other')) v(overall_tri)) f")
+
+
+@query("predict_aft", sql=Q.with_fit(
+    f"SELECT overall_tri, round(exp({Q.linear('m', _AFTF)}), 6) AS predicted_time FROM {_PROFILES}", Q.aft("m", _AFTF)))
 def predict_aft(spark, sf_dir):
     """Predicted reply time exp(x'b) of the full AFT at the study's profiles."""
     fit = _aft(spark, sf_dir, FULL)
     prof = _tri_profiles(spark, PROFILE)
-    return prof.withColumn("predicted_time", F.exp(fit.linear_score())).select("overall_tri", "predicted_time")
+    return prof.withColumn("predicted_time", F.round(F.exp(fit.linear_score()), 6)).select("overall_tri", "predicted_time")
 
 
-@query("loglogistic_hazard")
+@query("loglogistic_hazard", sql=Q.with_fit(
+    "SELECT record, reply_time, round(CASE WHEN t > 0 THEN lam * (1 / s) * pow(lam * t, 1 / s - 1) / (1 + pow(lam * t, 1 / s)) END, 8) "
+    "AS hazard, round(lam * s * pow(lam * t, s) / (1 + pow(lam * t, s + 1)), 8) AS hazard_source FROM (SELECT record, reply_time, "
+    "CAST(reply_time AS DOUBLE) AS t, (SELECT exp(-b) FROM m_b WHERE i = 1) AS lam, (SELECT exp(b) FROM m_b WHERE i = 2) AS s "
+    "FROM d WHERE reply_time IS NOT NULL) q", Q.aft("m", [Q.ONE])))
 def loglogistic_hazard(spark, sf_dir):
     """Baseline log-logistic hazard (intercept-only fit) at every row's reply time."""
     d = derived(spark, sf_dir)
@@ -324,33 +381,72 @@ def loglogistic_hazard(spark, sf_dir):
     lam = float(np.exp(-fit.beta[0]))
     rows = d.where(F.col("reply_time").isNotNull())
     return rows.select("record", "reply_time",
-                       A.loglogistic_hazard(F.col("reply_time"), lam, 1.0 / fit.scale).alias("hazard"),
-                       A.loglogistic_hazard(F.col("reply_time"), lam, fit.scale, form="source").alias("hazard_source"))
+                       F.round(A.loglogistic_hazard(F.col("reply_time"), lam, 1.0 / fit.scale), 8).alias("hazard"),
+                       F.round(A.loglogistic_hazard(F.col("reply_time"), lam, fit.scale, form="source"), 8)
+                       .alias("hazard_source"))
+
+
+_COX_FIT = Q.cox("m", Q.TRI)
 
 
-@query("cox_ph")
+@query("cox_ph", sql=Q.with_fit(Q.tidy("m"), [*_COX_FIT, *Q.estimates("m", Q.terms_of(Q.TRI))]))
 def cox_ph(spark, sf_dir):
+    """Cox model (Efron ties) of reply on satisfaction, model-based standard errors."""
+    return tidy(CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", [TRI]).table(spark))
+
+
+@query("cox_ph_robust")
+def cox_ph_robust(spark, sf_dir):
     """Cox model (Efron ties) of reply on satisfaction, robust SE clustered by trust."""
     fit = CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", [TRI], cluster="trustcode")
     return fit.table(spark, robust=True)
 
 
-@query("cox_zph")
+_ZPH = [
+    "g0 AS MATERIALIZED (SELECT time, sum(w) AS n, sum(w * event) AS e FROM m_s GROUP BY time)",
+    "g1 AS MATERIALIZED (SELECT *, sum(n) OVER (ORDER BY time DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS risk FROM g0)",
+    "g2 AS MATERIALIZED (SELECT time, 1.0E0 - exp(coalesce(sum(CASE WHEN e < risk THEN ln(1.0E0 - e / risk) END) OVER (ORDER BY time "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0E0)) AS g FROM g1)",
+    "ev AS MATERIALIZED (SELECT s.rid, s.time, s.w, g.g FROM m_s s JOIN g2 g USING (time) WHERE s.event = 1)",
+    "mean_g AS MATERIALIZED (SELECT sum(w * g) / sum(w) AS gbar, sum(w) AS dtot FROM ev)",
+    "sgg AS MATERIALIZED (SELECT sum(w * (g - gbar) * (g - gbar)) AS v FROM ev, mean_g)",
+    "sgr AS MATERIALIZED (SELECT x.i, sum(ev.w * (ev.g - gbar) * (x.x - (z.s1 * z.A0 - z.e1 * z.A1) / z.d)) AS v FROM ev "
+    "JOIN m_x x USING (rid) JOIN m_z z ON z.time = ev.time AND z.i = x.i, mean_g GROUP BY x.i)",
+    "zp AS MATERIALIZED (SELECT q.i, t.term, q.u, q.u * q.u / (dtot * v.v * sgg.v) AS chisq, sqrt(q.u * q.u / (dtot * v.v * sgg.v)) AS z "
+    "FROM (SELECT v.i, any_value(dtot) * sum(v.v * r.v) AS u FROM m_v v JOIN sgr r ON r.i = v.j, mean_g GROUP BY v.i) q "
+    "JOIN m_v v ON v.i = q.i AND v.j = q.i JOIN m_t t ON t.i = q.i, mean_g, sgg)",
+    Q.tails("zq", "zp"),
+]
+
+
+@query("cox_zph", sql=Q.with_fit(
+    "SELECT term, round(u, 3) AS sum_g_scaled, round(chisq, 5) AS chisq, round(p, 6) AS p_value FROM zq",
+    [*_COX_FIT, Q.names("m", Q.terms_of(Q.TRI)), *_ZPH]))
 def cox_zph(spark, sf_dir):
     """Proportional-hazards check (scaled Schoenfeld residuals against time)."""
     d = derived(spark, sf_dir)
     fit = CX.fit_cox(d, "reply_time", "event", [TRI])
-    return CX.schoenfeld_test(d, fit, "reply_time", "event", spark)
+    out = CX.schoenfeld_test(d, fit, "reply_time", "event", spark)
+    return out.select("term", F.round("sum_g_scaled", 3).alias("sum_g_scaled"), F.round("chisq", 5).alias("chisq"),
+                      F.round("p_value", 6).alias("p_value"))
+
+
+_TRI_ROWS = "(VALUES ('Excellent'), ('Very good'), ('Other')) v(overall_tri)"
 
 
-@query("predict_cox_risk")
+@query("predict_cox_risk", sql=Q.with_fit(
+    f"SELECT overall_tri, round(exp({Q.linear('m', Q.TRI)} - (SELECT sum(a.m * b.b) FROM mean_x a JOIN m_b b USING (i))), 6) AS risk "
+    f"FROM {_TRI_ROWS}",
+    [*_COX_FIT, "mean_x AS MATERIALIZED (SELECT x.i, sum(s.w * x.x) / sum(s.w) AS m FROM m_x x JOIN m_s s USING (rid) GROUP BY x.i)"]))
 def predict_cox_risk(spark, sf_dir):
     """Relative risk exp((x - mean)'b) per satisfaction level."""
     fit = CX.fit_cox(derived(spark, sf_dir), "reply_time", "event", [TRI])
-    return _tri_profiles(spark).withColumn("risk", CX.risk_score(fit)).select("overall_tri", "risk")
+    return _tri_profiles(spark).withColumn("risk", F.round(CX.risk_score(fit), 6)).select("overall_tri", "risk")
 
 
-@query("cox_survival_curve")
+@query("cox_survival_curve", sql=Q.with_fit(
+    f"SELECT overall_tri, time, round(exp(-cumhaz * exp({Q.linear('m', Q.TRI)})), 6) AS surv FROM {_TRI_ROWS}, (SELECT time, "
+    "sum(dh) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumhaz FROM m_h) h", _COX_FIT))
 def cox_survival_curve(spark, sf_dir):
     """S(t | satisfaction) = exp(-H0(t) * risk) per level, H0 the Efron baseline."""
     d = derived(spark, sf_dir)
@@ -361,7 +457,7 @@ def cox_survival_curve(spark, sf_dir):
     rr = {r["overall_tri"]: float(r["risk"]) for r in risks.collect()}
     arr = F.array(*[F.struct(F.lit(k).alias("overall_tri"), F.lit(v).alias("risk")) for k, v in rr.items()])
     out = h0.select("time", "cumhaz", F.explode(arr).alias("p"))
-    return out.select("p.overall_tri", "time", F.exp(-F.col("cumhaz") * F.col("p.risk")).alias("surv"))
+    return out.select("p.overall_tri", "time", F.round(F.exp(-F.col("cumhaz") * F.col("p.risk")), 6).alias("surv"))
 
 
 # ------------------------------------------------------------------ ordinal
@@ -369,11 +465,16 @@ def cox_survival_curve(spark, sf_dir):
 TRI_ORD = L.SATISFACTION_TRI_ORDERED
 
 
-@query("ordinal_logit")
+_ORD = [*Q.TIME, *Q.COVARS]
+_ORD_FIT = Q.ordinal("m", _ORD, "overall_tri", list(TRI_ORD))
+_CUTS = [f"{a}|{b}" for a, b in zip(TRI_ORD[:-1], TRI_ORD[1:])]
+
+
+@query("ordinal_logit", sql=Q.with_fit(Q.tidy("m"), [*_ORD_FIT, *Q.estimates("m", Q.terms_of(_ORD, *_CUTS))]))
 def ordinal_logit(spark, sf_dir):
     """Proportional odds of satisfaction (Other < Very good < Excellent) on reply time + covariates."""
     fit = fit_ordinal(derived(spark, sf_dir), "overall_tri", TRI_ORD, [Numeric("reply_time")] + COVARS)
-    return fit.table(spark)
+    return tidy(fit.table(spark))
 
 
 @query("ordinal_logit_intercepts", sql=with_derived(
@@ -404,15 +505,35 @@ def ordinal_logit_scales(spark, sf_dir):
     return out
 
 
-@query("predict_ordinal")
+_STRATA_ORD = [*Q.STRATA, *Q.COVARS]
+
+
+def _class_sql(eta: str, p: int) -> str:
+    """P(level) of the three satisfaction levels for a linear score, from the thresholds after p slopes."""
+    low, high = (f"1.0E0 / (1.0E0 + exp(({eta}) - (SELECT b FROM m_b WHERE i = {p + k})))" for k in (1, 2))
+    return f"{low} AS c1, {high} AS c2"
+
+
+@query("predict_ordinal", sql=Q.with_fit(
+    "SELECT reply_strata, round(c1, 6) AS \"p_Other\", round(c2 - c1, 6) AS \"p_Very_good\", round(1 - c2, 6) AS \"p_Excellent\", "
+    "CASE WHEN c1 >= c2 - c1 AND c1 >= 1 - c2 THEN 'Other' WHEN c2 - c1 >= 1 - c2 THEN 'Very good' ELSE 'Excellent' END AS predicted "
+    f"FROM (SELECT reply_strata, {_class_sql(Q.linear('m', _STRATA_ORD), len(_STRATA_ORD))} FROM (SELECT reply_strata, "
+    "'yes' AS emergency, '36-50' AS age_group, 1.16E0 AS log_los, 'Male' AS gender FROM (VALUES ('Mail1'), ('Mail2'), ('Mail3')) "
+    "v(reply_strata)) f) q", Q.ordinal("m", _STRATA_ORD, "overall_tri", list(TRI_ORD))))
 def predict_ordinal(spark, sf_dir):
     """Class probabilities and most likely level by mailing stratum at the study's profile."""
     fit = fit_ordinal(derived(spark, sf_dir), "overall_tri", TRI_ORD, [STRATA] + COVARS)
     prof = profile_frame(spark, [dict(reply_strata=s, **PROFILE) for s in L.STRATA_LEVELS])
-    return fit.class_probabilities(prof).select("reply_strata", *fit.prob_columns(), "predicted")
+    return fit.class_probabilities(prof).select(
+        "reply_strata", *[F.round(c, 6).alias(c) for c in fit.prob_columns()], "predicted")
 
 
-@query("effect_profile")
+@query("effect_profile", sql=Q.with_fit(
+    "SELECT round(t, 6) AS reply_time, round(c1, 6) AS \"p_Other\", round(c2 - c1, 6) AS \"p_Very_good\", "
+    f"round(1 - c2, 6) AS \"p_Excellent\" FROM (SELECT t, {_class_sql('(SELECT b FROM m_b WHERE i = 1) * t + other', len(_ORD))} "
+    "FROM (SELECT lo + k * (hi - lo) / 19.0E0 AS t, other FROM (SELECT unnest(range(0, 20)) AS k) g, (SELECT min(x) AS lo, max(x) AS hi "
+    "FROM m_x WHERE i = 1) r, (SELECT sum(a.m * b.b) AS other FROM (SELECT x.i, sum(s.w * x.x) / sum(s.w) AS m FROM m_x x "
+    "JOIN m_s s USING (rid) WHERE x.i > 1 GROUP BY x.i) a JOIN m_b b USING (i)) o) q) z", _ORD_FIT))
 def effect_profile(spark, sf_dir):
     """Class probabilities over a grid of reply times, other design columns at their means."""
     d = derived(spark, sf_dir)
@@ -428,8 +549,8 @@ def effect_profile(spark, sf_dir):
     eta = F.lit(float(fit.beta[0])) * F.col("reply_time") + F.lit(other)
     cdf = [F.lit(0.0)] + [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(z)) - eta))) for z in fit.zeta] \
         + [F.lit(1.0)]
-    return grid.select("reply_time", *[(cdf[k + 1] - cdf[k]).alias(f"p_{lv.replace(' ', '_')}")
-                                       for k, lv in enumerate(TRI_ORD)])
+    return grid.select(F.round("reply_time", 6).alias("reply_time"),
+                       *[F.round(cdf[k + 1] - cdf[k], 6).alias(f"p_{lv.replace(' ', '_')}") for k, lv in enumerate(TRI_ORD)])
 
 
 # --------------------------------------------------------------------- trees
