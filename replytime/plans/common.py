@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.derive import derive_wave
+from ..sources import scan
 from ..sources.fixture import inpatient
 
 
@@ -16,3 +18,27 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """Analysis table of the stand-in 2009 wave."""
     return derive_wave(inpatient(spark, sf_dir), **kw)
+
+
+WAVES = (2006, 2007, 2008, 2009)
+
+
+def four_waves(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
+    """Stand-in files of four years: each has rows, dates and column names of its own.
+
+    A row's year follows from its record number; its dates are moved back by
+    whole years, so every wave has its own last received date.
+    """
+    base = raw(spark, sf_dir)
+    out = {}
+    for k, w in enumerate(WAVES):
+        back = F.lit(float((w - 2009) * 365 * 86400))
+        own = base.where(F.col("record") % 4 == k).withColumns(
+            {c: F.col(c) + back for c in ("mailing1", "mailing2", "mailing3", "daterec")})
+        out[w] = scan.as_wave(own, w)
+    return out
+
+
+def all_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four waves renamed and unioned."""
+    return scan.wave_union(four_waves(spark, sf_dir))

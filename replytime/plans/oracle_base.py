@@ -1,5 +1,8 @@
-"""DuckDB SQL for the derived analysis table, written independently of the
-DataFrame code so the oracle checks the library rather than itself.
+"""DuckDB SQL for the derived analysis table.
+
+The derivations are written separately from the DataFrame code; the answer
+levels and the stand-in wave's rows (``INPATIENT_SQL``) come from the library's
+constants, so a wrong label there would not show here.
 
 ``with_derived(select_sql)`` prefixes a query with the CTE chain
 ``inpatient -> dd (dates) -> sc (scalars) -> d1 -> d2 -> d``.
@@ -79,6 +82,47 @@ d AS (
 )"""
 
 
+_BACK = "CAST((record % 4 - 3) * 365 AS DOUBLE) * 86400.0"
+
+_RAW4 = f""",
+inpatient4 AS (
+  SELECT CAST(2006 + record % 4 AS INTEGER) AS wave, trustcode, record, outcome, mailing1 + {_BACK} AS mailing1,
+         mailing2 + {_BACK} AS mailing2, mailing3 + {_BACK} AS mailing3, daterec + {_BACK} AS daterec, los, age_group,
+         all_gender, q1, q10, q22, q32, q36, q49, q72, q74
+  FROM inpatient
+)"""
+
+
+def _by_wave() -> str:
+    """The derivation with its two global facts (last date, rating levels in use) taken per wave."""
+    text = DERIVED_SQL
+    for old, new in (
+        (",\ndd AS (", _RAW4 + ",\ndd AS ("),
+        ("FROM inpatient\n),\nsc AS", "FROM inpatient4\n),\nsc AS"),
+        ("sc AS (SELECT max(date_rec) AS max_date FROM dd)",
+         "sc AS (SELECT wave, max(date_rec) AS max_date FROM dd GROUP BY wave)"),
+        ("""  SELECT level, CAST(row_number() OVER (ORDER BY ord) AS INTEGER) AS code
+  FROM rating_dict WHERE level IN (SELECT q74 FROM dd WHERE q74 IS NOT NULL)
+""", """  SELECT wave, level, CAST(row_number() OVER (PARTITION BY wave ORDER BY ord) AS INTEGER) AS code
+  FROM rating_dict JOIN (SELECT DISTINCT wave, q74 FROM dd) u ON u.q74 = level
+"""),
+        ("FROM dd CROSS JOIN sc LEFT JOIN rating_used ru ON dd.q74 = ru.level",
+         "FROM dd JOIN sc ON sc.wave = dd.wave LEFT JOIN rating_used ru ON dd.q74 = ru.level AND ru.wave = dd.wave"),
+    ):
+        if text.count(old) != 1:
+            raise ValueError(f"the derivation's text has changed: {old}")
+        text = text.replace(old, new)
+    return text
+
+
+DERIVED4_SQL = _by_wave()
+
+
+def with_waves(body: str, extra_ctes: str = "") -> str:
+    """Like ``with_derived``, over four waves with censoring and levels of their own."""
+    return f"WITH {DERIVED4_SQL + (',' + extra_ctes if extra_ctes.strip() else '')}\n{body}"
+
+
 def with_derived(body: str, extra_ctes: str = "") -> str:
     """Full oracle text: derived-table CTEs, optional more CTEs, then ``body``."""
     ctes = DERIVED_SQL + ("," + extra_ctes if extra_ctes.strip() else "")

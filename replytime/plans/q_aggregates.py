@@ -11,8 +11,8 @@ from ..operators import plotdata as P
 from ..operators import stattests as ST
 from ..operators.derive import reply_time_coalesced, with_ordered_outcomes
 from ..sources.scan import SURVEY_SCHEMA
-from .common import derived, raw
-from .oracle_base import with_derived
+from .common import all_waves, derived, raw
+from .oracle_base import with_derived, with_waves
 from .registry import query, rounded
 
 # ------------------------------------------------------------- summaries (2.5)
@@ -335,37 +335,30 @@ def cross_table_with_na(spark, sf_dir):
     return rounded(D.cross_table(derived(spark, sf_dir), "reply_strata", "outcome", include_na=True), 8)
 
 
-@query("histogram_by_wave", sql=with_derived(
-    "SELECT w.wave, CAST(h.bin AS DOUBLE) AS bin_start, h.n, round(CAST(h.n AS DOUBLE) / sum(h.n) OVER (PARTITION BY w.wave), 8) "
-    "AS density FROM (SELECT CAST(date_rec - mail1 AS BIGINT) AS bin, count(*) AS n FROM d WHERE date_rec IS NOT NULL "
-    "GROUP BY CAST(date_rec - mail1 AS BIGINT)) h, (VALUES (2006), (2007), (2008), (2009)) w(wave)"))
+@query("histogram_by_wave", sql=with_waves(
+    "SELECT wave, CAST(bin AS DOUBLE) AS bin_start, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY wave), 8) "
+    "AS density FROM (SELECT wave, CAST(date_rec - mail1 AS BIGINT) AS bin, count(*) AS n FROM d WHERE date_rec IS NOT NULL "
+    "GROUP BY wave, CAST(date_rec - mail1 AS BIGINT)) h"))
 def histogram_by_wave(spark, sf_dir):
     """Histogram of raw days from first mailing to receipt, per wave (1-day bins)."""
     from ..functions.core import reply_days
     from ..operators.derive import with_dates
-    from ..sources import scan
-    base = raw(spark, sf_dir)
-    u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
-    d = with_dates(u).select("wave", reply_days("date_rec", "mail1").alias("days"))
+    d = with_dates(all_waves(spark, sf_dir)).select("wave", reply_days("date_rec", "mail1").alias("days"))
     return rounded(P.histogram_density(d, "days", 1.0, by=("wave",)), 8)
 
 
-@query("response_rate_by_wave", sql=with_derived(
-    "SELECT w.wave, n_rows, n_returned, n_not_returned, "
+@query("response_rate_by_wave", sql=with_waves(
+    "SELECT wave, n_rows, n_returned, n_not_returned, "
     "round(CAST(n_returned AS DOUBLE) / (n_returned + n_not_returned), 8) AS response_rate FROM ("
-    "SELECT count(*) AS n_rows, count(CASE WHEN new_outcome = 'Returned' THEN 1 END) AS n_returned, "
-    "count(CASE WHEN new_outcome = 'Not returned' THEN 1 END) AS n_not_returned FROM d) x, "
-    "(VALUES (2006), (2007), (2008), (2009)) w(wave)"))
+    "SELECT wave, count(*) AS n_rows, count(CASE WHEN new_outcome = 'Returned' THEN 1 END) AS n_returned, "
+    "count(CASE WHEN new_outcome = 'Not returned' THEN 1 END) AS n_not_returned FROM d GROUP BY wave) x"))
 def response_rate_by_wave(spark, sf_dir):
     """Returned / (returned + not returned) in each of four waves (one grouped pass)."""
     from ..functions import recode as RC
-    from ..sources import scan
-    base = raw(spark, sf_dir)
-    u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
     no = RC.outcome_class("outcome")
-    g = u.groupBy("wave").agg(F.count(F.lit(1)).alias("n_rows"),
-                              F.count(F.when(no == "Returned", 1)).alias("n_returned"),
-                              F.count(F.when(no == "Not returned", 1)).alias("n_not_returned"))
+    g = all_waves(spark, sf_dir).groupBy("wave").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(no == "Returned", 1)).alias("n_returned"),
+        F.count(F.when(no == "Not returned", 1)).alias("n_not_returned"))
     ret, nr = F.col("n_returned").cast("double"), F.col("n_not_returned").cast("double")
     return g.select("wave", "n_rows", "n_returned", "n_not_returned",
                     F.round(F.try_divide(ret, ret + nr), 8).alias("response_rate"))

@@ -21,13 +21,13 @@ from ..models.glmm import fit_glmm_logit
 from ..models.lm import fit_lm
 from ..models.lmm import fit_lmm
 from ..models.ordinal import fit_ordinal
-from ..operators.derive import with_ordered_outcomes
+from ..operators.derive import derive_wave, with_ordered_outcomes
 from ..operators.filters import exclude_trusts
 from ..operators.joins import attach_response_rate, response_rate_by_trust
-from .common import derived
+from .common import all_waves, derived
 from . import oracle_fit as Q
 from .concurrent import run_all
-from .oracle_base import with_derived
+from .oracle_base import with_derived, with_waves
 from .registry import query, rounded
 
 TRI = Factor("overall_tri", ("Excellent", "Other", "Very good"))
@@ -606,23 +606,18 @@ def classification_tree(spark, sf_dir):
 
 # --------------------------------------------------------- variants by group
 
-@query("lm_by_wave", sql=with_derived(
-    "SELECT w.wave, round(regr_intercept(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)), 6) AS intercept, "
+@query("lm_by_wave", sql=with_waves(
+    "SELECT wave, round(regr_intercept(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)), 6) AS intercept, "
     "round(regr_slope(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)), 8) AS slope, "
     "CAST(regr_count(CAST(overall_sat AS DOUBLE), CAST(reply_time AS DOUBLE)) AS BIGINT) AS n "
-    "FROM d, (VALUES (2006), (2007), (2008), (2009)) w(wave) WHERE reply_time > 0 GROUP BY w.wave"))
+    "FROM d WHERE reply_time > 0 GROUP BY wave"))
 def lm_by_wave(spark, sf_dir):
     """Rating on reply time in each of four waves: one grouped pass (regr_* aggregates).
 
     Waves are unioned by name, derived with per-wave censoring, and the
     per-wave least-squares line comes from ``groupBy(wave)``.
     """
-    from ..operators.derive import derive_wave
-    from ..sources import scan
-    from .common import raw
-    base = raw(spark, sf_dir)
-    u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
-    d = derive_wave(u, censor_by=("wave",)).where(F.col("reply_time") > 0)
+    d = derive_wave(all_waves(spark, sf_dir), censor_by=("wave",)).where(F.col("reply_time") > 0)
     y, x = F.col("overall_sat").cast("double"), F.col("reply_time").cast("double")
     return d.groupBy("wave").agg(F.round(F.regr_intercept(y, x), 6).alias("intercept"),
                                  F.round(F.regr_slope(y, x), 8).alias("slope"),

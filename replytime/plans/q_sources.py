@@ -10,8 +10,8 @@ from ..operators import survival as S
 from ..operators.derive import derive_wave
 from ..sources import scan
 from ..sources.fixture import inpatient_path
-from .common import derived, raw
-from .oracle_base import DERIVED_SQL, km_sql, with_derived
+from .common import all_waves, derived, raw
+from .oracle_base import DERIVED_SQL, km_sql, with_derived, with_waves
 from .registry import query, rounded
 
 _RAW_COLS = [f.name for f in scan.SURVEY_SCHEMA.fields]
@@ -50,30 +50,11 @@ def csv_roundtrip(spark, sf_dir):
     return rounded(back, 8)
 
 
-_WAVE_SQL = " UNION ALL ".join(
-    f"SELECT {w} AS wave, trustcode, record, outcome, mailing1, mailing2, mailing3, daterec, los, "
-    f"age_group, all_gender, q1, q10, q22, q32, q36, q49, q72, q74 FROM inpatient"
-    for w in (2006, 2007, 2008, 2009))
-
-
-@query("wave_union", sql=f"WITH {DERIVED_SQL} {_WAVE_SQL}")
+@query("wave_union", sql=with_waves("SELECT * FROM inpatient4"))
 def wave_union(spark, sf_dir):
     """Four waves under their own column names, renamed by config and unioned by name."""
-    base = raw(spark, sf_dir)
-    waves = {w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)}
-    return scan.wave_union(waves)
-
-
-@query("select_columns", sql=f"WITH {DERIVED_SQL} SELECT record, q1, q10, q22, q32, q36, q49, q72, q74, "
-       "outcome, mailing1, mailing2, mailing3, daterec FROM inpatient")
-def select_columns(spark, sf_dir):
-    """Projection by a built list of question names plus the time variables."""
-    r = raw(spark, sf_dir)
-    return scan.select_columns(r, (1, 10, 22, 32, 36, 49, 72, 74),
-                               extra=("record", "outcome", "mailing1", "mailing2", "mailing3", "daterec"))
-
+    return all_waves(spark, sf_dir)
 
-# ---------------------------------------------------------------- joins (2.4)
 
 @query("attach_response_rate", sql=with_derived(
     "SELECT d.record, d.trustcode, round(r.response_rate, 8) AS response_rate FROM d LEFT JOIN "

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import survival as S
-from .common import derived
-from .oracle_base import km_sql, with_derived
+from ..operators.derive import derive_wave
+from .common import all_waves, derived
+from .oracle_base import km_sql, with_derived, with_waves
 from .registry import query, rounded
 
 _KM_COLS = "time, n_risk, n_event, n_censor, round(surv, 8) AS surv"
@@ -141,18 +142,13 @@ def hazard_piecewise(spark, sf_dir):
                       F.round("upper", 8).alias("upper"))
 
 
-@query("km_by_wave", sql=with_derived(
-    f"SELECT w.wave, {_KM_COLS} FROM km, (VALUES (2006), (2007), (2008), (2009)) w(wave)",
-    """km_in AS (SELECT CAST(reply_time AS DOUBLE) AS time, event FROM d
-               WHERE reply_time IS NOT NULL AND event IS NOT NULL),""" + km_sql("km_in")))
+@query("km_by_wave", sql=with_waves(
+    f"SELECT wave, {_KM_COLS} FROM km",
+    """km_in AS (SELECT wave, CAST(reply_time AS DOUBLE) AS time, event FROM d
+               WHERE reply_time IS NOT NULL AND event IS NOT NULL),""" + km_sql("km_in", "wave")))
 def km_by_wave(spark, sf_dir):
     """Kaplan-Meier of reply time in each of four waves (per-wave censoring, window partitioned by wave)."""
-    from ..operators.derive import derive_wave
-    from ..sources import scan
-    from .common import raw
-    base = raw(spark, sf_dir)
-    u = scan.wave_union({w: scan.as_wave(base, w) for w in (2006, 2007, 2008, 2009)})
-    d = derive_wave(u, censor_by=("wave",))
+    d = derive_wave(all_waves(spark, sf_dir), censor_by=("wave",))
     pairs = S.survival_pair(d, "reply_time", "event", by=("wave",))
     return rounded(S.kaplan_meier(pairs, by=("wave",), conf=False), 8)
 

@@ -38,7 +38,7 @@ SURVEY_SCHEMA = T.StructType([
 # Column names of the earlier waves that differ from the 2009 names.
 WAVE_RENAMES = {
     2006: {"mailing1": "mailing_one", "mailing2": "mailing_two", "mailing3": "mailing_three",
-           "q74": "q66", "trustcode": "trustcode", "all_gender": "gender"},
+           "q74": "q66", "q72": "q64", "all_gender": "gender"},
     2007: {"mailing1": "mailing_one", "mailing2": "mailing_two", "mailing3": "mailing_three",
            "q74": "q68", "all_gender": "gender"},
     2008: {"mailing1": "mailing_one", "mailing2": "mailing_two", "mailing3": "mailing_three",

@@ -163,3 +163,15 @@ def test_approximate_quartiles_close_to_exact(spark):
     assert len(k_ex) == len(k_ap) == 2
     for a, b in zip(sorted(k_ex), sorted(k_ap)):
         assert abs(a.bw - b.bw) / a.bw < 0.01
+
+
+def test_waves_are_censored_by_their_own_last_date(spark):
+    """Censoring every wave at the last date of all gives other times: the per-wave queries would not match."""
+    from replytime.operators.derive import derive_wave
+    from replytime.plans.common import WAVES, all_waves
+    u = all_waves(spark, SF0001)
+    last = {r["wave"]: r["m"] for r in u.groupBy("wave").agg(F.max("daterec").alias("m")).collect()}
+    assert sorted(last) == list(WAVES) and len(set(last.values())) == 4
+    own = derive_wave(u, censor_by=("wave",)).where("wave = 2006 and event = 0").agg(F.max("reply_time")).first()[0]
+    joint = derive_wave(u).where("wave = 2006 and event = 0").agg(F.max("reply_time")).first()[0]
+    assert own < 200 and joint > 1000
