@@ -170,25 +170,16 @@ def crowded(made: DataFrame) -> DataFrame:
     return classes.join(counts, "key", "left").where(enough).select("key", "n", "rep")
 
 
-def _sets_of(docs: DataFrame, few: DataFrame) -> DataFrame:
-    """key, shingles (binary) of the documents that represent the classes in few."""
+def _texts_of(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """key, text of the documents that represent the classes in few."""
     spark = docs.sparkSession
     # few is far smaller than the texts: Spark's own runtime filter (a Bloom filter of the ids, put on the scan) keeps
     # the other texts out of the shuffle; it asks for a filter on the small side and skips sides that are too large
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "16MB")
     none = F.lit(-(1 << 63) + 1)  # joins rows without an id; whose text it is, the key decides below
     ids = few.where(F.col("n") >= 1).select(F.coalesce("rep", none).alias("rep"), "key")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("rep"), "text").join(ids, "rep")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            rows = [(k, s.tobytes()) for k, s in zip(batch.column(0).to_pylist(), sets) if len(s) and set_key(s) == k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
-                names=["key", "shingles"])
-
-    return texts.select("key", "text").mapInArrow(run, "key long, shingles binary")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("rep"), "text")
+    return texts.join(ids, "rep").select("key", "text")
 
 
 def profiles(docs: DataFrame, few: DataFrame, hot: Broadcast, bins: int) -> DataFrame:
@@ -204,11 +195,12 @@ def profiles(docs: DataFrame, few: DataFrame, hot: Broadcast, bins: int) -> Data
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            out, held = [], []
-            for key, raw in zip(keys, batch.column(1).to_pylist()):
-                s = np.frombuffer(raw, np.uint64)
+            out, keys, held = [], [], []
+            for key, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist())):
+                if not len(s) or set_key(s) != key:
+                    continue  # another text of a repeated id
                 common = np.isin(s, known, assume_unique=True) if len(known) else np.zeros(len(s), bool)
+                keys.append(key)
                 held.append(s[~common])
                 out.append((key, len(s), None, s[common].tobytes(), None))
             out += [(None, None, *r) for r in _dealt(keys, held, bins)]
@@ -216,7 +208,7 @@ def profiles(docs: DataFrame, few: DataFrame, hot: Broadcast, bins: int) -> Data
                 [pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out
                 else [pa.array([], f.type) for f in schema], schema=schema)
 
-    dealt = stored(_sets_of(docs, few).mapInArrow(deal, "key long, n long, bin long, hashes binary, keys binary"))
+    dealt = stored(_texts_of(docs, few).mapInArrow(deal, "key long, n long, bin long, hashes binary, keys binary"))
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         h, k, df = _shared(pdf)
