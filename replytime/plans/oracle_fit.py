@@ -68,17 +68,17 @@ def solved(name: str, entries: str, p: int) -> list[str]:
     ]
 
 
-def newton(pre: str, p: int, start: str, sums, steps: int) -> list[str]:
+def newton(pre: str, p: int, start: str, sums, steps: int, most: float = 1e9) -> list[str]:
     """Steps {pre}_b0 ... of (i, b); the last is {pre}_b, and {pre}_v has its covariance (i, j, v).
 
     sums(t, beta) returns CTEs and the entries' text (i, j, v): the information,
-    with the score in column p + 1.
+    with the score in column p + 1.  A step changes no parameter by more than most.
     """
     out = [f"{pre}_b0 AS MATERIALIZED ({start})"]
     for t in range(1, steps + 1):
         ctes, entries = sums(t, f"{pre}_b{t - 1}")
         out += ctes + solved(f"{pre}_n{t}", entries, p)
-        out.append(f"{pre}_b{t} AS MATERIALIZED (SELECT b.i, b.b + n.v AS b FROM {pre}_b{t - 1} b "
+        out.append(f"{pre}_b{t} AS MATERIALIZED (SELECT b.i, b.b + greatest(-{most}, least({most}, n.v)) AS b FROM {pre}_b{t - 1} b "
                    f"JOIN {pre}_n{t} n ON n.i = b.i AND n.j = {p + 1})")
     ctes, entries = sums(steps + 1, f"{pre}_b{steps}")
     unit = (f"SELECT i, j, v FROM ({entries}) q WHERE j <= {p} UNION ALL SELECT a.i, {p} + b.i, CASE WHEN a.i = b.i "
@@ -179,7 +179,7 @@ def logit(pre: str, design: list, y: str, success: str, where: str = "TRUE", sou
 
 
 def aft(pre: str, design: list, time: str = "reply_time", dist: str = "loglogistic", where: str = "TRUE",
-        source: str = "d", steps: int = 14, cluster: str | None = None) -> list[str]:
+        source: str = "d", steps: int = 18, cluster: str | None = None) -> list[str]:
     """Accelerated failure time model; the last parameter is log(scale).
 
     With x_j / scale as design and z as the design of log(scale), the score is
@@ -214,9 +214,12 @@ def aft(pre: str, design: list, time: str = "reply_time", dist: str = "loglogist
     # the exponential model without covariates (total time by events), or the mean log time of the events
     first = ("ln(sum(w * exp(logt)) / sum(w * event))" if dist == "weibull" or p == 1
              else "sum(w * event * logt) / sum(w * event)")
-    start = (f"SELECT i, CASE WHEN i = 1 THEN (SELECT {first} FROM {pre}_s) ELSE 0.0E0 END AS b "
-             f"FROM (SELECT unnest(range(1, {p + 2})) AS i) z")
-    out = [*patterns(pre, design, keep, where, source), *newton(pre, p + 1, start, sums, steps)]
+    # the scale whose logistic has the spread of the events' log times
+    spread = ("max(0.0E0)" if dist == "weibull" or p == 1 else "ln(0.55E0 * sqrt(sum(w * event * logt * logt) / sum(w * event) "
+              "- (sum(w * event * logt) / sum(w * event)) * (sum(w * event * logt) / sum(w * event))))")
+    start = (f"SELECT i, CASE WHEN i = 1 THEN (SELECT {first} FROM {pre}_s) WHEN i = {p + 1} THEN (SELECT {spread} FROM {pre}_s) "
+             f"ELSE 0.0E0 END AS b FROM (SELECT unnest(range(1, {p + 2})) AS i) z")
+    out = [*patterns(pre, design, keep, where, source), *newton(pre, p + 1, start, sums, steps, 0.5)]
     if cluster:
         f, x = f"{pre}_f{steps + 1}", f"{pre}_u{steps + 1}"
         out += [

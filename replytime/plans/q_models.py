@@ -489,23 +489,72 @@ def ordinal_logit_intercepts(spark, sf_dir):
     return fit.table(spark).select("term", F.round("estimate", 6).alias("estimate"))
 
 
+_STRATA_ORD = [*Q.STRATA, *Q.COVARS]
 _SCALES = {"overall_tri": TRI_ORD, "clean_tri": L.CLEAN_TRI_ORDERED, "doc_conf": L.CONFIDENCE_ORDERED,
            "nurse_conf": L.CONFIDENCE_ORDERED, "call_but": L.CALL_BUTTON_ORDERED}
 
 
-@query("ordinal_logit_scales")
-def ordinal_logit_scales(spark, sf_dir):
-    """Proportional odds of five ordered answers on the mailing stratum + covariates."""
+_SCALE_SRC = """,
+o AS (SELECT *, CASE WHEN q22 IN ('Very clean', 'Fairly clean') THEN q22 WHEN q22 IS NULL THEN NULL ELSE 'Other' END AS clean_tri,
+  q32 AS doc_conf, q36 AS nurse_conf, q49 AS call_but FROM d)"""
+
+
+def _scale_fits(pre: str = "z") -> list[str]:
+    return [c for k, (r, lv) in enumerate(_SCALES.items())
+            for c in Q.ordinal(f"{pre}{k}", _STRATA_ORD, r, list(lv), source="o")]
+
+
+def _cuts(levels) -> list[str]:
+    return [f"{a}|{b}" for a, b in zip(levels[:-1], levels[1:])]
+
+
+def _scale_probs() -> str:
+    """P(level) of each answer scale by stratum at the study's profile, in rows."""
+    parts = []
+    for k, (r, lv) in enumerate(_SCALES.items()):
+        p, cuts = len(_STRATA_ORD), len(lv) - 1
+        eta = Q.linear(f"z{k}", _STRATA_ORD)
+        cdf = ["0.0E0", *[f"1.0E0 / (1.0E0 + exp(eta - (SELECT b FROM z{k}_b WHERE i = {p + c})))" for c in range(1, cuts + 1)], "1.0E0"]
+        for n, level in enumerate(lv):
+            parts.append(f"SELECT '{r}' AS response, reply_strata, '{level}' AS level, round({cdf[n + 1]} - {cdf[n]}, 6) AS probability "
+                         f"FROM (SELECT reply_strata, {eta} AS eta FROM profile) q")
+    return " UNION ALL ".join(parts)
+
+
+_PROFILE_CTE = ("profile AS MATERIALIZED (SELECT reply_strata, 'yes' AS emergency, '36-50' AS age_group, 1.16E0 AS log_los, "
+                "'Male' AS gender FROM (VALUES ('Mail1'), ('Mail2'), ('Mail3')) v(reply_strata))")
+
+
+@query("predict_ordinal_scales", sql=Q.with_fit(_scale_probs(), [*_scale_fits(), _PROFILE_CTE], _SCALE_SRC))
+def predict_ordinal_scales(spark, sf_dir):
+    """Class probabilities of all five ordered answers by mailing stratum at the study's profile."""
     d = with_ordered_outcomes(derived(spark, sf_dir))
     fits = run_all([lambda r=r, lv=lv: fit_ordinal(d, r, lv, [STRATA] + COVARS) for r, lv in _SCALES.items()])
+    prof = profile_frame(spark, [dict(reply_strata=s, **PROFILE) for s in L.STRATA_LEVELS])
     out = None
     for resp, fit in zip(_SCALES, fits):
-        t = fit.table(spark).withColumn("response", F.lit(resp))
+        wide = fit.class_probabilities(prof)
+        pairs = F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.round(F.col(c), 6).alias("probability"))
+                                    for lv, c in zip(fit.levels, fit.prob_columns())])).alias("q")
+        t = wide.select(F.lit(resp).alias("response"), "reply_strata", pairs).select("response", "reply_strata", "q.*")
         out = t if out is None else out.unionByName(t)
     return out
 
 
-_STRATA_ORD = [*Q.STRATA, *Q.COVARS]
+@query("ordinal_logit_scales", sql=Q.with_fit(
+    " UNION ALL ".join(f"({Q.tidy(f'z{k}').replace('SELECT term', f'SELECT {chr(39)}{r}{chr(39)} AS response, term')})"
+                       for k, r in enumerate(_SCALES)),
+    [*_scale_fits(), *[c for k, lv in enumerate(_SCALES.values()) for c in Q.estimates(
+        f"z{k}", Q.terms_of(_STRATA_ORD, *_cuts(lv)))]], _SCALE_SRC))
+def ordinal_logit_scales(spark, sf_dir):
+    """Proportional odds of five ordered answers on the mailing stratum + covariates."""
+    d = with_ordered_outcomes(derived(spark, sf_dir))
+    fits = run_all([lambda r=r, lv=lv: fit_ordinal(d, r, lv, [STRATA] + COVARS) for r, lv in _SCALES.items()])
+    out = None
+    for resp, fit in zip(_SCALES, fits):
+        t = tidy(fit.table(spark)).withColumn("response", F.lit(resp))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 def _class_sql(eta: str, p: int) -> str:
@@ -624,14 +673,24 @@ def lm_by_wave(spark, sf_dir):
                                  F.regr_count(y, x).alias("n"))
 
 
-@query("aft_loglogistic_by_mailing")
+def _by_mailing(fits) -> str:
+    """The same tidy select of three fits, labelled by mailing."""
+    return " UNION ALL ".join(f"({Q.tidy(pre).replace('SELECT term', f'SELECT {k} AS mailing, term')})" for k, pre in fits)
+
+
+_MAILINGS = [(k, f"y{k}") for k in (1, 2, 3)]
+
+
+@query("aft_loglogistic_by_mailing", sql=Q.with_fit(_by_mailing(_MAILINGS), [
+    c for k, pre in _MAILINGS for c in [*Q.aft(pre, _AFT1, f"reply_time{k}", cluster="trustcode"), *Q.estimates(
+        pre, Q.terms_of(_AFT1, "Log(scale)"), var="w")]]))
 def aft_loglogistic_by_mailing(spark, sf_dir):
     """Log-logistic AFT of the time since each mailing (replies to that mailing only)."""
     d = derived(spark, sf_dir)
     fits = run_all([lambda k=k: _aft(spark, sf_dir, [TRI], time=f"reply_time{k}", data=d) for k in (1, 2, 3)])
     out = None
     for k, fit in zip((1, 2, 3), fits):
-        t = fit.table(spark).withColumn("mailing", F.lit(k))
+        t = tidy(fit.table(spark)).withColumn("mailing", F.lit(k))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -648,14 +707,20 @@ def random_intercept_lmm_log(spark, sf_dir):
     return fit_lmm(derived(spark, sf_dir), "reply_time", [TRI], "trustcode", log_y=True).table(spark)
 
 
-@query("lm_log_by_mailing")
+_LOGM = [Q.ONE, *Q.FULL, *Q.CHOICE]
+
+
+@query("lm_log_by_mailing", sql=Q.with_fit(_by_mailing(_MAILINGS), [
+    c for k, pre in _MAILINGS for c in [*Q.ols(
+        pre, _LOGM, f"CASE WHEN reply_time{k} > 0 THEN ln(CAST(reply_time{k} AS DOUBLE)) END"), *Q.estimates(
+        pre, Q.terms_of(_LOGM), f"(SELECT s2 FROM {pre}_q)", f"(SELECT n - {len(_LOGM)} FROM {pre}_q)")]]))
 def lm_log_by_mailing(spark, sf_dir):
     """OLS of log time since each mailing on satisfaction and covariates."""
     d = derived(spark, sf_dir)
     fits = run_all([lambda k=k: fit_lm(d, f"reply_time{k}", FULL + [CHOICE], log_y=True) for k in (1, 2, 3)])
     out = None
     for k, fit in zip((1, 2, 3), fits):
-        t = fit.table(spark).withColumn("mailing", F.lit(k))
+        t = tidy(fit.table(spark)).withColumn("mailing", F.lit(k))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -685,26 +750,59 @@ def lm_rating_factor(spark, sf_dir):
                                    F.round("std_error", 6).alias("std_error"))
 
 
-@query("logit_dignity")
+_DIGN = [Q.ONE, *Q.TIME, *Q.EMERG, *Q.CHOICE, *Q.AGE,
+         ("log(los)", "CASE WHEN los > 0 THEN ln(CAST(los AS DOUBLE)) END", "nullif(greatest(los, 0), 0)"), *Q.GENDER]
+
+
+@query("logit_dignity", sql=Q.with_fit(Q.tidy("m"), [*Q.logit(
+    "m", _DIGN, "CASE WHEN q72 IS NULL THEN NULL WHEN q72 = 'Yes, always' THEN 'Always' ELSE 'Sometimes or no' END",
+    "Sometimes or no", "reply_time > 0"), *Q.estimates("m", Q.terms_of(_DIGN))]))
 def logit_dignity(spark, sf_dir):
     """Logit of 'Sometimes or no' dignity on reply time + covariates (reply time > 0)."""
     d = derived(spark, sf_dir).withColumn("dignity", R.dignity("q72")).where(F.col("reply_time") > 0)
     fit = fit_logit(d, "dignity", "Sometimes or no", [Numeric("reply_time"), EMERG, CHOICE, AGE,
                                                       Numeric("los", log=True), GENDER])
-    return fit.table(spark)
+    return tidy(fit.table(spark))
 
 
-@query("ordinal_logit_rating")
+_RATE = [*Q.TIME, *Q.AGE, ("los", "CAST(los AS DOUBLE)", "los"), *Q.GENDER]
+
+
+@query("ordinal_logit_rating", sql=Q.with_fit(Q.tidy("m"), [*Q.ordinal(
+    "m", _RATE, "CAST(overall_sat AS VARCHAR)", list("12345"), "reply_time > 0"), *Q.estimates(
+    "m", Q.terms_of(_RATE, *_cuts("12345")))]))
 def ordinal_logit_rating(spark, sf_dir):
     """Proportional odds of the five-point rating code on reply time, age, LOS, gender."""
     d = derived(spark, sf_dir).where(F.col("reply_time") > 0).withColumn(
         "rating_code", F.col("overall_sat").cast("string"))
     fit = fit_ordinal(d, "rating_code", ("1", "2", "3", "4", "5"),
                       [Numeric("reply_time"), AGE, Numeric("los"), GENDER])
-    return fit.table(spark)
+    return tidy(fit.table(spark))
+
+
+_TIMES = {"all": "reply_time", "mail1": "reply_time1", "mail2": "reply_time2", "mail3": "reply_time3"}
+
+
+def _aft_predictions(design: list, rows: str) -> str:
+    return Q.with_fit(" UNION ALL ".join(
+        f"SELECT overall_tri, '{n}' AS model, round(exp({Q.linear(f't{k}', design)}), 6) AS predicted_time FROM {rows}"
+        for k, n in enumerate(_TIMES)), [c for k, t in enumerate(_TIMES.values()) for c in Q.aft(f"t{k}", design, t)])
+
+
+@query("predict_aft_full_by_mailing", sql=_aft_predictions(_AFTF, _PROFILES))
+def predict_aft_full_by_mailing(spark, sf_dir):
+    """Predicted reply time at the study's profiles from the full AFT: all replies and each mailing."""
+    d = derived(spark, sf_dir)
+    fits = run_all([lambda t=t: A.fit_loglogistic(d, t, "event", FULL) for t in _TIMES.values()])
+    prof = _tri_profiles(spark, PROFILE)
+    out = None
+    for name, fit in zip(_TIMES, fits):
+        t = prof.select("overall_tri", F.lit(name).alias("model"), F.round(F.exp(fit.linear_score()), 6).alias("predicted_time"))
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
-@query("predict_aft_by_mailing")
+@query("predict_aft_by_mailing", sql=_aft_predictions(_AFT1, _TRI_ROWS))
 def predict_aft_by_mailing(spark, sf_dir):
     """Predicted reply time by satisfaction from the one-factor AFT: all replies and each mailing."""
     d = derived(spark, sf_dir)
@@ -713,7 +811,7 @@ def predict_aft_by_mailing(spark, sf_dir):
     prof = _tri_profiles(spark)
     out = None
     for name, fit in zip(times, fits):
-        t = prof.select("overall_tri", F.lit(name).alias("model"), F.exp(fit.linear_score()).alias("predicted_time"))
+        t = prof.select("overall_tri", F.lit(name).alias("model"), F.round(F.exp(fit.linear_score()), 6).alias("predicted_time"))
         out = t if out is None else out.unionByName(t)
     return out
 
