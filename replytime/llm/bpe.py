@@ -18,6 +18,7 @@ Texts of any length are handled whole; only one piece is held as match lists.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Entries of the piece memo and of the pair memo at most; a full memo is emptied (results do not change).
-MEMO_PIECES = 500_000
-MEMO_PAIRS = 1_000_000
+#: Entries of the piece memo and of the pair memo at most; a full memo is emptied (results do not change), and both
+#: are emptied at the end of a task, so that a worker does not hold them while it does other work.
+MEMO_PIECES = 400_000
+MEMO_PAIRS = 400_000
 #: Longer pieces are not memoised.
 MEMO_BYTES = 64
 
@@ -135,6 +137,11 @@ class ByteBpe:
             ids.extend(known)
         return ids
 
+    def forget(self) -> None:
+        """Empty the memos."""
+        self._pieces.clear()
+        self._pairs.clear()
+
     def decode(self, ids) -> bytes:
         """Bytes of the tokens in order."""
         of = self.bytes_of
@@ -185,11 +192,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
 
     @F.pandas_udf("ids array<int>, decoded binary")
-    def both(texts: pd.Series) -> pd.DataFrame:
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = shared_bpe(vocabulary.value, pattern)
-        coded = [bpe.encode(t) if t else [] for t in texts]
-        return pd.DataFrame({"ids": pd.Series(coded, dtype=object),
-                             "decoded": pd.Series([bpe.decode(x) for x in coded], dtype=object)})
+        try:
+            for texts in batches:
+                coded = [bpe.encode(t) if t else [] for t in texts]
+                yield pd.DataFrame({"ids": pd.Series(coded, dtype=object),
+                                    "decoded": pd.Series([bpe.decode(x) for x in coded], dtype=object)})
+        finally:
+            bpe.forget()
 
     pair = free_name(docs, "coded")
     return (docs.withColumn(pair, both(F.col(text)))

@@ -43,7 +43,7 @@ TABLE_BYTES = 32_000_000
 MIN_COUNT = 4
 SLICE = 512
 #: Code lengths held at a time (bytes of text times languages).
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 SCHEMA = "lang_pred string, score double, bits_per_byte double"
 
 
@@ -163,7 +163,7 @@ def code_lengths(model: PpmModel, texts: list[bytes], order: int = ORDER) -> np.
     columns = model.n_classes
     reset = columns - 1
     block = max(100_000, BLOCK // max(1, len(model.langs)))
-    gap = np.full(order, reset, np.int64)
+    gap = np.full(order, reset, np.int32)
     parts, owners, size = [], [], 0
 
     def flush() -> None:
@@ -173,7 +173,7 @@ def code_lengths(model: PpmModel, texts: list[bytes], order: int = ORDER) -> np.
         flat = np.concatenate(parts)
         n = len(flat)
         rows = -(-n // SLICE)
-        grid = np.full(rows * SLICE + order, reset, np.int64)
+        grid = np.full(rows * SLICE + order, reset, np.int32)
         grid[order:order + n] = flat
         state = np.zeros(rows, np.int64)
         base = np.arange(rows) * SLICE
@@ -189,7 +189,7 @@ def code_lengths(model: PpmModel, texts: list[bytes], order: int = ORDER) -> np.
         parts, owners, size = [], [], 0
 
     for i, text in enumerate(texts):
-        symbols = model.classes[np.frombuffer(text, np.uint8)]
+        symbols = model.classes[np.frombuffer(text, np.uint8)].astype(np.int32)
         for a in range(0, len(symbols), block):
             piece = symbols[a:a + block]
             lead = symbols[max(0, a - order):a]  # the bytes before fix the state; they are not counted again

@@ -38,7 +38,7 @@ TOKEN = re.compile(r"\w+")
 DIMENSIONS = 1 << 22
 MAX_FEATURES = 8192
 #: Words whose score a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def word_features(word: str) -> list[int]:
