@@ -46,11 +46,23 @@ class MixedLogitFit:
     loglik: float
     n: int
     n_groups: int
+    modes: DataFrame | None = None   # (cluster, b): conditional modes of the intercepts; None without variance
+    cluster: str = ""
 
     @property
     def se(self):
         return np.sqrt(np.diag(self.cov))
 
+    def fitted(self, df: DataFrame, y: str, name: str = "fitted") -> DataFrame:
+        """The rows of the fit with their fitted probability, the cluster's mode included."""
+        rows = complete_rows(df.where(F.col(self.cluster).isNotNull()), self.design, extra=[y])
+        if self.modes is not None:
+            rows = rows.join(self.modes.withColumnRenamed("b", "mode__"), self.cluster, "left")
+        else:
+            rows = rows.withColumn("mode__", F.lit(0.0))
+        eta = self.linear_score() + F.coalesce(F.col("mode__"), F.lit(0.0))
+        return rows.withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))).drop("mode__")
+
     def table(self, spark) -> DataFrame:
         z = self.beta / self.se
         p = [2.0 * norm_sf(abs(float(v))) for v in z]
@@ -141,7 +153,8 @@ def _fit_grid(coll: DataFrame, cluster: str, p: int, sigmas, beta0, iters: int =
     for row in lap:
         g = row["g"]
         s_mat = sym_from_upper([row[f"S{i}"] for i in range(len(pairs))], p)
-        out[g] = (float(row["lap"]), betas[g], inv_sym(s_mat), int(row["k"]))
+        out[g] = (float(row["lap"]), betas[g], inv_sym(s_mat), int(row["k"]),
+                  bt.where(F.col("g") == g).select(cluster, "b"))
     return out
 
 
@@ -174,7 +187,7 @@ def fit_glmm_logit(df: DataFrame, y: str, success: str, terms, cluster: str,
         left -= 1
         if best == min(evals) and evals[best][0] <= ll0 + 1e-6 * (abs(ll0) + 1.0):
             # no variance between clusters: the plain model is the fit
-            return MixedLogitFit(design, beta0, cov0, 0.0, ll0, n, evals[best][3])
+            return MixedLogitFit(design, beta0, cov0, 0.0, ll0, n, evals[best][3], None, cluster)
     best = max(evals, key=lambda s: evals[s][0])
     # refine: vertex of the parabola through the best grid point and its two
     # neighbours in log(sigma); one more fit there, kept if its likelihood is higher
@@ -193,5 +206,5 @@ def fit_glmm_logit(df: DataFrame, y: str, success: str, terms, cluster: str,
                 res = _fit_grid(coll, cluster, p, [sv], evals[best][1])
                 evals[sv] = res[0]
                 best = max(evals, key=lambda s: evals[s][0])
-    lap, beta, cov, k = evals[best]
-    return MixedLogitFit(design, beta, cov, best, lap, n, k)
+    lap, beta, cov, k, modes = evals[best]
+    return MixedLogitFit(design, beta, cov, best, lap, n, k, modes, cluster)

@@ -135,7 +135,7 @@ def fit_lmm(df: DataFrame, y: str, terms, cluster: str, log_y: bool = False,
                 best = vertex
                 evals[best] = (crit, beta, s2, a, n, k)
     crit, beta, s2, a, n, k = evals[best]
-    # the best point at the lower edge of the search: no variance between clusters
-    sigma_a2 = 0.0 if at == 0 else best * s2
+    # below this ratio the criterion no longer tells it from zero: no variance between clusters
+    sigma_a2 = 0.0 if best < 1e-9 else best * s2
     cov = s2 * inv_sym(a)
     return MixedFit(design, beta, cov, math.sqrt(s2), math.sqrt(sigma_a2), crit, n, k)

@@ -299,3 +299,58 @@ def ordinal(pre: str, design: list, y: str, levels: list[str], where: str = "TRU
             f"CASE WHEN k = c THEN 1.0E0 ELSE 0.0E0 END, CASE WHEN k = c + 1 THEN 1.0E0 ELSE 0.0E0 END FROM {pre}_s, "
             f"(SELECT unnest(range(1, {cuts + 1})) AS c) z)",
             *newton(pre, q, start, sums, steps)]
+
+
+def lmm_tri(pre: str, y: str, where: str = "TRUE") -> list[str]:
+    """REML fit of y on satisfaction with a random intercept per trust: {pre}_e(i, term, b, se, z, p).
+
+    With V = s2 (I + gamma 11') per trust all sums are closed forms of per-trust sums; the criterion is evaluated on
+    a grid of log10(gamma), then on a finer one around the best, and the vertex of the last parabola is taken.
+    """
+    a = ["a11", "a12", "a13", "a22", "a23", "a33"]
+    sums = ", ".join(f"sum({n} - w * {x} * {z}) AS {n}" for n, x, z in (
+        ("a11", "n", "n"), ("a12", "n", "s2"), ("a13", "n", "s3"), ("a22", "s2", "s2"), ("a23", "s2", "s3"), ("a33", "s3", "s3")))
+    det = ("a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13)")
+    inv = {"v11": "(a22 * a33 - a23 * a23)", "v12": "(a13 * a23 - a12 * a33)", "v13": "(a12 * a23 - a13 * a22)",
+           "v22": "(a11 * a33 - a13 * a13)", "v23": "(a12 * a13 - a11 * a23)", "v33": "(a11 * a22 - a12 * a12)"}
+
+    def at(name: str, grid: str) -> list[str]:
+        return [
+            f"{name}_0 AS MATERIALIZED (SELECT lg, {sums}, sum(sy - w * n * sy) AS b1, sum(y2 - w * s2 * sy) AS b2, "
+            f"sum(y3 - w * s3 * sy) AS b3, sum(yy - w * sy * sy) AS c, sum(ln(1 + g * n)) AS ld, sum(n) AS nn FROM (SELECT k.*, lg, "
+            f"pow(10.0E0, lg) AS g, pow(10.0E0, lg) / (1 + pow(10.0E0, lg) * k.n) AS w FROM {pre}_k k, ({grid}) q) z GROUP BY lg)",
+            f"{name}_1 AS MATERIALIZED (SELECT *, {', '.join(f'{e} / det AS {n}' for n, e in inv.items())} FROM (SELECT *, {det} AS det "
+            f"FROM {name}_0) z)",
+            f"{name}_2 AS MATERIALIZED (SELECT *, v11 * b1 + v12 * b2 + v13 * b3 AS e1, v12 * b1 + v22 * b2 + v23 * b3 AS e2, "
+            f"v13 * b1 + v23 * b2 + v33 * b3 AS e3 FROM {name}_1)",
+            f"{name} AS MATERIALIZED (SELECT *, -0.5E0 * ((nn - 3) * (1 + ln(2 * pi() * s2)) + ld + ln(det)) AS crit FROM (SELECT *, "
+            f"(c - b1 * e1 - b2 * e2 - b3 * e3) / (nn - 3) AS s2 FROM {name}_2) z)",
+        ]
+
+    x2, x3 = (e for _, e, _ in TRI)
+    out = [
+        f"{pre}_d AS MATERIALIZED (SELECT trustcode, {x2} AS x2, {x3} AS x3, {y} AS y FROM d WHERE {where} AND trustcode IS NOT NULL "
+        f"AND overall_tri IS NOT NULL AND ({y}) IS NOT NULL)",
+        f"{pre}_k AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS a11, sum(x2) AS a12, sum(x3) AS a13, "
+        f"sum(x2 * x2) AS a22, sum(x2 * x3) AS a23, sum(x3 * x3) AS a33, sum(x2) AS s2, sum(x3) AS s3, sum(y) AS sy, sum(x2 * y) AS y2, "
+        f"sum(x3 * y) AS y3, sum(y * y) AS yy FROM {pre}_d GROUP BY trustcode)",
+        *at(f"{pre}_g", "SELECT -12.0E0 + unnest(range(0, 161)) * 0.1E0 AS lg"),
+        *at(f"{pre}_f", f"SELECT (SELECT max_by(lg, crit) FROM {pre}_g) + (unnest(range(0, 401)) - 200) * 0.001E0 AS lg"),
+        f"{pre}_n AS MATERIALIZED (SELECT lg, crit, lag(crit) OVER (ORDER BY lg) AS lo, lead(crit) OVER (ORDER BY lg) AS hi FROM {pre}_f)",
+        *at(f"{pre}_h", f"SELECT CASE WHEN lo IS NULL OR hi IS NULL OR lo - 2 * crit + hi >= 0 THEN lg ELSE lg + 0.0005E0 * (lo - hi) / (lo - 2 * crit + hi) END AS lg FROM {pre}_n WHERE lg = (SELECT max_by(lg, crit) "
+                        f"FROM {pre}_f)"),
+        f"{pre}_y AS MATERIALIZED (SELECT i, term, b, se, b / se AS z FROM (SELECT 1 AS i, '(Intercept)' AS term, e1 AS b, "
+        f"sqrt(s2 * v11) AS se FROM {pre}_h UNION ALL SELECT 2, '{TRI[0][0]}', e2, sqrt(s2 * v22) FROM {pre}_h UNION ALL "
+        f"SELECT 3, '{TRI[1][0]}', e3, sqrt(s2 * v33) FROM {pre}_h) q)",
+        tails(f"{pre}_p", f"{pre}_y", f"(SELECT nn - 3 FROM {pre}_h)"),
+        f"{pre}_e AS MATERIALIZED (SELECT term, b, se, z, p FROM {pre}_p UNION ALL SELECT 'sd(Intercept)', CASE WHEN lg < -9 THEN 0.0E0 ELSE "
+        f"sqrt(s2 * pow(10.0E0, lg)) END, "
+        f"NULL, NULL, NULL FROM {pre}_h UNION ALL SELECT 'sd(Residual)', sqrt(s2), NULL, NULL, NULL FROM {pre}_h)",
+    ]
+    assert all(n in sums for n in a)
+    return out
+
+
+#: REML estimates to the digits on which two searches for the maximum agree.
+TIDY_REML = ("SELECT term, round(b, 4) AS estimate, round(se, 4) AS std_error, round(z, 3) AS statistic, "
+             "round(p, 5) AS p_value FROM {pre}_e")

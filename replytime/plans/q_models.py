@@ -49,6 +49,12 @@ def tidy(table):
                         F.round("statistic", 4).alias("statistic"), F.round("p_value", 6).alias("p_value"))
 
 
+def tidy_reml(table):
+    """Coefficient table rounded to the digits on which two searches for the REML maximum agree."""
+    return table.select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error"),
+                        F.round("statistic", 3).alias("statistic"), F.round("p_value", 5).alias("p_value"))
+
+
 def _tri_profiles(spark, extra=None):
     rows = []
     for lvl in L.SATISFACTION_TRI_LABELS:
@@ -281,11 +287,10 @@ def fitted_values(spark, sf_dir):
 
 # ------------------------------------------------------------ mixed models
 
-@query("random_intercept_lmm")
+@query("random_intercept_lmm", sql=Q.with_fit(Q.TIDY_REML.format(pre="m"), Q.lmm_tri("m", "CAST(reply_time AS DOUBLE)")))
 def random_intercept_lmm(spark, sf_dir):
     """REML fit of reply time ~ satisfaction + (1 | trust)."""
-    fit = fit_lmm(derived(spark, sf_dir), "reply_time", [TRI], "trustcode")
-    return fit.table(spark)
+    return tidy_reml(fit_lmm(derived(spark, sf_dir), "reply_time", [TRI], "trustcode").table(spark))
 
 
 @query("random_intercept_logit")
@@ -295,6 +300,39 @@ def random_intercept_logit(spark, sf_dir):
     return fit.table(spark)
 
 
+def _mixed_later(spark, sf_dir, terms):
+    return fit_glmm_logit(derived(spark, sf_dir), "reply_strata2", "Later", terms, "trustcode")
+
+
+@query("random_intercept_logit_full")
+def random_intercept_logit_full(spark, sf_dir):
+    """Laplace fit of later (vs first) reply ~ satisfaction + covariates + (1 | trust)."""
+    return _mixed_later(spark, sf_dir, FULL).table(spark)
+
+
+@query("random_intercept_logit_early")
+def random_intercept_logit_early(spark, sf_dir):
+    """Laplace fit of a late reply (> 14 days) ~ satisfaction + (1 | trust)."""
+    return fit_glmm_logit(derived(spark, sf_dir), "early", "Late", [TRI], "trustcode").table(spark)
+
+
+@query("odds_ratio_mixed")
+def odds_ratio_mixed(spark, sf_dir):
+    """exp(fixed effects) of the mixed later-reply logit with delta-method standard errors."""
+    fit = _mixed_later(spark, sf_dir, [TRI])
+    orr, se = odds_ratio_rows(fit)
+    rows = [(n, round(float(o), 6), round(float(s), 6)) for n, o, s in zip(fit.design.names, orr, se)]
+    return spark.createDataFrame(rows, "term string, odds_ratio double, std_error double")
+
+
+@query("fitted_values_mixed")
+def fitted_values_mixed(spark, sf_dir):
+    """Fitted probability of a later reply for every training row: fixed effects plus the trust's conditional mode."""
+    d = derived(spark, sf_dir)
+    fit = fit_glmm_logit(d, "reply_strata2", "Later", [TRI], "trustcode")
+    return fit.fitted(d, "reply_strata2").select("record", F.round("fitted", 6).alias("fitted"))
+
+
 # ------------------------------------------------------------ survival fits
 
 def _aft(spark, sf_dir, terms, time="reply_time", data=None):
@@ -701,10 +739,11 @@ def random_intercept_lmm_full(spark, sf_dir):
     return fit_lmm(derived(spark, sf_dir), "reply_time", FULL + [CHOICE], "trustcode").table(spark)
 
 
-@query("random_intercept_lmm_log")
+@query("random_intercept_lmm_log", sql=Q.with_fit(Q.TIDY_REML.format(pre="m"), Q.lmm_tri(
+    "m", "CASE WHEN reply_time > 0 THEN ln(CAST(reply_time AS DOUBLE)) END")))
 def random_intercept_lmm_log(spark, sf_dir):
     """REML: log reply time ~ satisfaction + (1 | trust)."""
-    return fit_lmm(derived(spark, sf_dir), "reply_time", [TRI], "trustcode", log_y=True).table(spark)
+    return tidy_reml(fit_lmm(derived(spark, sf_dir), "reply_time", [TRI], "trustcode", log_y=True).table(spark))
 
 
 _LOGM = [Q.ONE, *Q.FULL, *Q.CHOICE]
@@ -848,13 +887,45 @@ def odds_ratio_single_factor(spark, sf_dir):
     return out.select("term", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("std_error", 6).alias("std_error"))
 
 
-@query("random_intercept_lmm_by_mailing")
+@query("random_intercept_lmm_by_mailing", sql=Q.with_fit(" UNION ALL ".join(
+    f"({Q.TIDY_REML.format(pre=pre).replace('SELECT term', f'SELECT {k} AS mailing, term')})" for k, pre in _MAILINGS),
+    [c for k, pre in _MAILINGS for c in Q.lmm_tri(pre, f"CAST(reply_time{k} AS DOUBLE)")]))
 def random_intercept_lmm_by_mailing(spark, sf_dir):
     """REML: time since each mailing ~ satisfaction + (1 | trust), replies to that mailing."""
     d = derived(spark, sf_dir)
     fits = run_all([lambda k=k: fit_lmm(d, f"reply_time{k}", [TRI], "trustcode") for k in (1, 2, 3)])
     out = None
     for k, fit in zip((1, 2, 3), fits):
-        t = fit.table(spark).withColumn("mailing", F.lit(k))
+        t = tidy_reml(fit.table(spark)).withColumn("mailing", F.lit(k))
         out = t if out is None else out.unionByName(t)
     return out
+
+
+_STATS_SQL = """
+SELECT 'lm_multi' AS model, 'n' AS statistic, round(n, 5) AS value FROM m_q
+UNION ALL SELECT 'lm_multi', 'df_residual', n - {p} FROM m_q
+UNION ALL SELECT 'lm_multi', 'residual_sd', round(sqrt(s2), 5) FROM m_q
+UNION ALL SELECT 'lm_multi', 'r_squared', round(1 - s2 * (n - {p}) / tss, 5) FROM m_q, tot
+UNION ALL SELECT 'lm_multi', 'f_statistic', round((tss - s2 * (n - {p})) / ({p} - 1) / s2, 4) FROM m_q, tot
+UNION ALL SELECT 'logit', 'n', round(n, 5) FROM ll
+UNION ALL SELECT 'logit', 'log_likelihood', round(v, 4) FROM ll
+UNION ALL SELECT 'logit', 'deviance', round(-2 * v, 4) FROM ll"""
+
+
+@query("fit_statistics", sql=Q.with_fit(_STATS_SQL.format(p=len(_MULTI)), [
+    *_MULTI_FIT, "tot AS (SELECT sum(w * y * y) - sum(w * y) * sum(w * y) / sum(w) AS tss FROM m_s)",
+    *Q.logit("l", _LOGIT, "early", "Late"),
+    "ll AS (SELECT sum(s.w) AS n, sum(s.w * (s.y * e.eta - ln(1 + exp(e.eta)))) AS v FROM l_s s JOIN (SELECT x.rid, "
+    "sum(x.x * b.b) AS eta FROM l_x x JOIN l_b b USING (i) GROUP BY x.rid) e USING (rid))"]))
+def fit_statistics(spark, sf_dir):
+    """Rows, residual spread, R squared and F of the full OLS; rows, log-likelihood and deviance of the logit."""
+    d = derived(spark, sf_dir).withColumn("overall_score", R.satisfaction_score("overall_sat"))
+    lm = fit_lm(d, "reply_time", [Factor("overall_score", (0, 25, 50, 75, 100)), EMERG, CHOICE, AGE, LOGLOS, GENDER])
+    lg = fit_logit(d, "early", "Late", FULL + [CHOICE])
+    p = len(lm.beta)
+    f = lm.r2 / (1.0 - lm.r2) * lm.df_resid / (p - 1)
+    rows = [("lm_multi", "n", lm.n), ("lm_multi", "df_residual", lm.df_resid), ("lm_multi", "residual_sd", round(lm.sigma, 5)),
+            ("lm_multi", "r_squared", round(lm.r2, 5)), ("lm_multi", "f_statistic", round(f, 4)), ("logit", "n", lg.n),
+            ("logit", "log_likelihood", round(lg.loglik, 4)), ("logit", "deviance", round(lg.deviance, 4))]
+    rows = [(m, s, float(v)) for m, s, v in rows]
+    return spark.createDataFrame(rows, "model string, statistic string, value double")

@@ -281,3 +281,22 @@ def test_ordinal_drops_unobserved_level(spark, derived001):
     b = fit_ordinal(derived001, "overall_tri", TRI_ORD, [Numeric("reply_time")])
     assert a.levels == TRI_ORD
     assert np.allclose(a.beta, b.beta, atol=1e-9) and np.allclose(a.zeta, b.zeta, atol=1e-9)
+
+
+def test_mixed_logit_modes_solve_their_equations(spark):
+    """Each trust's mode b solves sum(y - p) = b / sigma^2 on its rows; fitted values use it."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(12):
+        b = rng.normal() * 1.2
+        for _ in range(60):
+            x = float(rng.normal())
+            rows.append((f"T{c}", x, "yes" if rng.random() < 1 / (1 + np.exp(-(0.3 + 0.8 * x + b))) else "no"))
+    df = spark.createDataFrame(rows, "trust string, x double, y string")
+    fit = fit_glmm_logit(df, "y", "yes", [Numeric("x")], "trust")
+    assert fit.sigma_a > 0.4
+    modes = {r["trust"]: r["b"] for r in fit.modes.collect()}
+    fitted = fit.fitted(df, "y").collect()
+    for c, b in modes.items():
+        gap = sum((r["y"] == "yes") - r["fitted"] for r in fitted if r["trust"] == c)
+        assert abs(gap - b / fit.sigma_a ** 2) < 1e-5
