@@ -61,6 +61,15 @@ def censor_scalars(df: DataFrame, rating_col: str = "q74", rating_levels=L.RATIN
     return stats.scalar()
 
 
+def censor_facts(raw: DataFrame, rating_col: str = "q74", rating_levels=L.RATING_LEVELS) -> tuple:
+    """The two global facts of a wave, read once: (last received date, used rating levels).
+
+    Given to ``derive_wave``, every later query over the wave scans it once.
+    """
+    row = raw.agg(F.max(spss_to_date("daterec")).alias("d"), used_levels_expr(rating_col, rating_levels).alias("lv")).first()
+    return row["d"], tuple(row["lv"] or ())
+
+
 def group_scalars(df: DataFrame, keys, rating_col: str = "q74", rating_levels=L.RATING_LEVELS) -> DataFrame:
     """Per group (e.g. per wave or per trust): last received date and used rating levels.
 
@@ -73,7 +82,7 @@ def group_scalars(df: DataFrame, keys, rating_col: str = "q74", rating_levels=L.
 
 
 def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by=None, floor_los: bool = True,
-                censor_by_trust: bool = False) -> DataFrame:
+                censor_by_trust: bool = False, facts: tuple | None = None) -> DataFrame:
     """Analysis table of one wave (2009 rules).
 
     Columns added: ``date_rec, mail1..3, overall_sat, max_date, new_outcome,
@@ -89,13 +98,18 @@ def derive_wave(raw: DataFrame, rating_col: str = "q74", censor_by=None, floor_l
     * ``censor_by``: group keys whose own last received date censors their
       non-returns (``("wave",)`` for several waves in one table,
       ``("trustcode",)`` for the per-trust variant); the rating levels are
-      then also taken per group.  Default: the whole table (scalar subquery).
+      then also taken per group.  Default: the whole table (scalar subquery,
+      or ``facts`` from ``censor_facts``, which saves the second scan).
     """
     d = with_dates(raw)
     if censor_by_trust and not censor_by:
         censor_by = ("trustcode",)
     if censor_by:
         d = d.join(group_scalars(d, list(censor_by), rating_col), list(censor_by), "left")
+    elif facts is not None:
+        last, used = facts
+        d = d.withColumns({"max_date": F.lit(last).cast("date"),
+                           "rating_levels": F.array(*[F.lit(v) for v in used]).cast("array<string>")})
     else:
         s = censor_scalars(d, rating_col)
         d = d.withColumns({"max_date": s.getField("max_date"),

@@ -175,3 +175,15 @@ def test_waves_are_censored_by_their_own_last_date(spark):
     own = derive_wave(u, censor_by=("wave",)).where("wave = 2006 and event = 0").agg(F.max("reply_time")).first()[0]
     joint = derive_wave(u).where("wave = 2006 and event = 0").agg(F.max("reply_time")).first()[0]
     assert own < 200 and joint > 1000
+
+
+def test_facts_read_once_give_the_same_table_with_one_scan(spark):
+    from replytime.operators.derive import censor_facts, derive_wave
+    from replytime.sources.fixture import inpatient
+    r = inpatient(spark, SF0001)
+    a, b = derive_wave(r), derive_wave(r, facts=censor_facts(r))
+    assert a.schema.simpleString() == b.schema.simpleString() and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    b.write.format("noop").mode("overwrite").save()
+    assert b._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    none = r.where("daterec is null and q74 is null")
+    assert censor_facts(none) == (None, ()) and derive_wave(none, facts=censor_facts(none)).count() == none.count()
