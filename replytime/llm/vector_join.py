@@ -16,8 +16,11 @@ of at most r = sqrt(2 - 2c).  Steps:
     with many points is split by a hash: home points in parts, replicas and
     home points in slices, and every part meets every slice, so no task holds
     more than PART + SLICE points of a cell however many there are.
-5.  A point's links count the rows of all points it links to (its own other
-    rows included); components are taken over points.
+5.  A cell returns a row for each of its points that has a link there: the number
+    of linked rows, and the smallest point that it reaches in the cell.  Pairs
+    are never listed, so a family of near copies costs rows in proportion to
+    its size.  The numbers add up to the links of a point (its own other rows
+    included), the reached points are the links of which components are taken.
 
 Edge cases: rows whose label or vector is null, or whose vector is empty, zero
 or holds a null or non-finite component link with nothing; vectors of different
@@ -80,7 +83,7 @@ def pivots_of(pts: DataFrame) -> dict:
     return made
 
 
-HOMES = "point long, g string, cell int, d double, v array<double>"
+HOMES = "point long, g string, cell int, d double, v array<double>, copies long"
 
 
 def homes(pts: DataFrame, pivots: dict) -> DataFrame:
@@ -90,19 +93,18 @@ def homes(pts: DataFrame, pivots: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, groups, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out = []
-            for i, g, v in zip(ids, groups, vs):
+            for i, g, v, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 u = _unit(np.array(v, float))
                 p = shipped.value.get(g)
                 d = np.sqrt(((p - u) ** 2).sum(axis=1)) if p is not None else np.zeros(1)
                 at = int(d.argmin())
-                out.append((i, g, at, float(d[at]), u.tolist()))
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["point", "g", "cell", "d", "v"])
+                out.append((i, g, at, float(d[at]), u.tolist(), n))
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)],
+                                             names=["point", "g", "cell", "d", "v", "copies"])
 
-    return pts.select("point", group.alias("g"), "v").mapInArrow(run, HOMES)
+    return pts.select("point", group.alias("g"), "v", "copies").mapInArrow(run, HOMES)
 
 
 def cells(home: DataFrame, pivots: dict, cosine: float) -> DataFrame:
@@ -117,11 +119,9 @@ def cells(home: DataFrame, pivots: dict, cosine: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, radius = shipped.value
         for batch in batches:
-            ids, groups, at = (batch.column(k).to_pylist() for k in (0, 1, 2))
-            vs = batch.column(4).to_pylist()
             out = []
-            for i, g, c, v in zip(ids, groups, at, vs):
-                out.append((g, c, True, i, v))
+            for i, g, c, v, n in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5))):
+                out.append((g, c, True, i, v, n))
                 p = known.get(g)
                 if p is None or len(p) < 2:
                     continue
@@ -130,12 +130,12 @@ def cells(home: DataFrame, pivots: dict, cosine: float) -> DataFrame:
                 for q in range(c + 1, len(p)):
                     if q in radius[g] and np.sqrt(d2[q]) <= radius[g][q] + r and (
                             d2[q] - d2[c] <= 2 * between[q] * r + 1e-9):
-                        out.append((g, q, False, i, v))
-            kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.float64())]
+                        out.append((g, q, False, i, v, n))
+            kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)],
-                                             names=["g", "cell", "home", "point", "v"])
+                                             names=["g", "cell", "home", "point", "v", "copies"])
 
-    dealt = home.mapInArrow(run, "g string, cell int, home boolean, point long, v array<double>")
+    dealt = home.mapInArrow(run, "g string, cell int, home boolean, point long, v array<double>, copies long")
     dealt = stored(dealt)
     many = dealt.groupBy("g", "cell").agg(
         F.ceil(F.count(F.when(F.col("home"), 1)) / PART).alias("parts"), F.ceil(F.count("*") / SLICE).alias("slices"))
@@ -144,32 +144,57 @@ def cells(home: DataFrame, pivots: dict, cosine: float) -> DataFrame:
     piece = F.pmod(F.xxhash64("point", F.lit(2)), "slices")
     last = F.lit(0).cast("long")
     left = split.where("home").select("g", "cell", part.alias("part"), F.explode(
-        F.sequence(last, F.col("slices") - 1)).alias("slice"), F.lit(True).alias("left"), "home", "point", "v")
+        F.sequence(last, F.col("slices") - 1)).alias("slice"), F.lit(True).alias("left"), "home", "point", "v", "copies")
     right = split.select("g", "cell", F.explode(F.sequence(last, F.col("parts") - 1)).alias("part"),
-                         piece.alias("slice"), F.lit(False).alias("left"), "home", "point", "v")
+                         piece.alias("slice"), F.lit(False).alias("left"), "home", "point", "v", "copies")
     return left.unionByName(right)
 
 
+def _least_reached(linked: np.ndarray, kx: np.ndarray, ky: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest key that each row and each column reaches through the links of a block."""
+    lx, ly = kx.copy(), ky.copy()
+    i, j = np.nonzero(linked)
+    while len(i):
+        before = lx.copy(), ly.copy()
+        np.minimum.at(lx, i, ly[j])
+        np.minimum.at(ly, j, lx[i])
+        if (before[0] == lx).all() and (before[1] == ly).all():
+            break
+    return lx, ly
+
+
+def block_links(x: pd.DataFrame, y: pd.DataFrame, cosine: float) -> pd.DataFrame:
+    """a (point), b (smallest point it reaches here), n (rows it links to here) of a part against a slice.
+
+    Home points stand on both sides, so a pair of them adds to the left one
+    here and to the other where it stands left; a replica stands right only,
+    so its pairs add to both.
+    """
+    kx, ky = x["point"].to_numpy(), y["point"].to_numpy()
+    mx, my = np.stack(x["v"].to_list()), np.stack(y["v"].to_list())
+    dots = mx @ my.T
+    linked = (dots >= cosine - 1e-15) & (kx[:, None] != ky[None, :])
+    # sums in another order may round across the limit: pairs next to it are summed again, one by one
+    i, j = np.nonzero(np.abs(dots - cosine) < 1e-12)
+    linked[i, j] = (np.einsum("ij,ij->i", mx[i], my[j]) >= cosine - 1e-15) & (kx[i] != ky[j])
+    cx, cy = x["copies"].to_numpy(), y["copies"].to_numpy()
+    replica = ~y["home"].to_numpy()
+    nx, ny = linked @ cy, np.where(replica, cx @ linked, 0)
+    lx, ly = _least_reached(linked, kx, ky)
+    sx, sy = linked.any(axis=1), linked.any(axis=0)
+    return pd.DataFrame({"a": np.r_[kx[sx], ky[sy]], "b": np.r_[lx[sx], ly[sy]], "n": np.r_[nx[sx], ny[sy]]})
+
+
 def cell_links(dealt: DataFrame, cosine: float) -> DataFrame:
-    """a, b (points) with cosine at or above the limit, each pair once."""
+    """a, b, n of block_links for every part and slice of every cell."""
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["left"]], pdf[~pdf["left"]]
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(x) and len(y):
-            kx, ky = x["point"].to_numpy(), y["point"].to_numpy()
-            mx, my = np.stack(x["v"].to_list()), np.stack(y["v"].to_list())
-            home = y["home"].to_numpy()
-            i, j = np.nonzero(mx @ my.T >= cosine - 1e-12)
-            if len(i):
-                # products of unit vectors may round differently than the quotient: look again one by one
-                exact = np.einsum("ij,ij->i", mx[i], my[j]) >= cosine - 1e-15
-                once = ~home[j] | (kx[i] < ky[j])
-                i, j = i[exact & once], j[exact & once]
-            a, b = kx[i], ky[j]
-        return pd.DataFrame({"a": a, "b": b})
+            return block_links(x, y, cosine)
+        return pd.DataFrame({k: np.zeros(0, np.int64) for k in "abn"})
 
-    return dealt.groupBy("g", "cell", "part", "slice").applyInPandas(join, "a long, b long")
+    return dealt.groupBy("g", "cell", "part", "slice").applyInPandas(join, "a long, b long, n long")
 
 
 def vector_join(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -180,10 +205,8 @@ def vector_join(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     pivots = pivots_of(pts)
     home = stored(homes(pts, pivots))
     links = stored(cell_links(cells(home, pivots, cosine), cosine))
-    copies = pts.select(F.col("point").alias("b"), "copies")
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(copies, "b").groupBy(F.col("a").alias("point")).agg(F.sum("copies").alias("others"))
-    group = components(links).withColumnRenamed("node", "point")
+    linked = links.groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("others"))
+    group = components(links.select("a", "b")).withColumnRenamed("node", "point")
     named = pts.select("point", "label", "v", "copies", "rep").join(linked, "point", "left").join(
         group, "point", "left").withColumn("component", F.coalesce("component", "point"))
     ids = named.groupBy("component").agg(F.min("rep").alias("component_id"))
