@@ -17,6 +17,7 @@ NOT_RETURNED_LABELS = ("Not returned, reason unknown", "Returned blank, opted ou
 EMERGENCY_LABEL = "Emergency or urgent"
 CHOICE_Q10_YES = "Yes"
 CHOICE_Q6_NO = "No, but I would have liked a choice"
+CHOICE_Q6_LEVELS = ("Yes", CHOICE_Q6_NO, "No, but I did not mind")
 DIGNITY_ALWAYS = "Yes, always"
 MISSING_DATA_LABEL = "Missing data"
 

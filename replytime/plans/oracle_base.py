@@ -88,7 +88,7 @@ _RAW4 = f""",
 inpatient4 AS (
   SELECT CAST(2006 + record % 4 AS INTEGER) AS wave, trustcode, record, outcome, mailing1 + {_BACK} AS mailing1,
          mailing2 + {_BACK} AS mailing2, mailing3 + {_BACK} AS mailing3, daterec + {_BACK} AS daterec, los, age_group,
-         all_gender, q1, q10, q22, q32, q36, q49, q72, q74
+         all_gender, q1, q6, q10, q22, q32, q36, q49, q72, q74
   FROM inpatient
 )"""
 

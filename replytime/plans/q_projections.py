@@ -10,8 +10,8 @@ from ..functions import recode as R
 from ..operators import filters as FL
 from ..operators.derive import (drop_missing_level, ordinal_code, reply_time_coalesced,
                                 with_ordered_outcomes)
-from .common import derived, raw
-from .oracle_base import with_derived
+from .common import derived, four_waves, raw
+from .oracle_base import with_derived, with_waves
 from .registry import query, rounded
 
 
@@ -106,6 +106,17 @@ _proj("recode_covariates", lambda: ["emergency", "choice", R.dignity("q72").alia
       "ELSE 'Sometimes or no' END AS dignity",
       "Emergency admission, choice of date, treated with dignity.")
 
+
+@query("recode_covariates_2006", sql=with_waves(
+    "SELECT record, CASE WHEN q6 IS NULL THEN NULL WHEN q6 = 'No, but I would have liked a choice' THEN 'No' ELSE 'Other' END AS choice, "
+    "CASE WHEN q72 IS NULL THEN NULL WHEN q72 = 'Yes, always' THEN 'Always' ELSE 'Sometimes or no' END AS dignity "
+    "FROM inpatient4 WHERE wave = 2006"))
+def recode_covariates_2006(spark, sf_dir):
+    """The 2006 wave under its own names: choice of hospital from q6, treated with dignity from q64."""
+    wave = four_waves(spark, sf_dir)[2006]
+    return wave.select("record", R.choice_q6("q6").alias("choice"), R.dignity("q64").alias("dignity"))
+
+
 _proj("los_transform",
       lambda: ["los", C.floor_los("los").alias("los_floor"), "log_los",
                C.los_transform("los", floor_at_one=False).alias("log_los_raw")],

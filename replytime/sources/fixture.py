@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..levels import CALL_BUTTON_LEVELS, CLEAN_LEVELS, CONFIDENCE_LEVELS, RATING_LEVELS
+from ..levels import CALL_BUTTON_LEVELS, CHOICE_Q6_LEVELS, CLEAN_LEVELS, CONFIDENCE_LEVELS, RATING_LEVELS
 
 SPSS_DAY0 = 141428  # days from the SPSS origin to 1970-01-01
 
@@ -92,6 +92,7 @@ def inpatient_from_tables(orders: DataFrame, customer: DataFrame) -> DataFrame:
          .alias("all_gender"),
         F.when(h2 % 10 < 6, "Emergency or urgent").when(h2 % 10 < 9, "Waiting list or planned")
          .alias("q1"),
+        _pick((h1 + 2 * h2) % 4, CHOICE_Q6_LEVELS).alias("q6"),
         F.when(h3 % 4 == 0, "Yes").when(h3 % 4 == 3, F.lit(None)).otherwise("No").alias("q10"),
         _pick(h3 % 5, CLEAN_LEVELS).alias("q22"),
         _pick(h2 % 4, CONFIDENCE_LEVELS).alias("q32"),
@@ -188,6 +189,7 @@ inpatient AS (
     CASE WHEN h2 % 97 = 0 THEN 'Missing data' WHEN h1 % 2 = 0 THEN 'Male' ELSE 'Female' END AS all_gender,
     CASE WHEN h2 % 10 < 6 THEN 'Emergency or urgent' WHEN h2 % 10 < 9 THEN 'Waiting list or planned'
          ELSE NULL END AS q1,
+    {_sql_pick('(h1 + 2 * h2) % 4', CHOICE_Q6_LEVELS)} AS q6,
     CASE WHEN h3 % 4 = 0 THEN 'Yes' WHEN h3 % 4 = 3 THEN NULL ELSE 'No' END AS q10,
     {_sql_pick('h3 % 5', CLEAN_LEVELS)} AS q22,
     {_sql_pick('h2 % 4', CONFIDENCE_LEVELS)} AS q32,

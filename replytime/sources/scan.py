@@ -26,6 +26,7 @@ SURVEY_SCHEMA = T.StructType([
     T.StructField("age_group", _S, True),
     T.StructField("all_gender", _S, True),
     T.StructField("q1", _S, True),
+    T.StructField("q6", _S, True),
     T.StructField("q10", _S, True),
     T.StructField("q22", _S, True),
     T.StructField("q32", _S, True),
