@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import sample_by_hash, stored
@@ -47,7 +47,7 @@ PART = 1024
 SLICE = 4096
 
 
-def usable(embedding: str = "embedding") -> F.Column:
+def usable(embedding: str = "embedding") -> Column:
     """Whether a vector has only finite components and is not zero."""
     e = F.col(embedding)
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -218,4 +218,4 @@ def vector_join(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     found = keyed.join(facts, (keyed["label"] == facts["label_p"]) & (keyed["w"] == facts["v_p"]), "left")
     component = F.coalesce("component_id", "vec_id")
     return found.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-                        component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+                        component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
