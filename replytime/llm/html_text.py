@@ -45,7 +45,8 @@ FURNITURE_WORDS = frozenset(
     "menu menubar breadcrumb breadcrumbs footer header masthead sidebar side aside widget cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login signin search share "
     "sharing social related recommended recommendations comment comments commentlist reply replies respond disqus "
-    "discussion toolbar pagination pager tags copyright legal disclaimer complementary contentinfo skip".split())
+    "responses feedback guestbook discussion toolbar pagination pager tags copyright legal disclaimer complementary "
+    "contentinfo skip warning announcement message toast paywall promoted commercial cta adslot adunit sidenav rail".split())
 ARTICLE_WORDS = frozenset("article articlebody content main post entry story maincontent".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>""")
@@ -129,13 +130,16 @@ class _Reader:
                 elif name == "hidden" or name == "aria-hidden" and value == "true" or (
                         name == "style" and re.search(r"display\s*:\s*none", value)):
                     hide = True
-        furniture = tag in FURNITURE_TAGS or bool(words & FURNITURE_WORDS)
+        marks = words & FURNITURE_WORDS
+        if marks == {"header"} and words & ARTICLE_WORDS:
+            marks = set()  # the head of the article, not of the site
+        furniture = tag in FURNITURE_TAGS or bool(marks)
         article = tag in ARTICLE_TAGS or bool(words & ARTICLE_WORDS)
         if tag in ("html", "body", *HEADINGS):
             return self.zone, hide
-        if tag in ARTICLE_TAGS and not words & FURNITURE_WORDS:
+        if tag in ARTICLE_TAGS and not marks:
             furniture = False
-        if tag == "header" and self.zone == 1 and not words & FURNITURE_WORDS:
+        if tag == "header" and self.zone == 1 and not marks:
             return 1, hide  # the article's own head: its title
         if self.zone == -1:
             # furniture stays furniture, but a form or a head around the article does not swallow it

@@ -58,6 +58,13 @@ def test_links_in_a_paragraph_stay():
     assert "See this page for more." in text(page) and "One link" in text(page)
 
 
+def test_head_of_the_article_stays():
+    for head in ('<header><h1>Title of it</h1></header>', '<div class="article-header"><h1>Title of it</h1></div>',
+                 '<header class="entry-header"><h1>Title of it</h1></header>'):
+        assert text(f"<body><header><p>The site</p></header><article>{head}<p>{BODY}</p></article></body>") == (
+            f"Title of it\n\n{BODY}")
+
+
 def test_page_without_marked_article():
     page = ('<body><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li><li><a href="/c">Contact</a></li></ul>'
             f"<h1>The title</h1><p>{BODY}</p><p>{BODY} {BODY}</p></body>")
