@@ -153,7 +153,7 @@ def test_glmm_laplace_brute_force(spark):
     coll = df.groupBy("cl", F.lit(1.0).alias("x0"), F.col("x").alias("x1")).agg(
         F.sum("yy").alias("s"), F.count(F.lit(1)).cast("double").alias("m"))
     sigma = 0.7
-    lap, beta, _, _ = _fit_grid(coll, "cl", 2, [sigma], np.zeros(2), iters=60, tol=1e-10)[0]
+    lap, beta, *_ = _fit_grid(coll, "cl", 2, [sigma], np.zeros(2), iters=60, tol=1e-10)[0]
     X = np.array([[1.0, r[1]] for r in rows])
     y = np.array([r[2] for r in rows])
     g = np.array([r[0] for r in rows])

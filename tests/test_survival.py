@@ -98,20 +98,21 @@ def test_curve_alignment_pivot_equals_full_joins(spark, derived001):
 
 
 def test_derived_table_shuffles_no_rows(spark):
-    """The derived wave is one projection over the scan: exchanges appear only in
-    the censoring subquery (a one-row aggregate), never in the main plan."""
+    """The derived wave is one projection over one scan; its two global facts are literals
+    (or, without them, a censoring subquery: a one-row aggregate)."""
     import contextlib
     import io
-    from replytime.plans.common import derived
+    from replytime.operators.derive import derive_wave
+    from replytime.plans.common import derived, raw
     from .conftest import SF0001
-    df = derived(spark, SF0001)
-    df.write.format("noop").mode("overwrite").save()
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain("formatted")
-    main, _, subqueries = buf.getvalue().partition("===== Subqueries =====")
-    assert "Exchange" not in main
-    assert "Exchange" in subqueries
+    for df, alone in ((derived(spark, SF0001), True), (derive_wave(raw(spark, SF0001)), False)):
+        df.write.format("noop").mode("overwrite").save()
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            df.explain("formatted")
+        main, _, subqueries = buf.getvalue().partition("===== Subqueries =====")
+        assert "Exchange" not in main
+        assert ("Exchange" in subqueries) != alone
 
 
 def test_km_conf_types_and_events_only(spark):
