@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, stored
 
 BLOCKS = 4096
+#: Parts into which the rows of a shard may be split between tasks.
+SPLITS = 1024
 SEED = 8
 
 
@@ -170,5 +172,6 @@ def draw(mixed: DataFrame, seed: int = SEED) -> DataFrame:
     number = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     rows = mixed.where(number > 0).select(*[c for c in mixed.columns if c != "shards"],
                                           F.posexplode(F.slice("shards", 1, number)).alias("copy__", "shard"))
+    # a shard is written by as many tasks as the session's partitions allow: equal ranges of the shuffling hash
     mixed_up = F.xxhash64("doc_id", "copy__", F.lit(seed + 1))
-    return rows.repartition("shard").sortWithinPartitions("shard", mixed_up).drop("copy__")
+    return rows.repartition("shard", F.pmod(mixed_up, F.lit(SPLITS))).sortWithinPartitions("shard", mixed_up).drop("copy__")
