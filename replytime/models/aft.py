@@ -132,9 +132,12 @@ def aft_frame(df: DataFrame, design: Design, time: str, event: str, keep=()) ->
 
 def fit_loglogistic(df: DataFrame, time: str, event: str, terms, cluster: str | None = None,
                     intercept: bool = True, design: Design | None = None, tol: float = 1e-9,
-                    max_iter: int = 100) -> AFTFit:
-    """Log-logistic AFT by maximum likelihood; robust covariance when ``cluster`` is given."""
-    return fit_aft(df, time, event, terms, cluster, intercept, design, tol, max_iter, "loglogistic")
+                    max_iter: int = 100, count: str | None = None) -> AFTFit:
+    """Log-logistic AFT by maximum likelihood; robust covariance when ``cluster`` is given.
+
+    ``count`` names a column with the number of rows that a row stands for (a table collapsed before).
+    """
+    return fit_aft(df, time, event, terms, cluster, intercept, design, tol, max_iter, "loglogistic", count)
 
 
 def fit_weibull(df: DataFrame, time: str, event: str, terms, cluster: str | None = None,
@@ -145,19 +148,20 @@ def fit_weibull(df: DataFrame, time: str, event: str, terms, cluster: str | None
 
 
 def fit_aft(df: DataFrame, time: str, event: str, terms, cluster: str | None, intercept: bool,
-            design: Design | None, tol: float, max_iter: int, dist: str) -> AFTFit:
+            design: Design | None, tol: float, max_iter: int, dist: str, count: str | None = None) -> AFTFit:
     """AFT model of the named distribution."""
     design = design or build_design(df, terms, intercept)
     p = design.p
-    frame = aft_frame(df, design, time, event, keep=[cluster] if cluster else [])
+    frame = aft_frame(df, design, time, event, keep=[c for c in (cluster, count) if c])
     keys = [f"x{i}" for i in range(p)] + ["logt", "event"]
+    rows = {"w": F.sum(count) if count else F.count(F.lit(1)).cast("double")}
     if cluster:
         # one pass over the rows: collapse with the cluster key; the Newton
         # table is that (small, checkpointed) table regrouped without it
-        coll_c = collapse(frame, [cluster] + keys, {"w": F.count(F.lit(1)).cast("double")})
+        coll_c = collapse(frame, [cluster] + keys, rows)
         coll = coll_c.groupBy(*keys).agg(F.sum("w").alias("w")).checkpoint(eager=True)
     else:
-        coll = collapse(frame, keys, {"w": F.count(F.lit(1)).cast("double")})
+        coll = collapse(frame, keys, rows)
     w = F.col("w")
     # start: intercept at the mean log time of events, log scale 0
     m = agg_vector(coll, [F.sum(F.when(F.col("event") == 1, w * F.col("logt"))),

@@ -132,15 +132,19 @@ def _pieces(coll: DataFrame, beta, zeta, p: int, k_levels: int, want_hess: bool
 
 
 def fit_ordinal(df: DataFrame, y: str, levels, terms, design: Design | None = None, tol: float = 1e-9,
-             max_iter: int = 100) -> OrdinalFit:
-    """Proportional-odds logistic regression of the ordered response ``y``."""
+             max_iter: int = 100, count: str | None = None) -> OrdinalFit:
+    """Proportional-odds logistic regression of the ordered response ``y``.
+
+    ``count`` names a column with the number of rows that a row stands for (a table collapsed before).
+    """
     design = design or build_design(df, terms, intercept=False)
     p = design.p
     rows = complete_rows(df, design, extra=[y]).where(F.col(y).isin(*levels))
     kk = len(levels)
     k = F.array_position(F.array(*[F.lit(x) for x in levels]), F.col(y)).cast("int")
-    xf = rows.select(*[e.alias(f"x{i}") for i, e in enumerate(design.exprs)], k.alias("k"))
-    coll = collapse(xf, [f"x{i}" for i in range(p)] + ["k"], {"w": F.count(F.lit(1)).cast("double")})
+    xf = rows.select(*[e.alias(f"x{i}") for i, e in enumerate(design.exprs)], k.alias("k"), *([count] if count else []))
+    coll = collapse(xf, [f"x{i}" for i in range(p)] + ["k"],
+                    {"w": F.sum(count) if count else F.count(F.lit(1)).cast("double")})
     cnt = agg_vector(coll, [F.sum(F.when(F.col("k") == m, F.col("w")).otherwise(0.0)) for m in range(1, kk + 1)])
     if np.any(cnt == 0):
         # levels with no observation are dropped before numbering (as an unused

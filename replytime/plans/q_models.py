@@ -21,6 +21,7 @@ from ..models.glmm import fit_glmm_logit
 from ..models.lm import fit_lm
 from ..models.lmm import fit_lmm
 from ..models.ordinal import fit_ordinal
+from ..models.suffstats import collapse
 from ..operators.derive import derive_wave, with_ordered_outcomes
 from ..operators.filters import exclude_trusts
 from ..operators.joins import attach_response_rate, response_rate_by_trust
@@ -55,6 +56,14 @@ def tidy_reml(table):
                         F.round("statistic", 3).alias("statistic"), F.round("p_value", 5).alias("p_value"))
 
 
+_COVAR_COLS = ("overall_tri", "emergency", "age_group", "log_los", "gender")
+
+
+def joint(d, *cols):
+    """The wave collapsed to the distinct values of the columns that several fits read: one scan feeds them all."""
+    return collapse(d, list(dict.fromkeys(cols)), {"n_rows": F.count(F.lit(1)).cast("double")})
+
+
 def _tri_profiles(spark, extra=None):
     rows = []
     for lvl in L.SATISFACTION_TRI_LABELS:
@@ -336,8 +345,10 @@ def fitted_values_mixed(spark, sf_dir):
 # ------------------------------------------------------------ survival fits
 
 def _aft(spark, sf_dir, terms, time="reply_time", data=None):
-    d = data if data is not None else derived(spark, sf_dir)
-    return A.fit_loglogistic(d, time, "event", terms, cluster="trustcode")
+    """AFT of the wave, or of a table that joint() made of it."""
+    if data is not None:
+        return A.fit_loglogistic(data, time, "event", terms, cluster="trustcode", count="n_rows")
+    return A.fit_loglogistic(derived(spark, sf_dir), time, "event", terms, cluster="trustcode")
 
 
 _AFT1, _AFTF = [Q.ONE, *Q.TRI], [Q.ONE, *Q.FULL]
@@ -385,7 +396,7 @@ def aft_weibull(spark, sf_dir):
      Q.names("a", Q.terms_of(_AFTF, "Log(scale)"))]))
 def refit_without_trusts(spark, sf_dir):
     """Full AFT with all trusts vs without two trusts: estimates side by side."""
-    d = derived(spark, sf_dir)
+    d = joint(derived(spark, sf_dir), "trustcode", "reply_time", "event", *_COVAR_COLS)
     full, sub = run_all([lambda: _aft(spark, sf_dir, FULL, data=d),
                          lambda: _aft(spark, sf_dir, FULL, data=exclude_trusts(d, spark, ["T3", "T17"]))])
     rows = [(n, round(float(a), 6), round(float(b), 6), round(float(b - a), 6))
@@ -566,8 +577,8 @@ _PROFILE_CTE = ("profile AS MATERIALIZED (SELECT reply_strata, 'yes' AS emergenc
 @query("predict_ordinal_scales", sql=Q.with_fit(_scale_probs(), [*_scale_fits(), _PROFILE_CTE], _SCALE_SRC))
 def predict_ordinal_scales(spark, sf_dir):
     """Class probabilities of all five ordered answers by mailing stratum at the study's profile."""
-    d = with_ordered_outcomes(derived(spark, sf_dir))
-    fits = run_all([lambda r=r, lv=lv: fit_ordinal(d, r, lv, [STRATA] + COVARS) for r, lv in _SCALES.items()])
+    d = joint(with_ordered_outcomes(derived(spark, sf_dir)), "reply_strata", *_COVAR_COLS, *_SCALES)
+    fits = run_all([lambda r=r, lv=lv: fit_ordinal(d, r, lv, [STRATA] + COVARS, count="n_rows") for r, lv in _SCALES.items()])
     prof = profile_frame(spark, [dict(reply_strata=s, **PROFILE) for s in L.STRATA_LEVELS])
     out = None
     for resp, fit in zip(_SCALES, fits):
@@ -586,8 +597,8 @@ def predict_ordinal_scales(spark, sf_dir):
         f"z{k}", Q.terms_of(_STRATA_ORD, *_cuts(lv)))]], _SCALE_SRC))
 def ordinal_logit_scales(spark, sf_dir):
     """Proportional odds of five ordered answers on the mailing stratum + covariates."""
-    d = with_ordered_outcomes(derived(spark, sf_dir))
-    fits = run_all([lambda r=r, lv=lv: fit_ordinal(d, r, lv, [STRATA] + COVARS) for r, lv in _SCALES.items()])
+    d = joint(with_ordered_outcomes(derived(spark, sf_dir)), "reply_strata", *_COVAR_COLS, *_SCALES)
+    fits = run_all([lambda r=r, lv=lv: fit_ordinal(d, r, lv, [STRATA] + COVARS, count="n_rows") for r, lv in _SCALES.items()])
     out = None
     for resp, fit in zip(_SCALES, fits):
         t = tidy(fit.table(spark)).withColumn("response", F.lit(resp))
@@ -724,7 +735,7 @@ _MAILINGS = [(k, f"y{k}") for k in (1, 2, 3)]
         pre, Q.terms_of(_AFT1, "Log(scale)"), var="w")]]))
 def aft_loglogistic_by_mailing(spark, sf_dir):
     """Log-logistic AFT of the time since each mailing (replies to that mailing only)."""
-    d = derived(spark, sf_dir)
+    d = joint(derived(spark, sf_dir), "trustcode", "overall_tri", "event", "reply_time1", "reply_time2", "reply_time3")
     fits = run_all([lambda k=k: _aft(spark, sf_dir, [TRI], time=f"reply_time{k}", data=d) for k in (1, 2, 3)])
     out = None
     for k, fit in zip((1, 2, 3), fits):
@@ -831,8 +842,8 @@ def _aft_predictions(design: list, rows: str) -> str:
 @query("predict_aft_full_by_mailing", sql=_aft_predictions(_AFTF, _PROFILES))
 def predict_aft_full_by_mailing(spark, sf_dir):
     """Predicted reply time at the study's profiles from the full AFT: all replies and each mailing."""
-    d = derived(spark, sf_dir)
-    fits = run_all([lambda t=t: A.fit_loglogistic(d, t, "event", FULL) for t in _TIMES.values()])
+    d = joint(derived(spark, sf_dir), "event", *_TIMES.values(), *_COVAR_COLS)
+    fits = run_all([lambda t=t: A.fit_loglogistic(d, t, "event", FULL, count="n_rows") for t in _TIMES.values()])
     prof = _tri_profiles(spark, PROFILE)
     out = None
     for name, fit in zip(_TIMES, fits):
@@ -844,7 +855,7 @@ def predict_aft_full_by_mailing(spark, sf_dir):
 @query("predict_aft_by_mailing", sql=_aft_predictions(_AFT1, _TRI_ROWS))
 def predict_aft_by_mailing(spark, sf_dir):
     """Predicted reply time by satisfaction from the one-factor AFT: all replies and each mailing."""
-    d = derived(spark, sf_dir)
+    d = joint(derived(spark, sf_dir), "trustcode", "overall_tri", "event", "reply_time", "reply_time1", "reply_time2", "reply_time3")
     times = {"all": "reply_time", "mail1": "reply_time1", "mail2": "reply_time2", "mail3": "reply_time3"}
     fits = run_all([lambda t=t: _aft(spark, sf_dir, [TRI], time=t, data=d) for t in times.values()])
     prof = _tri_profiles(spark)
