@@ -106,11 +106,36 @@ def _dealt(keys: list[int], held: list[np.ndarray], bins: int) -> list[tuple[int
     return [(int(bin_of[a]), flat[a:b].tobytes(), owner[a:b].tobytes()) for a, b in zip(at.tolist(), ends)]
 
 
-POINTS = "doc_id long, n long, key long, hot long, bin long, hashes binary, keys binary"
+#: Documents whose shingles are dealt in one go: their places fit two bytes.
+GROUP = 1000
+
+
+def _dealt_short(keys: list[int], held: list[np.ndarray], bins: int) -> list[tuple[int, bytes, bytes, bytes]]:
+    """Rows (bin, upper hash halves, places of the keys, keys): 6 bytes a shingle and a list of keys.
+
+    Half a hash within a bin may meet another's, which only lets a document
+    stay that could have left: the next step compares whole hashes.
+    """
+    out = []
+    for a in range(0, len(keys), GROUP):
+        part = held[a:a + GROUP]
+        flat = np.concatenate(part)
+        place = np.repeat(np.arange(len(part), dtype=np.uint16), [len(s) for s in part])
+        table = np.array(keys[a:a + GROUP], np.int64).tobytes()
+        bin_of = (flat % np.uint64(bins)).astype(np.int64)
+        order = np.argsort(bin_of, kind="stable")
+        half, place, bin_of = (flat[order] >> np.uint64(32)).astype(np.uint32), place[order], bin_of[order]
+        at = np.flatnonzero(np.r_[True, bin_of[1:] != bin_of[:-1]]) if len(flat) else np.zeros(0, int)
+        for b, e in zip(at.tolist(), [*at[1:].tolist(), len(flat)]):
+            out.append((int(bin_of[b]), half[b:e].tobytes(), place[b:e].tobytes(), table))
+    return out
+
+
+POINTS = "doc_id long, n long, key long, hot long, bin long, hashes binary, places binary, keys binary"
 
 
 def points(docs: DataFrame, hot: Broadcast, bins: int) -> DataFrame:
-    """A row for each document (doc_id, n, key) and, beside them, rows of dealt shingles (bin, hashes, keys).
+    """A row for each document (doc_id, n, key) and, beside them, rows of dealt shingles (bin, hashes, places, keys).
 
     Dealt are the smallest by hash that step 2 asks for, without hot ones,
     whose number is given with the document.
@@ -130,17 +155,15 @@ def points(docs: DataFrame, hot: Broadcast, bins: int) -> DataFrame:
                     common = np.isin(few, known, assume_unique=True) if len(known) else np.zeros(len(few), bool)
                     seen[key] = int(common.sum())
                     held.append(few[~common])
-                out.append((i, len(s), key, seen.get(key, 0), None, None, None))
-            out += [(None, None, None, None, *r) for r in _dealt(list(seen), held, bins)]
+                out.append((i, len(s), key, seen.get(key, 0), None, None, None, None))
+            out += [(None, None, None, None, *r) for r in _dealt_short(list(seen), held, bins)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, POINTS)
 
 
-def _shared(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and keys of a bin that at least two keys hold, with the number of keys."""
-    h = np.frombuffer(b"".join(pdf["hashes"]), np.uint64)
-    k = np.frombuffer(b"".join(pdf["keys"]), np.int64)
     order = np.lexsort((k, h))
     h, k = h[order], k[order]
     once = np.r_[True, (h[1:] != h[:-1]) | (k[1:] != k[:-1])] if len(h) else np.zeros(0, bool)
@@ -156,11 +179,14 @@ def crowded(made: DataFrame) -> DataFrame:
     """Classes (key, n, rep) with enough shared shingles among the smallest; made by points()."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, k, _ = _shared(pdf)
+        h = np.frombuffer(b"".join(pdf["hashes"]), np.uint32)
+        k = np.concatenate([np.frombuffer(keys, np.int64)[np.frombuffer(places, np.uint16)]
+                            for places, keys in zip(pdf["places"], pdf["keys"])])
+        _, k, _ = _shared(h, k)
         key, n = np.unique(k, return_counts=True)
         return pd.DataFrame({"key": key, "c": n})
 
-    dealt = made.where(F.col("bin").isNotNull()).select("bin", "hashes", "keys")
+    dealt = made.where(F.col("bin").isNotNull()).select("bin", "hashes", "places", "keys")
     counts = dealt.groupBy("bin").applyInPandas(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     classes = made.where(F.col("key").isNotNull()).groupBy("key").agg(
         F.max("n").alias("n"), F.min("doc_id").alias("rep"), F.max("hot").alias("hot"))
@@ -211,7 +237,7 @@ def profiles(docs: DataFrame, few: DataFrame, hot: Broadcast, bins: int) -> Data
     dealt = stored(_texts_of(docs, few).mapInArrow(deal, "key long, n long, bin long, hashes binary, keys binary"))
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, k, df = _shared(pdf)
+        h, k, df = _shared(np.frombuffer(b"".join(pdf["hashes"]), np.uint64), np.frombuffer(b"".join(pdf["keys"]), np.int64))
         order = np.argsort(k, kind="stable")
         h, k, df = h[order], k[order], df[order]
         at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
