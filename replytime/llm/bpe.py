@@ -7,7 +7,8 @@ of the piece the longest token is taken whose pair with the token before it
 is compatible, and when no token fits, the last token is given back and a
 shorter one tried.  A position that cannot be continued is marked, so it is
 visited once.  Two adjacent tokens are compatible when merging their joined
-bytes by rank yields exactly these two tokens; the answer is memoised.  A
+bytes by rank yields exactly these two tokens (checked backwards, by taking
+both apart at their border); the answer is memoised.  A
 token sequence is the merge result if and only if all adjacent pairs are
 compatible, so the ids equal rank-ordered merging in time linear in the piece.
 
@@ -53,8 +54,15 @@ class ByteBpe:
         self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._automaton = ahocorasick.Automaton()
+        # the two parts of which merging builds a token; None for single bytes
+        self._parts: list[tuple[int, int] | None] = [None] * len(self._size)
         # a token that merging does not build is only ever a whole piece
-        built = {t for t, r in ranks.items() if self._merge(t) == [r]}
+        built = set()
+        for token, rank in ranks.items():
+            parts, last = self._merge(token)
+            if parts == [token]:
+                built.add(token)
+                self._parts[rank] = last and (ranks[last[0]], ranks[last[1]])
         for token in built:
             rank = ranks[token]
             self._size[rank] = len(token)
@@ -64,11 +72,14 @@ class ByteBpe:
                     break
             self._automaton.add_word(token.decode("latin-1"), (len(token) - 1, rank))
         self._automaton.make_automaton()
+        # every token is younger than its parts (so in any trained vocabulary): pairs can be checked backwards
+        self._ordered = all(x < r or self._parts[x] is None for r, p in enumerate(self._parts) if p for x in p)
 
-    def _merge(self, piece: bytes) -> list[int]:
-        """Rank-ordered merging of a short byte string (two tokens at most)."""
+    def _merge(self, piece: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+        """Rank-ordered merging of a short byte string, and the pair that was merged when two parts were left."""
         ranks = self.ranks
         parts = [piece[i:i + 1] for i in range(len(piece))]
+        last = None
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -77,8 +88,32 @@ class ByteBpe:
                     best, at = rank, i
             if best is None:
                 break
+            if len(parts) == 2:
+                last = parts[0], parts[1]
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+        return parts, last
+
+    def _meets(self, left: int, right: int) -> bool:
+        """Whether merging the joined bytes of two tokens joins anything across their border.
+
+        The tokens are taken apart at the border, the youngest merge first.
+        Until the merge of rank `limit` took place, the parts at the border
+        lay side by side; they were merged if their own rank is below it (of
+        equal ranks the left merge comes first).
+        """
+        of, ranks, parts = self.bytes_of, self.ranks, self._parts
+        limit = len(self._size)
+        while True:
+            rank = ranks.get(of[left] + of[right])
+            if rank is not None and rank < limit:
+                return True
+            a, b = parts[left], parts[right]
+            if a is None and b is None:
+                return False
+            if b is None or (a is not None and left > right):
+                limit, left = left, a[1]
+            else:
+                limit, right = right + 1, b[0]
 
     def _compatible(self, left: int, right: int) -> bool:
         key = left * len(self._size) + right
@@ -86,7 +121,11 @@ class ByteBpe:
         if known is None:
             if len(self._pairs) >= MEMO_PAIRS:
                 self._pairs.clear()
-            known = self._merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            if self._ordered:
+                known = not self._meets(left, right)
+            else:
+                known = self._merge(self.bytes_of[left] + self.bytes_of[right])[0] == [
+                    self.bytes_of[left], self.bytes_of[right]]
             self._pairs[key] = known
         return known
 

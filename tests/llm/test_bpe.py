@@ -41,6 +41,19 @@ def test_long_pieces_equal_tiktoken(coder, oracle, text):
     assert coder.encode(text) == oracle.encode_ordinary(text)
 
 
+def test_pairs_checked_backwards_equal_merging(coder):
+    import random
+    rnd = random.Random(7)
+    assert coder._ordered
+    tokens = [r for b, r in coder.ranks.items() if coder._size[r]]
+    likely = [(a, b) for a in rnd.sample(tokens, 300) for b in rnd.sample(tokens, 30)]
+    for ids in (coder.encode_piece(b"thblerionandwhentionouerst" * 3), coder.encode_piece("überflüssigkeitschaft".encode() * 4)):
+        likely += list(zip(ids, ids[1:]))
+    for left, right in likely:
+        pair = [coder.bytes_of[left], coder.bytes_of[right]]
+        assert coder._meets(left, right) == (coder._merge(b"".join(pair))[0] != pair)
+
+
 def test_very_long_pieces(coder, oracle):
     for text in ("a" * 20_000, " " * 5_000 + "x", "äöü€😀" * 2_000, "the" * 9_000, "\n" * 3_000):
         assert coder.encode(text) == oracle.encode_ordinary(text)
