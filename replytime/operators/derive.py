@@ -73,9 +73,9 @@ def censor_facts(raw: DataFrame, rating_col: str = "q74", rating_levels=L.RATING
 def group_scalars(df: DataFrame, keys, rating_col: str = "q74", rating_levels=L.RATING_LEVELS) -> DataFrame:
     """Per group (e.g. per wave or per trust): last received date and used rating levels.
 
-    One row per group; joined back by key, broadcast after a size check
-    (a hot group is no problem: the aggregate is combined map-side before the
-    shuffle, and the broadcast join never shuffles the rows).
+    One row per group; joined back by key (a hot group is no problem: the
+    aggregate is combined map-side before the shuffle, and AQE broadcasts the
+    small side or splits a skewed partition).
     """
     return df.groupBy(*keys).agg(F.max("date_rec").alias("max_date"),
                                  used_levels_expr(rating_col, rating_levels).alias("rating_levels"))

@@ -163,14 +163,13 @@ def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
 def level_codes(df: DataFrame, dictionary: DataFrame, variables) -> DataFrame:
     """Dictionary levels with their counts and codes among the levels in use.
 
-    ``dictionary`` is ``(variable, level, ord)`` - a fixed, small table, so it
-    is broadcast.  Counts come from one pass over the rows (long form of the
+    ``dictionary`` is ``(variable, level, ord)``.  Counts come from one pass over the rows (long form of the
     listed columns); code = rank of ``ord`` among levels with a count > 0,
     i.e. unused levels are dropped before numbering.
     """
     counts = _explode_columns(df, variables).where(F.col("value").isNotNull()).groupBy(
         "variable", F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    dic = F.broadcast(dictionary.where(F.col("variable").isin(*variables)).select("variable", "level", "ord"))
+    dic = dictionary.where(F.col("variable").isin(*variables)).select("variable", "level", "ord")
     j = dic.join(counts, ["variable", "level"], "left").fillna(0, subset=["n"])
     used = F.when(F.col("n") > 0, F.col("ord"))
     w = Window.partitionBy("variable").orderBy(used.asc_nulls_last())

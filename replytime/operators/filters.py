@@ -21,11 +21,10 @@ def complete_cases(df: DataFrame, cols) -> DataFrame:
 def exclude_trusts(df: DataFrame, spark: SparkSession, codes, key: str = "trustcode") -> DataFrame:
     """Drop the listed trusts (by code, never by level position).
 
-    The exclusion list is tiny and fixed by the caller, so it is broadcast
-    for the anti join.
+    An anti join; Spark broadcasts the list where its size allows.
     """
     ex = spark.createDataFrame([(c,) for c in codes], T.StructType([T.StructField(key, T.StringType())]))
-    return df.join(F.broadcast(ex), key, "left_anti")
+    return df.join(ex, key, "left_anti")
 
 
 def trust_rows(df: DataFrame, code: str, cols, key: str = "trustcode") -> DataFrame:
