@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, langid, mixing, quality, shingle_join, toxicity, urlgraph, vector_join
+from . import bpe, chat, html_text, langid, mixing, oracles, quality, shingle_join, toxicity, urlgraph, vector_join
 from .common import fold, small_batches, table
 from .registry import query
 
@@ -51,13 +51,13 @@ RULES = [urlgraph.Rule("net", "/", "block"), urlgraph.Rule("example.net", "/en/"
          urlgraph.Rule("example.com", "/de/", "block"), urlgraph.Rule("org", "/fr/", "allow")]
 
 
-@query("op4_url_filter")
+@query("op4_url_filter", sql=oracles.url_filter(RULES))
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's url: its rule's, else by trust over the host graph."""
     return urlgraph.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), RULES)
 
 
-@query("op5_shingle_join")
+@query("op5_shingle_join", sql=oracles.SHINGLE_JOIN)
 def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and link component of every document, by the exact metric join."""
     small_batches(spark)
@@ -80,7 +80,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
-@query("op7_chat_format")
+@query("op7_chat_format", sql=oracles.CHAT_FORMAT)
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations rendered, encoded and masked; turns and masked text read back as digests."""
     small_batches(spark)
@@ -88,7 +88,8 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(*columns)
     extra = spark.createDataFrame(CONTROL, "conv_id long, turn long, role string, text string")
     made = chat.format_conversations(rows.unionByName(extra), vocabulary_path(), public_tokenizers.PATTERN)
-    return chat.read_back(made, vocabulary_path(), public_tokenizers.PATTERN)
+    return chat.read_back(made, vocabulary_path(), public_tokenizers.PATTERN).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 @query("op8_source_mix")
@@ -106,7 +107,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", quality.quality(F.col("text")).alias("q")).select("doc_id", "q.*")
 
 
-@query("op10_vector_join")
+@query("op10_vector_join", sql=oracles.VECTOR_JOIN)
 def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and keeper of every embedding, by the exact metric range join within labels."""
     small_batches(spark)
