@@ -163,13 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     short = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     h = F.xxhash64(F.col("doc_id"), F.lit(29))
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts], dtype=object)
+        return pd.Series([features(t).tobytes() for t in texts], dtype=object)
 
     def sample(rows: DataFrame, most: int) -> list[np.ndarray]:
         few = sample_by_hash(rows, h, most).select(h.alias("h"), hashed("text").alias("f"))
-        return [np.asarray(r["f"], np.int32) for r in few.orderBy("h", "f").limit(most).collect()]
+        return [np.frombuffer(r["f"], np.int32) for r in few.orderBy("h", "f").limit(most).collect()]
 
     return fit(sample(short.join(toxic, "doc_id", "left_semi"), max_positive), sample(short, max_unlabelled), prior)
 
