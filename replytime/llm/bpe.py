@@ -31,8 +31,8 @@ from .common import free_name
 
 #: Entries of the piece memo and of the pair memo at most; a full memo is emptied (results do not change), and both
 #: are emptied at the end of a task, so that a worker does not hold them while it does other work.
-MEMO_PIECES = 400_000
-MEMO_PAIRS = 400_000
+MEMO_PIECES = 150_000
+MEMO_PAIRS = 200_000
 #: Longer pieces are not memoised.
 MEMO_BYTES = 64
 

@@ -38,12 +38,12 @@ from .common import sample_by_hash
 UNKNOWN = "und"
 ORDER = 4
 #: Bytes of the transition and code length tables at most.
-TABLE_BYTES = 32_000_000
+TABLE_BYTES = 16_000_000
 #: Contexts seen less often in all languages together are left out.
 MIN_COUNT = 4
 SLICE = 512
 #: Code lengths held at a time (bytes of text times languages).
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 SCHEMA = "lang_pred string, score double, bits_per_byte double"
 
 

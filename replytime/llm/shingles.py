@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240229)
