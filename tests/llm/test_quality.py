@@ -47,6 +47,35 @@ def test_bands_reject_repetition_and_noise():
     assert not quality.in_band(0, None, None)
 
 
+HINDI = ("गाँव के बाहर एक पुराना कुआँ था जिसके पास हर शाम बच्चे खेलने आते थे। उस दिन बारिश के बाद मिट्टी की "
+         "सुगंध चारों ओर फैली हुई थी और आकाश में बादल धीरे धीरे छँट रहे थे। बूढ़े किसान ने अपनी लाठी दीवार से टिकाई, "
+         "चारपाई पर बैठकर पानी पिया और पोते को पिछली फसल की कहानी सुनाने लगा। उसने बताया कि नदी का पानी कितना ऊपर "
+         "चढ़ गया था, लोगों ने मिलकर बाँध को कैसे बचाया और किस तरह सबने अपना अनाज आपस में बाँट लिया।")
+RUSSIAN = ("За деревней стоял старый колодец, возле которого каждый вечер играли дети. После дождя пахло землёй, а "
+           "облака медленно расходились над полем. Старый крестьянин прислонил палку к стене, сел на скамью, выпил "
+           "воды и начал рассказывать внуку о прошлогоднем урожае: как высоко поднялась река, как люди вместе спасали "
+           "плотину и почему потом разделили зерно поровну между всеми семьями, даже теми, кто жил далеко за мостом.")
+
+
+def test_real_prose_is_kept():
+    from pydoc_data.topics import topics
+    pack = zstandard.ZstdCompressor(level=quality.LEVEL)
+    dense = [t for t in topics.values() if 5000 <= len(t) <= 30000]
+    rows = [r for r in (quality.judge(t, pack) for t in dense) if not r[5]]
+    assert len(rows) >= 10 and min(r[8] for r in rows) < 0.39 and all(r[6] for r in rows)
+    for text in (HINDI, RUSSIAN):
+        row = quality.judge(text, pack)
+        assert not row[5] and row[6], row
+
+
+def test_loops_in_wide_scripts_are_rejected():
+    pack = zstandard.ZstdCompressor(level=quality.LEVEL)
+    for text in (HINDI, RUSSIAN):
+        raw = (text * 20).encode()
+        whole, chunk = quality.ratios(raw, pack)
+        assert not quality.in_band(len(raw), whole, chunk, len(raw) / (20 * len(text)))
+
+
 def test_query_and_edge_rows(spark):
     got = {r["doc_id"]: r for r in op9_quality_rules(spark, SF0001).collect()}
     for r in spark.read.parquet(f"{SF0001}/documents.parquet").collect():
