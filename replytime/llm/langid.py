@@ -10,14 +10,17 @@ text is the exact sum of -log2 p over all its bytes.  The language with the
 shortest code wins.
 
 Because statistics are frozen, all trees together form one deterministic
-automaton: state = longest known context, and a table gives the next state
-and the code lengths of every byte in all languages.  Texts are scored by
+automaton: state = longest known context.  A context stores only the symbols
+seen in it (next state, code lengths in all languages) and the escapes on the
+way to the empty context; a table of one number for each state and symbol
+names the entry of the longest context that has the symbol.  Texts are scored by
 walking that table over many equal slices of the text at once; a slice
 starts ``ORDER`` bytes early, which fixes its state exactly.
 
 Training takes at most ``docs_per_lang`` labelled documents a language, of at
-most ``max_chars`` code points each, chosen by a hash of the id; the tables
-are bounded by ``TABLE_BYTES``.  Every document is scored whole.
+most ``max_chars`` code points each, chosen by a hash of the id; that sample
+alone bounds the model, which keeps every context seen ``MIN_COUNT`` times.
+Every document is scored whole.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; with
 no training rows everything is ``und``.  Ties go to the language that is
@@ -37,8 +40,6 @@ from .common import sample_by_hash
 
 UNKNOWN = "und"
 ORDER = 4
-#: Bytes of the transition and code length tables at most.
-TABLE_BYTES = 16_000_000
 #: Contexts seen less often in all languages together are left out.
 MIN_COUNT = 4
 SLICE = 512
@@ -49,16 +50,23 @@ SCHEMA = "lang_pred string, score double, bits_per_byte double"
 
 @dataclass
 class PpmModel:
-    """Frozen statistics: languages, byte classes, next state and code lengths in bits."""
+    """Frozen statistics: languages, byte classes, entries of the seen symbols and escapes, in bits."""
     langs: list[str]
     classes: np.ndarray     # 256 -> class; the last class resets to the empty context
-    follow: np.ndarray      # state * n_classes + class -> state
-    bits: np.ndarray        # state * n_classes + class -> code length by language
+    slot: np.ndarray        # state * n_classes + class -> entry of the longest context with the symbol
+    follow: np.ndarray      # entry -> state
+    cost: np.ndarray        # entry -> code length by language, less the escapes of the entry's context
+    escape: np.ndarray      # state -> escapes down to the empty context by language
 
     @property
     def n_classes(self) -> int:
         return int(self.classes.max()) + 2
 
+    @property
+    def bits(self) -> np.ndarray:
+        """Code lengths of every state * n_classes + class (the whole table: for tests)."""
+        return self.cost[self.slot] + np.repeat(self.escape, self.n_classes, axis=0)
+
 
 def _normal(text: str) -> bytes:
     return text.lower().encode("utf-8")
@@ -78,7 +86,6 @@ def fit(texts_by_lang: dict[str, list[str]], order: int = ORDER) -> PpmModel:
     width = int(used.sum()) + 1
     reset = width  # one more class: back to the empty context
     columns = width + 1
-    most = max(1, TABLE_BYTES // (columns * 4 * (len(langs) + 1)))
 
     # counts of (context of k classes, symbol) by language; windows never span two texts
     grams: list[list[tuple[np.ndarray, np.ndarray]]] = []
@@ -97,64 +104,47 @@ def fit(texts_by_lang: dict[str, list[str]], order: int = ORDER) -> PpmModel:
                        else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
         grams.append(row)
 
-    # contexts: closed under dropping the first or the last byte, most frequent first
-    state_of: list[dict[int, int]] = [{0: 0}]
-    total = 1
+    # contexts: closed under dropping the first or the last byte; states number them by order and code
+    known: list[np.ndarray] = [np.zeros(1, np.int64)]
     for k in range(1, order + 1):
-        tally: dict[int, int] = {}
-        for codes, counts in grams[k]:
-            ctx, at = np.unique(codes // width, return_inverse=True)
-            for c, n in zip(ctx.tolist(), np.bincount(at, weights=counts, minlength=len(ctx)).tolist()):
-                tally[c] = tally.get(c, 0) + int(n)
-        high = width ** (k - 1)
-        shorter = state_of[k - 1]
-        able = [(-n, c) for c, n in tally.items()
-                if n >= MIN_COUNT and c // width in shorter and c % high in shorter]
-        room = (most - total) // 2 if k < order else most - total
-        here = {c: total + i for i, (_, c) in enumerate(sorted(able)[:max(0, room)])}
-        state_of.append(here)
-        total += len(here)
-
-    # code lengths: each order refines the row of the context that is one byte shorter
-    prob = np.full((len(langs), total, width), 1.0 / 256)
-    for k in range(order + 1):
-        if k:
-            size = width ** (k - 1)
-            for code, s in state_of[k].items():
-                prob[:, s] = prob[:, state_of[k - 1][code % size]]
-        for li in range(len(langs)):
-            codes, counts = grams[k][li]
-            if not len(codes):
-                continue
-            ctx = codes // width
-            starts = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-            ends = np.r_[starts[1:], len(ctx)]
-            for a, b in zip(starts.tolist(), ends.tolist()):
-                s = state_of[k].get(int(ctx[a]))
-                if s is None:
-                    continue
-                symbols, n = codes[a:b] % width, counts[a:b]
-                distinct, seen = len(symbols), int(n.sum())
-                base = prob[li, s].copy()
-                rest = (1.0 - base[symbols].sum()) if k else (256 - distinct) / 256
-                p = base * (distinct / (seen + distinct) / rest) if rest > 1e-9 else base * 0.0
-                p[symbols] = n / (seen + distinct)
-                prob[li, s] = np.maximum(p, 1e-12)
-
-    # next states: as from the context one byte shorter, but a longer known context where there is one
-    follow = np.zeros((total, columns), np.int32)
+        ctx, at = np.unique(np.concatenate([codes // width for codes, _ in grams[k]] or [known[0][:0]]),
+                            return_inverse=True)
+        tally = np.bincount(at, weights=np.concatenate([n for _, n in grams[k]] or [known[0][:0]]), minlength=len(ctx))
+        known.append(ctx[(tally >= MIN_COUNT) & np.isin(ctx // width, known[k - 1])
+                         & np.isin(ctx % width ** (k - 1), known[k - 1])])
+    first = np.cumsum([0, *map(len, known)])
+
+    # each order refines the row of the context that is one byte shorter; entry 0 is the reset
+    slot = np.zeros((first[-1], columns), np.int32)
+    slot[0, :width] = np.arange(1, columns)
+    escape = np.zeros((first[-1], len(langs)))
+    cost = np.full((columns, len(langs)), 8.0)
+    cost[0] = 0.0
+    follow = np.zeros(columns, np.int32)
     for k in range(order + 1):
         if k:
-            size = width ** (k - 1)
-            for code, s in state_of[k].items():
-                follow[s] = follow[state_of[k - 1][code % size]]
-        if k < order:
-            for code, s in state_of[k + 1].items():
-                follow[state_of[k][code // width], code % width] = s
-    bits = np.zeros((total, columns, len(langs)), np.float32)
-    follow[:, reset] = 0
-    bits[:, :width] = -np.log2(prob).transpose(1, 2, 0)
-    return PpmModel(langs, classes, follow.reshape(-1), bits.reshape(total * columns, len(langs)))
+            own = np.arange(first[k], first[k + 1])
+            shorter = first[k - 1] + np.searchsorted(known[k - 1], known[k] % width ** (k - 1))
+            slot[own] = slot[shorter]
+            escape[own] = escape[shorter]
+        seen = [(codes[ok], n[ok]) for codes, n in grams[k] for ok in [np.isin(codes // width, known[k])]]
+        pairs = np.unique(np.concatenate([codes for codes, _ in seen] or [known[0][:0]]))
+        state, symbol = first[k] + np.searchsorted(known[k], pairs // width), pairs % width
+        before = slot[state, symbol]
+        fresh, to = cost[before], follow[before]
+        for li, (codes, n) in enumerate(seen):
+            at = np.searchsorted(pairs, codes)
+            s = state[at]
+            base = np.exp2(-(cost[before[at], li] + escape[s, li]))
+            total, distinct, rest = (np.bincount(s, weights=w, minlength=len(slot)) for w in (n, np.ones(len(n)), base))
+            here = np.flatnonzero(distinct)
+            escape[here, li] += np.log2((total[here] + distinct[here]) / distinct[here] * np.maximum(1e-9, 1 - rest[here]))
+            fresh[at, li] = -np.log2(n / (total[s] + distinct[s])) - escape[s, li]
+        if k < order:  # a longer known context where there is one
+            to[np.searchsorted(pairs, known[k + 1])] = np.arange(first[k + 1], first[k + 2])
+        slot[state, symbol] = np.arange(len(cost), len(cost) + len(pairs))
+        cost, follow = np.concatenate([cost, fresh]), np.concatenate([follow, to])
+    return PpmModel(langs, classes, slot.reshape(-1), follow, cost.astype(np.float32), escape.astype(np.float32))
 
 
 def code_lengths(model: PpmModel, texts: list[bytes], order: int = ORDER) -> np.ndarray:
@@ -179,10 +169,10 @@ def code_lengths(model: PpmModel, texts: list[bytes], order: int = ORDER) -> np.
         base = np.arange(rows) * SLICE
         cost = np.zeros((rows, SLICE, len(model.langs)), np.float32)
         for step in range(order + SLICE):
-            at = state * columns + grid[base + step]
+            entry = model.slot[state * columns + grid[base + step]]
             if step >= order:
-                cost[:, step - order] = model.bits[at]
-            state = model.follow[at].astype(np.int64)
+                cost[:, step - order] = model.cost[entry] + model.escape[state]
+            state = model.follow[entry].astype(np.int64)
         cost = cost.reshape(-1, len(model.langs))
         for owner, a, b in owners:
             out[owner] += cost[a:b].sum(axis=0, dtype=np.float64)

@@ -93,6 +93,18 @@ def test_slices_and_blocks_do_not_change_lengths(monkeypatch):
     assert np.allclose(langid.code_lengths(model, long), parts, rtol=1e-5)
 
 
+def test_every_frequent_context_is_kept_with_many_languages():
+    rng = np.random.default_rng(6)
+    texts = {f"l{k:02}": ["".join(rng.choice(list("abcdefghijkl"), 4000))] for k in range(30)}
+    model = langid.fit(texts)
+    contexts = known_contexts(model, texts)
+    assert len(contexts) > 15_000 and len(model.bits) == len(contexts) * model.n_classes
+    data = b"abcdefghijkl" * 5
+    got = langid.code_lengths(model, [data])[0]
+    for li in (0, 29):
+        assert got[li] == pytest.approx(plain_bits(texts[model.langs[li]], data, contexts), rel=1e-4)
+
+
 def test_edge_texts(spark):
     model = langid.fit(TEXTS)
     got = langid.detect(model, [None, "", "123 !?", "the", "İß ü"])
