@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -72,6 +73,7 @@ class _Reader:
     def __init__(self):
         self.blocks: list[Block] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, zone inside, whether it may close by itself
+        self.depth: Counter[str] = Counter()  # open elements of each tag
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.links = 0
@@ -111,6 +113,7 @@ class _Reader:
             return
         if tag in BLOCK_TAGS and tag not in ("p", "li", "td", "tr", "th", "dd", "dt", *HEADINGS) or zone != self.zone or hide:
             self.open.append((tag, self.zone, tag in ("p", "li", "dd", "dt")))
+            self.depth[tag] += 1
             if hide:
                 zone = -1
             if zone != self.zone and tag not in BLOCK_TAGS:
@@ -149,7 +152,8 @@ class _Reader:
         return (-1 if furniture else 1 if article else self.zone), hide
 
     def _close(self) -> None:
-        _, zone, _ = self.open.pop()
+        tag, zone, _ = self.open.pop()
+        self.depth[tag] -= 1
         if zone != self.zone:
             self.flush()
         self.zone = zone
@@ -161,7 +165,7 @@ class _Reader:
             self.links = 0
         if tag in HEADINGS:
             self.heading = False
-        if any(t == tag for t, _, _ in self.open[-64:]):
+        if self.depth[tag]:
             while self.open[-1][0] != tag:
                 self._close()
             self._close()

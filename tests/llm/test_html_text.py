@@ -71,6 +71,14 @@ def test_page_without_marked_article():
     assert text(page) == f"The title\n\n{BODY}\n\n{BODY} {BODY}"
 
 
+def test_end_tag_closes_at_any_depth():
+    for count in (63, 64, 500):
+        for tag, attributes in (("nav", ""), ("section", ' class="sidebar"')):
+            page = f"<{tag}{attributes}>{'<div>' * count}Home</{tag}><article><p>{BODY}</p></article><div>End of page</div>"
+            assert text(page) == BODY, (tag, count)
+            assert text(f"<{tag}{attributes}>{'<div>' * count}Home</{tag}><p>{BODY}</p>") == BODY, (tag, count)
+
+
 def test_edge_pages(spark):
     assert text(None) == text("") == text("<html></html>") == text("<p") == ""
     assert text("<") == "<" and text("a < b") == "a < b"
