@@ -3,8 +3,12 @@
 Method: the html is read as a flat list of text blocks (text between block
 tags).  A block has its number of words, its link density (share of words
 inside links), the same of the block before and after it, whether it is a
-heading, and the zone of its innermost marked container: article (1), page
-furniture (-1) or unmarked (0), with whether the page marks an article at all.
+heading, and the zone of its innermost marked container: article (1), unmarked
+(0), a container named like furniture (-1; a form, a header or a word of its
+class, id or role), or a nav, footer, aside, menu, dialog or hidden element
+(-2); and the number of words outside links that the page has in higher zones.
+Where these are few, the words and link densities of the block and its
+neighbours decide in zones 0 and -1.
 A decision tree (Gini splits) trained on the small labelled table EXAMPLES
 keeps or drops each block; no block is judged by its words alone.
 
@@ -38,6 +42,8 @@ RAW_TAGS = frozenset("script style noscript template textarea title iframe noemb
                      "select button canvas audio video".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that never hold the main text.
+ASIDE_TAGS = frozenset("nav footer aside menu dialog".split())
 #: Elements and words of class, id or role that mark page furniture or the article.
 FURNITURE_TAGS = frozenset("nav footer aside form menu header dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
@@ -115,7 +121,7 @@ class _Reader:
             self.open.append((tag, self.zone, tag in ("p", "li", "dd", "dt")))
             self.depth[tag] += 1
             if hide:
-                zone = -1
+                zone = -2
             if zone != self.zone and tag not in BLOCK_TAGS:
                 self.flush()
             self.zone = zone
@@ -144,12 +150,14 @@ class _Reader:
             furniture = False
         if tag == "header" and self.zone == 1 and not marks:
             return 1, hide  # the article's own head: its title
-        if self.zone == -1:
+        if self.zone < 0:
             # furniture stays furniture, but a form or a head around the article does not swallow it
             loose = all(t not in ("nav", "footer", "aside") for t, z, _ in self.open) and tag in ARTICLE_TAGS
             inside = any(z == 1 for _, z, _ in self.open)
-            return (1 if loose and not furniture and not inside else -1), hide
-        return (-1 if furniture else 1 if article else self.zone), hide
+            if loose and not furniture and not inside:
+                return 1, hide
+            return (-2 if tag in ASIDE_TAGS else self.zone), hide
+        return (-2 if tag in ASIDE_TAGS else -1 if furniture else 1 if article else self.zone), hide
 
     def _close(self) -> None:
         tag, zone, _ = self.open.pop()
@@ -211,45 +219,45 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 FEATURES = ["words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-            "zone", "page_has_article", "heading"]
+            "zone", "words_in_higher_zones", "heading"]
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """One row of FEATURES for each block."""
-    marked = float(any(b.zone == 1 for b in blocks))
+    plain = {z: sum(b.words * (1 - b.link_density) for b in blocks if b.zone > z) for z in (-2, -1, 0, 1)}
     edge = Block("", 0, 0.0, 0, False)
     rows = []
     for before, b, after in zip([edge, *blocks[:-1]], blocks, [*blocks[1:], edge]):
         rows.append([b.words, b.link_density, before.words, before.link_density, after.words, after.link_density,
-                     b.zone, marked, float(b.heading)])
+                     b.zone, plain[b.zone], float(b.heading)])
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
 
 #: Labelled blocks: the FEATURES in order, then 1 for main text and 0 for the rest.
 EXAMPLES = [
     # page furniture by its container, short and long, with and without links
-    (1, 1.0, 0, 0.0, 1, 1.0, -1, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 1, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, -1, 1, 0, 0),
-    (12, 0.0, 1, 1.0, 8, 0.0, -1, 1, 0, 0), (60, 0.0, 30, 0.0, 45, 0.0, -1, 1, 0, 0), (25, 0.2, 50, 0.0, 0, 0.0, -1, 1, 0, 0),
-    (4, 0.0, 80, 0.0, 20, 0.0, -1, 1, 1, 0), (35, 0.0, 4, 0.0, 6, 1.0, -1, 1, 0, 0), (9, 0.0, 120, 0.0, 0, 0.0, -1, 1, 0, 0),
-    (2, 1.0, 3, 1.0, 2, 1.0, -1, 0, 0, 0), (18, 0.0, 2, 1.0, 60, 0.0, -1, 0, 0, 0), (70, 0.1, 6, 0.0, 5, 0.5, -1, 0, 0, 0),
-    (5, 0.0, 40, 0.0, 4, 1.0, -1, 0, 1, 0), (90, 0.0, 70, 0.0, 80, 0.0, -1, 0, 0, 0), (14, 0.5, 90, 0.0, 0, 0.0, -1, 0, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, -1, 150, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 150, 0, 0), (3, 1.0, 2, 1.0, 40, 0.0, -1, 150, 0, 0),
+    (12, 0.0, 1, 1.0, 8, 0.0, -1, 150, 0, 0), (60, 0.0, 30, 0.0, 45, 0.0, -1, 150, 0, 0), (25, 0.2, 50, 0.0, 0, 0.0, -1, 150, 0, 0),
+    (4, 0.0, 80, 0.0, 20, 0.0, -1, 150, 1, 0), (35, 0.0, 4, 0.0, 6, 1.0, -1, 150, 0, 0), (9, 0.0, 120, 0.0, 0, 0.0, -1, 150, 0, 0),
+    (2, 1.0, 3, 1.0, 2, 1.0, -1, 150, 0, 0), (18, 0.0, 2, 1.0, 60, 0.0, -1, 150, 0, 0), (70, 0.1, 6, 0.0, 5, 0.5, -1, 150, 0, 0),
+    (5, 0.0, 40, 0.0, 4, 1.0, -1, 150, 1, 0), (90, 0.0, 70, 0.0, 80, 0.0, -1, 150, 0, 0), (14, 0.5, 90, 0.0, 0, 0.0, -1, 150, 0, 0),
     # text of a marked article: titles, short and long paragraphs, paragraphs with links
-    (8, 0.0, 12, 0.0, 60, 0.0, 1, 1, 1, 1), (9, 0.0, 6, 1.0, 40, 0.0, 1, 1, 1, 1), (1, 0.0, 30, 0.0, 50, 0.0, 1, 1, 0, 1),
-    (2, 0.0, 1, 0.0, 3, 0.0, 1, 1, 0, 1), (60, 0.0, 8, 0.0, 70, 0.0, 1, 1, 0, 1), (200, 0.0, 60, 0.0, 10, 0.0, 1, 1, 0, 1),
-    (40, 0.2, 30, 0.0, 35, 0.1, 1, 1, 0, 1), (12, 0.6, 40, 0.0, 60, 0.0, 1, 1, 0, 1), (5, 1.0, 50, 0.0, 60, 0.0, 1, 1, 0, 1),
-    (7, 0.0, 90, 0.0, 9, 0.0, 1, 1, 0, 1), (3, 0.0, 60, 0.0, 4, 1.0, 1, 1, 1, 1), (6, 1.0, 3, 0.0, 30, 0.0, 1, 1, 1, 1),
-    (4, 0.0, 3, 1.0, 2, 0.0, 1, 1, 0, 1), (30, 0.0, 2, 1.0, 3, 1.0, 1, 1, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 1, 0, 1),
-    (2, 0.0, 17, 0.0, 1, 1.0, 1, 1, 0, 1), (1, 0.0, 40, 0.0, 2, 1.0, 1, 1, 0, 1), (6, 0.0, 1, 1.0, 3, 1.0, 1, 1, 0, 1),
-    (3, 0.0, 4, 1.0, 5, 1.0, 1, 1, 1, 1), (25, 0.0, 4, 1.0, 5, 1.0, 1, 1, 0, 1), (2, 0.0, 5, 1.0, 0, 0.0, 1, 1, 0, 1),
+    (8, 0.0, 12, 0.0, 60, 0.0, 1, 0, 1, 1), (9, 0.0, 6, 1.0, 40, 0.0, 1, 0, 1, 1), (1, 0.0, 30, 0.0, 50, 0.0, 1, 0, 0, 1),
+    (2, 0.0, 1, 0.0, 3, 0.0, 1, 0, 0, 1), (60, 0.0, 8, 0.0, 70, 0.0, 1, 0, 0, 1), (200, 0.0, 60, 0.0, 10, 0.0, 1, 0, 0, 1),
+    (40, 0.2, 30, 0.0, 35, 0.1, 1, 0, 0, 1), (12, 0.6, 40, 0.0, 60, 0.0, 1, 0, 0, 1), (5, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0, 1),
+    (7, 0.0, 90, 0.0, 9, 0.0, 1, 0, 0, 1), (3, 0.0, 60, 0.0, 4, 1.0, 1, 0, 1, 1), (6, 1.0, 3, 0.0, 30, 0.0, 1, 0, 1, 1),
+    (4, 0.0, 3, 1.0, 2, 0.0, 1, 0, 0, 1), (30, 0.0, 2, 1.0, 3, 1.0, 1, 0, 0, 1), (1, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
+    (2, 0.0, 17, 0.0, 1, 1.0, 1, 0, 0, 1), (1, 0.0, 40, 0.0, 2, 1.0, 1, 0, 0, 1), (6, 0.0, 1, 1.0, 3, 1.0, 1, 0, 0, 1),
+    (3, 0.0, 4, 1.0, 5, 1.0, 1, 0, 1, 1), (25, 0.0, 4, 1.0, 5, 1.0, 1, 0, 0, 1), (2, 0.0, 5, 1.0, 0, 0.0, 1, 0, 0, 1),
     # lists of links inside the article's container
-    (4, 1.0, 5, 1.0, 6, 1.0, 1, 1, 0, 0), (3, 1.0, 4, 1.0, 3, 1.0, 1, 1, 0, 0), (7, 1.0, 6, 1.0, 5, 1.0, 1, 1, 0, 0),
-    (4, 1.0, 30, 0.0, 5, 1.0, 1, 1, 0, 0), (3, 1.0, 60, 0.0, 2, 1.0, 1, 1, 0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 1, 1, 0, 0),
+    (4, 1.0, 5, 1.0, 6, 1.0, 1, 0, 0, 0), (3, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0, 0), (7, 1.0, 6, 1.0, 5, 1.0, 1, 0, 0, 0),
+    (4, 1.0, 30, 0.0, 5, 1.0, 1, 0, 0, 0), (3, 1.0, 60, 0.0, 2, 1.0, 1, 0, 0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 1, 0, 0, 0),
     # a link between paragraphs
-    (2, 1.0, 20, 0.1, 17, 0.0, 1, 1, 0, 1), (3, 1.0, 15, 0.0, 12, 0.0, 1, 1, 0, 1), (2, 1.0, 90, 0.0, 1, 0.0, 1, 1, 0, 1),
-    (1, 1.0, 2, 0.0, 30, 0.0, 1, 1, 0, 1),
+    (2, 1.0, 20, 0.1, 17, 0.0, 1, 0, 0, 1), (3, 1.0, 15, 0.0, 12, 0.0, 1, 0, 0, 1), (2, 1.0, 90, 0.0, 1, 0.0, 1, 0, 0, 1),
+    (1, 1.0, 2, 0.0, 30, 0.0, 1, 0, 0, 1),
     # unmarked blocks of a page that marks its article
-    (6, 0.0, 3, 1.0, 9, 0.0, 0, 1, 0, 0), (30, 0.0, 5, 0.0, 60, 0.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0),
-    (15, 0.1, 80, 0.0, 10, 0.0, 0, 1, 0, 0), (5, 0.0, 1, 0.0, 7, 0.0, 0, 1, 1, 0),
+    (6, 0.0, 3, 1.0, 9, 0.0, 0, 150, 0, 0), (30, 0.0, 5, 0.0, 60, 0.0, 0, 150, 0, 0), (2, 1.0, 1, 1.0, 8, 0.0, 0, 150, 0, 0),
+    (15, 0.1, 80, 0.0, 10, 0.0, 0, 150, 0, 0), (5, 0.0, 1, 0.0, 7, 0.0, 0, 150, 1, 0),
     # pages that mark no article: long runs of text, titles before text, short ones between text
     (60, 0.0, 8, 0.0, 70, 0.0, 0, 0, 0, 1), (45, 0.0, 50, 0.0, 40, 0.1, 0, 0, 0, 1), (25, 0.05, 30, 0.0, 28, 0.0, 0, 0, 0, 1),
     (18, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 1), (120, 0.1, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (35, 0.0, 2, 1.0, 4, 1.0, 0, 0, 0, 1),
@@ -260,6 +268,45 @@ EXAMPLES = [
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0), (5, 0.8, 3, 1.0, 40, 0.0, 0, 0, 0, 0),
     (10, 0.7, 60, 0.0, 4, 1.0, 0, 0, 0, 0), (30, 0.8, 50, 0.0, 6, 0.9, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
     (4, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 0), (6, 0.5, 5, 1.0, 0, 0.0, 0, 0, 0, 0),
+    # long unmarked text, its titles and short paragraphs where the marked containers hold a few words only
+    (300, 0.0, 3, 0.0, 0, 0.0, 0, 3, 0, 1), (120, 0.05, 2, 0.0, 80, 0.0, 0, 8, 0, 1), (45, 0.0, 120, 0.0, 60, 0.0, 0, 2, 0, 1),
+    (8, 0.0, 3, 0.0, 150, 0.0, 0, 3, 1, 1), (6, 0.0, 60, 0.0, 70, 0.0, 0, 10, 0, 1), (60, 0.2, 30, 0.0, 4, 1.0, 0, 10, 0, 1),
+    (2, 1.0, 1, 1.0, 8, 0.0, 0, 3, 0, 0), (30, 0.8, 5, 1.0, 4, 1.0, 0, 8, 0, 0), (3, 0.0, 2, 1.0, 3, 1.0, 0, 5, 0, 0),
+    (1, 0.0, 20, 0.0, 9, 0.0, 0, 0, 0, 1), (20, 0.0, 2, 0.0, 19, 0.0, 0, 0, 0, 1), (3, 0.0, 1, 1.0, 20, 0.0, 0, 2, 1, 1),
+    (19, 0.0, 2, 0.0, 38, 0.0, 0, 0, 0, 1), (2, 0.0, 1, 1.0, 19, 0.0, 0, 0, 1, 1), (38, 0.0, 19, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (19, 0.0, 1, 0.0, 0, 0.0, 0, 0, 0, 1), (15, 0.0, 8, 0.0, 2, 0.0, 0, 0, 0, 1), (9, 0.0, 12, 0.0, 14, 0.0, 0, 3, 0, 1),
+    (17, 0.0, 0, 0.0, 3, 0.0, 0, 2, 0, 1), (20, 0.0, 18, 0.0, 7, 0.0, 0, 1, 0, 1), (6, 0.0, 16, 0.0, 0, 0.0, 0, 4, 0, 1),
+    # and where they hold the text
+    (3, 0.0, 19, 0.0, 0, 0.0, 0, 19, 0, 0), (6, 0.0, 15, 0.0, 0, 0.0, 0, 15, 0, 0), (4, 0.0, 0, 0.0, 2, 0.0, 0, 23, 0, 0),
+    (12, 0.0, 3, 0.0, 8, 1.0, 0, 18, 0, 0), (2, 0.0, 0, 0.0, 15, 0.0, 0, 17, 1, 0),
+    (80, 0.0, 10, 0.0, 6, 0.0, 0, 400, 0, 0), (120, 0.0, 4, 1.0, 50, 0.0, 0, 300, 0, 0), (30, 0.0, 60, 0.0, 9, 0.0, 0, 40, 0, 0),
+    # text in a container named like furniture, with little outside it: an article or short notes
+    (300, 0.0, 0, 0.0, 0, 0.0, -1, 0, 0, 1), (80, 0.0, 8, 0.0, 70, 0.0, -1, 0, 0, 1), (60, 0.1, 75, 0.0, 40, 0.0, -1, 4, 0, 1),
+    (45, 0.0, 90, 0.0, 5, 1.0, -1, 10, 0, 1), (40, 0.0, 3, 1.0, 2, 1.0, -1, 0, 0, 1), (8, 0.0, 0, 0.0, 80, 0.0, -1, 0, 1, 1),
+    (6, 0.0, 3, 1.0, 50, 0.0, -1, 0, 1, 1), (5, 0.0, 60, 0.0, 70, 0.0, -1, 3, 0, 1), (4, 0.0, 50, 0.0, 45, 0.0, -1, 0, 0, 1),
+    (12, 0.0, 1, 1.0, 8, 0.0, -1, 10, 0, 0), (15, 0.0, 10, 0.0, 0, 0.0, -1, 3, 0, 0), (18, 0.0, 2, 1.0, 1, 0.0, -1, 1, 0, 0),
+    (20, 0.0, 0, 0.0, 12, 0.0, -1, 0, 0, 0), (4, 0.0, 0, 0.0, 0, 0.0, -1, 0, 0, 0), (16, 0.0, 18, 0.0, 3, 0.0, -1, 8, 0, 0),
+    (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, -1, 0, 0, 0), (4, 1.0, 80, 0.0, 2, 1.0, -1, 0, 0, 0),
+    (2, 0.0, 0, 0.0, 80, 0.0, -1, 0, 1, 1), (3, 0.0, 1, 1.0, 60, 0.0, -1, 0, 1, 1), (1, 0.0, 60, 0.0, 70, 0.0, -1, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 45, 0.0, -1, 9, 1, 1), (8, 0.0, 0, 0.0, 80, 0.0, -1, 10, 1, 1), (60, 0.0, 8, 0.0, 70, 0.0, -1, 10, 0, 1),
+    (4, 0.0, 50, 0.0, 60, 0.0, -1, 9, 0, 1), (120, 0.0, 3, 1.0, 0, 0.0, -1, 8, 0, 1), (35, 0.1, 8, 0.0, 45, 0.0, -1, 7, 0, 1),
+    (50, 0.0, 40, 0.0, 3, 0.0, -1, 6, 0, 1), (90, 0.0, 0, 0.0, 0, 0.0, -1, 9, 0, 1), (2, 0.0, 90, 0.0, 40, 0.0, -1, 5, 1, 1),
+    (20, 0.0, 90, 0.0, 0, 0.0, -1, 0, 0, 1), (14, 0.0, 60, 0.0, 1, 1.0, -1, 0, 0, 1), (10, 0.0, 120, 0.0, 8, 0.0, -1, 4, 0, 1),
+    (3, 0.0, 45, 0.0, 2, 1.0, -1, 2, 0, 1),
+    (1, 1.0, 1, 1.0, 40, 0.0, -1, 0, 0, 0), (2, 1.0, 2, 1.0, 80, 0.0, -1, 9, 0, 0), (5, 1.0, 90, 0.0, 6, 1.0, -1, 9, 0, 0),
+    (2, 0.0, 0, 0.0, 3, 0.0, -1, 23, 0, 0), (17, 0.0, 0, 0.0, 3, 0.0, -1, 23, 0, 0), (14, 0.0, 1, 0.0, 0, 0.0, -1, 1, 0, 0),
+    (13, 0.0, 3, 0.0, 20, 0.0, -1, 20, 0, 0), (11, 0.0, 2, 0.0, 0, 0.0, -1, 23, 0, 0), (1, 0.0, 1, 0.0, 11, 0.0, -1, 23, 1, 0),
+    (3, 0.0, 1, 0.0, 0, 0.0, -1, 5, 0, 0), (9, 0.0, 6, 1.0, 1, 0.0, -1, 2, 0, 0), (16, 0.0, 1, 1.0, 2, 0.0, -1, 4, 0, 0),
+    (7, 0.0, 12, 0.0, 9, 0.0, -1, 6, 0, 0), (10, 0.1, 20, 0.0, 16, 0.0, -1, 15, 0, 0), (5, 0.0, 16, 0.0, 20, 0.0, -1, 0, 0, 0),
+    (19, 0.0, 19, 0.0, 19, 0.0, -1, 20, 0, 0), (6, 0.0, 20, 0.0, 0, 0.0, -1, 12, 0, 0), (20, 0.0, 3, 0.0, 2, 0.0, -1, 0, 0, 0),
+    (2, 0.0, 9, 0.0, 14, 0.0, -1, 3, 1, 0), (8, 0.0, 14, 0.0, 1, 1.0, -1, 9, 0, 0), (22, 0.0, 18, 0.0, 4, 0.0, -1, 2, 0, 0),
+    (40, 0.9, 3, 1.0, 5, 1.0, -1, 0, 0, 0), (30, 0.0, 25, 0.0, 40, 0.0, -1, 40, 0, 0), (200, 0.0, 150, 0.0, 90, 0.0, -1, 300, 0, 0),
+    # nav, footer, aside, menu, dialog and hidden elements, whatever the rest of the page holds
+    (300, 0.0, 0, 0.0, 0, 0.0, -2, 0, 0, 0), (80, 0.0, 8, 0.0, 70, 0.0, -2, 0, 0, 0), (60, 0.1, 75, 0.0, 40, 0.0, -2, 4, 0, 0),
+    (45, 0.0, 90, 0.0, 5, 1.0, -2, 10, 0, 0), (8, 0.0, 0, 0.0, 80, 0.0, -2, 0, 1, 0), (5, 0.0, 60, 0.0, 70, 0.0, -2, 3, 0, 0),
+    (6, 0.0, 3, 1.0, 50, 0.0, -2, 0, 1, 0), (12, 0.0, 1, 1.0, 8, 0.0, -2, 10, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, -2, 0, 0, 0),
+    (40, 0.0, 3, 1.0, 2, 1.0, -2, 0, 0, 0), (4, 0.0, 50, 0.0, 45, 0.0, -2, 0, 0, 0), (30, 0.0, 25, 0.0, 40, 0.0, -2, 200, 0, 0),
+    (1, 1.0, 1, 1.0, 1, 1.0, -2, 200, 0, 0), (15, 0.0, 60, 0.0, 0, 0.0, -2, 200, 0, 0), (200, 0.0, 150, 0.0, 90, 0.0, -2, 300, 0, 0),
 ]
 
 

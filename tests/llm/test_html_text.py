@@ -71,6 +71,27 @@ def test_page_without_marked_article():
     assert text(page) == f"The title\n\n{BODY}\n\n{BODY} {BODY}"
 
 
+def test_words_and_links_decide_where_containers_do_not():
+    long = " ".join([BODY] * 15)
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul>'
+    body = f"<h1>The title</h1><p>{long}</p><p>A short line.</p><p>{long}</p>"
+    want = f"The title\n\n{long}\n\nA short line.\n\n{long}"
+    # a small block with an article word does not take the page from the plain text
+    got = text(f'<body>{menu}<div class="main-title">Site news</div><div>{body}</div></body>')
+    assert got.endswith(want) and "Home" not in got
+    # nor does a furniture word on the container of the whole article
+    for attributes in ('class="has-sidebar"', 'id="page-with-banner"', 'class="search social"'):
+        page = f'<body><nav><p>{long}</p></nav><div {attributes}>{menu}{body}</div><footer><p>{long}</p></footer></body>'
+        assert text(page) == want, attributes
+        assert text(page.replace("</div><footer>", "<p>A last line.</p></div><footer>")) == want + "\n\nA last line."
+    assert text(f"<body><form>{body}</form></body>") == want
+    # long furniture beside a long article goes, marked or not
+    for article in (f"<article>{body}</article>", f"<div>{body}</div>"):
+        assert text(f'<body>{article}<div class="comments"><p>{long}</p><p>{long}</p></div></body>') == want
+    assert text(f"<body><article>{body}</article><div><p>{long}</p></div></body>") == want
+    assert text(f"<body><div hidden><p>{long}</p></div><p>Closed today.</p></body>") == "Closed today."
+
+
 def test_end_tag_closes_at_any_depth():
     for count in (63, 64, 500):
         for tag, attributes in (("nav", ""), ("section", ' class="sidebar"')):
