@@ -45,10 +45,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash, stored
+from .common import WORD_PATTERN, sample_by_hash, stored
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -410,8 +410,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     def key_of(texts: pd.Series) -> pd.Series:
         return pd.Series([set_key(s) if len(s) else None for s in shingle_sets(texts.tolist())], dtype="Int64")
 
-    keyed = docs.withColumn("set__", key_of(F.col("text")))
+    worded = F.coalesce("text", F.lit("")).rlike(WORD_PATTERN)
+    keyed = docs.where(worded).withColumn("set__", key_of(F.col("text")))
     same = keyed["doc_id"].cast("long").eqNullSafe(kept["rep__"]) & (keyed["set__"] == kept["key__"])
-    alike = Window.partitionBy("rep__", "set__").orderBy(F.xxhash64(*docs.columns))
-    return keyed.join(kept, same, "left").where(F.col("set__").isNull() | F.col("kept__")).withColumn(
-        "turn__", F.row_number().over(alike)).where(F.col("set__").isNull() | (F.col("turn__") == 1)).select(*docs.columns)
+    # of equal rows each task sends one on
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row__")
+    one = keyed.join(kept, same).groupBy("rep__", "set__").agg(first).select("row__.*")
+    return docs.where(~worded).unionByName(one)

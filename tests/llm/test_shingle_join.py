@@ -116,6 +116,16 @@ def test_edge_rows_and_one_of_each(spark):
     assert shingle_join.shingle_join(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_ranks_no_whole_rows(spark):
+    rows = [(k, [None, "", "\x0b \t"][k % 3], f"c{k}") for k in range(30)] + [(50, "the same text", f"d{k}") for k in range(20)]
+    kept = shingle_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, more string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("partial_min_by") == 1
+    got = [tuple(r) for r in kept.collect()]
+    assert len(got) == 31 and {r for r in got if r[0] < 30} == set(rows[:30])
+    assert [r in rows[30:] for r in got if r[0] == 50] == [True]
+
+
 def test_rows_without_ids_still_link_others(spark):
     base = ["b%d" % k for k in range(100)]
     rows = [(7, " ".join(["x%d" % k if k < 9 else w for k, w in enumerate(base)])), (None, " ".join(base)),
