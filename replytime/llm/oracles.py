@@ -87,3 +87,24 @@ s AS (SELECT h.host, round(coalesce(t.mass, 0) / (h.n / (SELECT sum(n) FROM h)),
   LEFT JOIN last t ON t.kind = 'trust' AND t.node = h.host LEFT JOIN last x ON x.kind = 'distrust' AND x.node = h.host)
 SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN distrust > {threshold!r} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,
   trust, distrust FROM p LEFT JOIN s ON s.host = p.host"""
+
+COLLOCATIONS = f"""WITH
+q AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(string_split_regex(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM q),
+t AS MATERIALIZED (SELECT lang, ws[k:k + m - 1] AS p, count(*) AS f
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS k FROM w, (SELECT unnest(range(1, 6)) AS m) ms) o GROUP BY lang, p),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM t WHERE len(p) = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT * FROM t WHERE len(p) > 1 AND f >= 100),
+cuts AS (SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM c),
+scores AS (SELECT cuts.lang, cuts.p, cuts.f AS a, k, x.f AS l, y.f AS r, n.n,
+  (1000::HUGEINT * cuts.f * n.n) // (x.f::HUGEINT * y.f) AS score FROM cuts JOIN n USING (lang)
+  JOIN t x ON x.lang = cuts.lang AND x.p = cuts.p[1:k] JOIN t y ON y.lang = cuts.lang AND y.p = cuts.p[k + 1:]),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (SELECT lang, f, m, p[k:k + m - 1] AS s FROM (
+  SELECT lang, f, p, m, unnest(range(1, len(p) - m + 2)) AS k FROM c JOIN (SELECT unnest(range(2, 5)) AS m) ms ON m < len(p)) o),
+longer AS (SELECT lang, s, max(f) AS f FROM inside GROUP BY lang, s),
+kept AS (SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.n, CAST(b.score AS BIGINT) AS score
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.s = b.p WHERE g.f IS NULL OR 100 * g.f < 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000"""

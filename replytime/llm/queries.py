@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_text, langid, mixing, oracles, quality, shingle_join, toxicity, urlgraph, vector_join
+from . import bpe, chat, collocations, html_text, langid, mixing, oracles, quality, shingle_join, toxicity, urlgraph, vector_join
 from .common import fold, small_batches, table
 from .registry import query
 
@@ -112,3 +112,9 @@ def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, component and keeper of every embedding, by the exact metric range join within labels."""
     small_batches(spark)
     return vector_join.vector_join(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_phrase_collocations", sql=oracles.COLLOCATIONS)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of every language, by relational mining of all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
