@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collocations, html_text, langid, mixing, oracles, quality, shingle_join, toxicity, urlgraph, vector_join
+from . import (alignment, bpe, chat, collocations, html_text, langid, mixing, oracles, quality, sharding, shingle_join,
+               toxicity, urlgraph, vector_join)
 from .common import fold, small_batches, table
 from .registry import query
 
@@ -114,7 +115,21 @@ def op10_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.vector_join(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every whole text, with corpus counts of the links."""
+    small_batches(spark)
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op12_phrase_collocations", sql=oracles.COLLOCATIONS)
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest phrases of every language, by relational mining of all documents."""
     return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op13_kd_shards")
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by a k-d tree whose 16 leaves hold near equal bytes."""
+    return sharding.shard(table(spark, sf_dir, "documents"))
