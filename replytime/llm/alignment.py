@@ -9,7 +9,7 @@ Method.  After full tokenisation, shared ends before tokens that both begin with
 a space are anchors (shared in byte offsets, verified against the joined bytes
 of both token sequences).  Anchors split a document into windows of token ids,
 and a window's alignment depends on its ids alone, so it is memoised by the two
-id tuples.  A document's links go to Spark as (id pair, times); the corpus-wide
+id tuples (packed as 32-bit numbers).  A document's links go to Spark as (id pair, times); the corpus-wide
 counts of id pairs are one aggregate, and each document's links are joined back
 to them.
 
@@ -22,7 +22,10 @@ aligned and counted each on their own.  Texts of any length are handled whole.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +35,16 @@ from pyspark.sql import functions as F
 
 from .common import free_name, stored
 
-#: Entries of the window memo at most; a full memo is emptied (results do not change), as is any at the end of a task.
-MEMO_WINDOWS = 100_000
+#: Windows of a generation of the memo: when a generation is full, the one before it goes (results do not change).
+MEMO_WINDOWS = 200_000
 #: Windows of more tokens are not memoised.
 MEMO_TOKENS = 32
+#: Texts without a code point beyond these are cut into words alike by all versions of the Unicode tables.
+SETTLED = re.compile("[^\x00-\u024f]")
 #: Code points that are encoded in one call, about; a longer text is a call of its own.
 CALL_CHARS = 500_000
+#: A table of more id pairs than this (24 bytes each) is joined by a shuffle instead of being sent to all executors.
+SMALL_PAIRS = 2_000_000
 SPACE_MARK = "▁"
 
 SCHEMA = ("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -54,18 +61,39 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _merge_ranks(vocabulary: dict, of: dict[str, int]) -> tuple[str, dict[bytes, int]] | None:
+    """Pattern and ranks of a byte-level BPE file whose ids ascend with its merges, else None."""
+    from public_tokenizers import PATTERN
+
+    model, special = vocabulary["model"], {t["content"] for t in vocabulary["added_tokens"]}
+    plain = vocabulary["normalizer"] is None and vocabulary["pre_tokenizer"] == {
+        "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    ids = [model["vocab"]["".join(p)] for p in pairs]
+    if not plain or model["dropout"] or model["ignore_merges"] or ids != sorted(set(ids)):
+        return None
+    return PATTERN, {bytes([of[c] for c in entry]): k for entry, k in model["vocab"].items() if entry not in special}
+
+
 class Aligner:
-    """Both tokenizers, the bytes of their tokens and the memo of windows."""
+    """Both tokenizers, the bytes of their tokens and the memo of windows.
+
+    Where a text has only characters that every version of the Unicode tables classes alike, A's ids come from
+    the same vocabulary and merges run as ranks, which is several times faster and gives the same ids.
+    """
 
     def __init__(self, a_json: bytes, b_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_str(a_json.decode("utf-8"))
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         of = byte_alphabet()
+        ranks = _merge_ranks(json.loads(a_json), of)
+        self.fast = ranks and tiktoken.Encoding("a", pat_str=ranks[0], mergeable_ranks=ranks[1], special_tokens={})
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for entry, k in self.a.get_vocab().items():
             self.a_bytes[k] = bytes([of[c] for c in entry]) if all(c in of for c in entry) else entry.encode("utf-8")
@@ -75,60 +103,79 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else
                                 piece.replace(SPACE_MARK, " ").encode("utf-8"))
         self.n_b = len(self.b_bytes)
-        self._a_size = np.array([len(x) for x in self.a_bytes])
-        self._b_size = np.array([len(x) for x in self.b_bytes])
+        self._a_len, self._b_len = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self._a_size, self._b_size = np.array(self._a_len), np.array(self._b_len)
         self._a_space = np.array([x[:1] == b" " for x in self.a_bytes])
         self._b_space = np.array([x[:1] == b" " for x in self.b_bytes])
-        self._windows: dict[tuple, tuple[str, int, list[int]]] = {}
+        self._names = [str(k) for k in range(max(len(self.a_bytes), self.n_b))]
+        self._windows: dict[tuple[bytes, bytes], tuple[bytes, int, bytes]] = {}
+        self._earlier: dict[tuple[bytes, bytes], tuple[bytes, int, bytes]] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of A and B of each text."""
-        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         b = self.b.encode(texts, num_threads=1)
-        return [(x.ids, list(y)) for x, y in zip(a, b)]
+        a: list = [None if self.fast is None or SETTLED.search(t) else self.fast.encode_ordinary(" " + t) for t in texts]
+        rest = [k for k, ids in enumerate(a) if ids is None]
+        for k, made in zip(rest, self.a.encode_batch_fast([" " + texts[k] for k in rest], add_special_tokens=False)):
+            a[k] = made.ids
+        return list(zip(a, b))
 
-    def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of A and of B at which windows begin, the ends of both last."""
         a_start = np.cumsum(self._a_size[a]) - self._a_size[a]
         b_start = np.cumsum(self._b_size[b]) - self._b_size[b]
         a_marked, b_marked = np.flatnonzero(self._a_space[a]), np.flatnonzero(self._b_space[b])
         _, i, k = np.intersect1d(a_start[a_marked], b_start[b_marked], assume_unique=True, return_indices=True)
-        i, k = a_marked[i].tolist(), b_marked[k].tolist()
-        if not i or i[0] or k[0]:
-            i, k = [0, *i], [0, *k]
-        return [*i, len(a)], [*k, len(b)]
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int]]:
-        """Groups as text, their number, and the code of each link (A id times B's size, plus B id)."""
-        key = a, b
-        known = self._windows.get(key)
+        i, k = a_marked[i], b_marked[k]
+        first = [] if len(i) and not i[0] and not k[0] else [0]  # the document begins a window
+        return np.concatenate([first, i, [len(a)]]).astype(np.int64), np.concatenate([first, k, [len(b)]]).astype(np.int64)
+
+    def _window(self, key: tuple[bytes, bytes]) -> tuple[bytes, int, bytes]:
+        """Groups as text, their number, and the packed codes of the links (A id times B's size, plus B id)."""
+        known = self._earlier.get(key)
         if known is None:
-            known = self._align(a, b)
-            if len(a) + len(b) <= MEMO_TOKENS:
-                if len(self._windows) >= MEMO_WINDOWS:
-                    self._windows.clear()
-                self._windows[key] = known
+            known = self._align(memoryview(key[0]).cast("I").tolist(), memoryview(key[1]).cast("I").tolist())
+            if len(key[0]) + len(key[1]) > 4 * MEMO_TOKENS:
+                return known
+        if len(self._windows) >= MEMO_WINDOWS:
+            self._earlier, self._windows = self._windows, {}
+        self._windows[key] = known
         return known
 
-    def _align(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, int, list[int]]:
+    def _align(self, a: list[int], b: list[int]) -> tuple[bytes, int, bytes]:
+        names, n_b = self._names, self.n_b
+        if len(a) == 1 or len(b) == 1:
+            links = [x * n_b + y for x in a for y in b]
+            return (",".join([names[x] for x in a]) + "|" + ",".join([names[x] for x in b])).encode(), 1, array(
+                "q", links).tobytes()
+        sizes_a, sizes_b = self._a_len, self._b_len
         groups, links = [], []
-        i = k = first_a = first_b = 0
-        end_a, end_b = len(self.a_bytes[a[0]]), len(self.b_bytes[b[0]])
+        i = k = 0
+        x, y = a[0], b[0]
+        open_a, open_b = sizes_a[x], sizes_b[y]  # bytes of the two tokens that are not passed yet
+        of_a, of_b = names[x], names[y]
         while True:
-            links.append(a[i] * self.n_b + b[k])
-            at = min(end_a, end_b)
-            both = end_a == end_b
-            if both:
-                groups.append(",".join(map(str, a[first_a:i + 1])) + "|" + ",".join(map(str, b[first_b:k + 1])))
-                first_a, first_b = i + 1, k + 1
-                if first_a == len(a):
-                    return ";".join(groups), len(groups), links
-            if end_a == at:
+            links.append(x * n_b + y)
+            if open_a == open_b:
+                groups.append(of_a + "|" + of_b)
+                i, k = i + 1, k + 1
+                if i == len(a):
+                    return ";".join(groups).encode(), len(groups), array("q", links).tobytes()
+                x, y = a[i], b[k]
+                open_a, open_b = sizes_a[x], sizes_b[y]
+                of_a, of_b = names[x], names[y]
+            elif open_a < open_b:
+                open_b -= open_a
                 i += 1
-                end_a += len(self.a_bytes[a[i]])
-            if both or end_b == at:
+                x = a[i]
+                open_a = sizes_a[x]
+                of_a += "," + names[x]
+            else:
+                open_a -= open_b
                 k += 1
-                end_b += len(self.b_bytes[b[k]])
+                y = b[k]
+                open_b = sizes_b[y]
+                of_b += "," + names[y]
 
     def document(self, text: str, a: list[int], b: list[int], groups: bool = False) -> tuple:
         """The columns of SCHEMA for one text and its ids."""
@@ -136,22 +183,22 @@ class Aligner:
         of_a, of_b = self.a_bytes, self.b_bytes
         if b"".join([of_a[x] for x in a]) != whole or b"".join([of_b[x] for x in b]) != whole:
             return NONE
-        from_a, from_b = self.anchors(np.array(a), np.array(b))
-        made, links, n = [], [], 0
-        window = self.window
-        for i, j, k, m in zip(from_a, from_a[1:], from_b, from_b[1:]):
-            written, count, codes = window(tuple(a[i:j]), tuple(b[k:m]))
-            made.append(written)
-            links += codes
-            n += count
-        written = ";".join(made)
-        pairs, times = np.unique(np.array(links, dtype=np.int64), return_counts=True)
-        return (len(a), len(b), n, len(links), hashlib.sha256(written.encode("ascii")).hexdigest(),
-                pairs, times.astype(np.int32), written if groups else None)
+        ids_a, ids_b = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
+        at_a, at_b = [(4 * x).tolist() for x in self.anchors(ids_a, ids_b)]
+        raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
+        made = []
+        for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:]):
+            key = raw_a[i:j], raw_b[k:m]
+            made.append(self._windows.get(key) or self._window(key))
+        written = b";".join([x[0] for x in made])
+        links = np.frombuffer(b"".join([x[2] for x in made]), dtype=np.int64)
+        pairs, times = np.unique(links, return_counts=True)
+        return (len(a), len(b), sum([x[1] for x in made]), len(links), hashlib.sha256(written).hexdigest(),
+                pairs, times.astype(np.int32), written.decode() if groups else None)
 
     def forget(self) -> None:
         """Empty the memo."""
-        self._windows.clear()
+        self._windows, self._earlier = {}, {}
 
 
 NONE = (0, 0, 0, 0, "", np.array([], dtype=np.int64), np.array([], dtype=np.int32), None)
@@ -230,7 +277,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep: tuple[str, ...] = ("d
     most = counts.groupBy(b.alias("b")).agg(F.max("count").alias("most"))
     judged = stored(counts.withColumn("b", b).join(most, "b").select(
         "pair", "count", (F.col("count") == F.col("most")).alias("best")))
-    sums = links.join(judged, "pair").groupBy("rid").agg(
+    # id pairs are bounded by the vocabularies, but that bound is too large to be sent: their number decides
+    few = judged.count() <= SMALL_PAIRS
+    sums = links.join(F.broadcast(judged) if few else judged, "pair").groupBy("rid").agg(
         F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
         F.sum(F.col("times") * F.col("count")).alias("count_sum"))
     made = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if groups else [])]

@@ -106,13 +106,30 @@ def test_windows_begin_at_shared_spaces():
     al = alignment.Aligner(open(A, "rb").read(), open(B, "rb").read())
     import numpy as np
     (a, b), = al.encode(["several plain words follow"])
-    i, k = al.anchors(np.array(a), np.array(b))
+    i, k = [x.tolist() for x in al.anchors(np.array(a), np.array(b))]
     assert i[0] == k[0] == 0 and i[-1] == len(a) and k[-1] == len(b) and len(i) == 5
     for x, y in zip(i[:-1], k[:-1]):
         assert al.a_bytes[a[x]][:1] == b" " == al.b_bytes[b[y]][:1]
         assert sum(len(al.a_bytes[t]) for t in a[:x]) == sum(len(al.b_bytes[t]) for t in b[:y])
 
 
+def test_ranks_give_the_ids_of_the_file_on_settled_characters():
+    al = alignment.Aligner(open(A, "rb").read(), open(B, "rb").read())
+    assert al.fast is not None
+    near = ["", " ", "  ", "a", "1", "'", "\n", "é"]
+    texts = [" " + x + chr(c) + y for c in range(0x250) for x in near for y in near]
+    assert not any(alignment.SETTLED.search(t) for t in texts) and alignment.SETTLED.search("\u0250")
+    made = al.a.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.ids for x in made] == [al.fast.encode_ordinary(t) for t in texts]
+
+
+def test_shuffled_join_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(HARD)), SCHEMA)
+    monkeypatch.setattr(alignment, "SMALL_PAIRS", -1)
+    got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in alignment.align(docs, A, B).collect()}
+    assert [got[k] for k in range(len(HARD))] == plain(HARD)
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None), (None, None)]])
 def test_edges(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS rid", "2 AS pairs", "3 AS n_a", "4 AS row", "5 AS aligned")
