@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import free_name, stored
 
 #: Windows of a generation of the memo: when a generation is full, the one before it goes (results do not change).
+#: A worker keeps the memo from task to task: at most two generations of about 60 MB.
 MEMO_WINDOWS = 200_000
 #: Windows of more tokens are not memoised.
 MEMO_TOKENS = 32
@@ -111,13 +112,14 @@ class Aligner:
         self._windows: dict[tuple[bytes, bytes], tuple[bytes, int, bytes]] = {}
         self._earlier: dict[tuple[bytes, bytes], tuple[bytes, int, bytes]] = {}
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[int]]]:
         """Ids of A and B of each text."""
         b = self.b.encode(texts, num_threads=1)
-        a: list = [None if self.fast is None or SETTLED.search(t) else self.fast.encode_ordinary(" " + t) for t in texts]
+        a: list = [None if self.fast is None or SETTLED.search(t) else
+                   self.fast.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
         rest = [k for k, ids in enumerate(a) if ids is None]
         for k, made in zip(rest, self.a.encode_batch_fast([" " + texts[k] for k in rest], add_special_tokens=False)):
-            a[k] = made.ids
+            a[k] = np.array(made.ids, dtype=np.uint32)
         return list(zip(a, b))
 
     def anchors(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +127,11 @@ class Aligner:
         a_start = np.cumsum(self._a_size[a]) - self._a_size[a]
         b_start = np.cumsum(self._b_size[b]) - self._b_size[b]
         a_marked, b_marked = np.flatnonzero(self._a_space[a]), np.flatnonzero(self._b_space[b])
-        _, i, k = np.intersect1d(a_start[a_marked], b_start[b_marked], assume_unique=True, return_indices=True)
-        i, k = a_marked[i], b_marked[k]
+        a_at, b_at = a_start[a_marked], b_start[b_marked]  # both ascend
+        k = np.searchsorted(b_at, a_at)
+        shared = k < len(b_at)
+        shared[shared] = b_at[k[shared]] == a_at[shared]
+        i, k = a_marked[shared], b_marked[k[shared]]
         first = [] if len(i) and not i[0] and not k[0] else [0]  # the document begins a window
         return np.concatenate([first, i, [len(a)]]).astype(np.int64), np.concatenate([first, k, [len(b)]]).astype(np.int64)
 
@@ -177,15 +182,15 @@ class Aligner:
                 open_b = sizes_b[y]
                 of_b += "," + names[y]
 
-    def document(self, text: str, a: list[int], b: list[int], groups: bool = False) -> tuple:
+    def document(self, text: str, a: np.ndarray, b: list[int], groups: bool = False) -> tuple:
         """The columns of SCHEMA for one text and its ids."""
         whole = b" " + text.encode("utf-8")
         of_a, of_b = self.a_bytes, self.b_bytes
-        if b"".join([of_a[x] for x in a]) != whole or b"".join([of_b[x] for x in b]) != whole:
+        if b"".join([of_a[x] for x in a.tolist()]) != whole or b"".join([of_b[x] for x in b]) != whole:
             return NONE
-        ids_a, ids_b = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
-        at_a, at_b = [(4 * x).tolist() for x in self.anchors(ids_a, ids_b)]
-        raw_a, raw_b = ids_a.tobytes(), ids_b.tobytes()
+        ids_b = np.array(b, dtype=np.uint32)
+        at_a, at_b = [(4 * x).tolist() for x in self.anchors(a, ids_b)]
+        raw_a, raw_b = a.tobytes(), ids_b.tobytes()
         made = []
         for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:]):
             key = raw_a[i:j], raw_b[k:m]
@@ -196,10 +201,6 @@ class Aligner:
         return (len(a), len(b), sum([x[1] for x in made]), len(links), hashlib.sha256(written).hexdigest(),
                 pairs, times.astype(np.int32), written.decode() if groups else None)
 
-    def forget(self) -> None:
-        """Empty the memo."""
-        self._windows, self._earlier = {}, {}
-
 
 NONE = (0, 0, 0, 0, "", np.array([], dtype=np.int64), np.array([], dtype=np.int32), None)
 
@@ -244,17 +245,14 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, text: str = "text", group
     @F.pandas_udf(SCHEMA)
     def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         aligner = shared_aligner(*files.value)
-        try:
-            for batch in batches:
-                texts = batch.tolist()
-                rows = [NONE] * len(texts)
-                for together in calls(texts):
-                    for k, (a, b) in zip(together, aligner.encode([texts[k] for k in together])):
-                        rows[k] = aligner.document(texts[k], a, b, groups)
-                yield pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=object if i > 3 else "int64")
-                                    for i, name in enumerate(names)})
-        finally:
-            aligner.forget()
+        for batch in batches:
+            texts = batch.tolist()
+            rows = [NONE] * len(texts)
+            for together in calls(texts):
+                for k, (a, b) in zip(together, aligner.encode([texts[k] for k in together])):
+                    rows[k] = aligner.document(texts[k], a, b, groups)
+            yield pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=object if i > 3 else "int64")
+                                for i, name in enumerate(names)})
 
     return docs.withColumn("aligned", aligned(F.col(text)))
 

@@ -106,7 +106,7 @@ def test_windows_begin_at_shared_spaces():
     al = alignment.Aligner(open(A, "rb").read(), open(B, "rb").read())
     import numpy as np
     (a, b), = al.encode(["several plain words follow"])
-    i, k = [x.tolist() for x in al.anchors(np.array(a), np.array(b))]
+    i, k = [x.tolist() for x in al.anchors(a, np.array(b))]
     assert i[0] == k[0] == 0 and i[-1] == len(a) and k[-1] == len(b) and len(i) == 5
     for x, y in zip(i[:-1], k[:-1]):
         assert al.a_bytes[a[x]][:1] == b" " == al.b_bytes[b[y]][:1]
