@@ -21,11 +21,11 @@ aligned and counted each on their own.  Texts of any length are handled whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import free_name, stored
 
-#: Windows of a generation of the memo: when a generation is full, the one before it goes (results do not change).
-#: A worker keeps the memo from task to task: at most two generations of about 60 MB.
-MEMO_WINDOWS = 200_000
+#: Windows in the memo at most, about (300 bytes each); a full memo is emptied (results do not change), as is any at the
+#: end of a task.
+MEMO_WINDOWS = 50_000
 #: Windows of more tokens are not memoised.
 MEMO_TOKENS = 32
 #: Texts without a code point beyond these are cut into words alike by all versions of the Unicode tables.
@@ -46,6 +46,8 @@ SETTLED = re.compile("[^\x00-\u024f]")
 CALL_CHARS = 500_000
 #: A table of more id pairs than this (24 bytes each) is joined by a shuffle instead of being sent to all executors.
 SMALL_PAIRS = 2_000_000
+#: Stands between the ids of A and of B in a packed window; no id is as large.
+BORDER = 2 ** 32 - 1
 SPACE_MARK = "▁"
 
 SCHEMA = ("n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -104,13 +106,13 @@ class Aligner:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else
                                 piece.replace(SPACE_MARK, " ").encode("utf-8"))
         self.n_b = len(self.b_bytes)
-        self._a_len, self._b_len = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self._a_size, self._b_size = np.array(self._a_len), np.array(self._b_len)
+        self._a_size = np.array([len(x) for x in self.a_bytes])
+        self._b_size = np.array([len(x) for x in self.b_bytes])
         self._a_space = np.array([x[:1] == b" " for x in self.a_bytes])
         self._b_space = np.array([x[:1] == b" " for x in self.b_bytes])
-        self._names = [str(k) for k in range(max(len(self.a_bytes), self.n_b))]
-        self._windows: dict[tuple[bytes, bytes], tuple[bytes, int, bytes]] = {}
-        self._earlier: dict[tuple[bytes, bytes], tuple[bytes, int, bytes]] = {}
+        # written ids with what stands before them: inside a group, before a group, between A and B, before a window
+        self._names = [mark + str(k) for mark in ",;|\n" for k in range(max(len(self.a_bytes), self.n_b))]
+        self._windows: dict[bytes, tuple[bytes, int, bytes]] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[int]]]:
         """Ids of A and B of each text."""
@@ -135,72 +137,96 @@ class Aligner:
         first = [] if len(i) and not i[0] and not k[0] else [0]  # the document begins a window
         return np.concatenate([first, i, [len(a)]]).astype(np.int64), np.concatenate([first, k, [len(b)]]).astype(np.int64)
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[bytes, int, bytes]:
-        """Groups as text, their number, and the packed codes of the links (A id times B's size, plus B id)."""
-        known = self._earlier.get(key)
-        if known is None:
-            known = self._align(memoryview(key[0]).cast("I").tolist(), memoryview(key[1]).cast("I").tolist())
-            if len(key[0]) + len(key[1]) > 4 * MEMO_TOKENS:
-                return known
-        if len(self._windows) >= MEMO_WINDOWS:
-            self._earlier, self._windows = self._windows, {}
-        self._windows[key] = known
-        return known
-
-    def _align(self, a: list[int], b: list[int]) -> tuple[bytes, int, bytes]:
-        names, n_b = self._names, self.n_b
-        if len(a) == 1 or len(b) == 1:
-            links = [x * n_b + y for x in a for y in b]
-            return (",".join([names[x] for x in a]) + "|" + ",".join([names[x] for x in b])).encode(), 1, array(
-                "q", links).tobytes()
-        sizes_a, sizes_b = self._a_len, self._b_len
-        groups, links = [], []
-        i = k = 0
-        x, y = a[0], b[0]
-        open_a, open_b = sizes_a[x], sizes_b[y]  # bytes of the two tokens that are not passed yet
-        of_a, of_b = names[x], names[y]
-        while True:
-            links.append(x * n_b + y)
-            if open_a == open_b:
-                groups.append(of_a + "|" + of_b)
-                i, k = i + 1, k + 1
-                if i == len(a):
-                    return ";".join(groups).encode(), len(groups), array("q", links).tobytes()
-                x, y = a[i], b[k]
-                open_a, open_b = sizes_a[x], sizes_b[y]
-                of_a, of_b = names[x], names[y]
-            elif open_a < open_b:
-                open_b -= open_a
-                i += 1
-                x = a[i]
-                open_a = sizes_a[x]
-                of_a += "," + names[x]
-            else:
-                open_a -= open_b
-                k += 1
-                y = b[k]
-                open_b = sizes_b[y]
-                of_b += "," + names[y]
-
-    def document(self, text: str, a: np.ndarray, b: list[int], groups: bool = False) -> tuple:
-        """The columns of SCHEMA for one text and its ids."""
+    def _keys(self, text: str, a: np.ndarray, b: list[int]) -> list[bytes] | None:
+        """The windows of a text as packed id tuples (ids of A, a border, ids of B).
+
+        None if the tokens do not give back space + text.  A's tokens are byte strings cut from it in order, so it
+        is enough that their sizes add up.
+        """
         whole = b" " + text.encode("utf-8")
-        of_a, of_b = self.a_bytes, self.b_bytes
-        if b"".join([of_a[x] for x in a.tolist()]) != whole or b"".join([of_b[x] for x in b]) != whole:
-            return NONE
-        ids_b = np.array(b, dtype=np.uint32)
-        at_a, at_b = [(4 * x).tolist() for x in self.anchors(a, ids_b)]
-        raw_a, raw_b = a.tobytes(), ids_b.tobytes()
-        made = []
-        for i, j, k, m in zip(at_a, at_a[1:], at_b, at_b[1:]):
-            key = raw_a[i:j], raw_b[k:m]
-            made.append(self._windows.get(key) or self._window(key))
+        of_b = self.b_bytes
+        if b"".join([of_b[x] for x in b]) != whole or int(self._a_size[a].sum()) != len(whole):
+            return None
+        b = np.array(b, dtype=np.uint32)
+        at_a, at_b = self.anchors(a, b)
+        window = np.arange(len(at_a) - 1)
+        packed = np.full(len(a) + len(b) + len(window), BORDER, dtype=np.uint32)
+        packed[np.arange(len(a)) + np.repeat(at_b[:-1] + window, np.diff(at_a))] = a
+        packed[np.arange(len(b)) + np.repeat(at_a[1:] + window + 1, np.diff(at_b))] = b
+        raw = packed.tobytes()
+        at = (4 * (at_a + at_b + np.arange(len(at_a)))).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:])]
+
+    def _learn(self, keys: list[bytes]) -> None:
+        """Aligns windows, all at once, and notes for each: groups as text, their number, packed codes of the links.
+
+        The windows are laid end to end.  Every end of a token closes one link; every shared end closes a group,
+        whose tokens of A are written before those of B.  A link's code is A id times B's size, plus B id.
+        """
+        packed = np.frombuffer(b"".join(keys), dtype=np.uint32).astype(np.int64)
+        to = np.cumsum([len(k) // 4 for k in keys])
+        border = np.flatnonzero(packed == BORDER)
+        in_a = np.repeat(np.tile([True, False], len(keys)), np.diff(np.stack([border, to], axis=1).ravel(), prepend=0))
+        a = packed[in_a & (packed != BORDER)]
+        b = packed[~in_a & (packed != BORDER)]
+        last_a = np.cumsum(border - np.concatenate([[0], to[:-1]])) - 1  # last token of each window
+        ends_a, ends_b = np.cumsum(self._a_size[a]), np.cumsum(self._b_size[b])
+        meets = np.searchsorted(ends_b, ends_a)
+        shared_a = ends_b[meets] == ends_a
+        shared_b = np.zeros(len(b), dtype=bool)
+        shared_b[meets[shared_a]] = True
+
+        at = np.sort(np.concatenate([ends_a, ends_b[~shared_b]]))
+        codes = a[np.searchsorted(ends_a, at)] * self.n_b + b[np.searchsorted(ends_b, at)]
+        to = np.searchsorted(at, ends_a[last_a], side="right").tolist()
+        raw = codes.tobytes()
+
+        closed = np.cumsum(shared_a)
+        group_a, group_b = closed - shared_a, np.cumsum(shared_b) - shared_b
+        upto_a, upto_b = np.flatnonzero(shared_a) + 1, np.concatenate([[0], np.flatnonzero(shared_b) + 1])
+        first_a, first_b = np.ones(len(a), dtype=bool), np.ones(len(b), dtype=bool)
+        first_a[1:], first_b[1:] = shared_a[:-1], shared_b[:-1]
+        mark_a, mark_b = np.where(first_a, 1, 0), np.where(first_b, 2, 0)
+        mark_a[0] = 3
+        mark_a[last_a[:-1] + 1] = 3
+        written = np.empty(len(a) + len(b), dtype=np.int64)
+        n = len(self._names) // 4
+        written[np.arange(len(a)) + upto_b[group_a]] = mark_a * n + a
+        written[np.arange(len(b)) + upto_a[group_b]] = mark_b * n + b
+        names = self._names
+        texts = "".join([names[k] for k in written.tolist()]).encode("ascii")[1:].split(b"\n")
+        many = np.diff(closed[last_a], prepend=0).tolist()
+        self._windows.update(zip(keys, zip(texts, many, [raw[8 * i:8 * j] for i, j in zip([0, *to], to)])))
+
+    def documents(self, texts: list[str], groups: bool = False) -> list[tuple]:
+        """The columns of SCHEMA for each text."""
+        if len(self._windows) > MEMO_WINDOWS:
+            self._windows.clear()
+        coded = self.encode(texts)
+        cut = [self._keys(text, a, b) for text, (a, b) in zip(texts, coded)]
+        known = self._windows
+        found = [keys and list(map(known.get, keys)) for keys in cut]
+        unknown = dict.fromkeys([k for keys, have in zip(cut, found) if keys for k, v in zip(keys, have) if v is None])
+        if unknown:
+            self._learn(list(unknown))
+        rows = [NONE if keys is None else self._row(len(a), len(b), [v or known[k] for k, v in zip(keys, have)], groups)
+                for keys, have, (a, b) in zip(cut, found, coded)]
+        for key in unknown:
+            if len(key) > 4 * MEMO_TOKENS:
+                del known[key]
+        return rows
+
+    def _row(self, n_a: int, n_b: int, made: list[tuple[bytes, int, bytes]], groups: bool) -> tuple:
         written = b";".join([x[0] for x in made])
         links = np.frombuffer(b"".join([x[2] for x in made]), dtype=np.int64)
         pairs, times = np.unique(links, return_counts=True)
-        return (len(a), len(b), sum([x[1] for x in made]), len(links), hashlib.sha256(written).hexdigest(),
+        return (n_a, n_b, sum([x[1] for x in made]), len(links), hashlib.sha256(written).hexdigest(),
                 pairs, times.astype(np.int32), written.decode() if groups else None)
 
+    def forget(self) -> None:
+        """Empty the memo."""
+        self._windows.clear()
+
 
 NONE = (0, 0, 0, 0, "", np.array([], dtype=np.int64), np.array([], dtype=np.int32), None)
 
@@ -245,14 +271,21 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, text: str = "text", group
     @F.pandas_udf(SCHEMA)
     def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         aligner = shared_aligner(*files.value)
-        for batch in batches:
-            texts = batch.tolist()
-            rows = [NONE] * len(texts)
-            for together in calls(texts):
-                for k, (a, b) in zip(together, aligner.encode([texts[k] for k in together])):
-                    rows[k] = aligner.document(texts[k], a, b, groups)
-            yield pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=object if i > 3 else "int64")
-                                for i, name in enumerate(names)})
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and the memo is costly to walk
+        try:
+            for batch in batches:
+                texts = batch.tolist()
+                rows = [NONE] * len(texts)
+                for together in calls(texts):
+                    for k, row in zip(together, aligner.documents([texts[k] for k in together], groups)):
+                        rows[k] = row
+                yield pd.DataFrame({name: pd.Series([r[i] for r in rows], dtype=object if i > 3 else "int64")
+                                    for i, name in enumerate(names)})
+        finally:
+            aligner.forget()
+            if collects:
+                gc.enable()
 
     return docs.withColumn("aligned", aligned(F.col(text)))
 

@@ -91,7 +91,7 @@ def test_memo_and_small_calls_change_nothing(spark, monkeypatch):
     def made():
         al = alignment.Aligner(open(A, "rb").read(), open(B, "rb").read())
         texts = [t for t in HARD if t]
-        return [al.document(t, *ids, groups=True)[:5] for t, ids in zip(texts, al.encode(texts))]
+        return [al.documents([t], groups=True)[0][:5] for t in texts], [r[:5] for r in al.documents(texts)]
 
     whole = made()
     monkeypatch.setattr(alignment, "MEMO_WINDOWS", 3)
