@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import free_name, stored, tidy
 
 #: Windows in the memo at most, about (300 bytes each); a full memo is emptied (results do not change), as is any at the
 #: end of a task.
@@ -268,8 +268,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, text: str = "text", group
     files = docs.sparkSession.sparkContext.broadcast((_read(a_path), _read(b_path)))
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    @F.pandas_udf(SCHEMA)
-    def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         aligner = shared_aligner(*files.value)
         collects = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and the memo is costly to walk
@@ -287,6 +286,10 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, text: str = "text", group
             if collects:
                 gc.enable()
 
+    @F.pandas_udf(SCHEMA)
+    def aligned(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(run)(batches)
+
     return docs.withColumn("aligned", aligned(F.col(text)))
 
 

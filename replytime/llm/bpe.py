@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, tidy
 
 #: Entries of the piece memo and of the pair memo at most; a full memo is emptied (results do not change), and both
 #: are emptied at the end of a task, so that a worker does not hold them while it does other work.
-MEMO_PIECES = 150_000
-MEMO_PAIRS = 200_000
+MEMO_PIECES = 100_000
+MEMO_PAIRS = 100_000
 #: Longer pieces are not memoised.
 MEMO_BYTES = 64
 
@@ -230,8 +230,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(path))
 
-    @F.pandas_udf("ids array<int>, decoded binary")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = shared_bpe(vocabulary.value, pattern)
         try:
             for texts in batches:
@@ -241,6 +240,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         finally:
             bpe.forget()
 
+    @F.pandas_udf("ids array<int>, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(run)(batches)
+
     pair = free_name(docs, "coded")
     return (docs.withColumn(pair, both(F.col(text)))
             .withColumn(ids, F.col(f"{pair}.ids")).withColumn(decoded, F.col(f"{pair}.decoded")).drop(pair))

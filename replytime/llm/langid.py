@@ -29,6 +29,7 @@ first by code point.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash
+from .common import sample_by_hash, tidy
 
 UNKNOWN = "und"
 ORDER = 4
@@ -236,9 +237,13 @@ def detector(docs: DataFrame, model: PpmModel):
     """Column function: text -> struct(lang_pred, score, bits_per_byte)."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield detect(shipped.value, texts.tolist())
+
     @F.pandas_udf(SCHEMA)
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return detect(shipped.value, texts.tolist())
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(run)(batches)
 
     def apply(text: Column) -> Column:
         return predict(text)

@@ -48,7 +48,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, sample_by_hash, stored
+from .common import WORD_PATTERN, free_name, give_back, sample_by_hash, stored, tidy
 from .components import components
 from .shingles import set_key, shingle_sets
 
@@ -82,7 +82,7 @@ def hot_shingles(docs: DataFrame, sample: int = SAMPLE, hot: int = HOT) -> np.nd
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(keys)], names=["h", "key"])
 
-    held = few.select("text").mapInArrow(run, "h long, key long").distinct()
+    held = few.select("text").mapInArrow(tidy(run), "h long, key long").distinct()
     found = held.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("h").collect()
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
@@ -111,7 +111,7 @@ GROUP = 1000
 
 
 def _dealt_short(keys: list[int], held: list[np.ndarray], bins: int) -> list[tuple[int, bytes, bytes, bytes]]:
-    """Rows (bin, upper hash halves, places of the keys, keys): 6 bytes a shingle and a list of keys.
+    """Rows (bin, upper hash halves, places of the keys, keys): 6 bytes a shingle and 8 a key that occurs in the bin.
 
     Half a hash within a bin may meet another's, which only lets a document
     stay that could have left: the next step compares whole hashes.
@@ -121,13 +121,16 @@ def _dealt_short(keys: list[int], held: list[np.ndarray], bins: int) -> list[tup
         part = held[a:a + GROUP]
         flat = np.concatenate(part)
         place = np.repeat(np.arange(len(part), dtype=np.uint16), [len(s) for s in part])
-        table = np.array(keys[a:a + GROUP], np.int64).tobytes()
+        table = np.array(keys[a:a + GROUP], np.int64)
         bin_of = (flat % np.uint64(bins)).astype(np.int64)
         order = np.argsort(bin_of, kind="stable")
         half, place, bin_of = (flat[order] >> np.uint64(32)).astype(np.uint32), place[order], bin_of[order]
         at = np.flatnonzero(np.r_[True, bin_of[1:] != bin_of[:-1]]) if len(flat) else np.zeros(0, int)
         for b, e in zip(at.tolist(), [*at[1:].tolist(), len(flat)]):
-            out.append((int(bin_of[b]), half[b:e].tobytes(), place[b:e].tobytes(), table))
+            own = place[b:e]  # ascends
+            new = np.r_[True, own[1:] != own[:-1]]
+            out.append((int(bin_of[b]), half[b:e].tobytes(), (np.cumsum(new) - 1).astype(np.uint16).tobytes(),
+                        table[own[new]].tobytes()))
     return out
 
 
@@ -159,7 +162,7 @@ def points(docs: DataFrame, hot: Broadcast, bins: int) -> DataFrame:
             out += [(None, None, None, None, *r) for r in _dealt_short(list(seen), held, bins)]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, POINTS)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), POINTS)
 
 
 def _shared(h: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,6 +187,7 @@ def crowded(made: DataFrame) -> DataFrame:
                             for places, keys in zip(pdf["places"], pdf["keys"])])
         _, k, _ = _shared(h, k)
         key, n = np.unique(k, return_counts=True)
+        give_back()
         return pd.DataFrame({"key": key, "c": n})
 
     dealt = made.where(F.col("bin").isNotNull()).select("bin", "hashes", "places", "keys")
@@ -234,7 +238,7 @@ def profiles(docs: DataFrame, few: DataFrame, hot: Broadcast, bins: int) -> Data
                 [pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out
                 else [pa.array([], f.type) for f in schema], schema=schema)
 
-    dealt = stored(_texts_of(docs, few).mapInArrow(deal, "key long, n long, bin long, hashes binary, keys binary"))
+    dealt = stored(_texts_of(docs, few).mapInArrow(tidy(deal), "key long, n long, bin long, hashes binary, keys binary"))
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         h, k, df = _shared(np.frombuffer(b"".join(pdf["hashes"]), np.uint64), np.frombuffer(b"".join(pdf["keys"]), np.int64))
@@ -242,6 +246,7 @@ def profiles(docs: DataFrame, few: DataFrame, hot: Broadcast, bins: int) -> Data
         h, k, df = h[order], k[order], df[order]
         at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
         ends = [*at[1:].tolist(), len(k)]
+        give_back()
         return pd.DataFrame({"key": k[at], "hashes": [h[a:b].tobytes() for a, b in zip(at.tolist(), ends)],
                              "df": [df[a:b].astype(np.int32).tobytes() for a, b in zip(at.tolist(), ends)]})
 
@@ -293,7 +298,7 @@ def profiles(docs: DataFrame, few: DataFrame, hot: Broadcast, bins: int) -> Data
 
     rows = bins_found.select("key", "hashes", "df", "n").unionByName(bases)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(
-        gather, "key long, n long, own long, score double, first array<long>, shared array<long>")
+        tidy(gather), "key long, n long, own long, score double, first array<long>, shared array<long>")
 
 
 def _linked(common, n_a, n_b):
@@ -404,16 +409,21 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     _, classes = _groups(docs.select("doc_id", "text"))
     best = classes.groupBy("g").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "key")).alias("b"))
-    kept = best.select(F.col("b.rep").alias("rep__"), F.col("b.key").alias("key__"), F.lit(True).alias("kept__"))
+    rep, key, own, row = (free_name(docs, name) for name in ("rep", "key", "own_key", "row"))
+    kept = best.select(F.col("b.rep").alias(rep), F.col("b.key").alias(key))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([set_key(s) if len(s) else None for s in shingle_sets(texts.tolist())], dtype="Int64")
 
     @F.pandas_udf("long")
-    def key_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([set_key(s) if len(s) else None for s in shingle_sets(texts.tolist())], dtype="Int64")
+    def key_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(run)(batches)
 
     worded = F.coalesce("text", F.lit("")).rlike(WORD_PATTERN)
-    keyed = docs.where(worded).withColumn("set__", key_of(F.col("text")))
-    same = keyed["doc_id"].cast("long").eqNullSafe(kept["rep__"]) & (keyed["set__"] == kept["key__"])
+    keyed = docs.where(worded).withColumn(own, key_of(F.col("text")))
+    same = keyed["doc_id"].cast("long").eqNullSafe(kept[rep]) & (keyed[own] == kept[key])
     # of equal rows each task sends one on
-    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("row__")
-    one = keyed.join(kept, same).groupBy("rep__", "set__").agg(first).select("row__.*")
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(row)
+    one = keyed.join(kept, same).groupBy(rep, own).agg(first).select(f"{row}.*")
     return docs.where(~worded).unionByName(one)

@@ -68,6 +68,54 @@ def test_real_prose_is_kept():
         assert not row[5] and row[6], row
 
 
+def plain_verdict(text):
+    """kept, stated anew: base counts and ratios by their definitions."""
+    n, _, _, _, repeat = plain(text)
+    if n < 50 or 100 * repeat > 50 * n:
+        return False
+    raw = text.encode()
+
+    def ratio(part):
+        return len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
+
+    width = len(raw) / len(text)
+    least, most, top = next((a, b, c) for size, a, b, c in [
+        (256, .30, 1.2, 0), (512, .30, .95, 0), (1024, .30, .90, 0), (2048, .28, .85, .48), (4096, .25, .85, .49),
+        (8192, .23, .80, .505), (16384, .22, .80, .505), (32768, .20, .80, .505), (1 << 60, .15, .80, .505)] if len(raw) < size)
+    chunks = sorted(ratio(raw[k:k + 1024]) for k in range(0, len(raw) - 1023, 1024))
+    middle = chunks[len(chunks) // 2] if chunks else None
+    near = middle is None or .21 <= middle * width and middle <= .75 and top <= chunks[-1] * width
+    return least <= ratio(raw) * width and ratio(raw) <= most and near
+
+
+def test_licenses_are_kept_and_spam_is_rejected():
+    import glob
+    pack = zstandard.ZstdCompressor(level=quality.LEVEL)
+    licenses = [open(f, encoding="utf-8").read() for f in glob.glob("/usr/share/common-licenses/*")]
+    rows = [quality.judge(t, pack) for t in licenses]
+    assert all(r[6] for r in rows if not r[5])
+    rnd = random.Random(9)
+    stems = ["".join(rnd.choice("bcdfghlmnprstv") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4))) for _ in range(4000)]
+    words = rnd.choices(stems, k=700)
+    base64ish = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(6000))
+    for bad in (" ".join(w + "***" for w in words), "%%% ".join(words), " | ".join(words),
+                " ".join(base64ish[k:k + 76] for k in range(0, 6000, 76))):
+        row = quality.judge(bad, pack)
+        assert not row[5] and not row[6], row
+    assert quality.judge(" ".join(words), pack)[6]
+
+
+def test_bands_decide_on_given_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = op9_quality_rules(spark, sf).collect()
+    short = [r for r in rows if len(docs[r.doc_id]) < 20_000]  # the plain count of windows is quadratic
+    assert [r.kept for r in short] == [plain_verdict(docs[r.doc_id]) for r in short]
+    decided = [r.doc_id for r in rows if not r.base_failed and not r.kept]
+    assert len(decided) >= 20 and not any(labels.get(i) == 1 for i in decided)
+
+
 def test_loops_in_wide_scripts_are_rejected():
     pack = zstandard.ZstdCompressor(level=quality.LEVEL)
     for text in (HINDI, RUSSIAN):
