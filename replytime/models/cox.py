@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.distributions import chi2_sf, norm_sf
+from ..operators.prefix import BLOCK, MANY, in_blocks, running
 from .design import Design, build_design, coef_frame, complete_rows, linear_predictor, sym_from_upper, upper_pairs
 from .suffstats import agg_vector, collapse, inv_sym, newton
 
@@ -151,6 +152,11 @@ def cox_frame(df: DataFrame, design: Design, time: str, event: str, keep=()) ->
                        F.col(time).cast("double").alias("time"), F.col(event).cast("int").alias("event"))
 
 
+def _axis(coll: DataFrame) -> list[str]:
+    """The time column, and the block of the time axis where there are blocks."""
+    return [BLOCK, "time"] if BLOCK in coll.columns else ["time"]
+
+
 def per_time_table(coll: DataFrame, beta, p: int, ties: str = "efron") -> DataFrame:
     """Per distinct time: event count, event/at-risk sums of r, r x, r x x' and risk-set sums.
 
@@ -160,7 +166,7 @@ def per_time_table(coll: DataFrame, beta, p: int, ties: str = "efron") -> DataFr
     """
     eta = linear_predictor(beta, p)
     pairs = upper_pairs(p)
-    base = coll.select("time", *[f"x{j}" for j in range(p)], "n_at", "n_ev", eta.alias("eta"),
+    base = coll.select(*_axis(coll), *[f"x{j}" for j in range(p)], "n_at", "n_ev", eta.alias("eta"),
                        F.exp(eta).alias("r"))
     # SQL text: one JVM call per aggregate
     aggs = ["sum(n_ev) AS d", "sum(n_ev * eta) AS seta", "sum(n_at * r) AS a0", "sum(n_ev * r) AS e0"]
@@ -169,12 +175,14 @@ def per_time_table(coll: DataFrame, beta, p: int, ties: str = "efron") -> DataFr
     aggs += [f"sum(n_ev * x{j}) AS sx_{j}" for j in range(p)]
     aggs += [f"sum(n_at * r * x{a} * x{b}) AS a2_{a}_{b}" for a, b in pairs]
     aggs += [f"sum(n_ev * r * x{a} * x{b}) AS e2_{a}_{b}" for a, b in pairs]
-    t = base.groupBy("time").agg(*[F.expr(e) for e in aggs])
-    win = "OVER (ORDER BY time DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    risk = [f"sum(a0) {win} AS S0"]
-    risk += [f"sum(a1_{j}) {win} AS S1_{j}" for j in range(p)]
-    risk += [f"sum(a2_{a}_{b}) {win} AS S2_{a}_{b}" for a, b in pairs]
-    t = t.selectExpr("*", *risk)
+    risk = {"S0": "a0"} | {f"S1_{j}": f"a1_{j}" for j in range(p)} | {f"S2_{a}_{b}": f"a2_{a}_{b}" for a, b in pairs}
+    if BLOCK in coll.columns:
+        # many distinct times: the table is dealt by ranges of time, a time lies in one block
+        t = running(base.groupBy(BLOCK, "time").agg(*[F.expr(e) for e in aggs]), risk, "time", descending=True)
+    else:
+        win = "OVER (ORDER BY time DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        t = base.groupBy("time").agg(*[F.expr(e) for e in aggs]).selectExpr(
+            "*", *[f"sum({e}) {win} AS {name}" for name, e in risk.items()])
     if ties == "breslow":
         d, s0 = F.col("d"), F.col("S0")
         zero = F.lit(0.0)
@@ -197,8 +205,12 @@ def _step_pieces(coll: DataFrame, beta, p: int, ties: str = "efron"):
 
 
 def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None = None,
-            cluster: str | None = None, tol: float = 1e-9, max_iter: int = 100, ties: str = "efron") -> CoxFit:
-    """Cox model by Newton-Raphson with step halving; ``ties`` is "efron" (default) or "breslow"."""
+            cluster: str | None = None, tol: float = 1e-9, max_iter: int = 100, ties: str = "efron",
+            many: int = MANY) -> CoxFit:
+    """Cox model by Newton-Raphson with step halving; ``ties`` is "efron" (default) or "breslow".
+
+    With more than ``many`` distinct times the risk sets are summed in blocks of the time axis.
+    """
     if ties not in ("efron", "breslow"):
         raise ValueError("ties must be 'efron' or 'breslow'")
     design = design or build_design(df, terms, intercept=False)
@@ -214,13 +226,16 @@ def fit_cox(df: DataFrame, time: str, event: str, terms, design: Design | None =
             eager=True)
     else:
         coll = collapse(frame, keys, counts)
+    if coll.select("time").distinct().count() > many:
+        coll = in_blocks(coll, "time")
+        coll_c = coll_c and in_blocks(coll_c, "time")
     # centre the design at its means (as is customary; keeps exp(x'b) moderate)
     mv = agg_vector(coll, [F.sum(F.col("n_at") * F.col(f"x{j}")) for j in range(p)]
                     + [F.sum("n_at"), F.sum("n_ev")])
     n, n_ev = int(mv[p]), int(mv[p + 1])
     means = mv[:p] / mv[p]
     cc = coll.select(*[(F.col(f"x{j}") - F.lit(float(means[j]))).alias(f"x{j}") for j in range(p)],
-                     "time", "n_at", "n_ev")
+                     *_axis(coll), "n_at", "n_ev")
 
     def evaluate(beta):
         ll, u, info = _step_pieces(cc, beta, p, ties)
@@ -249,7 +264,7 @@ def _centred(df: DataFrame, fit: CoxFit, time: str, event: str) -> DataFrame:
                         {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")},
                         checkpoint=False)
     return coll.select(*[(F.col(f"x{j}") - F.lit(float(fit.means[j]))).alias(f"x{j}") for j in range(p)],
-                       "time", "n_at", "n_ev")
+                       *_axis(coll), "n_at", "n_ev")
 
 
 def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark,
@@ -267,8 +282,17 @@ def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark,
     p = fit.design.p
     cc = _centred(df, fit, time, event)
     pt = per_time_table(cc, fit.beta, p, fit.ties)
+    blocked = BLOCK in cc.columns
     w_prev = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    if transform == "km":
+    if transform == "km" and blocked:
+        cnt = running(cc.groupBy(BLOCK, "time").agg(F.sum("n_at").alias("n_at_t"), F.sum("n_ev").alias("n_ev_t")),
+                      {"n_risk": "n_at_t"}, "time", descending=True)
+        step = F.when(F.col("n_ev_t") < F.col("n_risk"), F.ln(F.lit(1.0) - F.col("n_ev_t") / F.col("n_risk"))).otherwise(0.0)
+        gt = running(cnt.withColumn("_step", step), {"_upto": "_step"}, "time").select(
+            "time", (F.lit(1.0) - F.exp(F.col("_upto") - F.col("_step"))).alias("g"))
+    elif transform == "rank" and blocked:
+        gt = running(pt.where(F.col("d") > 0), {"g": F.lit(1.0)}, "time").select("time", "g")
+    elif transform == "km":
         # counts per distinct time -> KM just before t (all rows at risk at t)
         cnt = cc.groupBy("time").agg(F.sum("n_at").alias("n_at_t"), F.sum("n_ev").alias("n_ev_t"))
         w_all = Window.partitionBy(F.lit(0))
@@ -300,8 +324,11 @@ def schoenfeld_test(df: DataFrame, fit: CoxFit, time: str, event: str, spark,
     rows = []
     for j in range(p):
         stat = sg_scaled[j] ** 2 / (dtot * fit.cov[j, j] * sgg)
-        rows.append((fit.design.names[j], float(sg_scaled[j]), float(stat), chi2_sf(float(stat), 1.0)))
-    schema = "term string, sum_g_scaled double, chisq double, p_value double"
+        rows.append((fit.design.names[j], float(sg_scaled[j]), float(stat), 1, chi2_sf(float(stat), 1.0)))
+    # all covariates together: the same sums as one quadratic form
+    total = float(dtot * (sgr @ fit.cov @ sgr) / sgg)
+    rows.append(("GLOBAL", None, total, p, chi2_sf(total, float(p))))
+    schema = "term string, sum_g_scaled double, chisq double, df int, p_value double"
     return spark.createDataFrame(rows, schema)
 
 
@@ -309,7 +336,9 @@ def baseline_hazard(df: DataFrame, fit: CoxFit, time: str, event: str) -> DataFr
     """Efron baseline cumulative hazard H0(t) at the covariate means (per distinct time)."""
     p = fit.design.p
     cc = _centred(df, fit, time, event)
-    pt = per_time_table(cc, fit.beta, p, fit.ties).select("time", "d", F.coalesce(F.col("ef.A0"), F.lit(0.0)).alias("dH"))
+    pt = per_time_table(cc, fit.beta, p, fit.ties).select(*_axis(cc), "d", F.coalesce(F.col("ef.A0"), F.lit(0.0)).alias("dH"))
+    if BLOCK in cc.columns:
+        return running(pt, {"cumhaz": "dH"}, "time").select("time", "d", "cumhaz")
     w = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
     return pt.select("time", "d", F.sum("dH").over(w).alias("cumhaz"))
 
@@ -342,7 +371,7 @@ def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str,
         coll = collapse(frame, [cluster] + [f"x{i}" for i in range(p)] + ["time"],
                         {"n_at": F.count(F.lit(1)).cast("double"), "n_ev": F.sum("event").cast("double")})
     cc = coll.select(cluster, *[(F.col(f"x{j}") - F.lit(float(fit.means[j]))).alias(f"x{j}") for j in range(p)],
-                     "time", "n_at", "n_ev")
+                     *_axis(coll), "n_at", "n_ev")
     pt = per_time_table(cc.drop(cluster), fit.beta, p, fit.ties)
     A0, A1 = F.col("ef.A0"), F.col("ef.A1")
     B0, B1, B2 = F.col("ef.B0"), F.col("ef.B1"), F.col("ef.B2")
@@ -353,11 +382,14 @@ def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str,
         cols[f"xbar_{j}"] = F.when(d > 0, (s1 * A0 - e1 * A1) / d).otherwise(F.lit(0.0))
         cols[f"g_{j}"] = s1 * B0 - e1 * B1
         cols[f"gd_{j}"] = s1 * (B0 - B1) - e1 * (B1 - B2)
-    pt = pt.select("time", *[v.alias(k) for k, v in cols.items()])
-    w = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
-    cum = {"H": F.coalesce(F.sum("A0").over(w), F.lit(0.0))}
-    cum.update({f"G_{j}": F.coalesce(F.sum(f"g_{j}").over(w), F.lit(0.0)) for j in range(p)})
-    pt = pt.withColumns(cum)
+    pt = pt.select(*_axis(cc), *[v.alias(k) for k, v in cols.items()])
+    before = {"H": "A0"} | {f"G_{j}": f"g_{j}" for j in range(p)}  # sums over earlier times
+    if BLOCK in cc.columns:
+        own = {name: F.coalesce(F.col(e), F.lit(0.0)) for name, e in before.items()}
+        pt = running(pt, own, "time").withColumns({name: F.col(name) - e for name, e in own.items()}).drop(BLOCK)
+    else:
+        w = Window.partitionBy(F.lit(0)).orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+        pt = pt.withColumns({name: F.coalesce(F.sum(e).over(w), F.lit(0.0)) for name, e in before.items()})
     rows = cc.join(pt, "time")
     eta = linear_predictor(fit.beta, p)
     r = F.exp(eta)

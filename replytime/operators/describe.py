@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import FEW, exact_quantiles, few_values
+
 
 def _explode_columns(df: DataFrame, cols, by=(), cast="string") -> DataFrame:
     """Long form ``(*by, variable, value)`` in one pass (no union of scans)."""
@@ -15,26 +17,36 @@ def _explode_columns(df: DataFrame, cols, by=(), cast="string") -> DataFrame:
         *by, F.col("kv.variable").alias("variable"), F.col("kv.value").alias("value"))
 
 
-def column_summary(df: DataFrame, cols, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+def column_summary(df: DataFrame, cols, exact: bool = True, accuracy: int = 10000, few: int = FEW) -> DataFrame:
     """min, quartiles (type 7), mean, max and NA count of numeric columns.
 
     One aggregate computes every statistic of every column; the one-row
     result is unpivoted to one row per column.  ``exact`` uses ``percentile``
-    (fine for day counts with few distinct values); at scale on continuous
-    columns use ``exact=False`` (``percentile_approx``).
+    where the columns have few distinct values (``few``, by a first pass in bounded
+    memory), else distributed selection, which gives the same values;
+    ``exact=False`` is ``percentile_approx``.
     """
+    selected = exact and not few_values(df, cols, few=few)
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
+        if selected:
+            q = F.lit(None).cast("array<double>")
+        else:
+            q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
+                 else F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy))
         aggs.append(F.struct(
             F.lit(c).alias("variable"), F.count(F.lit(1)).alias("n"),
             (F.count(F.lit(1)) - F.count(x)).alias("n_na"), F.min(x).alias("min"),
             q.getItem(0).alias("q1"), q.getItem(1).alias("median"), F.avg(x).alias("mean"),
             q.getItem(2).alias("q3"), F.max(x).alias("max")).alias(f"s{len(aggs)}"))
     one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(aggs))])).alias("s")).select("s.*")
+    out = one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(aggs))])).alias("s")).select("s.*")
+    if not selected:
+        return out
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).groupBy("variable").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    return out.drop("q1", "median", "q3").join(q, "variable", "left").select(out.columns)
 
 
 def level_counts(df: DataFrame, cols) -> DataFrame:
@@ -130,8 +142,11 @@ def crosstab_wide(df: DataFrame, a: str, b: str, b_levels) -> DataFrame:
     return wide.fillna(0, subset=list(b_levels))
 
 
-def medians(df: DataFrame, cols) -> DataFrame:
-    """Exact medians (interpolated) of several columns in one pass."""
+def medians(df: DataFrame, cols, few: int = FEW) -> DataFrame:
+    """Exact medians (interpolated) of several columns: one pass where they have few distinct values, else selection."""
+    if not few_values(df, cols, few=few):
+        q = exact_quantiles(df, cols, [0.5])
+        return q.agg(*[F.max(F.when(F.col("variable") == c, F.col("value"))).alias(f"median_{c}") for c in cols])
     return df.agg(*[F.median(F.col(c).cast("double")).alias(f"median_{c}") for c in cols])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..models.suffstats import collapse
+from .quantiles import FEW, exact_quantiles
 
 _SQRT_2PI = math.sqrt(2.0 * math.pi)
 
@@ -35,7 +36,7 @@ def bw_nrd0(n, sd, iqr):
 
 
 def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float = 3.0,
-                support_sd: float = 40.0, exact: bool = True, accuracy: int = 10000) -> DataFrame:
+                support_sd: float = 40.0, exact: bool = True, accuracy: int = 10000, few: int = FEW) -> DataFrame:
     """Gaussian kernel density per group on ``n_grid`` points from min - cut*bw to max + cut*bw.
 
     Rows are reduced to (group, distinct value, count).  Each distinct value
@@ -56,7 +57,9 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
     p1 = vals.groupBy(*by).agg(
         F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
         F.min("x").alias("xmin"), F.max("x").alias("xmax"))
-    if exact:
+    if exact and vals.count() > few:
+        qs = _selected(src, "x", by, [0.25, 0.75])
+    elif exact:
         qs = vals.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("c")).alias("q"))
     else:
         qs = src.groupBy(*by).agg(F.percentile_approx("x", [0.25, 0.75], accuracy).alias("q"))
@@ -99,23 +102,31 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
                       dens.alias("density"), "bw")
 
 
+def _selected(rows: DataFrame, value: str, by, probs) -> DataFrame:
+    """by, q: the exact quantiles of a column as an array, by distributed selection."""
+    q = exact_quantiles(rows, [value], probs, by)
+    return q.groupBy(*by).agg(F.array(*[F.max(F.when(F.col("p") == p, F.col("value"))) for p in probs]).alias("q"))
+
+
 def boxplot_stats(df: DataFrame, value: str, group: str, coef: float = 1.5, exact: bool = True,
-                  accuracy: int = 10000) -> DataFrame:
+                  accuracy: int = 10000, few: int = FEW) -> DataFrame:
     """Median, hinges (type-7 quartiles), whiskers at 1.5 IQR and outlier count per group.
 
     Rows are reduced once to (group, distinct value, count); the quartiles
     (exact, weighted by the counts), whisker ends and outlier count all come
-    from that table and the fences joined to it (one row per group).  With
-    ``exact=False`` the quartiles come from ``percentile_approx`` over the
-    rows instead (for continuous values, whose value table is as large as
-    the data).
+    from that table and the fences joined to it (one row per group).  With more
+    than ``few`` distinct values the quartiles come from distributed selection;
+    with ``exact=False`` from ``percentile_approx`` over the rows.
     """
     x = F.col(value).cast("double")
     src = df.where(x.isNotNull() & F.col(group).isNotNull()).select(group, x.alias("y"))
     # one pass over rows: everything below works on (group, value, count),
     # checkpointed because three branches read it
     vals = collapse(src, [group, "y"], {"c": F.count(F.lit(1))})
-    if exact:
+    if exact and vals.count() > few:
+        q = vals.groupBy(group).agg(F.sum("c").alias("n")).join(
+            _selected(src, "y", [group], [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q"), group)
+    elif exact:
         q = vals.groupBy(group).agg(
             F.sum("c").alias("n"),
             F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c")).alias("_q"))

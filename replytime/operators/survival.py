@@ -4,7 +4,9 @@ Every curve is built the same way: rows are first reduced to one row per
 (group, distinct time) with a partial (map-side) aggregate, so the row count
 that reaches a window is the number of distinct days per group - about a
 hundred here, bounded by the time domain, not by the data.  Windows are
-always partitioned by the group keys.  Neither step collects anything.
+always partitioned by the group keys.  Where the times are continuous, so that
+the table of distinct times grows with the data, running sums work in blocks
+of the time axis instead (``prefix``).  Neither step collects anything.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+from .prefix import BLOCK, MANY, in_blocks, running
 
 Z975 = 1.959963984540054  # standard normal 97.5% quantile
 
@@ -41,33 +45,46 @@ def event_table(pairs: DataFrame, by=(), time="time", event="event") -> DataFram
                                         F.sum(F.col(event)).cast("long").alias("n_event"))
 
 
+def _stored_events(pairs: DataFrame, by, time: str, event: str, many: int) -> tuple[DataFrame, bool]:
+    """The event table, computed once, in blocks of the time axis if it has more than ``many`` rows."""
+    ensure_checkpoint_dir(pairs.sparkSession)
+    ev = event_table(pairs, by, time, event).checkpoint(eager=True)
+    if ev.count() <= many:
+        return ev, False
+    return in_blocks(ev, time, by), True
+
+
 def kaplan_meier(pairs: DataFrame, by=(), time="time", event="event", conf: bool = True,
-                 conf_type: str = "log", events_only: bool = False) -> DataFrame:
+                 conf_type: str = "log", events_only: bool = False, many: int = MANY) -> DataFrame:
     """Kaplan-Meier estimate with Greenwood error and 95% limits.
 
     Output: ``*by, time, n_risk, n_event, n_censor, surv[, std_err, lower, upper]``;
     one row per distinct time (event or censoring) per group, or only the
     event times with ``events_only`` (the printed summary's rows).
-    ``conf_type``: "log" (default), "log-log" or "plain" limits.
+    ``conf_type``: "log" (default), "log-log" or "plain" limits.  With more than
+    ``many`` distinct (group, time) the sums run in blocks.
     """
     if conf_type not in ("log", "log-log", "plain"):
         raise ValueError("conf_type must be 'log', 'log-log' or 'plain'")
-    ev = event_table(pairs, by, time, event)
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w_all = part
-    w_cum = part.orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_prev = part.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    n_risk = F.sum("n_at").over(w_all) - F.coalesce(F.sum("n_at").over(w_prev), F.lit(0))
-    t = ev.withColumn("n_risk", n_risk.cast("long"))
+    ev, blocked = _stored_events(pairs, by, time, event, many)
     d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
     step_ln = F.when(d < n, F.ln(F.lit(1.0) - d / n)).otherwise(F.lit(0.0))
     gw_term = F.when(d < n, d / (n * (n - d))).otherwise(F.lit(0.0))
-    hit_zero = F.max(F.when(d >= n, 1).otherwise(0)).over(w_cum)
-    t = t.withColumns({
-        "_zero": hit_zero,
-        "_lnS": F.sum(step_ln).over(w_cum),
-        "_gw": F.sum(gw_term).over(w_cum),
-    })
+    zero = F.when(d >= n, 1).otherwise(0)
+    if blocked:
+        t = running(ev, {"n_risk": "n_at"}, time, by, descending=True)
+        t = running(t, {"_zero": zero, "_lnS": step_ln, "_gw": gw_term}, time, by)
+        t = t.withColumn("_zero", F.least(F.col("_zero"), F.lit(1))).drop(BLOCK)
+    else:
+        part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+        w_cum = part.orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        w_prev = part.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+        n_risk = F.sum("n_at").over(part) - F.coalesce(F.sum("n_at").over(w_prev), F.lit(0))
+        t = ev.withColumn("n_risk", n_risk.cast("long")).withColumns({
+            "_zero": F.max(zero).over(w_cum),
+            "_lnS": F.sum(step_ln).over(w_cum),
+            "_gw": F.sum(gw_term).over(w_cum),
+        })
     surv = F.when(F.col("_zero") == 1, F.lit(0.0)).otherwise(F.exp("_lnS"))
     out = t.select(*by, F.col(time).alias("time"), "n_risk", "n_event",
                    (F.col("n_at") - F.col("n_event")).alias("n_censor"), surv.alias("surv"),
@@ -129,9 +146,12 @@ def align_curves(curves: dict[str, DataFrame], value: str = "response_rate") ->
     return out
 
 
-def risk_table(pairs: DataFrame, by=(), time="time", event="event") -> DataFrame:
-    """Per (group, distinct time): ``n_risk`` and ``n_event`` (one window over the aggregated table)."""
-    ev = event_table(pairs, by, time, event)
+def risk_table(pairs: DataFrame, by=(), time="time", event="event", many: int = MANY) -> DataFrame:
+    """Per (group, distinct time): ``n_risk`` and ``n_event`` (a running sum over the aggregated table)."""
+    ev, blocked = _stored_events(pairs, by, time, event, many)
+    if blocked:
+        return running(ev, {"n_risk": "n_at"}, time, by, descending=True).select(
+            *by, F.col(time).alias("time"), "n_risk", "n_event")
     part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     at_or_after = part.orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ev.select(*by, F.col(time).alias("time"), F.sum("n_at").over(at_or_after).cast("long").alias("n_risk"),

@@ -55,3 +55,12 @@ def four_waves(spark: SparkSession, sf_dir: str) -> dict[int, DataFrame]:
 def all_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four waves renamed and unioned."""
     return scan.wave_union(four_waves(spark, sf_dir))
+
+
+#: A finely divided reply time (exact in binary): as many distinct values as (day, length of stay).
+FINE_SQL = "(CAST(reply_time AS DOUBLE) + CAST(los AS DOUBLE) / 1024.0E0)"
+
+
+def fine_times(d: DataFrame) -> DataFrame:
+    """The derived table with fine_time, the stand-in for a time that is measured continuously."""
+    return d.withColumn("fine_time", F.col("reply_time").cast("double") + F.col("los").cast("double") / F.lit(1024.0))

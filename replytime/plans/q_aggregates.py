@@ -33,6 +33,26 @@ def column_summary(spark, sf_dir):
     return rounded(D.column_summary(derived(spark, sf_dir), _NUM), 8)
 
 
+_PRICE = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query("column_summary_continuous", sql=" UNION ALL ".join(
+    f"SELECT '{c}' AS variable, count(*) AS n, count(*) - count({c}) AS n_na, round(min(x), 4) AS min, "
+    f"round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.5), 4) AS median, round(avg(x), 4) AS mean, "
+    f"round(quantile_cont(x, 0.75), 4) AS q3, round(max(x), 4) AS max FROM (SELECT {c}, CAST({c} AS DOUBLE) AS x FROM lineitem) s"
+    for c in _PRICE))
+def column_summary_continuous(spark, sf_dir):
+    """The column summary of measured columns (prices), its quartiles by distributed selection."""
+    return rounded(D.column_summary(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _PRICE, few=0), 4)
+
+
+@query("median_continuous", sql="SELECT " + ", ".join(
+    f"round(median(CAST({c} AS DOUBLE)), 4) AS median_{c}" for c in _PRICE) + " FROM lineitem")
+def median_continuous(spark, sf_dir):
+    """Medians of measured columns by distributed selection."""
+    return rounded(D.medians(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), _PRICE, few=0), 4)
+
+
 _CAT = ("outcome", "age_group", "all_gender", "q1", "q74")
 
 

@@ -25,7 +25,7 @@ from ..models.suffstats import collapse
 from ..operators.derive import derive_wave, with_ordered_outcomes
 from ..operators.filters import exclude_trusts
 from ..operators.joins import attach_response_rate, response_rate_by_trust
-from .common import all_waves, derived
+from .common import FINE_SQL, all_waves, derived, fine_times
 from . import oracle_fit as Q
 from .concurrent import run_all
 from .oracle_base import with_derived, with_waves
@@ -468,16 +468,31 @@ _ZPH = [
 ]
 
 
+# the joint test has two degrees of freedom here, whose upper tail is exp(-x / 2)
+_GLOBAL = ("joint AS (SELECT any_value(dtot) * sum(a.v * v.v * b.v) / any_value(sgg.v) AS chisq FROM sgr a "
+           "JOIN m_v v ON v.i = a.i JOIN sgr b ON b.i = v.j, mean_g, sgg)")
+
+
 @query("cox_zph", sql=Q.with_fit(
-    "SELECT term, round(u, 3) AS sum_g_scaled, round(chisq, 5) AS chisq, round(p, 6) AS p_value FROM zq",
-    [*_COX_FIT, Q.names("m", Q.terms_of(Q.TRI)), *_ZPH]))
+    "SELECT term, round(u, 3) AS sum_g_scaled, round(chisq, 5) AS chisq, 1 AS df, round(p, 6) AS p_value FROM zq UNION ALL "
+    "SELECT 'GLOBAL', NULL, round(chisq, 5), 2, round(exp(-chisq / 2), 6) FROM joint",
+    [*_COX_FIT, Q.names("m", Q.terms_of(Q.TRI)), *_ZPH, _GLOBAL]))
 def cox_zph(spark, sf_dir):
-    """Proportional-hazards check (scaled Schoenfeld residuals against time)."""
+    """Proportional-hazards check (scaled Schoenfeld residuals against time), each term and all together."""
     d = derived(spark, sf_dir)
     fit = CX.fit_cox(d, "reply_time", "event", [TRI])
     out = CX.schoenfeld_test(d, fit, "reply_time", "event", spark)
     return out.select("term", F.round("sum_g_scaled", 3).alias("sum_g_scaled"), F.round("chisq", 5).alias("chisq"),
-                      F.round("p_value", 6).alias("p_value"))
+                      "df", F.round("p_value", 6).alias("p_value"))
+
+
+_FINE_FIT = Q.cox("m", Q.TRI, time=FINE_SQL)
+
+
+@query("cox_continuous", sql=Q.with_fit(Q.tidy("m"), [*_FINE_FIT, *Q.estimates("m", Q.terms_of(Q.TRI))]))
+def cox_continuous(spark, sf_dir):
+    """Cox model on a finely divided reply time, the risk sets summed in blocks of the time axis."""
+    return tidy(CX.fit_cox(fine_times(derived(spark, sf_dir)), "fine_time", "event", [TRI], many=0).table(spark))
 
 
 _TRI_ROWS = "(VALUES ('Excellent'), ('Very good'), ('Other')) v(overall_tri)"

@@ -56,6 +56,14 @@ def wave_union(spark, sf_dir):
     return all_waves(spark, sf_dir)
 
 
+@query("select_columns", sql=f"WITH {DERIVED_SQL} SELECT record, q1, q10, q22, q32, q36, q49, q72, q74, "
+       "outcome, mailing1, mailing2, mailing3, daterec FROM inpatient")
+def select_columns(spark, sf_dir):
+    """Projection by a built list of question names plus the time variables."""
+    return scan.select_columns(raw(spark, sf_dir), (1, 10, 22, 32, 36, 49, 72, 74),
+                               extra=("record", "outcome", "mailing1", "mailing2", "mailing3", "daterec"))
+
+
 @query("attach_response_rate", sql=with_derived(
     "SELECT d.record, d.trustcode, round(r.response_rate, 8) AS response_rate FROM d LEFT JOIN "
     "(SELECT trustcode, CAST(count(overall_sat) AS DOUBLE) / count(*) AS response_rate FROM d GROUP BY trustcode) r "

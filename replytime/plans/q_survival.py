@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import survival as S
 from ..operators.derive import derive_wave
-from .common import all_waves, derived
+from .common import FINE_SQL, all_waves, derived, fine_times
 from .oracle_base import km_sql, with_derived, with_waves
 from .registry import query, rounded
 
@@ -54,6 +54,19 @@ def km_overall(spark, sf_dir):
     return rounded(S.kaplan_meier(pairs, by=("curve",)), 8)
 
 
+_FINE_IN = (f"fine_in AS (SELECT time, event FROM (SELECT {FINE_SQL} AS time, event FROM d) f "
+            "WHERE time IS NOT NULL AND event IS NOT NULL)")
+
+
+@query("km_continuous", sql=with_derived(
+    f"SELECT round(time, 8) AS time, n_risk, n_event, n_censor, round(surv, 8) AS surv, {_KM_CONF} FROM km",
+    _FINE_IN + "," + km_sql("fine_in")))
+def km_continuous(spark, sf_dir):
+    """Kaplan-Meier on a finely divided reply time: running sums in blocks of the time axis, no window over all times."""
+    pairs = S.survival_pair(fine_times(derived(spark, sf_dir)), "fine_time", "event")
+    return rounded(S.kaplan_meier(pairs, many=0), 8)
+
+
 @query("km_by_trust", sql=with_derived(
     f"SELECT trustcode, {_KM_COLS} FROM km",
     """km_in AS (SELECT trustcode, CAST(reply_time AS DOUBLE) AS time, event FROM d

@@ -136,7 +136,9 @@ def wave_union(waves: dict[int, DataFrame]) -> DataFrame:
 
 
 def select_columns(df: DataFrame, question_numbers, extra=()) -> DataFrame:
-    """Project by a built name list (``q<i>`` for each number, plus extras)."""
+    """Project by a built name list (``q<i>`` for each number, plus extras); a name the table lacks is refused."""
     wanted = [f"q{i}" for i in question_numbers] + list(extra)
-    present = [c for c in wanted if c in df.columns]
-    return df.select(*present)
+    unknown = [c for c in wanted if c not in df.columns]
+    if unknown:
+        raise ValueError(f"the table has no column {', '.join(unknown)}")
+    return df.select(*wanted)
