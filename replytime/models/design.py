@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Levels that a factor without given levels may have: the normal equations are solved on the driver.
+MOST_LEVELS = 2000
+
+
 @dataclass(frozen=True)
 class Factor:
     """Categorical term; ``levels[0]`` is the reference level."""
@@ -46,8 +50,14 @@ class Design:
 
 
 def discover_levels(df: DataFrame, col: str) -> tuple:
-    """Distinct non-null values, sorted: one coefficient each, so as many as the model can hold."""
-    return tuple(sorted(r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().collect()))
+    """Distinct non-null values, sorted: one coefficient each.
+
+    A column with more than ``MOST_LEVELS`` of them (an id given as a factor by mistake) is refused.
+    """
+    found = df.select(col).where(F.col(col).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{col} has more than {MOST_LEVELS} levels; give them, or use another term")
+    return tuple(sorted(r[0] for r in found))
 
 
 def build_design(df: DataFrame, terms, intercept: bool = True) -> Design:
@@ -101,13 +111,23 @@ def design_frame(df: DataFrame, design: Design, keep=()) -> DataFrame:
 
 
 def linear_predictor(beta, p: int, offset: Column | None = None) -> Column:
-    """sum_j beta_j * x_j as one Column (coefficients are literals)."""
+    """sum_j beta_j * x_j as one Column (coefficients are literals; aliased ones, NaN, add nothing)."""
     eta = F.lit(0.0)
     for j in range(p):
-        eta = eta + F.lit(float(beta[j])) * F.col(f"x{j}")
+        if not np.isnan(beta[j]):
+            eta = eta + F.lit(float(beta[j])) * F.col(f"x{j}")
     return eta if offset is None else eta + offset
 
 
+def linear_score(design: Design, beta) -> Column:
+    """The linear predictor over a table with the model's own columns; aliased coefficients add nothing."""
+    eta = F.lit(0.0)
+    for b, e in zip(beta, design.exprs):
+        if not np.isnan(b):
+            eta = eta + F.lit(float(b)) * e
+    return eta
+
+
 def sym_from_upper(vals, p: int) -> np.ndarray:
     """Symmetric matrix from its upper triangle listed row by row."""
     m = np.zeros((p, p))

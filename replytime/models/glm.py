@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import norm_sf
-from .design import (Design, build_design, coef_frame, complete_rows, linear_predictor, sym_from_upper,
+from .design import (Design, build_design, coef_frame, complete_rows, linear_predictor, linear_score, sym_from_upper,
                      upper_pairs)
-from .suffstats import agg_vector, collapse, inv_sym, newton
+from .suffstats import agg_vector, collapse, expanded, gram, independent, inv_sym, newton
 
 
 @dataclass
@@ -42,10 +42,7 @@ class LogitFit:
         return coef_frame(spark, self.design.names, self.beta, self.se, z, p)
 
     def linear_score(self) -> Column:
-        eta = F.lit(0.0)
-        for b, e in zip(self.beta, self.design.exprs):
-            eta = eta + F.lit(float(b)) * e
-        return eta
+        return linear_score(self.design, self.beta)
 
 
 def _softplus(x: Column) -> Column:
@@ -89,7 +86,11 @@ def fit_logit(df: DataFrame, y: str, success: str, terms, intercept: bool = True
                      (F.col(y) == F.lit(success)).cast("double").alias("y"), w.alias("w"))
     coll = collapse(xf, [f"x{i}" for i in range(p)],
                     {"s": F.sum(F.col("w") * F.col("y")), "m": F.sum("w")})
-    beta, cov, ll, n, it = binomial_newton(coll, p, F.col("s"), F.col("m"))
+    # aliased columns (combinations of earlier ones) leave the fit; their coefficients are NaN
+    kept = independent(gram(coll, p, w="m")[0])
+    inner = coll.select(*[F.col(f"x{j}").alias(f"x{i}") for i, j in enumerate(kept)], "s", "m")
+    beta, cov, ll, n, it = binomial_newton(inner, len(kept), F.col("s"), F.col("m"))
+    beta, cov = expanded(kept, p, beta, cov)
     return LogitFit(design, beta, cov, ll, -2.0 * ll, n, it, success)
 
 

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distributions import t_sf2
-from .design import Design, build_design, coef_frame, complete_rows, linear_predictor
-from .suffstats import agg_vector, gram, inv_sym, solve_sym
+from .design import Design, build_design, coef_frame, complete_rows, linear_predictor, linear_score
+from .suffstats import agg_vector, expanded, gram, independent, inv_sym, solve_sym
 
 
 @dataclass
 class LinearFit:
-    """Fitted (weighted) least squares."""
+    """Fitted (weighted) least squares; coefficients of aliased terms are NaN."""
     design: Design
     beta: np.ndarray
     cov: np.ndarray
@@ -37,10 +37,7 @@ class LinearFit:
 
     def predict(self, df: DataFrame, name: str = "fit") -> DataFrame:
         """Linear score of any DataFrame with the model's columns (a Column sum)."""
-        eta = F.lit(0.0)
-        for b, e in zip(self.beta, self.design.exprs):
-            eta = eta + F.lit(float(b)) * e
-        return df.withColumn(name, eta)
+        return df.withColumn(name, linear_score(self.design, self.beta))
 
 
 def model_frame(df: DataFrame, design: Design, y: str, log_y: bool = False, weights: str | None = None,
@@ -60,20 +57,23 @@ def fit_lm(df: DataFrame, y: str, terms, weights: str | None = None, log_y: bool
     """Least squares of ``y`` (or ``log y``) on the design.
 
     One aggregate gives X'WX and X'Wy, a second the residual and total sums of
-    squares around the fit.
+    squares around the fit.  A column that is a linear combination of earlier ones is aliased: its coefficient,
+    error and covariances are NaN (NULL in the table), and the fit is that without it.
     """
     design = design or build_design(df, terms, intercept)
     p = design.p
     mf = model_frame(df, design, y, log_y, weights)
     xtx, xty, yty, sw, n = gram(mf, p, "y", "w")
-    beta = solve_sym(xtx, xty)
+    kept = independent(xtx)
+    inner = xtx[np.ix_(kept, kept)]
+    beta, inverse = expanded(kept, p, solve_sym(inner, xty[kept]), inv_sym(inner))
     ybar = (xty[0] / sw) if intercept else 0.0
     # a second pass sums the residuals themselves: y'Wy - b'X'Wy would lose the digits that cancel
     res = F.col("y") - linear_predictor(beta, p)
     dev = F.col("y") - F.lit(float(ybar))
     rss, tss = agg_vector(mf, [F.sum(F.col("w") * res * res), F.sum(F.col("w") * dev * dev)])
-    df_resid = n - p
+    df_resid = n - len(kept)
     sigma2 = rss / df_resid if df_resid > 0 else float("nan")
-    cov = sigma2 * inv_sym(xtx)
+    cov = sigma2 * inverse
     r2 = 1.0 - rss / tss if tss > 0 else float("nan")
     return LinearFit(design, beta, cov, float(np.sqrt(sigma2)), df_resid, n, r2, rss, log_y)

@@ -56,6 +56,34 @@ def collapse(df: DataFrame, keys: list[str], counts: dict[str, Column], checkpoi
     return out
 
 
+#: A design column whose part outside the columns before it is below this share of its sum of squares is aliased.
+ALIASED = 1e-11
+
+
+def independent(g: np.ndarray, tol: float = ALIASED) -> list[int]:
+    """Numbers of the design columns that are no linear combination of those before them, from their Gram matrix.
+
+    Cholesky in the order of the columns: one whose remaining pivot is below ``tol`` of its own sum of squares
+    is left out, so of aliased terms the first stays.
+    """
+    kept: list[int] = []
+    rows = np.zeros((0, g.shape[0]))
+    for j in range(g.shape[0]):
+        rest = g[j] - rows[:, j] @ rows
+        if g[j, j] > 0 and rest[j] > tol * g[j, j]:
+            kept.append(j)
+            rows = np.vstack([rows, rest / np.sqrt(rest[j])])
+    return kept
+
+
+def expanded(kept: list[int], p: int, beta: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and covariance of all p columns; those of aliased columns are NaN."""
+    b, v = np.full(p, np.nan), np.full((p, p), np.nan)
+    b[kept] = beta
+    v[np.ix_(kept, kept)] = cov
+    return b, v
+
+
 class NotConverged(RuntimeError):
     """An iterative fit found no maximum (separated data, a singular design, too few steps)."""
 

@@ -153,6 +153,34 @@ def lm_multi(spark, sf_dir):
     return tidy(fit.table(spark))
 
 
+# a factor nested in satisfaction: its indicator is a combination of the intercept and the satisfaction terms
+_NESTED = F.when(F.col("overall_tri") == "Excellent", "top").when(F.col("overall_tri").isNotNull(), "below")
+_ALIASED = [Q.ONE, *Q.TRI, *Q.GENDER]
+
+
+def _aliased_sql(fit: list) -> str:
+    body = Q.tidy("m").replace("FROM m_e", "FROM m_e UNION ALL SELECT 'nestedtop', NULL, NULL, NULL, NULL")
+    return Q.with_fit(body, fit)
+
+
+_ALIASED_LM = Q.ols("m", _ALIASED, "CAST(reply_time AS DOUBLE)")
+
+
+@query("lm_aliased", sql=_aliased_sql([*_ALIASED_LM, *Q.estimates(
+    "m", Q.terms_of(_ALIASED), "(SELECT s2 FROM m_q)", f"(SELECT n - {len(_ALIASED)} FROM m_q)")]))
+def lm_aliased(spark, sf_dir):
+    """OLS with a nested factor: its coefficient is NULL, the others are those of the fit without it."""
+    d = derived(spark, sf_dir).withColumn("nested", _NESTED)
+    return tidy(fit_lm(d, "reply_time", [TRI, Factor("nested", ("below", "top")), GENDER]).table(spark))
+
+
+@query("logit_aliased", sql=_aliased_sql([*Q.logit("m", _ALIASED, "early", "Late"), *Q.estimates("m", Q.terms_of(_ALIASED))]))
+def logit_aliased(spark, sf_dir):
+    """Logit of a late reply with a nested factor: its coefficient is NULL."""
+    d = derived(spark, sf_dir).withColumn("nested", _NESTED)
+    return tidy(fit_logit(d, "early", "Late", [TRI, Factor("nested", ("below", "top")), GENDER]).table(spark))
+
+
 _LW_SQL = """
 src AS (SELECT CAST(overall_sat AS DOUBLE) AS y, CAST(reply_time AS DOUBLE) AS x, r.response_rate AS w
         FROM d JOIN (SELECT trustcode, CAST(count(overall_sat) AS DOUBLE) / count(*) AS response_rate

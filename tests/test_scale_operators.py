@@ -53,3 +53,29 @@ def test_running_sums(spark, monkeypatch, descending, by):
     for r in got.collect():
         same = [x for x in rows if (not by or x[0] == r.g) and (x[1] >= r.t if descending else x[1] <= r.t)]
         assert (r.s, r.n) == (sum(x[2] for x in same), len(same))
+
+
+def test_survival_in_blocks_equals_one_window(spark):
+    from replytime.models import cox as CX
+    from replytime.models.design import Numeric
+    from replytime.operators import survival as S
+    rng = np.random.default_rng(8)
+    rows = [(float(np.round(rng.exponential(), 2)) + 0.01, int(rng.random() < .7), float(rng.normal()), k % 7, "ab"[k % 2])
+            for k in range(800)]
+    df = spark.createDataFrame(rows, "time double, event int, x double, c int, g string")
+    for by in ((), ("g",)):
+        want = {(*[r[k] for k in by], r.time): r for r in S.kaplan_meier(df, by=by).collect()}
+        got = S.kaplan_meier(df, by=by, many=0).collect()
+        assert len(got) == len(want)
+        for r in got:
+            w = want[(*[r[k] for k in by], r.time)]
+            assert (r.n_risk, r.n_event, r.n_censor) == (w.n_risk, w.n_event, w.n_censor)
+            assert np.allclose([r.surv, r.std_err or 0], [w.surv, w.std_err or 0], atol=1e-12)
+        assert {tuple(r) for r in S.risk_table(df, by=by, many=0).collect()} == {tuple(r) for r in S.risk_table(df, by=by).collect()}
+    a, b = (CX.fit_cox(df, "time", "event", [Numeric("x")], cluster="c", many=m) for m in (prefix.MANY, 0))
+    assert np.allclose(a.beta, b.beta, atol=1e-9) and np.allclose(a.cov, b.cov) and np.allclose(a.robust_cov, b.robust_cov)
+    for kind in ("km", "rank", "identity"):
+        x, y = ([tuple(r)[1:] for r in CX.schoenfeld_test(df, f, "time", "event", spark, kind).collect()] for f in (a, b))
+        assert np.allclose(np.array(x, float), np.array(y, float), equal_nan=True, rtol=1e-6)
+    h = [{r.time: r.cumhaz for r in CX.baseline_hazard(df, f, "time", "event").collect()} for f in (a, b)]
+    assert h[0].keys() == h[1].keys() and all(abs(h[0][t] - h[1][t]) < 1e-9 for t in h[0])
