@@ -380,10 +380,10 @@ def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str,
     for j in range(p):
         s1, e1 = F.col(f"S1_{j}"), F.col(f"e1_{j}")
         cols[f"xbar_{j}"] = F.when(d > 0, (s1 * A0 - e1 * A1) / d).otherwise(F.lit(0.0))
-        cols[f"g_{j}"] = s1 * B0 - e1 * B1
+        cols[f"now_{j}"] = s1 * B0 - e1 * B1
         cols[f"gd_{j}"] = s1 * (B0 - B1) - e1 * (B1 - B2)
     pt = pt.select(*_axis(cc), *[v.alias(k) for k, v in cols.items()])
-    before = {"H": "A0"} | {f"G_{j}": f"g_{j}" for j in range(p)}  # sums over earlier times
+    before = {"H": "A0"} | {f"G_{j}": f"now_{j}" for j in range(p)}  # sums over earlier times
     if BLOCK in cc.columns:
         own = {name: F.coalesce(F.col(e), F.lit(0.0)) for name, e in before.items()}
         pt = running(pt, own, "time").withColumns({name: F.col(name) - e for name, e in own.items()}).drop(BLOCK)
@@ -399,7 +399,7 @@ def robust_cov(df: DataFrame, fit: CoxFit, time: str, event: str, cluster: str,
         x = F.col(f"x{j}")
         prior = x * F.col("H") - F.col(f"G_{j}")
         death = (x - F.col(f"xbar_{j}")) - r * (prior + x * F.col("dA") - F.col(f"gd_{j}"))
-        cens = -r * (prior + x * F.col("A0") - F.col(f"g_{j}"))
+        cens = -r * (prior + x * F.col("A0") - F.col(f"now_{j}"))
         u.append(ne * death + nc * cens)
     per = rows.groupBy(cluster).agg(*[F.sum(e).alias(f"u{k}") for k, e in enumerate(u)])
     uu = [F.col(f"u{k}") for k in range(p)]
