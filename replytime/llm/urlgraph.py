@@ -22,6 +22,7 @@ no links.  Repeated pages count once each.
 
 from __future__ import annotations
 
+import math
 import string
 from dataclasses import dataclass
 
@@ -98,9 +99,27 @@ def _steps(edges: DataFrame) -> DataFrame:
     return both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("w") / F.col("out")).alias("p"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 10, follow: float = 0.85,
-              cut_every: int = 5) -> DataFrame:
-    """kind, node, mass: personalised PageRank from seeds (kind, node, mass), both kinds at once."""
+FOLLOW = 0.85
+#: Mass that may still move when the propagation stops.
+TOLERANCE = 1e-12
+
+
+def rounds_for(tolerance: float = TOLERANCE, follow: float = FOLLOW) -> int:
+    """Rounds after which at most `tolerance` of the mass moves.
+
+    A round passes on at most the share `follow` of what moved in the round before, whatever the graph, so
+    the bound holds without measuring it.
+    """
+    return math.ceil(math.log(tolerance) / math.log(follow))
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, follow: float = FOLLOW,
+              cut_every: int = 10) -> DataFrame:
+    """kind, node, mass: personalised PageRank from seeds (kind, node, mass), both kinds at once, to convergence.
+
+    `rounds` is for tests of the single steps.
+    """
+    rounds = rounds_for(TOLERANCE, follow) if rounds is None else rounds
     steps = cut(_steps(edges))
     back = seeds.select("kind", "node", ((1 - follow) * F.col("mass")).alias("mass"))
     rank = seeds
@@ -113,7 +132,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = 10, follow: floa
     return rank
 
 
-def host_scores(pages: DataFrame, rules: list[Rule], rounds: int = 10) -> DataFrame:
+def host_scores(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """host, trust, distrust: ranks divided by the host's share of all pages."""
     counted = cut(parsed(pages, rules).groupBy("host").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("ruled") == "allow", 1)).alias("allow"),
@@ -123,7 +142,7 @@ def host_scores(pages: DataFrame, rules: list[Rule], rounds: int = 10) -> DataFr
                            (F.col("allow") / F.lit(float(allow or 1))).alias("mass")).unionAll(
         counted.select(F.lit("distrust").alias("kind"), F.col("host").alias("node"),
                        (F.col("block") / F.lit(float(block or 1))).alias("mass"))).where(F.col("mass") > 0)
-    rank = propagate(seeds, host_edges(pages, counted), rounds)
+    rank = propagate(seeds, host_edges(pages, counted))
     # what leaves at hosts without edges would start again at the seeds: the same as one common factor
     mass = {r["kind"]: r["m"] for r in rank.groupBy("kind").agg(F.sum("mass").alias("m")).collect()}
     wide = rank.groupBy(F.col("node").alias("host")).agg(
@@ -135,9 +154,9 @@ def host_scores(pages: DataFrame, rules: list[Rule], rounds: int = 10) -> DataFr
                   for c, name in (("t", "trust"), ("d", "distrust"))])
 
 
-def judge(pages: DataFrame, rules: list[Rule], threshold: float = 1.0, rounds: int = 10) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], threshold: float = 1.0) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page."""
-    scores = stored(host_scores(pages, rules, rounds))
+    scores = stored(host_scores(pages, rules))
     blocked = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
     return parsed(pages, rules).join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",

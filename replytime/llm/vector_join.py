@@ -4,14 +4,18 @@ For unit vectors the chord |u - v| is a metric, and cosine >= c means a chord
 of at most r = sqrt(2 - 2c).  Steps:
 
 1.  Rows with equal label and equal components are one point.
-2.  Pivots of every label are drawn by hash (about one for CELL points, at
-    most MAX_PIVOTS); each point's home is the cell of its nearest pivot.
-3.  A point y has its match x in the cell of pivot q only if |y - q| <= R + r,
-    where R is the radius of the cell, and if y's distance to the plane between
-    its home pivot p and q is at most r:
+2.  A cell (at first: a label) with more than CELL points is divided around
+    PIVOTS of its points, drawn by hash.  A point's home is the part of its
+    nearest pivot.  A point y has its match x in the part of pivot q only if
+    |y - q| <= R + r, where R is the radius of the part, and if y's distance to
+    the plane between its nearest pivot p and q is at most r:
     (|y - q|^2 - |y - p|^2) / (2 |p - q|) <= r.  Both follow from the triangle
-    inequality; y is replicated into the cells that pass (to cells of a later
-    number only, so that each pair meets once).
+    inequality; y is replicated into the parts that pass.
+3.  The parts are cells and are divided again, so the number of cells grows with the
+    points and a point only ever meets the PIVOTS of its own cells.  A pair meets
+    once: points at home are replicated to parts of a later number only, replicas
+    to all.  A cell whose parts would hold more than GROWTH times its rows
+    (vectors without structure, all about equally far) stays whole.
 4.  Cells are joined independently with double precision products.  A cell
     with many points is split by a hash: home points in parts, replicas and
     home points in slices, and every part meets every slice, so no task holds
@@ -35,14 +39,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sample_by_hash, stored
+from .common import stored
 from .components import components
 
 CELL = 512
-MAX_PIVOTS = 64
+PIVOTS = 16
+GROWTH = 2.5
+#: Rows of a cell that are measured against its pivots in one task.
+MEASURED = 2048
 PART = 1024
 SLICE = 4096
 
@@ -67,86 +74,110 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=-1, keepdims=True))
 
 
-def pivots_of(pts: DataFrame) -> dict:
-    """(label, length) -> unit pivots; bounded by labels times MAX_PIVOTS vectors."""
-    h = F.xxhash64("rep", F.lit(3))
-    size = F.size("v")
-    group = F.concat_ws(" ", F.col("label").cast("string"), size.cast("string"))
-    sizes = {r["g"]: r["n"] for r in pts.groupBy(group.alias("g")).agg(F.count("*").alias("n")).collect()}
-    out: dict[str, list] = {}
-    for r in sample_by_hash(pts, h, MAX_PIVOTS, group).select(group.alias("g"), h.alias("h"), "v").collect():
-        out.setdefault(r["g"], []).append((r["h"], r["v"]))
-    made = {}
-    for g, found in out.items():
-        k = min(MAX_PIVOTS, max(1, -(-sizes[g] // CELL)))
-        made[g] = _unit(np.array([v for _, v in sorted(found)[:k]], float))
-    return made
+CELLS = "g string, cell string, home boolean, point long, v array<double>, copies long"
 
 
-HOMES = "point long, g string, cell int, d double, v array<double>, copies long"
-
-
-def homes(pts: DataFrame, pivots: dict) -> DataFrame:
-    """point, g, cell (of the nearest pivot), d (chord to it) and the unit vector."""
-    shipped = pts.sparkSession.sparkContext.broadcast(pivots)
+def labels(pts: DataFrame) -> DataFrame:
+    """CELLS with a cell for each label and length; v is the unit vector."""
     group = F.concat_ws(" ", F.col("label").cast("string"), F.size("v").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, g, v, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                u = _unit(np.array(v, float))
-                p = shipped.value.get(g)
-                d = np.sqrt(((p - u) ** 2).sum(axis=1)) if p is not None else np.zeros(1)
-                at = int(d.argmin())
-                out.append((i, g, at, float(d[at]), u.tolist(), n))
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.list_(pa.float64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)],
-                                             names=["point", "g", "cell", "d", "v", "copies"])
-
-    return pts.select("point", group.alias("g"), "v", "copies").mapInArrow(run, HOMES)
-
-
-def cells(home: DataFrame, pivots: dict, cosine: float) -> DataFrame:
-    """g, cell, part, slice, home, point, v: home points and replicas, split where a cell has many."""
+            units = [_unit(np.array(v, float)) for v in batch.column(4).to_pylist()]
+            columns = [*batch.columns[:4], pa.array(units, pa.list_(pa.float64())), batch.column(5)]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CELLS.split(", ")])
+
+    return pts.select(group.alias("g"), F.lit("").alias("cell"), F.lit(True).alias("home"), "point", "v", "copies").mapInArrow(
+        run, CELLS)
+
+
+def _distances(rows: DataFrame, pivots: DataFrame) -> DataFrame:
+    """CELLS with at (number of the nearest pivot) and d (chords to all pivots of the cell, in their order)."""
+
+    def measure(points_: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        p = np.stack(around.sort_values("k")["pivot"].to_list())
+        v = np.stack(points_["v"].to_list())
+        d = np.sqrt(((v[:, None, :] - p[None, :, :]) ** 2).sum(axis=2)) if len(v) * p.size < 1 << 22 else np.stack(
+            [np.sqrt(((v - x) ** 2).sum(axis=1)) for x in p], axis=1)
+        return points_.drop(columns="bucket").assign(at=d.argmin(axis=1), d=list(d))
+
+    sizes = pivots.groupBy("g", "cell").agg(F.first("buckets").alias("buckets"))
+    dealt = rows.join(sizes, ["g", "cell"]).withColumn("bucket", F.pmod(F.xxhash64("point", "home", F.lit(4)), "buckets")).drop("buckets")
+    sent = pivots.select("g", "cell", "k", F.col("v").alias("pivot"), F.explode(
+        F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)).alias("bucket"))
+    keys = ["g", "cell", "bucket"]
+    return dealt.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(measure, CELLS + ", at long, d array<double>")
+
+
+def _parts(measured: DataFrame, pivots: DataFrame, r: float) -> DataFrame:
+    """CELLS of the parts: each point at home with its nearest pivot, and its replicas."""
+    table = pivots.select("g", "cell", "k", "v")
+    other = table.select("g", "cell", F.col("k").alias("k2"), F.col("v").alias("v2"))
+    chord = F.sqrt(F.aggregate(F.zip_with("v", "v2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    between = table.join(other, ["g", "cell"]).groupBy("g", "cell", "k").agg(
+        F.sort_array(F.collect_list(F.struct("k2", chord.alias("c")))).alias("row")).select(
+        "g", "cell", F.col("k").alias("at"), F.col("row.c").alias("between"))
+    radii = measured.where("home").groupBy("g", "cell", "at").agg(F.max(F.element_at("d", (F.col("at") + 1).cast("int"))).alias("radius"))
+    radius = radii.groupBy("g", "cell").agg(F.map_from_entries(F.collect_list(F.struct("at", "radius"))).alias("radius"))
+    here = measured.join(between, ["g", "cell", "at"]).join(radius, ["g", "cell"])
+    near = F.element_at("d", (F.col("at") + 1).cast("int"))
+
+    def goes(q: Column) -> Column:
+        to = F.element_at("d", (q + 1).cast("int"))
+        reach = F.col("radius")[q]
+        plane = to * to - near * near <= 2 * F.element_at("between", (q + 1).cast("int")) * r + 1e-9
+        other_side = reach.isNotNull() & (to <= reach + r) & plane
+        return (F.col("home") & (q == F.col("at"))) | (other_side & (~F.col("home") | (q > F.col("at"))))
+
+    to = F.filter(F.sequence(F.lit(0).cast("long"), F.size("d").cast("long") - 1), goes)
+    return here.select("g", "cell", "home", "at", "point", "v", "copies", F.explode(to).alias("q")).select(
+        "g", F.col("cell").alias("parent"), F.concat_ws("/", "cell", F.col("q").cast("string")).alias("cell"),
+        (F.col("home") & (F.col("q") == F.col("at"))).alias("home"), "point", "v", "copies")
+
+
+def divided(rows: DataFrame, cosine: float) -> DataFrame:
+    """CELLS divided around pivots until a cell has at most CELL points or cannot be divided."""
     r = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
-    filled = home.groupBy("g", "cell").agg(F.max("d").alias("radius"), F.count("*").alias("n"))
-    radii: dict[str, dict[int, float]] = {}
-    for row in filled.collect():  # at most MAX_PIVOTS rows a label and length
-        radii.setdefault(row["g"], {})[row["cell"]] = row["radius"]
-    shipped = home.sparkSession.sparkContext.broadcast((pivots, radii))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, radius = shipped.value
-        for batch in batches:
-            out = []
-            for i, g, c, v, n in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5))):
-                out.append((g, c, True, i, v, n))
-                p = known.get(g)
-                if p is None or len(p) < 2:
-                    continue
-                d2 = ((p - np.array(v)) ** 2).sum(axis=1)
-                between = np.sqrt(((p - p[c]) ** 2).sum(axis=1))
-                for q in range(c + 1, len(p)):
-                    if q in radius[g] and np.sqrt(d2[q]) <= radius[g][q] + r and (
-                            d2[q] - d2[c] <= 2 * between[q] * r + 1e-9):
-                        out.append((g, q, False, i, v, n))
-            kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)],
-                                             names=["g", "cell", "home", "point", "v", "copies"])
-
-    dealt = home.mapInArrow(run, "g string, cell int, home boolean, point long, v array<double>, copies long")
-    dealt = stored(dealt)
-    many = dealt.groupBy("g", "cell").agg(
+    finished, level = [], 0
+    now = stored(rows)
+    while True:
+        sizes = now.groupBy("g", "cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("at_home"))
+        large = stored(sizes.where((F.col("n") > CELL) & (F.col("at_home") > 1)).select("g", "cell", "n"))
+        if large.isEmpty():
+            return _union([*finished, now])
+        finished.append(now.join(large, ["g", "cell"], "left_anti"))
+        rest = now.join(large, ["g", "cell"])
+        order = Window.partitionBy("g", "cell").orderBy(F.xxhash64("point", F.lit(level)), "point")
+        pivots = stored(rest.where("home").withColumn("k", (F.row_number().over(order) - 1).cast("long")).where(
+            F.col("k") < PIVOTS).select("g", "cell", "k", "v", F.ceil(F.col("n") / MEASURED).alias("buckets")))
+        measured = stored(_distances(rest.drop("n"), pivots))
+        parts = stored(_parts(measured, pivots, r))
+        grown = parts.groupBy("g", F.col("parent").alias("cell")).agg(F.count("*").alias("m"))
+        whole = stored(large.join(grown, ["g", "cell"]).where(F.col("m") > GROWTH * F.col("n")).select("g", "cell"))
+        finished.append(rest.drop("n").join(whole, ["g", "cell"], "left_semi"))
+        now = stored(parts.join(whole.withColumnRenamed("cell", "parent"), ["g", "parent"], "left_anti").drop("parent"))
+        level += 1
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    return every
+
+
+def blocks(cells: DataFrame) -> DataFrame:
+    """Rows of both sides of every block: a cell's points at home in parts, all its points in slices."""
+    many = cells.groupBy("g", "cell").agg(
         F.ceil(F.count(F.when(F.col("home"), 1)) / PART).alias("parts"), F.ceil(F.count("*") / SLICE).alias("slices"))
-    split = dealt.join(many, ["g", "cell"])
+    split = cells.join(many, ["g", "cell"])
     part = F.pmod(F.xxhash64("point", F.lit(1)), "parts")
     piece = F.pmod(F.xxhash64("point", F.lit(2)), "slices")
     last = F.lit(0).cast("long")
     left = split.where("home").select("g", "cell", part.alias("part"), F.explode(
         F.sequence(last, F.col("slices") - 1)).alias("slice"), F.lit(True).alias("left"), "home", "point", "v", "copies")
-    right = split.select("g", "cell", F.explode(F.sequence(last, F.col("parts") - 1)).alias("part"),
-                         piece.alias("slice"), F.lit(False).alias("left"), "home", "point", "v", "copies")
+    right = split.where("parts > 0").select("g", "cell", F.explode(F.sequence(last, F.col("parts") - 1)).alias("part"),
+                                            piece.alias("slice"), F.lit(False).alias("left"), "home", "point", "v", "copies")
     return left.unionByName(right)
 
 
@@ -173,10 +204,10 @@ def block_links(x: pd.DataFrame, y: pd.DataFrame, cosine: float) -> pd.DataFrame
     kx, ky = x["point"].to_numpy(), y["point"].to_numpy()
     mx, my = np.stack(x["v"].to_list()), np.stack(y["v"].to_list())
     dots = mx @ my.T
-    linked = (dots >= cosine - 1e-15) & (kx[:, None] != ky[None, :])
+    linked = (dots >= cosine) & (kx[:, None] != ky[None, :])
     # sums in another order may round across the limit: pairs next to it are summed again, one by one
     i, j = np.nonzero(np.abs(dots - cosine) < 1e-12)
-    linked[i, j] = (np.einsum("ij,ij->i", mx[i], my[j]) >= cosine - 1e-15) & (kx[i] != ky[j])
+    linked[i, j] = (np.einsum("ij,ij->i", mx[i], my[j]) >= cosine) & (kx[i] != ky[j])
     cx, cy = x["copies"].to_numpy(), y["copies"].to_numpy()
     replica = ~y["home"].to_numpy()
     nx, ny = linked @ cy, np.where(replica, cx @ linked, 0)
@@ -202,9 +233,7 @@ def vector_join(rows: DataFrame, cosine: float = 0.98) -> DataFrame:
     rows = rows.select(F.col("vec_id").cast("long"), "embedding", "label")
     pts = points(rows)
     pts = stored(pts.withColumn("point", F.xxhash64("label", "v")))
-    pivots = pivots_of(pts)
-    home = stored(homes(pts, pivots))
-    links = stored(cell_links(cells(home, pivots, cosine), cosine))
+    links = stored(cell_links(blocks(stored(divided(labels(pts), cosine))), cosine))
     linked = links.groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("others"))
     group = components(links.select("a", "b")).withColumnRenamed("node", "point")
     named = pts.select("point", "label", "v", "copies", "rep").join(linked, "point", "left").join(

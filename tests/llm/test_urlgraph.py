@@ -79,3 +79,13 @@ def test_empty_table_and_query(spark):
     assert df.count() == n and {r[0] for r in df.select("verdict").distinct().collect()} <= {"allow", "block"}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_chain_of_hosts_converges(spark):
+    """Mass at the end of a chain of 30 hosts: 0.15 * 0.85 ** k, and all of the rest at the last host."""
+    edges = spark.createDataFrame([(f"h{k:02}", f"h{k + 1:02}", 1) for k in range(29)], "src string, dst string, w long")
+    seeds = spark.createDataFrame([("trust", "h00", 1.0)], "kind string, node string, mass double")
+    got = {r["node"]: r["mass"] for r in urlgraph.propagate(seeds, edges).collect()}
+    assert 0.85 ** urlgraph.rounds_for() <= 1e-12
+    for k in range(30):
+        assert got[f"h{k:02}"] == pytest.approx(0.15 * 0.85 ** k, abs=1e-12)

@@ -76,3 +76,32 @@ def test_query(spark):
             for r in spark.read.parquet(f"{SF0001}/embeddings.parquet").collect()]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op10_vector_join(spark, SF0001).collect()}
     assert got == plain(rows)
+
+
+def test_work_of_a_point_is_bounded_in_one_label(spark, monkeypatch):
+    """Near families around many centers: cells stay small however many points a label has."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(vector_join, "CELL", 128)
+    work = {}
+    for n in (1000, 4000, 16000):
+        rng = np.random.default_rng(n)
+        centers = rng.normal(size=(n // 10, 3))
+        v = centers[rng.integers(0, len(centers), n)] + rng.normal(size=(n, 3)) * 0.005
+        rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+        pts = vector_join.points(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+        cells = vector_join.divided(vector_join.labels(pts.withColumn("point", F.xxhash64("label", "v"))), 0.9995)
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.count(F.when(F.col("home"), 1)).alias("h"))
+        total, home = sizes.agg(F.sum(F.col("n") * F.col("h")), F.sum("h")).first()
+        assert home == n
+        work[n] = total / n
+    assert max(work.values()) <= 3 * 128, work
+
+
+def test_many_labels(spark):
+    rows = [(i, [1.0, float(i % 3)], i // 4) for i in range(8000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_join.vector_join(df).collect()}
+    assert len(got) == 8000
+    for k in range(0, 8000, 4):
+        same = [i for i in range(k, k + 4) if i % 3 == k % 3]
+        assert got[k] == (len(same) - 1, k)
