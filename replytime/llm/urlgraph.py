@@ -100,6 +100,8 @@ def _steps(edges: DataFrame) -> DataFrame:
 
 
 FOLLOW = 0.85
+#: Edges that a task of a round follows, about.
+STEPS_A_TASK = 200_000
 #: Mass that may still move when the propagation stops.
 TOLERANCE = 1e-12
 
@@ -120,13 +122,15 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int | None = None, fol
     `rounds` is for tests of the single steps.
     """
     rounds = rounds_for(TOLERANCE, follow) if rounds is None else rounds
-    steps = cut(_steps(edges))
+    # a round is small next to the pages: its tasks are sized by the measured edges, not by the session's partitions
+    steps = stored(_steps(edges))
+    tasks = 1 + steps.count() // STEPS_A_TASK
     back = seeds.select("kind", "node", ((1 - follow) * F.col("mass")).alias("mass"))
     rank = seeds
     for k in range(1, rounds + 1):
         sent = steps.join(rank.withColumnRenamed("node", "src"), ["kind", "src"]).select(
             "kind", F.col("dst").alias("node"), (follow * F.col("mass") * F.col("p")).alias("mass"))
-        rank = back.unionByName(sent).groupBy("kind", "node").agg(F.sum("mass").alias("mass"))
+        rank = back.unionByName(sent).groupBy("kind", "node").agg(F.sum("mass").alias("mass")).coalesce(tasks)
         if k % cut_every == 0 or k == rounds:
             rank = cut(rank)
     return rank
@@ -142,7 +146,7 @@ def host_scores(pages: DataFrame, rules: list[Rule]) -> DataFrame:
                            (F.col("allow") / F.lit(float(allow or 1))).alias("mass")).unionAll(
         counted.select(F.lit("distrust").alias("kind"), F.col("host").alias("node"),
                        (F.col("block") / F.lit(float(block or 1))).alias("mass"))).where(F.col("mass") > 0)
-    rank = propagate(seeds, host_edges(pages, counted))
+    rank = propagate(cut(seeds.coalesce(1 + counted.count() // STEPS_A_TASK)), host_edges(pages, counted))
     # what leaves at hosts without edges would start again at the seeds: the same as one common factor
     mass = {r["kind"]: r["m"] for r in rank.groupBy("kind").agg(F.sum("mass").alias("m")).collect()}
     wide = rank.groupBy(F.col("node").alias("host")).agg(
