@@ -154,7 +154,11 @@ def lm_multi(spark, sf_dir):
 
 
 # a factor nested in satisfaction: its indicator is a combination of the intercept and the satisfaction terms
-_NESTED = F.when(F.col("overall_tri") == "Excellent", "top").when(F.col("overall_tri").isNotNull(), "below")
+def _with_nested(d):
+    return d.withColumn("nested", F.when(F.col("overall_tri") == "Excellent", "top").when(
+        F.col("overall_tri").isNotNull(), "below"))
+
+
 _ALIASED = [Q.ONE, *Q.TRI, *Q.GENDER]
 
 
@@ -170,14 +174,14 @@ _ALIASED_LM = Q.ols("m", _ALIASED, "CAST(reply_time AS DOUBLE)")
     "m", Q.terms_of(_ALIASED), "(SELECT s2 FROM m_q)", f"(SELECT n - {len(_ALIASED)} FROM m_q)")]))
 def lm_aliased(spark, sf_dir):
     """OLS with a nested factor: its coefficient is NULL, the others are those of the fit without it."""
-    d = derived(spark, sf_dir).withColumn("nested", _NESTED)
+    d = _with_nested(derived(spark, sf_dir))
     return tidy(fit_lm(d, "reply_time", [TRI, Factor("nested", ("below", "top")), GENDER]).table(spark))
 
 
 @query("logit_aliased", sql=_aliased_sql([*Q.logit("m", _ALIASED, "early", "Late"), *Q.estimates("m", Q.terms_of(_ALIASED))]))
 def logit_aliased(spark, sf_dir):
     """Logit of a late reply with a nested factor: its coefficient is NULL."""
-    d = derived(spark, sf_dir).withColumn("nested", _NESTED)
+    d = _with_nested(derived(spark, sf_dir))
     return tidy(fit_logit(d, "early", "Late", [TRI, Factor("nested", ("below", "top")), GENDER]).table(spark))
 
 
