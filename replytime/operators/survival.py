@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .prefix import BLOCK, MANY, in_blocks, running
+from .prefix import BLOCK, in_blocks, running
 
 Z975 = 1.959963984540054  # standard normal 97.5% quantile
 
@@ -45,8 +45,14 @@ def event_table(pairs: DataFrame, by=(), time="time", event="event") -> DataFram
                                         F.sum(F.col(event)).cast("long").alias("n_event"))
 
 
-def _stored_events(pairs: DataFrame, by, time: str, event: str, many: int) -> tuple[DataFrame, bool]:
-    """The event table, computed once, in blocks of the time axis if it has more than ``many`` rows."""
+def _stored_events(pairs: DataFrame, by, time: str, event: str, many: int | None) -> tuple[DataFrame, bool]:
+    """The event table, and whether it is dealt in blocks of the time axis.
+
+    With ``many`` it is computed once and dealt if it has more rows than that; without, the caller
+    knows that distinct times are few (whole days) and the plan stays one lazy query.
+    """
+    if many is None:
+        return event_table(pairs, by, time, event), False
     ensure_checkpoint_dir(pairs.sparkSession)
     ev = event_table(pairs, by, time, event).checkpoint(eager=True)
     if ev.count() <= many:
@@ -55,14 +61,14 @@ def _stored_events(pairs: DataFrame, by, time: str, event: str, many: int) -> tu
 
 
 def kaplan_meier(pairs: DataFrame, by=(), time="time", event="event", conf: bool = True,
-                 conf_type: str = "log", events_only: bool = False, many: int = MANY) -> DataFrame:
+                 conf_type: str = "log", events_only: bool = False, many: int | None = None) -> DataFrame:
     """Kaplan-Meier estimate with Greenwood error and 95% limits.
 
     Output: ``*by, time, n_risk, n_event, n_censor, surv[, std_err, lower, upper]``;
     one row per distinct time (event or censoring) per group, or only the
     event times with ``events_only`` (the printed summary's rows).
-    ``conf_type``: "log" (default), "log-log" or "plain" limits.  With more than
-    ``many`` distinct (group, time) the sums run in blocks.
+    ``conf_type``: "log" (default), "log-log" or "plain" limits.  For continuous
+    times give ``many`` (e.g. ``prefix.MANY``): with more distinct (group, time) the sums run in blocks.
     """
     if conf_type not in ("log", "log-log", "plain"):
         raise ValueError("conf_type must be 'log', 'log-log' or 'plain'")
@@ -146,7 +152,7 @@ def align_curves(curves: dict[str, DataFrame], value: str = "response_rate") ->
     return out
 
 
-def risk_table(pairs: DataFrame, by=(), time="time", event="event", many: int = MANY) -> DataFrame:
+def risk_table(pairs: DataFrame, by=(), time="time", event="event", many: int | None = None) -> DataFrame:
     """Per (group, distinct time): ``n_risk`` and ``n_event`` (a running sum over the aggregated table)."""
     ev, blocked = _stored_events(pairs, by, time, event, many)
     if blocked:
