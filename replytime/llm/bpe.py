@@ -51,6 +51,7 @@ class ByteBpe:
         self.bytes_of = {r: b for b, r in ranks.items()}
         self._size = [0] * (max(ranks.values(), default=-1) + 1)
         self._shorter = [-1] * len(self._size)
+        self.memo = 1.0  # share of MEMO_PIECES and MEMO_PAIRS that is used
         self._pairs: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
         self._automaton = ahocorasick.Automaton()
@@ -119,7 +120,7 @@ class ByteBpe:
         key = left * len(self._size) + right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= MEMO_PAIRS:
+            if len(self._pairs) >= self.memo * MEMO_PAIRS:
                 self._pairs.clear()
             if self._ordered:
                 known = not self._meets(left, right)
@@ -170,7 +171,7 @@ class ByteBpe:
                 raw = piece.encode("utf-8")
                 known = tuple(self.encode_piece(raw))
                 if len(raw) <= MEMO_BYTES:
-                    if len(pieces) >= MEMO_PIECES:
+                    if len(pieces) >= self.memo * MEMO_PIECES:
                         pieces.clear()
                     pieces[piece] = known
             ids.extend(known)
@@ -222,9 +223,10 @@ def codec(spark: SparkSession, path: str, pattern: str):
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text",
-                     ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+                     ids: str = "token_ids", decoded: str = "decoded", memo: float = 1.0) -> DataFrame:
     """The table with the ids of each whole text and the bytes that these ids decode to.
 
+    `memo` is the share of the memos' full size: less memory in a worker for more time, the ids do not change.
     Both come from one call a batch; calling the two column functions one on
     the other would encode twice.
     """
@@ -232,6 +234,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = shared_bpe(vocabulary.value, pattern)
+        bpe.memo = memo
         try:
             for texts in batches:
                 coded = [bpe.encode(t) if t else [] for t in texts]
