@@ -56,7 +56,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with their number and the hashes of ids and decoded bytes."""
     small_batches(spark)
-    coded = bpe.encode_documents(docs.select("doc_id", "text"), vocabulary_path(), public_tokenizers.PATTERN)
+    # smaller memos: the workers still hold what the earlier stages left
+    coded = bpe.encode_documents(docs.select("doc_id", "text"), vocabulary_path(), public_tokenizers.PATTERN, memo=0.5)
     return coded.select("doc_id", "token_ids", *bpe.digests(F.col("token_ids"), F.col("decoded")))
 
 
