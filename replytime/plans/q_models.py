@@ -22,6 +22,7 @@ from ..models.lm import fit_lm
 from ..models.lmm import fit_lmm
 from ..models.ordinal import fit_ordinal
 from ..models.suffstats import collapse
+from ..models.tree import fit_regression_tree
 from ..operators.derive import derive_wave, with_ordered_outcomes
 from ..operators.filters import exclude_trusts
 from ..operators.joins import attach_response_rate, response_rate_by_trust
@@ -715,20 +716,75 @@ def _item_features(d):
 
 @query("regression_tree")
 def regression_tree(spark, sf_dir):
-    """Regression tree (variance reduction) of the rating code on the questionnaire items; fitted value of every rated row."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
+    """Regression tree of the rating code on the questionnaire items; fitted value of every rated row."""
     d = derived(spark, sf_dir)
+    names = ["clean", "doctors", "nurses", "call_button", "dignity", "emergency", "choice"]
     # an unanswered item is a value of its own below all answers, so the tree can send it either way
-    feats = [F.coalesce(c, F.lit(-1.0)) for c in _item_features(d)]
-    names = [f"f{i}" for i in range(len(feats))]
-    mf = d.where(F.col("overall_sat").isNotNull()).select(
-        "record", F.col("overall_sat").cast("double").alias("label"), *[c.alias(n) for c, n in zip(feats, names)])
-    vec = VectorAssembler(inputCols=names, outputCol="features").transform(mf)
-    # minimum leaf size 7 = the usual recursive-partitioning default (minsplit 20, minbucket 7);
-    # no cost-complexity pruning in MLlib, so depth is capped instead
-    model = DecisionTreeRegressor(maxDepth=5, minInstancesPerNode=7, seed=7).fit(vec)
-    return model.transform(vec).select("record", F.col("prediction").alias("fitted"))
+    rows = d.where(F.col("overall_sat").isNotNull()).select(
+        "record", F.col("overall_sat").cast("double").alias("y"),
+        *[F.coalesce(c, F.lit(-1.0)).alias(n) for n, c in zip(names, _item_features(d))])
+    fit = fit_regression_tree(rows, "y", {n: F.col(n) for n in names})
+    return rows.select("record", fit.fitted().alias("fitted"))
+
+
+def _rank(col: str, levels) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{lv}' THEN {k}" for k, lv in enumerate(levels, 1)) + " END"
+
+
+#: Features of the tree of the reply time, as SQL that both engines read.
+_REPLY_FEATURES = {"strata": _rank("reply_strata", L.STRATA_LEVELS), "rating": "overall_sat",
+                   "age": _rank("age_group", L.AGE_LEVELS), "los": "los", "emergency": _rank("emergency", ("no", "yes"))}
+
+
+def _reply_tree(spark, sf_dir, cp: float, folds: int | None = None):
+    """Rows with a reply time, and the tree of it."""
+    rows = derived(spark, sf_dir).where("reply_time > 0")
+    fold = F.pmod(F.xxhash64("record"), F.lit(folds)) if folds else None
+    return rows, fit_regression_tree(rows, "reply_time", {n: F.expr(e) for n, e in _REPLY_FEATURES.items()}, cp=cp,
+                                     fold=fold, folds=folds or 1)
+
+
+_CUT_SUMS = ("(SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS nv, sum(n) OVER (PARTITION BY f ORDER BY v) AS ln, "
+             "sum(s) OVER (PARTITION BY f ORDER BY v) AS ls, sum(n) OVER (PARTITION BY f) AS tn, sum(s) OVER (PARTITION BY f) AS ts "
+             "FROM tv) w")
+
+
+@query("regression_tree_first_split", sql=with_derived(
+    "SELECT CASE f " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(_REPLY_FEATURES)) + " END AS feature, "
+    "(v + nv) / 2 AS threshold, CAST(ln AS BIGINT) AS n_left, round(ls / ln, 8) AS mean_left, CAST(tn - ln AS BIGINT) AS n_right, "
+    "round((ts - ls) / (tn - ln), 8) AS mean_right, round(gain / (SELECT sum(y * y) - sum(y) * sum(y) / count(*) FROM tr), 8) "
+    "AS improvement FROM (SELECT *, ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn AS gain FROM " + _CUT_SUMS +
+    " WHERE nv IS NOT NULL AND ln >= 7 AND tn - ln >= 7) c ORDER BY gain DESC, f, v LIMIT 1",
+    "tr AS (SELECT CAST(reply_time AS DOUBLE) AS y, " + ", ".join(
+        f"CAST({e} AS DOUBLE) AS x{k}" for k, e in enumerate(_REPLY_FEATURES.values())) + " FROM d WHERE reply_time > 0 AND "
+    + " AND ".join(f"({e}) IS NOT NULL" for e in _REPLY_FEATURES.values()) + "), tv AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS f, x{k} AS v, CAST(count(*) AS DOUBLE) AS n, sum(y) AS s FROM tr GROUP BY x{k}"
+                         for k in range(len(_REPLY_FEATURES))) + ")"))
+def regression_tree_first_split(spark, sf_dir):
+    """First split of the reply-time tree: feature, threshold, both sides, share of the sum of squares that it takes away."""
+    fit = _reply_tree(spark, sf_dir, 0.01)[1]
+    t = fit.table(spark, 0.0)
+    root = t.where("node = 0").select(F.col("feature").alias("feature"), "threshold", F.col("sse").alias("all"))
+    sides = t.where("parent = 0").agg(*[e for k, side in ((1, "left"), (2, "right")) for e in (
+        F.max(F.when(F.col("node") == k, F.col("n"))).alias(f"n_{side}"),
+        F.max(F.when(F.col("node") == k, F.col("mean"))).alias(f"mean_{side}"))], F.sum("sse").alias("both"))
+    part = root.select("*", sides.select(F.struct("*").alias("b")).scalar().alias("b"))
+    return part.select("feature", "threshold", "b.n_left", F.round("b.mean_left", 8).alias("mean_left"), "b.n_right",
+                       F.round("b.mean_right", 8).alias("mean_right"),
+                       F.round(1.0 - F.col("b.both") / F.col("all"), 8).alias("improvement"))
+
+
+@query("regression_tree_sequence")
+def regression_tree_sequence(spark, sf_dir):
+    """Pruned trees of the reply time: complexity, splits, error and its tenfold cross-validation."""
+    return rounded(_reply_tree(spark, sf_dir, 0.005, folds=10)[1].sequence(spark), 8)
+
+
+@query("regression_tree_pruned")
+def regression_tree_pruned(spark, sf_dir):
+    """Reply-time tree pruned to the least cross-validated error; fitted value of every reply."""
+    rows, fit = _reply_tree(spark, sf_dir, 0.005, folds=10)
+    return rows.select("record", F.round(fit.fitted(fit.best_cp()), 8).alias("fitted"))
 
 
 @query("classification_tree")
