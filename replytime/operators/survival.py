@@ -190,19 +190,7 @@ def hazard_kernel(pairs: DataFrame, bandwidth: float, min_time: float = 0.0, max
     g = F.lit(min_time) + F.col("j").cast("double") * F.lit(step)
     b = F.lit(float(bandwidth))
     band = band.withColumn("grid_time", g)
-    x = (F.col("grid_time") - F.col("time")) / b
-    epan = F.lit(0.75) * (F.lit(1.0) - x * x)
-    if boundary:
-        # left boundary: q = (g - min)/b < 1 ; right: q = (max - g)/b < 1
-        ql = (F.col("grid_time") - F.lit(min_time)) / b
-        qr = (F.lit(max_time) - F.col("grid_time")) / b
-        kl = _boundary_epanechnikov(x, ql)
-        kr = _boundary_epanechnikov(-x, qr)
-        kern = (F.when(ql < 1, kl).when(qr < 1, kr).otherwise(epan))
-        inside = F.when(ql < 1, x <= ql).when(qr < 1, -x <= qr).otherwise(F.lit(True))
-        kern = F.when(inside & (F.abs(x) <= 1), kern).otherwise(F.lit(0.0))
-    else:
-        kern = F.when(F.abs(x) <= 1, epan).otherwise(F.lit(0.0))
+    kern = _kernel(F.col("grid_time"), F.col("time"), b, min_time, max_time, boundary)
     out = band.groupBy(*by, "j").agg(F.sum(kern * F.col("dH")).alias("_s"))
     if by:
         grid = inc.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("j"))
@@ -213,6 +201,22 @@ def hazard_kernel(pairs: DataFrame, bandwidth: float, min_time: float = 0.0, max
                       (F.coalesce(F.col("_s"), F.lit(0.0)) / b).alias("hazard"))
 
 
+def _kernel(g: Column, t: Column, b: Column, min_time: float, max_time: float, boundary: bool = True) -> Column:
+    """Epanechnikov weight of time t at grid point g; with ``boundary`` corrected within b of the ends."""
+    x = (g - t) / b
+    epan = F.lit(0.75) * (F.lit(1.0) - x * x)
+    if not boundary:
+        return F.when(F.abs(x) <= 1, epan).otherwise(F.lit(0.0))
+    # left boundary: q = (g - min)/b < 1 ; right: q = (max - g)/b < 1
+    ql = (g - F.lit(min_time)) / b
+    qr = (F.lit(max_time) - g) / b
+    kl = _boundary_epanechnikov(x, ql)
+    kr = _boundary_epanechnikov(-x, qr)
+    kern = F.when(ql < 1, kl).when(qr < 1, kr).otherwise(epan)
+    inside = F.when(ql < 1, x <= ql).when(qr < 1, -x <= qr).otherwise(F.lit(True))
+    return F.when(inside & (F.abs(x) <= 1), kern).otherwise(F.lit(0.0))
+
+
 def _boundary_epanechnikov(x: Column, q: Column) -> Column:
     """Boundary kernel for support [-1, q], q in [0, 1) (Mueller & Wang 1994)."""
     one = F.lit(1.0)
@@ -220,6 +224,89 @@ def _boundary_epanechnikov(x: Column, q: Column) -> Column:
         x * (one - F.lit(2.0) * q) + (F.lit(3.0) * q * q - F.lit(2.0) * q + one) / F.lit(2.0))
 
 
+def _grid_near(first: int, last: int, centre: Column, reach: Column) -> Column:
+    """Numbers of the grid points at most ``reach`` steps from ``centre`` (in steps); empty if there are none."""
+    lo = F.greatest(F.lit(first), F.ceil(centre - reach).cast("int"))
+    hi = F.least(F.lit(last), F.floor(centre + reach).cast("int"))
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+
+def local_bandwidths(pairs: DataFrame, pilot: float, bandwidths, min_time: float = 0.0, max_time: float = 70.0,
+                     n_grid: int = 101, by=()) -> DataFrame:
+    """by, j, time, bandwidth, mse: of the given bandwidths the best one at each grid point.
+
+    With a pilot estimate h0 of the hazard and the number at risk Y on the grid, a bandwidth b gives the point g
+    the weights p_u = K_b(g, u) / sum K_b of the grid points u near it.  Its estimated squared bias is
+    (sum p_u h0(u) - h0(g))^2, its variance sum p_u^2 h0(u) / (Y(u) * step); the best b has the least sum of both (the
+    smaller of equal ones).  Grid points at which no one is at risk add no variance, so ``max_time`` should lie within the
+    observed times.
+
+    The rows are read for the pilot and the numbers at risk only; what follows works on the grid, whose size the
+    arguments alone decide: at most n_grid * n_grid rows a bandwidth and group, in map-side combined sums.
+    """
+    if not bandwidths or min(bandwidths) <= 0 or pilot <= 0:
+        raise ValueError("bandwidths must be positive")
+    spark = pairs.sparkSession
+    ensure_checkpoint_dir(spark)
+    keys, step, last = list(by), (max_time - min_time) / (n_grid - 1), n_grid - 1
+    if min(bandwidths) <= step:
+        raise ValueError(f"bandwidths must be above the grid's step of {step}")
+    h0 = hazard_kernel(pairs, pilot, min_time, max_time, n_grid, by=by)
+    # rows at risk at grid point j: those whose time is not before it; one aggregate to grid cells, then a sum over the grid
+    cell = F.floor((F.col("time") - F.lit(min_time)) / F.lit(step) + F.lit(1e-9)).cast("int")
+    leaving = pairs.select(*keys, F.least(cell, F.lit(last)).alias("j")).where("j >= 0").groupBy(*keys, "j").agg(
+        F.count(F.lit(1)).alias("_leave"))
+    h0 = h0.withColumn("j", F.round((F.col("time") - F.lit(min_time)) / F.lit(step)).cast("int"))
+    later = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    later = later.orderBy(F.col("j").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    grid = h0.join(leaving, [*keys, "j"], "left").select(
+        *keys, "j", "time", "hazard", F.coalesce(F.sum("_leave").over(later), F.lit(0)).alias("_at_risk")).checkpoint(eager=True)
+    width = F.explode(F.array(*[F.lit(float(b)) for b in sorted(set(bandwidths))])).alias("_b")
+    wide = grid.select(*keys, F.col("j").alias("_u"), F.col("time").alias("_tu"), F.col("hazard").alias("_hu"), "_at_risk", width)
+    spread = wide.select("*", F.explode(_grid_near(0, last, F.col("_u"), F.col("_b") / F.lit(step) + F.lit(1e-9))).alias("j"))
+    k = _kernel(F.lit(min_time) + F.col("j").cast("double") * F.lit(step), F.col("_tu"), F.col("_b"), min_time, max_time)
+    noise = F.when(F.col("_at_risk") > 0, F.col("_hu") / (F.col("_at_risk") * F.lit(step))).otherwise(F.lit(0.0))
+    sums = spread.withColumn("_k", k).groupBy(*keys, "j", "_b").agg(
+        F.sum("_k").alias("_k1"), F.sum(F.col("_k") * F.col("_hu")).alias("_kh"), F.sum(F.col("_k") * F.col("_k") * noise).alias("_kv"))
+    at = grid.select(*keys, "j", "time", "hazard")
+    bias = F.col("_kh") / F.col("_k1") - F.col("hazard")
+    errors = sums.where(F.col("_k1") > 0).join(at, [*keys, "j"]).withColumn(
+        "mse", bias * bias + F.col("_kv") / (F.col("_k1") * F.col("_k1")))
+    # to 12 digits: sums in another order must not choose between equal bandwidths
+    best = F.min(F.struct(F.round("mse", 12).alias("mse"), F.col("_b").alias("b"))).alias("_best")
+    return errors.groupBy(*keys, "j", "time").agg(best).select(
+        *keys, "j", "time", F.col("_best.b").alias("bandwidth"), F.col("_best.mse").alias("mse"))
+
+
+def hazard_kernel_local(pairs: DataFrame, pilot: float, bandwidths, smooth: float | None = None, min_time: float = 0.0,
+                        max_time: float = 70.0, n_grid: int = 101, by=()) -> DataFrame:
+    """Kernel-smoothed hazard whose bandwidth follows the time: by, time, bandwidth, hazard.
+
+    The best bandwidths of ``local_bandwidths`` are smoothed over the grid by an Epanechnikov mean of half-width
+    ``smooth`` (default 5 * pilot).  Then h(g) = sum of K_b(g)(g, t) dN / Y / b(g) over the event times t within b(g),
+    with the boundary kernel of ``hazard_kernel``.  An event time meets the grid points within the largest bandwidth.
+    """
+    keys, step, last = list(by), (max_time - min_time) / (n_grid - 1), n_grid - 1
+    smooth = 5.0 * pilot if smooth is None else float(smooth)
+    chosen = local_bandwidths(pairs, pilot, bandwidths, min_time, max_time, n_grid, by)
+    near = chosen.select(*keys, F.col("j").alias("_u"), "bandwidth",
+                         F.explode(_grid_near(0, last, F.col("j"), F.lit(smooth / step))).alias("j"))
+    z = (F.col("j") - F.col("_u")).cast("double") * F.lit(step / smooth)
+    # a point's own weight is 1, so the sum of weights is not 0
+    w = F.lit(1.0) - z * z
+    smoothed = near.groupBy(*keys, "j").agg((F.sum(w * F.col("bandwidth")) / F.sum(w)).alias("bandwidth"))
+    smoothed = smoothed.withColumn("_g", F.lit(min_time) + F.col("j").cast("double") * F.lit(step)).checkpoint(eager=True)
+    inc = nelson_aalen_increments(pairs, by).where(F.col("n_event") > 0)
+    reach = F.lit(float(max(bandwidths)) / step + 1e-9)
+    band = inc.select(*keys, "time", "dH", F.explode(_grid_near(
+        0, last, (F.col("time") - F.lit(min_time)) / F.lit(step), reach)).alias("j"))
+    part = band.join(smoothed, [*keys, "j"])
+    k = _kernel(F.col("_g"), F.col("time"), F.col("bandwidth"), min_time, max_time)
+    sums = part.groupBy(*keys, "j").agg(F.sum(k * F.col("dH") / F.col("bandwidth")).alias("hazard"))
+    return smoothed.join(sums, [*keys, "j"], "left").select(
+        *keys, F.col("_g").alias("time"), "bandwidth", F.coalesce("hazard", F.lit(0.0)).alias("hazard"))
+
+
 def hazard_piecewise(pairs: DataFrame, width: float = 1.0, max_time: float = 70.0, by=()) -> DataFrame:
     """Piecewise-constant hazard: events / person-time per bin, with 95% limits.
 

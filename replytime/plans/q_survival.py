@@ -191,3 +191,45 @@ def hazard_kernel_by_group(spark, sf_dir):
     d = derived(spark, sf_dir).where(F.col("overall_tri").isNotNull())
     pairs = S.survival_pair(d, "reply_time", "event", by=("overall_tri",))
     return rounded(S.hazard_kernel(pairs, _BW, 0.0, _TMAX, _GRID_N, by=("overall_tri",)), 8)
+
+
+#: Candidate bandwidths of the local hazard, exact in binary.
+_BWS = [2.0 + 0.5 * k for k in range(26)]
+_SMOOTH = 25.0
+
+
+def _kernel_sql(g: str, t: str, b: str) -> str:
+    """Boundary-corrected Epanechnikov weight of time t at g on 0.._TMAX."""
+    x, y, ql, qr = f"(({g} - {t}) / {b})", f"(({t} - {g}) / {b})", f"({g} / {b})", f"(({_TMAX} - {g}) / {b})"
+    return (f"CASE WHEN abs({x}) > 1 THEN 0.0E0 WHEN {ql} < 1 THEN CASE WHEN {x} <= {ql} THEN {_bk(x, ql)} ELSE 0.0E0 END "
+            f"WHEN {qr} < 1 THEN CASE WHEN {y} <= {qr} THEN {_bk(y, qr)} ELSE 0.0E0 END "
+            f"ELSE 0.75E0 * (1.0E0 - {x} * {x}) END")
+
+
+_LOCAL_SQL = f"""
+grid AS (SELECT CAST(j AS INT) AS j, 0.0E0 + CAST(j AS DOUBLE) * {_STEP!r} AS g FROM range(0, {_GRID_N}) r(j)),
+h0 AS (SELECT g.j, g.g, coalesce(sum({_kernel_sql('g.g', 'i.time', f'{_BW}E0')} * i.dh), 0.0E0) / {_BW} AS h,
+    (SELECT count(*) FROM km_in k WHERE floor(k.time / {_STEP!r} + 1e-9) >= g.j
+       OR (g.j = {_GRID_N - 1} AND k.time / {_STEP!r} >= g.j)) AS y
+  FROM grid g LEFT JOIN inc i ON abs(g.g - i.time) <= {_BW} GROUP BY g.j, g.g),
+ks AS (SELECT z.j, b.b, z.h AS hz, {_kernel_sql('z.g', 'u.g', 'b.b')} AS k, u.h AS hu,
+    CASE WHEN u.y > 0 THEN u.h / (u.y * {_STEP!r}) ELSE 0.0E0 END AS v
+  FROM h0 z, h0 u, (SELECT 2.0E0 + 0.5E0 * CAST(k AS DOUBLE) AS b FROM range(0, {len(_BWS)}) r(k)) b),
+err AS (SELECT j, b, round(pow(sum(k * hu) / sum(k) - max(hz), 2) + sum(k * k * v) / (sum(k) * sum(k)), 12) AS mse
+  FROM ks GROUP BY j, b HAVING sum(k) > 0),
+best AS (SELECT j, b FROM (SELECT j, b, row_number() OVER (PARTITION BY j ORDER BY mse, b) AS r FROM err) e WHERE r = 1),
+sm AS (SELECT g.j, g.g, sum((1.0E0 - pow((g.j - u.j) * {_STEP / _SMOOTH!r}, 2)) * u.b)
+      / sum(1.0E0 - pow((g.j - u.j) * {_STEP / _SMOOTH!r}, 2)) AS b
+  FROM grid g JOIN best u ON abs(g.j - u.j) <= {_SMOOTH / _STEP!r} GROUP BY g.j, g.g)"""
+
+
+@query("hazard_kernel_local", sql=with_derived(
+    f"SELECT s.g AS time, round(s.b, 8) AS bandwidth, round(coalesce(sum({_kernel_sql('s.g', 'i.time', 's.b')} * i.dh / s.b), "
+    "0.0E0), 8) AS hazard FROM sm s LEFT JOIN inc i ON abs(s.g - i.time) <= s.b GROUP BY s.g, s.b",
+    """km_in AS (SELECT CAST(reply_time AS DOUBLE) AS time, event FROM d WHERE reply_time IS NOT NULL AND event IS NOT NULL),"""
+    + km_sql("km_in") + """,
+inc AS (SELECT time, CAST(n_event AS DOUBLE) / CAST(n_risk AS DOUBLE) AS dh FROM km WHERE n_event > 0),""" + _LOCAL_SQL))
+def hazard_kernel_local(spark, sf_dir):
+    """Hazard of reply, 0-70 days, with a bandwidth chosen for each time by its estimated squared error."""
+    pairs = S.survival_pair(derived(spark, sf_dir), "reply_time", "event")
+    return rounded(S.hazard_kernel_local(pairs, _BW, _BWS, _SMOOTH, 0.0, _TMAX, _GRID_N), 8)
