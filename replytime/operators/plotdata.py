@@ -35,8 +35,21 @@ def bw_nrd0(n, sd, iqr):
     return F.lit(0.9) * lo * F.pow(n.cast("double"), F.lit(-0.2))
 
 
+def to_nodes(values: DataFrame, by, fine: int) -> DataFrame:
+    """The counts c of values x moved to nodes g0 + k * bw / fine, each split linearly between the two nearest."""
+    pos = (F.col("x") - F.col("g0")) / F.col("bw") * F.lit(float(fine))
+    low, part = F.floor(pos), pos - F.floor(pos)
+    two = F.array(F.struct(low.alias("node"), (F.col("c") * (F.lit(1.0) - part)).alias("m")),
+                  F.struct((low + 1).alias("node"), (F.col("c") * part).alias("m")))
+    keys = [*by, "n", "bw", "g0", "step"]
+    split = values.select(*keys, F.explode(two).alias("_t"))
+    nodes = split.groupBy(*keys, F.col("_t.node").alias("_node")).agg(F.sum("_t.m").alias("c"))
+    return nodes.withColumn("x", F.col("g0") + F.col("_node") * F.col("bw") / F.lit(float(fine)))
+
+
 def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float = 3.0,
-                support_sd: float = 40.0, exact: bool = True, accuracy: int = 10000, few: int = FEW) -> DataFrame:
+                support_sd: float = 40.0, exact: bool = True, accuracy: int = 10000, few: int = FEW,
+                fine: int = 64) -> DataFrame:
     """Gaussian kernel density per group on ``n_grid`` points from min - cut*bw to max + cut*bw.
 
     Rows are reduced to (group, distinct value, count).  Each distinct value
@@ -46,7 +59,18 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
     the default band of 40 gives the same sum as all pairs.  The grid itself is
     generated per group (fixed size) and left-joined so every grid point is
     present.
+
+    With more than ``few`` distinct (group, value) the mass of a value is first split
+    linearly between the two nearest nodes, ``fine`` of them a bandwidth, and the
+    nodes take the values' place: at most (xmax - xmin) / bw * fine + 2 a group.
+    A node is met by the grid points within ``support_sd`` bandwidths, and these
+    are at most ``n_grid``, so the sums grow neither with rows nor with distinct values.
+    The density is then at most 1 / (8 * sqrt(2 pi) * fine^2 * bw) off (the error of
+    a linear interpolation of the kernel, whose second derivative is largest at 0),
+    with 64 nodes 1.2e-5 / bw.
     """
+    if fine < 1:
+        raise ValueError("fine must be 1 or more")
     x = F.col(value).cast("double")
     src = df.where(x.isNotNull()).select(*by, x.alias("x"))
     # the (value, count) table feeds four branches below: checkpointed once so the
@@ -57,7 +81,8 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
     p1 = vals.groupBy(*by).agg(
         F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
         F.min("x").alias("xmin"), F.max("x").alias("xmax"))
-    if exact and vals.count() > few:
+    many = vals.count() > few
+    if exact and many:
         qs = _selected(src, "x", by, [0.25, 0.75])
     elif exact:
         qs = vals.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)), F.col("c")).alias("q"))
@@ -85,6 +110,8 @@ def kde_density(df: DataFrame, value: str, by=(), n_grid: int = 512, cut: float
         p = params.select(F.struct("n", "bw", "g0", "step").alias("p")).scalar()
         j = vals.select("*", p.getField("n").alias("n"), p.getField("bw").alias("bw"),
                         p.getField("g0").alias("g0"), p.getField("step").alias("step"))
+    if many:
+        j = to_nodes(j, by, fine)
     reach = F.lit(support_sd) * F.col("bw")
     lo = F.greatest(F.lit(0), F.ceil((F.col("x") - reach - F.col("g0")) / F.col("step")).cast("int"))
     hi = F.least(F.lit(n_grid - 1), F.floor((F.col("x") + reach - F.col("g0")) / F.col("step")).cast("int"))

@@ -11,7 +11,7 @@ from ..operators import plotdata as P
 from ..operators import stattests as ST
 from ..operators.derive import reply_time_coalesced, with_ordered_outcomes
 from ..sources.scan import SURVEY_SCHEMA
-from .common import all_waves, derived, raw
+from .common import FINE_SQL, all_waves, derived, fine_times, raw
 from .oracle_base import with_derived, with_waves
 from .registry import query, rounded
 
@@ -295,6 +295,34 @@ def kde_density(spark, sf_dir):
                       F.round("bw", 8).alias("bw"))
 
 
+_KDE_FINE = 64
+
+
+@query("kde_continuous", sql=with_derived(
+    "SELECT g.reply_strata, CAST(g.j AS INTEGER) AS j, round(g.g0 + g.j * g.step, 6) AS x, "
+    f"round(sum(v.m * exp(-0.5 * pow((g.g0 + g.j * g.step - g.g0 - v.node * g.bw / {_KDE_FINE}.0E0) / g.bw, 2))) "
+    "/ (g.n * g.bw * sqrt(2 * pi())), 8) AS density, round(g.bw, 8) AS bw "
+    "FROM grid g JOIN nodes v ON g.reply_strata = v.reply_strata GROUP BY g.reply_strata, g.j, g.g0, g.step, g.n, g.bw",
+    f"""fine AS (SELECT reply_strata, {FINE_SQL} AS x FROM d WHERE reply_strata IS NOT NULL AND {FINE_SQL} IS NOT NULL),
+prm AS (SELECT reply_strata, count(*) AS n, coalesce(stddev_samp(x), 0.0) AS sd,
+               quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, min(x) AS xmin, max(x) AS xmax
+        FROM fine GROUP BY reply_strata),
+prm2 AS (SELECT *, 0.9 * (CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34)
+                               WHEN sd > 0 THEN sd ELSE 1.0 END) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM prm),
+prm3 AS (SELECT *, xmin - 3.0 * bw AS g0, (xmax - xmin + 6.0 * bw) / 511.0 AS step FROM prm2),
+grid AS (SELECT prm3.*, r.j FROM prm3, range(0, 512) r(j)),
+placed AS (SELECT reply_strata, (x - g0) / bw * {_KDE_FINE}.0E0 AS pos FROM fine JOIN prm3 USING (reply_strata)),
+nodes AS (SELECT reply_strata, node, sum(m) AS m FROM (
+    SELECT reply_strata, floor(pos) AS node, 1.0E0 - (pos - floor(pos)) AS m FROM placed
+    UNION ALL SELECT reply_strata, floor(pos) + 1, pos - floor(pos) FROM placed) s GROUP BY reply_strata, node)"""))
+def kde_continuous(spark, sf_dir):
+    """Density of a finely divided reply time per stratum, values split between nodes a 64th of the bandwidth apart."""
+    rows = fine_times(derived(spark, sf_dir)).where("reply_strata IS NOT NULL")
+    out = P.kde_density(rows, "fine_time", by=("reply_strata",), few=0, fine=_KDE_FINE)
+    return out.select("reply_strata", "j", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"),
+                      F.round("bw", 8).alias("bw"))
+
+
 @query("boxplot_stats", sql=with_derived(
     "SELECT q.overall_tri, q.n, min(CASE WHEN s.y BETWEEN lo AND hi THEN s.y END) AS ymin, q.lower, q.middle, q.upper, "
     "max(CASE WHEN s.y BETWEEN lo AND hi THEN s.y END) AS ymax, count(CASE WHEN s.y < lo OR s.y > hi THEN 1 END) AS n_out "
