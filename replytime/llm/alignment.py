@@ -5,11 +5,14 @@ and a piece model (B, which puts the space itself).  Where both have made the sa
 bytes, byte offsets at which a token of A and a token of B both end cut the tokens
 into groups; a link is a pair of token occurrences whose byte ranges overlap.
 
-Method.  After full tokenisation, shared ends before tokens that both begin with
+Method.  Shared ends before tokens that both begin with
 a space are anchors (shared in byte offsets, verified against the joined bytes
 of both token sequences).  Anchors split a document into windows of token ids,
 and a window's alignment depends on its ids alone, so it is memoised by the two
-id tuples (packed as 32-bit numbers).  A document's links go to Spark as (id pair, times); the corpus-wide
+id tuples (packed as 32-bit numbers).  Where the tokenizers are known to cut before the blanks between words
+(`Aligner.divides`), words have ids of their own, wherever they
+stand: a text's words are looked up in a memo, and those it lacks are encoded together, cut at the anchors before them
+and aligned as windows.  Other texts are encoded whole.  A document's links go to Spark as (id pair, times); the corpus-wide
 counts of id pairs are one aggregate, and each document's links are joined back
 to them.
 
@@ -35,13 +38,18 @@ from pyspark.sql import functions as F
 
 from .common import free_name, stored, tidy
 
-#: Windows in the memo at most, about (300 bytes each); a full memo is emptied (results do not change), as is any at the
-#: end of a task.
-MEMO_WINDOWS = 50_000
+#: Words or windows in a memo at most, about (400 bytes each); a full memo is emptied (results do not change), as is any
+#: at the end of a task.
+MEMO_WINDOWS = 150_000
 #: Windows of more tokens are not memoised.
 MEMO_TOKENS = 32
 #: Texts without a code point beyond these are cut into words alike by all versions of the Unicode tables.
 SETTLED = re.compile("[^\x00-\u024f]")
+#: A blank and all that follows up to the next blank that does not follow white space; white space at the end of the text
+#: stays with the last word.  Python's white space has all of Unicode's.
+WORD = re.compile(r" \s*\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?| \s+\Z")
+#: Unknown words that are encoded as one text (the piece model's time for a word grows with the text).
+TEXT_WORDS = 100
 #: Code points that are encoded in one call, about; a longer text is a call of its own.
 CALL_CHARS = 500_000
 #: A table of more id pairs than this (24 bytes each) is joined by a shuffle instead of being sent to all executors.
@@ -78,11 +86,34 @@ def _merge_ranks(vocabulary: dict, of: dict[str, int]) -> tuple[str, dict[bytes,
     return PATTERN, {bytes([of[c] for c in entry]): k for entry, k in model["vocab"].items() if entry not in special}
 
 
+def _pieces_divide(b_model: bytes) -> bool:
+    """Whether a piece model surely cuts before every blank that follows another character.
+
+    So it does if it merges pairs of pieces, takes the text as it is, and has no piece with a space mark behind
+    another character: no merge joins across such a place, and merges on its two sides do not depend on each other.
+    """
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto.FromString(b_model)
+    trained, normal, kind = model.trainer_spec, model.normalizer_spec, sentencepiece_model_pb2.ModelProto.SentencePiece
+    return (trained.model_type == trained.BPE and trained.byte_fallback and not trained.treat_whitespace_as_suffix
+            and normal.add_dummy_prefix and normal.escape_whitespaces and not normal.remove_extra_whitespaces
+            and not normal.precompiled_charsmap
+            and all(p.type in (kind.NORMAL, kind.UNKNOWN, kind.CONTROL, kind.BYTE) for p in model.pieces)
+            and not any(SPACE_MARK in p.piece.lstrip(SPACE_MARK) for p in model.pieces))
+
+
 class Aligner:
     """Both tokenizers, the bytes of their tokens and the memo of windows.
 
     Where a text has only characters that every version of the Unicode tables classes alike, A's ids come from
     the same vocabulary and merges run as ranks, which is several times faster and gives the same ids.
+
+    `divides` says that ids can be made word by word, if a word begins with a blank that follows another character
+    than a blank, and has no white space before or no white space behind it.  B's part is told by `_pieces_divide`.
+    A's pattern has white space only at the beginning of a match or in a match of nothing else; of white space before
+    another character it leaves the last one to the next match.  So a match ends before such a blank, and as the
+    pattern looks ahead only from white space for more of it, the matches on one side do not depend on the other.
     """
 
     def __init__(self, a_json: bytes, b_model: bytes):
@@ -112,7 +143,9 @@ class Aligner:
         self._b_space = np.array([x[:1] == b" " for x in self.b_bytes])
         # written ids with what stands before them: inside a group, before a group, between A and B, before a window
         self._names = [mark + str(k) for mark in ",;|\n" for k in range(max(len(self.a_bytes), self.n_b))]
-        self._windows: dict[bytes, tuple[bytes, int, bytes]] = {}
+        self._windows: dict[bytes, tuple[bytes, int, bytes, int, int]] = {}
+        self.divides = self.fast is not None and _pieces_divide(b_model)
+        self._words: dict[str, tuple[bytes, int, bytes, int, int]] = {}
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[int]]]:
         """Ids of A and B of each text."""
@@ -137,11 +170,12 @@ class Aligner:
         first = [] if len(i) and not i[0] and not k[0] else [0]  # the document begins a window
         return np.concatenate([first, i, [len(a)]]).astype(np.int64), np.concatenate([first, k, [len(b)]]).astype(np.int64)
 
-    def _keys(self, text: str, a: np.ndarray, b: list[int]) -> list[bytes] | None:
+    def _keys(self, text: str, a: np.ndarray, b: list[int], starts: np.ndarray | None = None) -> list[bytes] | None:
         """The windows of a text as packed id tuples (ids of A, a border, ids of B).
 
         None if the tokens do not give back space + text.  A's tokens are byte strings cut from it in order, so it
-        is enough that their sizes add up.
+        is enough that their sizes add up.  Windows begin at all anchors, or only at those at the byte offsets
+        `starts`; None if one of these is no anchor.
         """
         whole = b" " + text.encode("utf-8")
         of_b = self.b_bytes
@@ -149,6 +183,14 @@ class Aligner:
             return None
         b = np.array(b, dtype=np.uint32)
         at_a, at_b = self.anchors(a, b)
+        if starts is not None:
+            offsets = np.cumsum(self._a_size[a])[at_a[1:] - 1]  # where the windows end
+            offsets = np.concatenate([[0], offsets])
+            keep = np.searchsorted(offsets, starts)
+            if not np.array_equal(offsets[keep], starts):
+                return None
+            keep = np.append(keep, len(at_a) - 1)
+            at_a, at_b = at_a[keep], at_b[keep]
         window = np.arange(len(at_a) - 1)
         packed = np.full(len(a) + len(b) + len(window), BORDER, dtype=np.uint32)
         packed[np.arange(len(a)) + np.repeat(at_b[:-1] + window, np.diff(at_a))] = a
@@ -157,19 +199,20 @@ class Aligner:
         at = (4 * (at_a + at_b + np.arange(len(at_a)))).tolist()
         return [raw[i:j] for i, j in zip(at, at[1:])]
 
-    def _learn(self, keys: list[bytes]) -> None:
-        """Aligns windows, all at once, and notes for each: groups as text, their number, packed codes of the links.
+    def _learn(self, keys: list[bytes]) -> list[tuple[bytes, int, bytes, int, int]]:
+        """Aligns windows, all at once; for each: groups as text, their number, packed codes of the links, ids of A, of B.
 
         The windows are laid end to end.  Every end of a token closes one link; every shared end closes a group,
         whose tokens of A are written before those of B.  A link's code is A id times B's size, plus B id.
         """
         packed = np.frombuffer(b"".join(keys), dtype=np.uint32).astype(np.int64)
-        to = np.cumsum([len(k) // 4 for k in keys])
+        ends = np.cumsum([len(k) // 4 for k in keys])
+        starts = np.concatenate([[0], ends[:-1]])
         border = np.flatnonzero(packed == BORDER)
-        in_a = np.repeat(np.tile([True, False], len(keys)), np.diff(np.stack([border, to], axis=1).ravel(), prepend=0))
+        in_a = np.repeat(np.tile([True, False], len(keys)), np.diff(np.stack([border, ends], axis=1).ravel(), prepend=0))
         a = packed[in_a & (packed != BORDER)]
         b = packed[~in_a & (packed != BORDER)]
-        last_a = np.cumsum(border - np.concatenate([[0], to[:-1]])) - 1  # last token of each window
+        last_a = np.cumsum(border - starts) - 1  # last token of each window
         ends_a, ends_b = np.cumsum(self._a_size[a]), np.cumsum(self._b_size[b])
         meets = np.searchsorted(ends_b, ends_a)
         shared_a = ends_b[meets] == ends_a
@@ -196,10 +239,71 @@ class Aligner:
         names = self._names
         texts = "".join([names[k] for k in written.tolist()]).encode("ascii")[1:].split(b"\n")
         many = np.diff(closed[last_a], prepend=0).tolist()
-        self._windows.update(zip(keys, zip(texts, many, [raw[8 * i:8 * j] for i, j in zip([0, *to], to)])))
+        n_a, n_b = border - starts, ends - border - 1
+        return list(zip(texts, many, [raw[8 * i:8 * j] for i, j in zip([0, *to], to)], n_a.tolist(), n_b.tolist()))
+
+    def _learn_words(self, words: list[str]) -> bool:
+        """Encodes and aligns distinct words and puts them into the memo; False if an expected anchor is missing.
+
+        Words with white space behind their blank or at their end are encoded by themselves, the others together.
+        """
+        settled, others, alone = [], [], []
+        for w in words:
+            if w[0] == " " and w[1].isspace() or w[-1].isspace():
+                alone.append(w)
+            elif SETTLED.search(w):
+                others.append(w)
+            else:
+                settled.append(w)
+        words = settled + others + alone
+        spaced = [w if w[0] == " " else " " + w for w in words]
+        cuts = [*range(0, len(settled), TEXT_WORDS), *range(len(settled), len(settled) + len(others), TEXT_WORDS),
+                *range(len(settled) + len(others), len(words)), len(words)]
+        coded = self.encode(["".join(spaced[i:j])[1:] for i, j in zip(cuts, cuts[1:])])
+        a, b = np.concatenate([x for x, _ in coded]), [k for _, ids in coded for k in ids]
+        sizes = np.array([len(w) if w.isascii() else len(w.encode("utf-8")) for w in spaced])
+        keys = self._keys("".join(spaced)[1:], a, b, np.cumsum(sizes) - sizes)
+        if keys is None:
+            return False
+        self._words.update(zip(words, self._learn(keys)))
+        return True
+
+    def _look_up(self, text: str) -> tuple[list[str], list] | None:
+        """The words of a text, and for each what the memo has.
+
+        Words are split at blanks and stand without theirs.  A text with a blank before other white space, another
+        blank or its end is cut with care instead; its words keep their blanks, so that the two kinds do not meet in
+        the memo.  None if the text has a space mark, which the piece model takes for a blank.
+        """
+        if SPACE_MARK in text:
+            return None
+        words = text.split(" ")
+        have = list(map(self._words.get, words))
+        if any([v is None and (not w or w[0].isspace()) for w, v in zip(words, have)]):
+            words = WORD.findall(" " + text)
+            have = list(map(self._words.get, words))
+        return words, have
 
     def documents(self, texts: list[str], groups: bool = False) -> list[tuple]:
         """The columns of SCHEMA for each text."""
+        if not self.divides:
+            return self._whole(texts, groups)
+        known = self._words
+        if len(known) > MEMO_WINDOWS:
+            known.clear()
+        found = [self._look_up(t) for t in texts]
+        unknown = dict.fromkeys([w for f in found if f for w, v in zip(*f) if v is None])
+        if unknown and not self._learn_words(list(unknown)):
+            return self._whole(texts, groups)
+        rest = iter(self._whole([t for t, f in zip(texts, found) if f is None], groups))
+        rows = [next(rest) if f is None else self._row([v or known[w] for w, v in zip(*f)], groups) for f in found]
+        for w in unknown:
+            if known[w][3] + known[w][4] >= MEMO_TOKENS:
+                del known[w]
+        return rows
+
+    def _whole(self, texts: list[str], groups: bool) -> list[tuple]:
+        """The columns of SCHEMA for each text, encoded whole."""
         if len(self._windows) > MEMO_WINDOWS:
             self._windows.clear()
         coded = self.encode(texts)
@@ -208,24 +312,26 @@ class Aligner:
         found = [keys and list(map(known.get, keys)) for keys in cut]
         unknown = dict.fromkeys([k for keys, have in zip(cut, found) if keys for k, v in zip(keys, have) if v is None])
         if unknown:
-            self._learn(list(unknown))
-        rows = [NONE if keys is None else self._row(len(a), len(b), [v or known[k] for k, v in zip(keys, have)], groups)
-                for keys, have, (a, b) in zip(cut, found, coded)]
+            known.update(zip(unknown, self._learn(list(unknown))))
+        rows = [NONE if keys is None else self._row([v or known[k] for k, v in zip(keys, have)], groups)
+                for keys, have in zip(cut, found)]
         for key in unknown:
             if len(key) > 4 * MEMO_TOKENS:
                 del known[key]
         return rows
 
-    def _row(self, n_a: int, n_b: int, made: list[tuple[bytes, int, bytes]], groups: bool) -> tuple:
-        written = b";".join([x[0] for x in made])
-        links = np.frombuffer(b"".join([x[2] for x in made]), dtype=np.int64)
+    def _row(self, made: list[tuple[bytes, int, bytes, int, int]], groups: bool) -> tuple:
+        texts, many, links, n_a, n_b = zip(*made)
+        written = b";".join(texts)
+        links = np.frombuffer(b"".join(links), dtype=np.int64)
         pairs, times = np.unique(links, return_counts=True)
-        return (n_a, n_b, sum([x[1] for x in made]), len(links), hashlib.sha256(written).hexdigest(),
+        return (sum(n_a), sum(n_b), sum(many), len(links), hashlib.sha256(written).hexdigest(),
                 pairs, times.astype(np.int32), written.decode() if groups else None)
 
     def forget(self) -> None:
-        """Empty the memo."""
+        """Empty the memos."""
         self._windows.clear()
+        self._words.clear()
 
 
 NONE = (0, 0, 0, 0, "", np.array([], dtype=np.int64), np.array([], dtype=np.int32), None)

@@ -1,6 +1,8 @@
 """Alignment of two tokenizers against a plain walk over bytes, tokens made by the libraries alone."""
 
 import hashlib
+import itertools
+import random
 from collections import Counter
 
 import public_tokenizers as P
@@ -136,3 +138,51 @@ def test_edges(spark, rows):
     made = alignment.align(docs, A, B, keep=tuple(docs.columns), groups=True)
     assert made.columns == ["doc_id", "text", "rid", "pairs", "row", "aligned", *COLUMNS, "groups"]
     assert [(r.n_a, r.n_best, r.groups_sha256) for r in made.collect()] == [(0, 0, "")] * len(rows)
+
+
+def test_words_are_encoded_once_wherever_they_stand():
+    al = alignment.Aligner(open(A, "rb").read(), open(B, "rb").read())
+    made, sizes = al.encode, []
+    al.encode = lambda texts: sizes.append(sum(map(len, texts))) or made(texts)
+    words = [f"word{k}s" for k in range(300)]
+    texts = [" ".join(words[(k * x) % 300] for x in range(2_000)) for k in (1, 7, 11)]
+    texts.append(words[5] + " " + words[9])
+    rows = al.documents(texts[:3]) + al.documents(texts[3:])
+    assert sum(sizes) < 2 * sum(len(w) + 1 for w in words)
+    assert [r[:5] for r in rows] == [(*r[:4], r[6]) for r in plain(texts)]
+
+
+def test_words_give_what_whole_texts_give(monkeypatch):
+    al = alignment.Aligner(open(A, "rb").read(), open(B, "rb").read())
+    assert al.divides
+    parts = [" ", " ", "  ", "\n", "\t", "\r\n", " ", " ", "　", "\x1c", "\x85", "​", "a", "word", "'s", "don't",
+             "12", ".", "==", "é", "é", "日本", "ɐ", "\U0001f642", "▁", "<s>"]
+    draw = random.Random(11)
+    texts = ["".join(draw.choices(parts, k=draw.randint(1, 9))) for _ in range(20_000)]
+    texts += ["".join(x) for x in itertools.product(parts, repeat=2)]
+    whole = [r[:5] for r in al._whole(texts, False)]
+    assert [r[:5] for r in al.documents(texts)] == whole
+    monkeypatch.setattr(alignment, "MEMO_WINDOWS", 500)
+    assert [r[:5] for k in range(0, len(texts), 50) for r in al.documents(texts[k:k + 50])] == whole
+    monkeypatch.setattr(alignment, "TEXT_WORDS", 1)
+    al.forget()
+    assert [r[:5] for r in al.documents(texts)] == whole
+    some = [k for k, t in enumerate(texts) if k % 20 == 0 and "▁" not in t]
+    assert [whole[k] for k in some] == [(*r[:4], r[6]) for r in plain([texts[k] for k in some])]
+
+
+def test_other_piece_models_are_given_whole_texts():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    raw = open(B, "rb").read()
+    assert alignment._pieces_divide(raw)
+    model = pb.ModelProto.FromString(raw)
+    changed = [pb.ModelProto.FromString(raw) for _ in range(5)]
+    changed[0].trainer_spec.model_type = model.trainer_spec.UNIGRAM
+    changed[1].trainer_spec.treat_whitespace_as_suffix = True
+    changed[2].normalizer_spec.remove_extra_whitespaces = True
+    changed[3].pieces[-1].piece = "x▁y"
+    changed[4].pieces[-1].type = pb.ModelProto.SentencePiece.USER_DEFINED
+    assert not any(alignment._pieces_divide(m.SerializeToString()) for m in changed)
+    al = alignment.Aligner(open(A, "rb").read(), changed[4].SerializeToString())
+    assert not al.divides and al.documents(["some words"])[0][:2] == tuple(map(len, al.encode(["some words"])[0]))
